@@ -62,6 +62,12 @@ def _quantile_cuts(df: DataFrame, features: list[str], max_codes: int) -> dict[s
     return {f: sorted(set(row[f])) for f in features}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table read in fewer tasks (one small file); large tables stay put."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def encode(df: DataFrame, label: str, features: list[str], max_codes: int = 1024, weight: str | None = None,
            keep: list[str] = (), collapse: bool = True, row_key: str | None = None) -> Encoded:
     """Learn the codes in at most three passes and add them to the rows."""
@@ -97,5 +103,5 @@ def encode(df: DataFrame, label: str, features: list[str], max_codes: int = 1024
         if stat["k"] * 4 < n_rows:  # equal rows are worth adding up
             out = out.groupBy("y", "c").agg(F.sum("w").alias("w"))
             collapsed = True
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out = spread(out).persist(StorageLevel.MEMORY_AND_DISK)
     return Encoded(out, list(features), cuts, values, n_rows if n_rows is not None else out.count(), collapsed)

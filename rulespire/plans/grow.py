@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rulespire.config import FitConfig
 from rulespire.functions.rules import AFFINE, ANTIHORN, ANY, BEST, CONJUI, FAMILY_RANK, HORN, SQUARE2CNF, Literal, Rule
-from rulespire.functions.scores import entropy, information_gain
+from rulespire.functions.scores import entropy, gain_ratio, information_gain, penalized_gain
 from rulespire.operators.binning import local_cuts
+from rulespire.operators.dense import best_regions
 from rulespire.operators.search import (
-    best_per, clause_pairs, feature_scores, forms, region_counts, regions_for, rule_of, score_counts, searched_families,
+    best_per, clause_pairs, forms, region_counts, regions_for, rule_of, score_counts, searched_families,
 )
 from rulespire.plans.encode import Encoded, encode
 from rulespire.plans.model import Node, TreeModel
@@ -216,10 +217,6 @@ class Grower:
         hist = hist.join(self.value_table, ["f", "code"])
         cuts = local_cuts(hist, [*KEYS, "f"], cfg.n_bins, "value", "code")
         by_feature = [*KEYS, "f"]
-        if todo[0].node.depth == 0 and not cfg.use_gain_ratio:
-            score = _mutual_information(cuts, by_feature)
-        else:
-            score = feature_scores(cuts, by_feature, cfg.min_samples_leaf, cfg.use_gain_ratio)
         # inherited scores: features allowed by the parent's ranking
         extra = sorted({f for p in self.extra_pairs for f in p})
         plan = []
@@ -228,24 +225,31 @@ class Grower:
             top = [] if fresh else sorted(o.scores, key=lambda f: (-o.scores[f], f))[: cfg.top_k]
             plan.append((o.node.tree_id, o.node.node_id, fresh, top + extra if top else extra))
         plan_df = F.broadcast(self.spark.createDataFrame(plan, "tree_id int, node_id bigint, fresh boolean, wanted array<int>"))  # one row per open node
-        ranked = score.join(plan_df, KEYS)
-        order = W.partitionBy(*KEYS).orderBy(F.desc(F.round("feature_score", 12)), "f")
-        ranked = ranked.withColumn("rk", F.row_number().over(order))
+        if todo[0].node.depth == 0 and not cfg.use_gain_ratio:
+            scored = _with_mutual_information(cuts, by_feature)
+        else:
+            scored = _with_feature_score(cuts, by_feature, cfg)
+        left, n = F.col("cum_pos") + F.col("cum_neg"), F.col("tot_pos") + F.col("tot_neg")
+        gain = information_gain(F.col("tot_pos"), F.col("tot_neg"), F.col("cum_pos"), F.col("cum_neg"))
+        ok = (left >= cfg.min_samples_leaf) & (n - left >= cfg.min_samples_leaf)
+        single = F.when(ok, penalized_gain(F.col("gain"), 1, n)).otherwise(F.lit(-1.0))
+        # a node has at most features x n_bins cuts: node-sized windows
+        node = W.partitionBy(*KEYS)
+        ranked = scored.withColumn("gain", gain).withColumn("score", single).join(plan_df, KEYS).withColumns({
+            "rk": F.dense_rank().over(node.orderBy(F.desc(F.round("feature_score", 12)), "f")),
+            "first": F.row_number().over(node.orderBy(F.desc(F.round("score", 12)), "f", "cut_code")) == 1,
+        })
         keep = F.array_contains("wanted", F.col("f")) | (F.col("fresh") & (F.col("rk") <= cfg.top_k))
-        one = score_counts(
-            cuts.withColumnsRenamed({"cum_pos": "ip", "cum_neg": "ineg", "tot_pos": "tp", "tot_neg": "tn"}), 1, cfg.min_samples_leaf)
-        best = best_per(one, KEYS, ["f", "cut_code"]).select(*KEYS, "f", "cut_code", "score", "gain", "ip", "ineg", "threshold")
-        top_cuts = cuts.select(*KEYS, "f", "cut_code", "threshold").join(
-            ranked.filter(keep).select(*KEYS, "f", "feature_score"), by_feature)
-        got = top_cuts.select(*KEYS, "f", "cut_code", "threshold", "feature_score", F.lit(None).cast("double").alias("score"),
-                              F.lit(None).cast("double").alias("gain"), F.lit(None).cast("double").alias("ip"), F.lit(None).cast("double").alias("ineg"))
-        got = got.unionByName(best.withColumn("feature_score", F.lit(None).cast("double"))).collect()
+        got = ranked.withColumn("keep", keep).filter(F.col("keep") | F.col("first")).select(
+            *KEYS, "f", "cut_code", "threshold", "feature_score", "score", "gain",
+            F.col("cum_pos").alias("ip"), F.col("cum_neg").alias("ineg"), "first", "keep").toPandas().to_dict("records")
         singles = []
         for r in got:
             o = index[(r["tree_id"], r["node_id"])]
             t = self._threshold(r["f"], r["cut_code"], r["threshold"])
-            if r["score"] is not None:
+            if r["first"] and r["score"] > 0:
                 singles.append((o, r, t))
+            if not r["keep"]:
                 continue
             o.cuts.setdefault(r["f"], []).append((r["cut_code"], t))
             if self._fresh_scores(o):
@@ -297,6 +301,15 @@ class Grower:
         schema = "tree_id int, node_id bigint, feats array<int>, lut array<array<int>>, tuples array<array<int>>"
         return self.spark.createDataFrame(rows, schema)
 
+    def _packs(self, info: DataFrame, index: dict) -> bool:
+        """Whether the bin vectors of the open nodes are far fewer than their rows."""
+        vectors, n = 0.0, 0.0
+        for o in index.values():
+            limit = min(self.cfg.pair_features(self.d), self.cfg.top_k)
+            vectors += min(math.prod(len(o.cuts[f]) + 1 for f in o.ranked[:limit]), o.node.n)
+            n += o.node.n
+        return vectors * 4 < n
+
     def _grid(self, o: OpenNode, f: int, arity: int) -> list[tuple[int, float]]:
         """Cuts used for a tuple size: triples take every step-th one."""
         cuts = o.cuts[f]
@@ -311,15 +324,18 @@ class Grower:
         # broadcast: open nodes x top features x codes small integers
         bins = rows.join(F.broadcast(info), KEYS).withColumn(
             "b", F.transform("feats", lambda f, i: F.get(F.get(F.col("lut"), i), F.get(F.col("c"), f).cast("int")).cast("smallint")))
-        # equal bin vectors are added up before the tuple explosion
-        packed = bins.groupBy(*KEYS, "b").agg(*self._signed())
+        if self._packs(info, index):
+            # few distinct bin vectors: add equal ones up before the tuple explosion
+            bins = bins.groupBy(*KEYS, "b").agg(*self._signed()).join(F.broadcast(info.select(*KEYS, "feats", "tuples")), KEYS)
+        else:
+            pos = F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0.0))
+            bins = bins.select(*KEYS, "b", "feats", "tuples", pos.alias("pos"), (F.col("w") - pos).alias("neg"))
         entry = F.transform("tuples", lambda t: F.struct(
             *[F.get(F.col("feats"), F.get(t, F.lit(i))).alias(fs[i]) for i in range(arity)],
             *[F.get(F.col("b"), F.get(t, F.lit(i))).cast("int").alias(bs[i]) for i in range(arity)]))
-        long = packed.join(F.broadcast(info.select(*KEYS, "feats", "tuples")), KEYS).select(*KEYS, "pos", "neg", F.inline(entry))
+        long = bins.select(*KEYS, "pos", "neg", F.inline(entry))
         cells = long.groupBy(*KEYS, *fs, *bs).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        scored = region_counts(cells, [*KEYS, *fs], bs).filter(F.col("region").isin(wanted))
-        scored = score_counts(scored, arity, self.cfg.min_samples_leaf).drop("tp", "tn")
+        scored = best_regions(cells, [*KEYS, *fs], bs, wanted, self.cfg.min_samples_leaf)
         for r in best_per(scored, [*KEYS, "region"], [*fs, *bs]).collect():
             o = index[(r["tree_id"], r["node_id"])]
             feats = [r[f] for f in fs]
@@ -496,12 +512,22 @@ def _code_truth(rule: Rule, cols: list) -> Column:
     return rule.column([c.code if isinstance(c, _Dual) else c for c in cols])
 
 
-def _mutual_information(cuts: DataFrame, keys: list[str]) -> DataFrame:
+def _with_feature_score(cuts: DataFrame, keys: list[str], cfg: FitConfig) -> DataFrame:
+    """Best single-cut gain (or ratio) of the feature on every cut row."""
+    fn = gain_ratio if cfg.use_gain_ratio else information_gain
+    left, n = F.col("cum_pos") + F.col("cum_neg"), F.col("tot_pos") + F.col("tot_neg")
+    g = fn(F.col("tot_pos"), F.col("tot_neg"), F.col("cum_pos"), F.col("cum_neg"))
+    ok = (left >= cfg.min_samples_leaf) & (n - left >= cfg.min_samples_leaf)
+    best = F.max(F.when(ok, g)).over(W.partitionBy(*keys))
+    return cuts.withColumn("feature_score", F.greatest(F.coalesce(best, F.lit(0.0)), F.lit(0.0)))
+
+
+def _with_mutual_information(cuts: DataFrame, keys: list[str]) -> DataFrame:
     """Plug-in mutual information of label and bin from the cuts' running counts."""
-    order = W.partitionBy(*keys).orderBy("threshold")
+    order, whole = W.partitionBy(*keys).orderBy("threshold"), W.partitionBy(*keys)
     seg = lambda s: F.col(f"cum_{s}") - F.coalesce(F.lag(f"cum_{s}").over(order), F.lit(0.0))
-    inner = cuts.select(*keys, "cum_pos", "cum_neg", "tot_pos", "tot_neg", seg("pos").alias("p"), seg("neg").alias("q"))
-    last_p, last_q = F.max("tot_pos") - F.max("cum_pos"), F.max("tot_neg") - F.max("cum_neg")
-    rest = F.sum((F.col("p") + F.col("q")) * entropy(F.col("p"), F.col("q"))) + (last_p + last_q) * entropy(last_p, last_q)
-    whole = entropy(F.max("tot_pos"), F.max("tot_neg"))
-    return inner.groupBy(*keys).agg(F.greatest(whole - rest / (F.max("tot_pos") + F.max("tot_neg")), F.lit(0.0)).alias("feature_score"))
+    with_seg = cuts.withColumns({"__p": seg("pos"), "__q": seg("neg"), "__lp": F.max("cum_pos").over(whole), "__lq": F.max("cum_neg").over(whole)})
+    last_p, last_q = F.col("tot_pos") - F.col("__lp"), F.col("tot_neg") - F.col("__lq")
+    rest = F.sum((F.col("__p") + F.col("__q")) * entropy(F.col("__p"), F.col("__q"))).over(whole) + (last_p + last_q) * entropy(last_p, last_q)
+    mi = entropy(F.col("tot_pos"), F.col("tot_neg")) - rest / (F.col("tot_pos") + F.col("tot_neg"))
+    return with_seg.withColumn("feature_score", F.greatest(mi, F.lit(0.0))).drop("__p", "__q", "__lp", "__lq")
