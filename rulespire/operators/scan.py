@@ -72,18 +72,27 @@ def _with_value_bucket(df: DataFrame, keys: list[str], value: str, borders: dict
     table = spark.createDataFrame([(*k, v) for k, v in borders.items()], f"{schema}, __s array<double>")
     # groups x buckets numbers, checked in splitters(): safe to broadcast
     joined = df.join(F.broadcast(table), keys)
-    bucket = F.size(F.filter("__s", lambda s: s <= F.col(value)))
-    return joined.withColumn("__b", bucket).drop("__s")
+    return joined.withColumn("__b", _count_below(F.col("__s"), F.col(value))).drop("__s")
+
+
+def _count_below(borders: Column, value: Column, block: int = 16) -> Column:
+    """Number of sorted borders at or below the value: first by blocks, then inside one."""
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(borders), F.lit(1)), F.lit(block)), lambda i: F.get(borders, i - 1))
+    full = F.greatest(F.size(F.filter(heads, lambda h: h <= value)) - 1, F.lit(0)) * block
+    return full + F.size(F.filter(F.slice(borders, full + 1, F.lit(block)), lambda b: b <= value))
 
 
 def prefix_sums(
     counts: DataFrame, keys: list[str], value: str, sums: list[str], borders: dict[tuple, list[float]] | None = None,
+    positions: list[float] | None = None,
 ) -> DataFrame:
     """Running sums of ``sums`` by ascending ``value`` within ``keys``.
 
     ``counts`` has one row per (keys, value) - duplicates are already added up, so a hot
     value is one row. Adds ``cum_<s>`` (up to and with the row), ``tot_<s>`` and
-    ``next_<value>`` (the following value of the group or NULL).
+    ``next_<value>`` (the following value of the group or NULL). ``positions`` are shares p of
+    the first sum's total: only buckets that hold a position p * (total - 1) are scanned and
+    ``__hits`` lists those positions.
     """
     borders = splitters(counts, keys, value) if borders is None else borders
     b = _with_value_bucket(counts, keys, value, borders)
@@ -98,12 +107,22 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__off_{s}") for s in sums],
         *[F.sum(f"__t_{s}").over(W.partitionBy(*keys)).alias(f"tot_{s}") for s in sums],
     )
+    if positions is not None:
+        off, tot = F.col(f"__off_{sums[0]}"), F.col(f"tot_{sums[0]}")
+        wanted = F.array(*[
+            F.struct(F.lit(i).alias("idx"), F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (tot - 1)).alias("pos"))
+            for i, p in enumerate(positions)])
+        size = F.lead(off).over(order)
+        offsets = offsets.withColumn("__end", F.coalesce(size, tot)).withColumn(
+            "__hits", F.filter(wanted, lambda w: (F.floor(w.pos) >= off) & (F.floor(w.pos) < F.col("__end")))
+        ).filter(F.size("__hits") > 0).drop("__end")
+        b = b.join(offsets, [*keys, "__b"])
     inside = W.partitionBy(*keys, "__b").orderBy(value)
     running = inside.rowsBetween(W.unboundedPreceding, 0)
+    out = b.withColumn("__next", F.lead(value).over(inside)).withColumns({f"__c_{s}": F.sum(s).over(running) for s in sums})
+    out = out if positions is not None else out.join(offsets, [*keys, "__b"])
     return (
-        b.withColumn("__next", F.lead(value).over(inside))
-        .withColumns({f"__c_{s}": F.sum(s).over(running) for s in sums})
-        .join(offsets, [*keys, "__b"])
+        out
         .withColumns({f"cum_{s}": F.col(f"__c_{s}") + F.col(f"__off_{s}") for s in sums})
         .withColumn(f"next_{value}", F.coalesce("__next", "__after"))
         .drop("__b", "__next", "__after", *[f"__c_{s}" for s in sums], *[f"__off_{s}" for s in sums])
@@ -117,14 +136,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     adds up equal values first and ranks them bucket by bucket.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__cnt"))
-    cum = prefix_sums(counts, keys, value, ["__cnt"])
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("idx"), F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("tot___cnt") - 1)).alias("pos"))
-        for i, p in enumerate(probs)
-    ])
+    cum = prefix_sums(counts, keys, value, ["__cnt"], positions=probs)
     first = F.col("cum___cnt") - F.col("__cnt")
     # position p falls on this value (floor) and may reach into the next one
-    here = F.filter(wanted, lambda w: (F.floor(w.pos) >= first) & (F.floor(w.pos) < F.col("cum___cnt")))
+    here = F.filter("__hits", lambda w: (F.floor(w.pos) >= first) & (F.floor(w.pos) < F.col("cum___cnt")))
     hit = cum.withColumn("__hits", here).filter(F.size("__hits") > 0)
     out = hit.select(*keys, value, f"next_{value}", "cum___cnt", F.explode("__hits").alias("w"))
     frac = F.col("w.pos") - F.floor("w.pos")
