@@ -250,7 +250,7 @@ def rule_problem(family: Column, combine: Column, lits: Column) -> Column:
 
 def literal_text(l: Column) -> Column:
     sign = F.when(l.op == "GE", " >= ").otherwise(" < ")
-    return F.concat(F.lit("x["), l.feature.cast("string"), F.lit("]"), sign, F.format_number(l.threshold, 4))
+    return F.concat(F.lit("x["), l.feature.cast("string"), F.lit("]"), sign, F.format_string("%.4f", l.threshold))
 
 
 def negated(l: Column) -> Column:
