@@ -20,14 +20,19 @@ SIGNATURE_LIMIT = 200_000  # distinct signatures that may be broadcast
 
 def model_boxes(spark, model: TreeModel, tree: int = 0) -> list[tuple[int, list[tuple[int, float, float]]]]:
     """(class, box) list of one fitted tree; model-sized."""
+    rows = leaf_boxes(spark, model, tree).select("y_leaf", "box").distinct().collect()
+    return sorted((r["y_leaf"], [(c["feature"], c["lo"], c["hi"]) for c in r["box"]]) for r in rows)
+
+
+def leaf_boxes(spark, model: TreeModel, tree: int = 0) -> DataFrame:
+    """Boxes of every leaf of one tree as a table."""
     nodes = model.frame(spark).filter(F.col("tree_id") == tree)
     if nodes.filter(F.exists("lits", lambda l: l.feature2.isNotNull())).count():
         raise NotImplementedError("column-against-column tests have no boxes")
     rules = nodes.filter("not is_leaf").select("tree_id", "node_id", "combine", F.transform("lits", lambda l: F.struct(
         l.clause.alias("clause"), l.feature.alias("feature"), l.op.alias("op"), l.threshold.alias("threshold"))).alias("lits"))
     depth = max((n.depth for n in model.leaves(tree)), default=0)
-    rows = path_boxes(rules, nodes.filter("is_leaf"), depth).select("y_leaf", "box").distinct().collect()
-    return sorted((r["y_leaf"], [(c["feature"], c["lo"], c["hi"]) for c in r["box"]]) for r in rows)
+    return path_boxes(rules, nodes.filter("is_leaf"), depth)
 
 
 def used_features(model: TreeModel, tree: int = 0) -> list[int]:
@@ -157,6 +162,37 @@ def _bit_by_feature(used: list[int]) -> Column:
     return F.array(*[F.lit(b).cast("bigint") for b in bits])
 
 
+def reachable_leaves(df: DataFrame, model: TreeModel, s: Column, tree: int = 0, out: str = "reachable") -> DataFrame:
+    """Leaves some row can reach that agrees with this one on the features in ``s``."""
+    used, cols = used_features(model, tree), model.columns()
+    boxes: dict[int, list] = {}
+    for r in leaf_boxes(df.sparkSession, model, tree).collect():  # model-sized
+        boxes.setdefault(r["leaf_id"], []).append((0, [(c["feature"], c["lo"], c["hi"]) for c in r["box"]]))
+    mask = F.aggregate(s, F.lit(0).cast("bigint"), lambda acc, f: acc + F.get(_bit_by_feature(used), f))
+    parts = [
+        F.when(F.exists(blocked_masks(bs, 0, used, cols), lambda b: b.bitwiseAND(mask) == 0), F.lit(leaf).cast("bigint"))
+        for leaf, bs in sorted(boxes.items())]
+    return df.withColumn(out, F.array_compact(F.array(*parts)))
+
+
+def reading_features(model: TreeModel, tree: int = 0) -> Column:
+    """Features a reader of the path needs: the first true literal where a rule holds, all where not."""
+    cols = model.columns()
+
+    def walk(node: int, seen: Column) -> Column:
+        here = model.nodes[(tree, node)]
+        if here.rule is None:
+            return F.array_distinct(seen)
+        first = F.lit(None).cast("int")
+        for lit in reversed(here.rule.literals):
+            first = F.when(lit.column(cols), F.lit(lit.feature)).otherwise(first)
+        taken = F.concat(seen, F.array(first))
+        missed = F.concat(seen, F.array(*[F.lit(f) for f in here.rule.features]))
+        return F.when(here.rule.column(cols), walk(2 * node, taken)).otherwise(walk(2 * node + 1, missed))
+
+    return walk(1, F.array().cast("array<int>"))
+
+
 def audit(explained: DataFrame, model: TreeModel, tree: int = 0) -> DataFrame:
     """Shares of rows whose explanation is sufficient and whose every element is needed."""
     used = used_features(model, tree)
