@@ -1 +1,233 @@
-"""Registered queries."""
+"""Experiment analytics over result rows derived from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W, functions as F
+
+from rulespire.catalog.base import line_cte, line_rows, line_wide, load, query, rounded, rsql
+from rulespire.catalog.profiling import scratch
+from rulespire.config import FitConfig
+from rulespire.operators import results as A
+from rulespire.plans.grid import learning_curve, run_grid
+from rulespire.sources.sinks import write_tables
+from rulespire.sources.tables import LINE_FEATURES
+
+# Five hand-written classifiers, judged per supplier (dataset), depth and run (line number mod 3).
+METHODS = {
+    "axis": ("q >= 25", "Baseline", 3), "horn": ("q >= 25 OR d < 0.03", "Horn", 5), "conj": ("q >= 20 AND t >= 0.03", "ConjUI", 5),
+    "xor": ("(q >= 25) <> (d >= 0.05)", "Affine", 7), "cnf": ("(q >= 25 OR d < 0.03) AND (t >= 0.04 OR p < 50000)", "Square2CNF", 9),
+}
+_PRED = {1: "({c})", 2: "(({c}) AND p < 90000)"}
+
+
+def _results_sql():
+    cells = " UNION ALL ".join(
+        f"SELECT supp, y, ln::INT % 3 AS run, '{m}' AS method, '{cat}' AS category, {d} AS depth, {nodes * d} AS nodes, {_PRED[d].format(c=c)} AS pred FROM s"
+        for m, (c, cat, nodes) in METHODS.items() for d in (1, 2))
+    return f"""{line_cte('cnf4')}, ce AS ({cells}), res AS (SELECT supp::VARCHAR AS dataset, method, category, depth, run, nodes::DOUBLE AS nodes,
+      CASE WHEN supp % 7 = 0 AND run = 2 THEN 'nan'::DOUBLE ELSE round(avg((pred::INT = y)::INT), 9) END AS accuracy, round(avg(CASE WHEN pred THEN 1 ELSE 2 END), 9) AS axp_len, count(*)::DOUBLE AS cost FROM ce GROUP BY supp, method, category, depth, run, nodes)"""
+
+
+RES = _results_sql()
+CELL = f"{RES}, m AS (SELECT dataset, method, category, depth, avg(nodes) AS nodes, round(avg(CASE WHEN isnan(accuracy) THEN NULL ELSE accuracy END), 7) AS accuracy, round(avg(axp_len), 7) AS axp_len, avg(cost) AS cost FROM res GROUP BY 1, 2, 3, 4)"
+
+
+def result_rows(spark, sf):
+    """One row per (dataset, method, depth, run)."""
+    df = line_wide(spark, sf, "cnf4")
+    entry = F.array(*[
+        F.struct(F.lit(m).alias("method"), F.lit(cat).alias("category"), F.lit(d).alias("depth"), F.lit(float(nodes * d)).alias("nodes"), F.expr(_PRED[d].format(c=c)).alias("pred"))
+        for m, (c, cat, nodes) in METHODS.items() for d in (1, 2)])
+    long = df.select("supp", "y", (F.col("ln").cast("int") % 3).alias("run"), F.inline(entry))
+    acc = F.when((F.col("supp") % 7 == 0) & (F.col("run") == 2), F.lit(float("nan"))).otherwise(F.round(F.avg((F.col("pred").cast("int") == F.col("y")).cast("double")), 9))
+    g = long.groupBy("supp", "method", "category", "depth", "run", "nodes").agg(acc.alias("accuracy"), F.round(F.avg(F.when(F.col("pred"), 1.0).otherwise(2.0)), 9).alias("axp_len"), F.count(F.lit(1)).cast("double").alias("cost"))
+    return g.withColumn("dataset", F.col("supp").cast("string")).drop("supp")
+
+
+def cell_rows(spark, sf):
+    r = result_rows(spark, sf)
+    return r.groupBy("dataset", "method", "category", "depth").agg(
+        F.avg("nodes").alias("nodes"), F.round(F.avg(A.nan_safe(F.col("accuracy"))), 7).alias("accuracy"), F.round(F.avg("axp_len"), 7).alias("axp_len"), F.avg("cost").alias("cost"))
+
+
+@query("ana1_run_grid")
+def ana1(spark, sf):
+    """A small grid of real fits; failures would be rows with their error."""
+    df = line_rows(spark, sf, "or2")
+    g = run_grid(spark, {"or2": df}, {"or2": LINE_FEATURES}, {"horn": FitConfig(family="Horn", search_3d=False)}, [1])
+    return rounded(g.drop("fit_sec"), "accuracy", "train_accuracy", "axp_len")
+
+
+@query("ana2_cell_statistics", f"WITH {RES} SELECT dataset, method, depth, count(v) AS n, {rsql('avg(v)')} AS mean, {rsql('stddev_pop(v)')} AS std FROM (SELECT *, CASE WHEN isnan(accuracy) THEN NULL ELSE accuracy END AS v FROM res) GROUP BY 1, 2, 3")
+def ana2(spark, sf):
+    return rounded(A.cell_statistics(result_rows(spark, sf), ["dataset", "method", "depth"], "accuracy"), "mean", "std")
+
+
+@query("ana3_long_rows", f"WITH {CELL} SELECT m.dataset, m.method, m.depth, m.nodes, {rsql('b.nodes / m.nodes')} AS compression FROM m JOIN m b ON b.dataset = m.dataset AND b.depth = m.depth AND b.method = 'axis'")
+def ana3(spark, sf):
+    return rounded(A.long_rows(cell_rows(spark, sf), "axis", ["dataset", "depth"]).select("dataset", "method", "depth", "nodes", "compression"), "compression")
+
+
+@query("ana4_summary", f"WITH {CELL} SELECT method, category, depth, count(DISTINCT dataset) AS n_datasets, {rsql('avg(accuracy)')} AS avg_accuracy, {rsql('stddev_pop(accuracy)')} AS std_accuracy, {rsql('avg(nodes)')} AS avg_nodes, {rsql('stddev_pop(nodes)')} AS std_nodes FROM m GROUP BY 1, 2, 3")
+def ana4(spark, sf):
+    return rounded(A.summarize(cell_rows(spark, sf), ["method", "category", "depth"], ["accuracy", "nodes"]), "avg_accuracy", "std_accuracy", "avg_nodes", "std_nodes")
+
+
+@query("ana5_complexity", f"WITH {CELL} SELECT dataset, {rsql('avg(nodes)')} AS avg_nodes, {rsql('min(nodes)')} AS min_nodes, {rsql('max(nodes)')} AS max_nodes, {rsql('avg(axp_len)')} AS avg_axp FROM m GROUP BY 1")
+def ana5(spark, sf):
+    g = cell_rows(spark, sf).groupBy("dataset").agg(F.avg("nodes").alias("avg_nodes"), F.min("nodes").alias("min_nodes"), F.max("nodes").alias("max_nodes"), F.avg("axp_len").alias("avg_axp"))
+    return rounded(g, "avg_nodes", "min_nodes", "max_nodes", "avg_axp")
+
+
+def _pareto_sql(cost):
+    return f"WITH {CELL} SELECT dataset, method, depth, {cost}, accuracy FROM m WHERE accuracy IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m o WHERE o.dataset = m.dataset AND ((o.accuracy > m.accuracy AND o.{cost} <= m.{cost}) OR (o.accuracy >= m.accuracy AND o.{cost} < m.{cost})))"
+
+
+@query("ana6_pareto_size", _pareto_sql("nodes"))
+def ana6(spark, sf):
+    return A.pareto_front(cell_rows(spark, sf).filter("accuracy is not null"), ["dataset"], "accuracy", "nodes").select("dataset", "method", "depth", "nodes", "accuracy")
+
+
+@query("ana6_pareto_axp", _pareto_sql("axp_len"))
+def ana6b(spark, sf):
+    return A.pareto_front(cell_rows(spark, sf).filter("accuracy is not null"), ["dataset"], "accuracy", "axp_len").select("dataset", "method", "depth", "axp_len", "accuracy")
+
+
+def _outcome(tol):
+    return f"CASE WHEN m.accuracy - b.accuracy > {tol} THEN 'win' WHEN m.accuracy - b.accuracy < -{tol} THEN 'loss' ELSE 'tie' END"
+
+
+_BASE = "JOIN m b ON b.dataset = m.dataset AND b.depth = m.depth AND b.method = 'axis' WHERE m.method <> 'axis'"
+
+
+@query("ana7_outcomes", f"WITH {CELL} SELECT m.dataset, m.method, m.depth, {rsql('m.accuracy - b.accuracy')} AS diff, {_outcome('1e-12')} AS outcome FROM m {_BASE}")
+def ana7(spark, sf):
+    o = A.outcomes(cell_rows(spark, sf), "axis", ["dataset", "depth"], "accuracy", 1e-12)
+    return rounded(o.select("dataset", "method", "depth", "diff", "outcome"), "diff")
+
+
+@query("ana8_outcome_counts", f"WITH {CELL}, o AS (SELECT m.method, m.depth, {_outcome('0.005')} AS outcome FROM m {_BASE}) SELECT method, depth, sum((outcome = 'win')::INT)::BIGINT AS n_win, sum((outcome = 'loss')::INT)::BIGINT AS n_loss, sum((outcome = 'tie')::INT)::BIGINT AS n_tie FROM o GROUP BY 1, 2")
+def ana8(spark, sf):
+    return A.outcome_counts(cell_rows(spark, sf), "axis", ["dataset", "depth"], ["method", "depth"], "accuracy", 0.005)
+
+
+DIFF_SQL = f"{CELL}, df AS (SELECT m.method, m.depth, round(m.accuracy - b.accuracy, 9) AS diff FROM m {_BASE})"
+
+
+def diffs(spark, sf):
+    o = A.outcomes(cell_rows(spark, sf), "axis", ["dataset", "depth"], "accuracy", 0.0)
+    return o.select("method", "depth", F.round("diff", 9).alias("diff"))
+
+
+@query("ana9_paired_t", f"WITH {DIFF_SQL} SELECT method, depth, count(diff) AS n, {rsql('avg(diff)')} AS mean_diff, {rsql('avg(diff) / (stddev_samp(diff) / sqrt(count(diff)))', 5)} AS t FROM df GROUP BY 1, 2")
+def ana9(spark, sf):
+    return rounded(rounded(A.paired_t(diffs(spark, sf), ["method", "depth"], "diff"), "mean_diff"), "t", digits=5)
+
+
+@query("ana10_signed_ranks", f"""WITH {DIFF_SQL}, nz AS (SELECT method, depth, diff, abs(diff) AS a FROM df WHERE diff <> 0), rk AS (SELECT *, rank() OVER (PARTITION BY method, depth ORDER BY a) + (count(*) OVER (PARTITION BY method, depth, a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY method, depth, a) AS ties FROM nz),
+    w AS (SELECT method, depth, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS w_minus, sum(ties * ties - 1.0) AS tt FROM rk GROUP BY 1, 2)
+    SELECT method, depth, n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS w, {rsql('(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0)', 5)} AS z FROM w""")
+def ana10(spark, sf):
+    return rounded(A.signed_ranks(diffs(spark, sf), ["method", "depth"], "diff"), "z", digits=5)
+
+
+@query("ana10_pairwise_ranks", f"""WITH {CELL}, pw AS (SELECT a.method AS method_a, b.method AS method_b, round(a.accuracy - b.accuracy, 9) AS diff FROM m a JOIN m b ON a.dataset = b.dataset AND a.depth = b.depth AND a.method < b.method), nz AS (SELECT *, abs(diff) AS a FROM pw WHERE diff <> 0),
+    rk AS (SELECT *, rank() OVER (PARTITION BY method_a, method_b ORDER BY a) + (count(*) OVER (PARTITION BY method_a, method_b, a) - 1) / 2.0 AS r FROM nz) SELECT method_a, method_b, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END)::DOUBLE AS w_minus FROM rk GROUP BY 1, 2""")
+def ana10b(spark, sf):
+    c = cell_rows(spark, sf).select("dataset", "depth", "method", "accuracy")
+    # five methods: the accuracies of a cell side by side, pairs built inside the row
+    wide = c.groupBy("dataset", "depth").agg(F.sort_array(F.collect_list(F.struct("method", "accuracy"))).alias("v"))
+    pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b.method > a.method), lambda b: F.struct(a.method.alias("method_a"), b.method.alias("method_b"), F.round(a.accuracy - b.accuracy, 9).alias("diff")))))
+    return A.signed_ranks(wide.select(F.inline(pairs)), ["method_a", "method_b"], "diff").select("method_a", "method_b", "n", "w_plus", "w_minus")
+
+
+CERT_SQL = f"{CELL}, c AS (SELECT *, category IN ('Horn', 'Square2CNF') AND axp_len < 1.6 AS certified FROM m)"
+
+
+def certified(spark, sf):
+    return cell_rows(spark, sf).withColumn("certified", F.col("category").isin("Horn", "Square2CNF") & (F.col("axp_len") < 1.6))
+
+
+@query("ana11_certified_rows", f"WITH {CERT_SQL} SELECT dataset, method, depth FROM c WHERE certified")
+def ana11(spark, sf):
+    return certified(spark, sf).filter("certified").select("dataset", "method", "depth")
+
+
+@query("ana12_certified_split", f"WITH {CERT_SQL} SELECT CASE WHEN certified THEN 'certified' ELSE 'auxiliary' END AS part, method, count(*) AS n FROM c GROUP BY 1, 2")
+def ana12(spark, sf):
+    c = certified(spark, sf)
+    a = c.filter("certified").withColumn("part", F.lit("certified"))
+    b = c.filter("not certified").withColumn("part", F.lit("auxiliary"))
+    return a.unionByName(b).groupBy("part", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ana13_best_per_metric", f"WITH {CELL} SELECT dataset, depth, " + ", ".join(f"first(method ORDER BY {m} {o} NULLS LAST, method) AS best_{m}" for m, o in (("accuracy", "DESC"), ("nodes", "ASC"), ("axp_len", "ASC"), ("cost", "ASC"))) + " FROM m GROUP BY 1, 2")
+def ana13(spark, sf):
+    return A.best_per_metric(cell_rows(spark, sf), ["dataset", "depth"], ["accuracy"], ["nodes", "axp_len", "cost"])
+
+
+@query("ana14_normalized_profile", f"""WITH {CELL}, g AS (SELECT method, round(avg(accuracy), 9) AS accuracy, avg(nodes) AS nodes FROM m GROUP BY 1) SELECT method, {rsql('accuracy')} AS accuracy, nodes, {rsql('(accuracy - min(accuracy) OVER ()) / (max(accuracy) OVER () - min(accuracy) OVER ())')} AS accuracy_minmax, {rsql('accuracy / max(accuracy) OVER ()')} AS accuracy_ratio,
+    {rsql('(nodes - min(nodes) OVER ()) / (max(nodes) OVER () - min(nodes) OVER ())')} AS nodes_minmax, {rsql('nodes / max(nodes) OVER ()')} AS nodes_ratio FROM g""")
+def ana14(spark, sf):
+    g = cell_rows(spark, sf).groupBy("method").agg(F.round(F.avg("accuracy"), 9).alias("accuracy"), F.avg("nodes").alias("nodes"))
+    return rounded(A.normalized_profile(g, ["accuracy", "nodes"]), "accuracy", "accuracy_minmax", "accuracy_ratio", "nodes_minmax", "nodes_ratio")
+
+
+_P = {m: c for m, (c, _, _) in METHODS.items() if m in ("axis", "horn", "cnf")}
+
+
+@query("ana15_disagreements", f"WITH {line_cte('cnf4')}, p AS (SELECT rk, y, {', '.join(f'({c})::INT AS {m}' for m, c in _P.items())} FROM s) SELECT rk, axis, horn, cnf, (axis = y)::INT + (horn = y)::INT + (cnf = y)::INT AS n_correct FROM p WHERE NOT (axis = horn AND horn = cnf)")
+def ana15(spark, sf):
+    df = line_rows(spark, sf, "cnf4").select("rk", "y", *[F.expr(c).cast("int").alias(m) for m, c in _P.items()])
+    return A.disagreements(df, list(_P), "y").drop("y")
+
+
+@query("ana16_learning_curve")
+def ana16(spark, sf):
+    out = learning_curve(line_rows(spark, sf, "and2"), "y", LINE_FEATURES, "rk", [0.1, 1.0], FitConfig(max_depth=1, search_3d=False))
+    return rounded(out, "train_accuracy", "test_accuracy")
+
+
+@query("ana17_published_numbers", f"""WITH {CELL}, pub AS (SELECT l_suppkey::VARCHAR AS dataset, round(avg((l_returnflag <> 'N')::INT), 9) AS published FROM lineitem GROUP BY 1)
+    SELECT m.method, m.depth, count(*) AS n, {rsql('avg(accuracy - published)')} AS mean_diff, sum((accuracy - published > 0.005)::INT)::BIGINT AS n_better, sum((accuracy - published < -0.005)::INT)::BIGINT AS n_worse FROM m JOIN pub USING (dataset) GROUP BY 1, 2""")
+def ana17(spark, sf):
+    """Join with a table of outside numbers per dataset (here a share taken from the data)."""
+    pub = load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("dataset")).agg(F.round(F.avg((F.col("l_returnflag") != "N").cast("double")), 9).alias("published"))
+    j = cell_rows(spark, sf).join(pub, "dataset").withColumn("diff", F.col("accuracy") - F.col("published"))
+    return rounded(j.groupBy("method", "depth").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"), F.count_if(F.col("diff") > 0.005).alias("n_better"), F.count_if(F.col("diff") < -0.005).alias("n_worse")), "mean_diff")
+
+
+@query("ana18_compression_averages", f"WITH {CELL} SELECT m.method, {rsql('avg(m.accuracy)')} AS accuracy, {rsql('avg(m.nodes)')} AS nodes, {rsql('avg(b.nodes / m.nodes)')} AS compression FROM m JOIN m b ON b.dataset = m.dataset AND b.depth = m.depth AND b.method = 'cnf' GROUP BY 1")
+def ana18(spark, sf):
+    r = A.long_rows(cell_rows(spark, sf), "cnf", ["dataset", "depth"])
+    return rounded(r.groupBy("method").agg(F.avg("accuracy").alias("accuracy"), F.avg("nodes").alias("nodes"), F.avg("compression").alias("compression")), "accuracy", "nodes", "compression")
+
+
+@query("ana19_fold_statistics", f"WITH {RES} SELECT method, depth, run, count(axp_len) AS k, {rsql('avg(axp_len)')} AS mean, {rsql('stddev_pop(axp_len)')} AS std, {rsql('1.96 * stddev_pop(axp_len) / sqrt(count(axp_len))')} AS ci95 FROM res GROUP BY 1, 2, 3")
+def ana19(spark, sf):
+    return rounded(A.fold_statistics(result_rows(spark, sf), ["method", "depth", "run"], "axp_len"), "mean", "std", "ci95")
+
+
+@query("ana20_dashboard_rows", f"WITH {CELL} SELECT category AS family, count(*) AS n_cells, {rsql('avg(accuracy) * 100', 4)} AS accuracy_pct, {rsql('avg(nodes)')} AS nodes, {rsql('avg(axp_len)')} AS axp_len FROM m GROUP BY 1")
+def ana20(spark, sf):
+    g = cell_rows(spark, sf).groupBy(F.col("category").alias("family")).agg(F.count(F.lit(1)).alias("n_cells"), (F.avg("accuracy") * 100).alias("accuracy_pct"), F.avg("nodes").alias("nodes"), F.avg("axp_len").alias("axp_len"))
+    return rounded(rounded(g, "accuracy_pct", digits=4), "nodes", "axp_len")
+
+
+@query("snk3_evidence_tables", f"""WITH {CERT_SQL} SELECT 'full' AS name, count(*) AS n FROM m UNION ALL SELECT 'by_method', count(DISTINCT (method, category, depth)) FROM m UNION ALL SELECT 'certified', sum(certified::INT)::BIGINT FROM c UNION ALL SELECT 'auxiliary', sum((NOT certified)::INT)::BIGINT FROM c
+    UNION ALL SELECT 'complexity', count(DISTINCT dataset) FROM m UNION ALL SELECT 'win_loss', count(*) FROM m {_BASE} UNION ALL SELECT 'pareto', count(*) FROM ({_pareto_sql('nodes')[_pareto_sql('nodes').index('SELECT dataset, method, depth, nodes'):]})""")
+def snk3(spark, sf):
+    """Write the evidence tables and count what was written."""
+    cells, cert = cell_rows(spark, sf), certified(spark, sf)
+    tables = {
+        "full": cells, "by_method": A.summarize(cells, ["method", "category", "depth"], ["accuracy"]), "certified": cert.filter("certified"), "auxiliary": cert.filter("not certified"),
+        "complexity": cells.groupBy("dataset").agg(F.avg("nodes").alias("nodes")), "win_loss": A.outcomes(cells, "axis", ["dataset", "depth"], "accuracy", 1e-12),
+        "pareto": A.pareto_front(cells.filter("accuracy is not null"), ["dataset"], "accuracy", "nodes"),
+    }
+    path = scratch(spark, "evidence")
+    write_tables(tables, path)
+    out = None
+    for name in tables:
+        part = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
