@@ -28,7 +28,7 @@ from rulespire.operators.search import (
 from rulespire.plans.encode import Encoded, encode
 from rulespire.plans.model import Node, TreeModel
 
-KEYS = ["tree_id", "node_id"]
+KEYS = ["slot"]  # position of a node in the level's list of open nodes
 
 
 @dataclass
@@ -107,29 +107,29 @@ class Grower:
 
     # -- rows of the open nodes ------------------------------------------------------
 
-    def _route(self, tree: int, node: int, open_ids: set) -> Column:
+    def _route(self, tree: int, node: int, slots: dict) -> Column:
         key = (tree, node)
         if key in self.code_rules:
             cols = [F.col("c")[i] for i in range(self.d)]
             if self.cfg.allow_compare:
                 cols = [_Dual(c, F.col(f)) for c, f in zip(cols, self.enc.features)]
             truth = _code_truth(self.code_rules[key], cols)
-            return F.when(truth, self._route(tree, 2 * node, open_ids)).otherwise(self._route(tree, 2 * node + 1, open_ids))
-        return F.lit(node if key in open_ids else None).cast("bigint")
+            return F.when(truth, self._route(tree, 2 * node, slots)).otherwise(self._route(tree, 2 * node + 1, slots))
+        return F.lit(slots.get(key)).cast("int")
 
     def rows(self, open_nodes: list[OpenNode]) -> DataFrame:
-        ids = {(o.node.tree_id, o.node.node_id) for o in open_nodes}
+        """Rows of the open nodes with their slot; one row per tree that is still open for it."""
+        slots = {(o.node.tree_id, o.node.node_id): i for i, o in enumerate(open_nodes)}
         df = self.enc.df
         if self.n_trees == 1 and self.weights is None:
-            return df.withColumn("tree_id", F.lit(0)).withColumn("node_id", self._route(0, 1, ids)).filter("node_id is not null")
+            return df.withColumn("slot", self._route(0, 1, slots)).filter("slot is not null")
         places = F.array(*[
-            F.struct(F.lit(t).alias("tree_id"), self._route(t, 1, ids).alias("node_id"),
+            F.struct(self._route(t, 1, slots).alias("slot"),
                      (F.col("w") * F.col(self.weights)[t] if self.weights else F.col("w")).alias("w"))
-            for t in sorted({t for t, _ in ids})
+            for t in sorted({t for t, _ in slots})
         ])
-        live = F.filter(places, lambda p: p.node_id.isNotNull() & (p.w > 0))
-        return df.withColumn("__p", F.explode(live)).select(
-            *[c for c in df.columns if c != "w"], "__p.tree_id", "__p.node_id", "__p.w")
+        live = F.filter(places, lambda p: p.slot.isNotNull() & (p.w > 0))
+        return df.withColumn("__p", F.explode(live)).select(*[c for c in df.columns if c != "w"], "__p.slot", "__p.w")
 
     def _signed(self) -> list[Column]:
         pos = F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0.0))
@@ -183,20 +183,17 @@ class Grower:
 
     def _search(self, todo: list[OpenNode]) -> None:
         cfg = self.cfg
-        index = {(o.node.tree_id, o.node.node_id): o for o in todo}
         rows = self.rows(todo)
-        self._cuts(rows, todo, index)
-        pair_jobs = cfg.search_2d and cfg.max_arity >= 2
-        info = None
-        if pair_jobs and self.families & {HORN, ANTIHORN, CONJUI, AFFINE}:
-            info = self._tuples(todo, 2)
-            self._score_tuples(rows, info, index, 2)
+        self._cuts(rows, todo)
+        plain = self.families & {HORN, ANTIHORN, CONJUI, AFFINE}
+        if plain and cfg.search_2d and cfg.max_arity >= 2:
+            self._score_tuples(rows, todo, 2)
             if cfg.allow_compare and self.families & {HORN, ANTIHORN}:
-                self._score_compare(rows, info, index)
-        if cfg.search_3d and cfg.max_arity >= 3 and self.families & {HORN, ANTIHORN, CONJUI, AFFINE}:
-            self._score_tuples(rows, self._tuples(todo, 3), index, 3)
+                self._score_compare(rows, todo)
+        if plain and cfg.search_3d and cfg.max_arity >= 3:
+            self._score_tuples(rows, todo, 3)
         if SQUARE2CNF in self.families:
-            self._score_cnf(rows, todo, index)
+            self._score_cnf(rows, todo)
         if cfg.look_ahead:
             self._look_ahead(rows, todo)
 
@@ -205,15 +202,20 @@ class Grower:
     def _fresh_scores(self, o: OpenNode) -> bool:
         return o.node.depth == 0 or (o.node.depth <= 2 and o.node.n >= 100)
 
-    def _cuts(self, rows: DataFrame, todo: list[OpenNode], index: dict) -> None:
-        cfg = self.cfg
+    def _cuts(self, rows: DataFrame, todo: list[OpenNode]) -> None:
+        cfg, d, width = self.cfg, self.d, max(self.enc.codes(f) for f in range(self.d))
         if self.subsets:
-            subset = F.array(*[F.array(*[F.lit(f) for f in s]) for s in self.subsets])
-            entry = F.transform(F.get(subset, F.col("tree_id")), lambda f: F.struct(f.alias("f"), F.get(F.col("c"), f).alias("code")))
-            long = rows.select(*KEYS, "y", "w", F.inline(entry))
+            # open nodes -> features of their tree: one short list per slot
+            allowed = [(i, self.subsets[o.node.tree_id]) for i, o in enumerate(todo)]
+            table = F.broadcast(self.spark.createDataFrame(allowed, "slot int, fs array<int>"))
+            entry = F.transform("fs", lambda f: F.struct(f.alias("f"), F.get(F.col("c"), f).cast("int").alias("code")))
+            long = rows.join(table, "slot").select("slot", "y", "w", F.inline(entry))
         else:
-            long = rows.select(*KEYS, "y", "w", F.posexplode("c").alias("f", "code"))
-        hist = long.groupBy(*KEYS, "f", "code").agg(*self._signed())
+            long = rows.select("slot", "y", "w", F.posexplode("c").alias("f", "code"))
+        # one number per cell keeps the hash aggregation on a single long key
+        cell = (F.col("slot").cast("bigint") * d + F.col("f")) * width + F.col("code")
+        hist = long.groupBy(cell.alias("cell")).agg(*self._signed())
+        hist = _unpack(hist, "cell", [("code", width), ("f", d), ("slot", None)])
         hist = hist.join(self.value_table, ["f", "code"])
         cuts = local_cuts(hist, [*KEYS, "f"], cfg.n_bins, "value", "code")
         by_feature = [*KEYS, "f"]
@@ -223,8 +225,8 @@ class Grower:
         for o in todo:
             fresh = self._fresh_scores(o)
             top = [] if fresh else sorted(o.scores, key=lambda f: (-o.scores[f], f))[: cfg.top_k]
-            plan.append((o.node.tree_id, o.node.node_id, fresh, top + extra if top else extra))
-        plan_df = F.broadcast(self.spark.createDataFrame(plan, "tree_id int, node_id bigint, fresh boolean, wanted array<int>"))  # one row per open node
+            plan.append((len(plan), fresh, top + extra if top else extra))
+        plan_df = F.broadcast(self.spark.createDataFrame(plan, "slot int, fresh boolean, wanted array<int>"))  # one row per open node
         if todo[0].node.depth == 0 and not cfg.use_gain_ratio:
             scored = _with_mutual_information(cuts, by_feature)
         else:
@@ -245,7 +247,7 @@ class Grower:
             F.col("cum_pos").alias("ip"), F.col("cum_neg").alias("ineg"), "first", "keep").toPandas().to_dict("records")
         singles = []
         for r in got:
-            o = index[(r["tree_id"], r["node_id"])]
+            o = todo[r["slot"]]
             t = self._threshold(r["f"], r["cut_code"], r["threshold"])
             if r["first"] and r["score"] > 0:
                 singles.append((o, r, t))
@@ -281,74 +283,107 @@ class Grower:
 
     # -- pairs and triples ----------------------------------------------------------------
 
-    def _tuples(self, todo: list[OpenNode], arity: int) -> DataFrame:
-        """One row per open node: features, code -> bin tables, tuples of positions."""
-        cfg, rows = self.cfg, []
+    def _tuple_features(self, todo: list[OpenNode], arity: int) -> list[list[int]]:
+        """Features of every open node whose combinations are searched."""
+        cfg = self.cfg
         limit = cfg.pair_features(self.d) if arity == 2 else cfg.triple_features(self.d)
-        for o in todo:
-            feats = sorted(o.ranked[: min(limit, cfg.top_k)])
-            tuples = [list(t) for t in combinations(feats, arity)]
-            if arity == 2:
-                tuples += [list(p) for p in self.extra_pairs if list(p) not in tuples and all(f in o.cuts for f in p)]
-            used = sorted({f for t in tuples for f in t})
-            pos = {f: i for i, f in enumerate(used)}
+        return [sorted(o.ranked[: min(limit, cfg.top_k)]) for o in todo]
+
+    def _bin_tables(self, todo: list[OpenNode], feats: list[list[int]], grid) -> tuple[list, int]:
+        """(slot, features, code -> bin per feature) rows and the largest bin count."""
+        rows, most = [], 2
+        for slot, (o, fs) in enumerate(zip(todo, feats)):
             tables = []
-            for f in used:
-                cut_codes = [c for c, _ in self._grid(o, f, arity)]
+            for f in fs:
+                cut_codes = [c for c, _ in grid(o, f)]
                 tables.append([bisect_right(cut_codes, c) for c in range(self.enc.codes(f))])
-            if tuples:
-                rows.append((o.node.tree_id, o.node.node_id, used, tables, [[pos[f] for f in t] for t in tuples]))
-        schema = "tree_id int, node_id bigint, feats array<int>, lut array<array<int>>, tuples array<array<int>>"
-        return self.spark.createDataFrame(rows, schema)
+                most = max(most, len(cut_codes) + 1)
+            rows.append((slot, fs, tables))
+        return rows, most
+
+    def _binned(self, rows: DataFrame, todo: list[OpenNode], feats: list[list[int]], grid) -> tuple[DataFrame, int]:
+        """(slot, pos, neg, b): bins of the node's features, equal rows added up where that pays."""
+        own, most = self._bin_tables(todo, feats, grid)
+        # open nodes x top features x codes small integers
+        info = F.broadcast(self.spark.createDataFrame(own, "slot int, fs array<int>, lut array<array<int>>"))
+        b = F.transform("fs", lambda f, i: F.get(F.get(F.col("lut"), i), F.get(F.col("c"), f).cast("int")).cast("bigint"))
+        pos = F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0.0))
+        df = rows.join(info, "slot").select("slot", b.alias("b"), pos.alias("pos"), (F.col("w") - pos).alias("neg"))
+        if self._packs(todo, feats, grid):
+            df = df.groupBy("slot", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        return df, most
 
-    def _packs(self, info: DataFrame, index: dict) -> bool:
+    def _tuple_cells(self, rows: DataFrame, todo: list[OpenNode], feats: list[list[int]], grid, arity: int) -> DataFrame:
+        """Joint counts (slot, i, j[, k], bi, bj[, bk], pos, neg); i, j, k are places in the node's features.
+
+        One generator per axis spreads a row over the tuples: the generated code stays
+        small however many tuples there are, so the JIT compiles it. A tuple and its bins
+        are one long number, the only key of the aggregation.
+        """
+        df, most = self._binned(rows, todo, feats, grid)
+        k = max(len(fs) for fs in feats)
+        df = df.withColumn("cell", F.col("slot").cast("bigint")).withColumn("at", F.lit(-1)).withColumn("bins", F.lit(0).cast("bigint"))
+        for _ in range(arity):
+            later = F.slice("b", F.col("at") + 2, F.greatest(F.size("b") - F.col("at") - 1, F.lit(0)))
+            df = df.select("slot", "b", "pos", "neg", "cell", "at", "bins", F.posexplode(later).alias("p", "v"))
+            here = F.col("at") + 1 + F.col("p")
+            df = df.select("slot", "b", "pos", "neg", (F.col("cell") * k + here).alias("cell"), here.alias("at"), (F.col("bins") * most + F.col("v")).alias("bins"))
+        counted = df.select("pos", "neg", (F.col("cell") * most**arity + F.col("bins")).alias("cell"))
+        counted = counted.groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        axes, places = ["bi", "bj", "bk"][:arity], ["i", "j", "k"][:arity]
+        return _unpack(counted, "cell", [*[(a, most) for a in reversed(axes)], *[(p, k) for p in reversed(places)], ("slot", None)])
+
+    def _extra_cells(self, rows: DataFrame, todo: list[OpenNode], grid) -> tuple[DataFrame | None, list[list[int]]]:
+        """Joint counts of the interacting pairs outside of the ranked features."""
+        feats = [sorted({f for p in self.extra_pairs for f in p if f in o.cuts}) for o in todo]
+        if not any(len(fs) > 1 for fs in feats):
+            return None, feats
+        cells = self._tuple_cells(rows, todo, feats, grid, 2)
+        wanted = {tuple(sorted(p)) for p in self.extra_pairs}
+        keep = [(s, i, j) for s, fs in enumerate(feats) for i, j in combinations(range(len(fs)), 2) if (fs[i], fs[j]) in wanted]
+        table = F.broadcast(self.spark.createDataFrame(keep, "slot int, i int, j int"))  # at most 50 pairs per node
+        return cells.join(table, ["slot", "i", "j"], "left_semi"), feats
+
+    def _packs(self, todo: list[OpenNode], feats: list[list[int]], grid) -> bool:
         """Whether the bin vectors of the open nodes are far fewer than their rows."""
-        vectors, n = 0.0, 0.0
-        for o in index.values():
-            limit = min(self.cfg.pair_features(self.d), self.cfg.top_k)
-            vectors += min(math.prod(len(o.cuts[f]) + 1 for f in o.ranked[:limit]), o.node.n)
-            n += o.node.n
-        return vectors * 4 < n
-
-    def _grid(self, o: OpenNode, f: int, arity: int) -> list[tuple[int, float]]:
+        vectors = sum(min(math.prod(len(grid(o, f)) + 1 for f in fs), o.node.n) for o, fs in zip(todo, feats))
+        return vectors * 4 < sum(o.node.n for o in todo)
+
+    def _grid(self, arity: int):
         """Cuts used for a tuple size: triples take every step-th one."""
-        cuts = o.cuts[f]
-        step = max(1, (len(cuts) + 1) // self.cfg.max_bins_3d) if arity == 3 else 1
-        return [c for i, c in enumerate(cuts) if (i + 1) % step == 0]
+        def cuts_of(o: OpenNode, f: int) -> list[tuple[int, float]]:
+            cuts = o.cuts[f]
+            step = max(1, (len(cuts) + 1) // self.cfg.max_bins_3d) if arity == 3 else 1
+            return [c for i, c in enumerate(cuts) if (i + 1) % step == 0]
+        return cuts_of
 
-    def _score_tuples(self, rows: DataFrame, info: DataFrame, index: dict, arity: int) -> None:
+    def _score_tuples(self, rows: DataFrame, todo: list[OpenNode], arity: int) -> None:
         wanted = regions_for(self.families, arity)
-        if not wanted:
+        feats = self._tuple_features(todo, arity)
+        if not wanted or max(len(fs) for fs in feats) < arity:
             return
-        fs, bs = ["fi", "fj", "fk"][:arity], ["bi", "bj", "bk"][:arity]
-        # broadcast: open nodes x top features x codes small integers
-        bins = rows.join(F.broadcast(info), KEYS).withColumn(
-            "b", F.transform("feats", lambda f, i: F.get(F.get(F.col("lut"), i), F.get(F.col("c"), f).cast("int")).cast("smallint")))
-        if self._packs(info, index):
-            # few distinct bin vectors: add equal ones up before the tuple explosion
-            bins = bins.groupBy(*KEYS, "b").agg(*self._signed()).join(F.broadcast(info.select(*KEYS, "feats", "tuples")), KEYS)
-        else:
-            pos = F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0.0))
-            bins = bins.select(*KEYS, "b", "feats", "tuples", pos.alias("pos"), (F.col("w") - pos).alias("neg"))
-        entry = F.transform("tuples", lambda t: F.struct(
-            *[F.get(F.col("feats"), F.get(t, F.lit(i))).alias(fs[i]) for i in range(arity)],
-            *[F.get(F.col("b"), F.get(t, F.lit(i))).cast("int").alias(bs[i]) for i in range(arity)]))
-        long = bins.select(*KEYS, "pos", "neg", F.inline(entry))
-        cells = long.groupBy(*KEYS, *fs, *bs).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        scored = best_regions(cells, [*KEYS, *fs], bs, wanted, self.cfg.min_samples_leaf)
-        for r in best_per(scored, [*KEYS, "region"], [*fs, *bs]).collect():
-            o = index[(r["tree_id"], r["node_id"])]
-            feats = [r[f] for f in fs]
-            picks = [self._grid(o, f, arity)[r[b]] for f, b in zip(feats, bs)]
-            self._add(o, r["region"], feats, [c for c, _ in picks], [t for _, t in picks], r)
-
-    def _score_compare(self, rows: DataFrame, info: DataFrame, index: dict) -> None:
+        grid = self._grid(arity)
+        self._best_of(self._tuple_cells(rows, todo, feats, grid, arity), todo, feats, grid, arity, wanted)
+        if arity == 2 and self.extra_pairs and self.families & {HORN, ANTIHORN}:
+            cells, feats = self._extra_cells(rows, todo, grid)
+            if cells is not None:
+                self._best_of(cells, todo, feats, grid, 2, wanted)
+
+    def _best_of(self, cells: DataFrame, todo: list[OpenNode], feats: list[list[int]], grid, arity: int, wanted: list[str]) -> None:
+        axes, places = ["bi", "bj", "bk"][:arity], ["i", "j", "k"][:arity]
+        scored = best_regions(cells, ["slot", *places], axes, wanted, self.cfg.min_samples_leaf)
+        for r in best_per(scored, ["slot", "region"], [*places, *axes]).collect():
+            o, fs = todo[r["slot"]], [feats[r["slot"]][r[p]] for p in places]
+            picks = [grid(o, f)[r[a]] for f, a in zip(fs, axes)]
+            self._add(o, r["region"], fs, [c for c, _ in picks], [t for _, t in picks], r)
+
+    def _score_compare(self, rows: DataFrame, todo: list[OpenNode]) -> None:
         """x_i <= x_j for the node's pairs (needs the raw columns)."""
+        own = [(slot, [list(t) for t in combinations(fs, 2)]) for slot, fs in enumerate(self._tuple_features(todo, 2))]
+        info = F.broadcast(self.spark.createDataFrame(own, "slot int, tuples array<array<int>>"))  # pairs of open nodes
         x = F.array(*[F.col(f) for f in self.enc.features])
-        entry = F.transform("tuples", lambda t: F.struct(
-            F.get(F.col("feats"), F.get(t, F.lit(0))).alias("fi"), F.get(F.col("feats"), F.get(t, F.lit(1))).alias("fj")))
-        long = rows.withColumn("x", x).join(F.broadcast(info.select(*KEYS, "feats", "tuples")), KEYS).select(
-            *KEYS, "y", "w", "x", F.inline(entry))
+        entry = F.transform("tuples", lambda t: F.struct(F.get(t, F.lit(0)).alias("fi"), F.get(t, F.lit(1)).alias("fj")))
+        long = rows.withColumn("x", x).join(info, "slot").select("slot", "y", "w", "x", F.inline(entry))
         le = F.get(F.col("x"), F.col("fi")) <= F.get(F.col("x"), F.col("fj"))
         pos = F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0.0))
         neg = F.col("w") - pos
@@ -356,92 +391,67 @@ class Grower:
         counts = long.groupBy(*KEYS, "fi", "fj").agg(on(pos).alias("ip"), on(neg).alias("ineg"), F.sum(pos).alias("tp"), F.sum(neg).alias("tn"))
         scored = score_counts(counts, 1, self.cfg.min_samples_leaf)
         for r in best_per(scored, KEYS, ["fi", "fj"]).collect():
-            o = index[(r["tree_id"], r["node_id"])]
+            o = todo[r["slot"]]
             family = HORN if HORN in self.families else ANTIHORN
             rule = Rule.of("or", family, Literal(r["fi"], "LE", 0.0, r["fj"]), gain=r["score"])
             o.candidates.append(Candidate(r["score"], r["gain"], rule, rule, r["ip"], r["ineg"]))
 
     # -- two-clause rules -------------------------------------------------------------------
 
-    def _score_cnf(self, rows: DataFrame, todo: list[OpenNode], index: dict) -> None:
+    def _score_cnf(self, rows: DataFrame, todo: list[OpenNode]) -> None:
         """(a or b) and (c or d): rank clauses by their own gain, then try pairs of them.
 
         Clause counts come from coarse pair histograms; the pairs are counted on the
         distinct truth patterns of the kept clauses.
         """
         cfg, spark = self.cfg, self.spark
-        lut_rows, coarse = [], {}
-        for o in todo:
-            feats = sorted(o.ranked[: cfg.cnf_features])
-            grid = {}
-            for f in feats:
-                nb = len(o.cuts[f]) + 1
-                step = max(1, nb // cfg.cnf_thresholds)
-                grid[f] = [o.cuts[f][i - 1] for i in range(step, nb, step)]
-            coarse[(o.node.tree_id, o.node.node_id)] = grid
-            tables = [[bisect_right([c for c, _ in grid[f]], code) for code in range(self.enc.codes(f))] for f in feats]
-            pairs = [[i, j] for i in range(len(feats)) for j in range(i + 1, len(feats))]
+
+        def grid(o: OpenNode, f: int) -> list[tuple[int, float]]:
+            nb = len(o.cuts[f]) + 1
+            step = max(1, nb // cfg.cnf_thresholds)
+            return [o.cuts[f][i - 1] for i in range(step, nb, step)]
+
+        feats = [sorted(o.ranked[: cfg.cnf_features]) for o in todo]
+        if max(len(fs) for fs in feats) < 2:
+            return
+        cells = self._tuple_cells(rows, todo, feats, grid, 2)
+        scored = score_counts(region_counts(cells, ["slot", "i", "j"], ["bi", "bj"]).filter(F.col("region") != "X"), 1, cfg.min_samples_leaf)
+        per_pair = W.partitionBy("slot", "i", "j").orderBy(F.desc(F.round("score", 12)), "bi", "bj", "region")  # coarse cells
+        best = scored.withColumn("rk", F.row_number().over(per_pair)).filter("rk <= 4").select("slot", "i", "j", "bi", "bj", "region", "score").collect()
+        clauses: dict[int, list] = {}
+        for r in best:
+            o, fs = todo[r["slot"]], [feats[r["slot"]][r[p]] for p in ("i", "j")]
+            picks = [grid(o, f)[r[b]] for f, b in zip(fs, ("bi", "bj"))]
+            clause = [(f, "LT" if s == "H" else "GE", c, t) for f, (c, t), s in zip(fs, picks, r["region"])]
+            clauses.setdefault(r["slot"], []).append((round(r["score"], 12), clause))
+        rows_out, kept = [], {}
+        for slot, cl in clauses.items():
+            cl.sort(key=lambda e: (-e[0], e[1]))
+            top = [c for _, c in cl[:40]]
+            pairs = clause_pairs(len(top), [frozenset(l[0] for l in c) for c in top], cfg.cnf_candidates)
             if pairs:
-                lut_rows.append((o.node.tree_id, o.node.node_id, feats, tables, pairs))
-        if not lut_rows:
+                kept[slot] = (top, pairs)
+                rows_out.append((slot, [[(f, op == "GE", c) for f, op, c, _ in clause] for clause in top], [list(p) for p in pairs]))
+        if not rows_out:
             return
-        info = spark.createDataFrame(lut_rows, "tree_id int, node_id bigint, feats array<int>, lut array<array<int>>, tuples array<array<int>>")
-        bins = rows.join(F.broadcast(info), KEYS).withColumn(
-            "b", F.transform("feats", lambda f, i: F.get(F.get(F.col("lut"), i), F.get(F.col("c"), f).cast("int")).cast("smallint")))
-        packed = bins.groupBy(*KEYS, "b").agg(*self._signed()).persist()
-        try:
-            entry = F.transform("tuples", lambda t: F.struct(
-                *[F.get(F.col("feats"), F.get(t, F.lit(i))).alias(n) for i, n in enumerate(("fi", "fj"))],
-                *[F.get(F.col("b"), F.get(t, F.lit(i))).cast("int").alias(n) for i, n in enumerate(("bi", "bj"))]))
-            long = packed.join(F.broadcast(info.select(*KEYS, "feats", "tuples")), KEYS).select(*KEYS, "pos", "neg", F.inline(entry))
-            cells = long.groupBy(*KEYS, "fi", "fj", "bi", "bj").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-            scored = score_counts(region_counts(cells, [*KEYS, "fi", "fj"], ["bi", "bj"]).filter(F.col("region") != "X"), 1, cfg.min_samples_leaf)
-            per_pair = W.partitionBy(*KEYS, "fi", "fj").orderBy(F.desc(F.round("score", 12)), "bi", "bj", "region")
-            best = scored.withColumn("rk", F.row_number().over(per_pair)).filter("rk <= 4").select(*KEYS, "fi", "fj", "bi", "bj", "region", "score").collect()
-            clauses: dict[tuple, list] = {}
-            for r in best:
-                key = (r["tree_id"], r["node_id"])
-                g = coarse[key]
-                picks = [g[r["fi"]][r["bi"]], g[r["fj"]][r["bj"]]]
-                clause = [(f, "LT" if s == "H" else "GE", c, t) for f, (c, t), s in zip((r["fi"], r["fj"]), picks, r["region"])]
-                clauses.setdefault(key, []).append((round(r["score"], 12), clause))
-            rows_out, kept = [], {}
-            for key, cl in clauses.items():
-                cl.sort(key=lambda e: (-e[0], e[1]))
-                top = [c for _, c in cl[:40]]
-                pairs = clause_pairs(len(top), [frozenset(l[0] for l in c) for c in top], cfg.cnf_candidates)
-                if not pairs:
-                    continue
-                kept[key] = (top, pairs)
-                feats = sorted(o for o in coarse[key])
-                pos = {f: i for i, f in enumerate(feats)}
-                rank = {f: [c for c, _ in coarse[key][f]] for f in feats}
-                # a literal on coarse bins: bin >= k or bin < k
-                packed_clauses = [[(pos[f], op == "GE", rank[f].index(c) + 1) for f, op, c, _ in clause] for clause in top]
-                rows_out.append((*key, packed_clauses, [list(p) for p in pairs]))
-            if not rows_out:
-                return
-            table = F.broadcast(spark.createDataFrame(
-                rows_out, "tree_id int, node_id bigint, cl array<array<struct<i:int,ge:boolean,k:int>>>, pairs array<array<int>>"))  # <= 40 clauses per node
-            true_clause = lambda c: F.exists(c, lambda l: (F.get(F.col("b"), l.i) >= l.k) == l.ge)
-            masks = packed.join(table, KEYS).withColumn(
-                "m", F.aggregate("cl", F.lit(0).cast("bigint"), lambda acc, c: acc * 2 + true_clause(c).cast("bigint")))
-            masks = masks.withColumn("k", F.size("cl")).groupBy(*KEYS, "m", "k").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-            bit = lambda i: F.pmod(F.floor(F.col("m") / F.pow(F.lit(2.0), F.col("k") - 1 - i)), F.lit(2)) == 1
-            hits = masks.join(table.select(*KEYS, "pairs"), KEYS).select(
-                *KEYS, "m", "k", "pos", "neg", F.posexplode("pairs").alias("p", "pair")).withColumn(
-                "hit", bit(F.get(F.col("pair"), F.lit(0))) & bit(F.get(F.col("pair"), F.lit(1))))
-            on = lambda c: F.sum(F.when(F.col("hit"), F.col(c)).otherwise(F.lit(0.0)))
-            counts = hits.groupBy(*KEYS, "p").agg(on("pos").alias("ip"), on("neg").alias("ineg"), F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
-            for r in best_per(score_counts(counts, 2, cfg.min_samples_leaf), KEYS, ["p"]).collect():
-                key = (r["tree_id"], r["node_id"])
-                top, pairs = kept[key]
-                pick = [top[i] for i in pairs[r["p"]]]
-                rule = Rule("cnf", tuple(tuple(Literal(f, op, t) for f, op, _, t in c) for c in pick), SQUARE2CNF, r["score"]).check()
-                code = Rule("cnf", tuple(tuple(Literal(f, op, c) for f, op, c, _ in cl) for cl in pick), SQUARE2CNF)
-                index[key].candidates.append(Candidate(r["score"], r["gain"], rule, code, r["ip"], r["ineg"]))
-        finally:
-            packed.unpersist()
+        table = F.broadcast(spark.createDataFrame(
+            rows_out, "slot int, cl array<array<struct<i:int,ge:boolean,k:int>>>, pairs array<array<int>>"))  # <= 40 clauses per node
+        true_clause = lambda c: F.exists(c, lambda l: (F.get(F.col("c"), l.i) >= l.k) == l.ge)
+        masks = rows.join(table, "slot").select("slot", "y", "w", F.size("cl").alias("k"), F.aggregate(
+            "cl", F.lit(0).cast("bigint"), lambda acc, c: acc * 2 + true_clause(c).cast("bigint")).alias("m"))
+        masks = masks.groupBy("slot", "m", "k").agg(*self._signed())
+        bit = lambda i: F.pmod(F.floor(F.col("m") / F.pow(F.lit(2.0), F.col("k") - 1 - i)), F.lit(2)) == 1
+        hits = masks.join(table.select("slot", "pairs"), "slot").select(
+            "slot", "m", "k", "pos", "neg", F.posexplode("pairs").alias("p", "pair")).withColumn(
+            "hit", bit(F.get(F.col("pair"), F.lit(0))) & bit(F.get(F.col("pair"), F.lit(1))))
+        on = lambda c: F.sum(F.when(F.col("hit"), F.col(c)).otherwise(F.lit(0.0)))
+        counts = hits.groupBy("slot", "p").agg(on("pos").alias("ip"), on("neg").alias("ineg"), F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
+        for r in best_per(score_counts(counts, 2, cfg.min_samples_leaf), ["slot"], ["p"]).collect():
+            top, pairs = kept[r["slot"]]
+            pick = [top[i] for i in pairs[r["p"]]]
+            rule = Rule("cnf", tuple(tuple(Literal(f, op, t) for f, op, _, t in c) for c in pick), SQUARE2CNF, r["score"]).check()
+            code = Rule("cnf", tuple(tuple(Literal(f, op, c) for f, op, c, _ in cl) for cl in pick), SQUARE2CNF)
+            todo[r["slot"]].candidates.append(Candidate(r["score"], r["gain"], rule, code, r["ip"], r["ineg"]))
 
     # -- look-ahead ---------------------------------------------------------------------------
 
@@ -452,22 +462,20 @@ class Grower:
         cols = [F.col("c")[i] for i in range(self.d)]
         if cfg.allow_compare:
             cols = [_Dual(c, F.col(f)) for c, f in zip(cols, self.enc.features)]
-        for o in todo:
-            if not o.candidates:
-                continue
-            top = sorted(o.candidates, key=Candidate.order)[: cfg.look_ahead_top]
-            key = (o.node.tree_id, o.node.node_id)
-            picked[key] = (o, top)
-            truths = F.array(*[_code_truth(c.code_rule, cols) for c in top])
-            expr = F.when((F.col("tree_id") == key[0]) & (F.col("node_id") == key[1]), truths).otherwise(expr)
+        for slot, o in enumerate(todo):
+            if o.candidates:
+                picked[slot] = sorted(o.candidates, key=Candidate.order)[: cfg.look_ahead_top]
+                truths = F.array(*[_code_truth(c.code_rule, cols) for c in picked[slot]])
+                expr = F.when(F.col("slot") == slot, truths).otherwise(expr)
         if not picked:
             return
-        info = self._tuples([o for o, _ in picked.values()], 2).select(*KEYS, "feats", "lut")
-        sides = rows.withColumn("__t", expr).filter("__t is not null").join(F.broadcast(info), KEYS)
-        sides = sides.select(*KEYS, "y", "w", "c", "feats", "lut", F.posexplode("__t").alias("cand", "side"))
+        own, _ = self._bin_tables(todo, [sorted(o.ranked[: cfg.top_k]) for o in todo], self._grid(1))
+        info = F.broadcast(self.spark.createDataFrame(own, "slot int, feats array<int>, lut array<array<int>>"))  # open nodes
+        sides = rows.withColumn("__t", expr).filter("__t is not null").join(info, "slot")
+        sides = sides.select("slot", "y", "w", "c", "feats", "lut", F.posexplode("__t").alias("cand", "side"))
         entry = F.transform("feats", lambda f, i: F.struct(f.alias("f"), F.get(F.get(F.col("lut"), i), F.get(F.col("c"), f).cast("int")).alias("bin")))
-        cells = sides.select(*KEYS, "y", "w", "cand", "side", F.inline(entry)).groupBy(*KEYS, "cand", "side", "f", "bin").agg(*self._signed())
-        part = [*KEYS, "cand", "side", "f"]
+        part = ["slot", "cand", "side", "f"]
+        cells = sides.select("slot", "y", "w", "cand", "side", F.inline(entry)).groupBy(*part, "bin").agg(*self._signed())
         run = W.partitionBy(*part).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
         full = W.partitionBy(*part)
         cum = cells.select(*part, F.sum("pos").over(run).alias("cp"), F.sum("neg").over(run).alias("cn"),
@@ -475,14 +483,14 @@ class Grower:
         left, n = F.col("cp") + F.col("cn"), F.col("tp") + F.col("tn")
         g = information_gain(F.col("tp"), F.col("tn"), F.col("cp"), F.col("cn"))
         ok = (left >= cfg.min_samples_leaf) & (n - left >= cfg.min_samples_leaf)
-        best = cum.groupBy(*KEYS, "cand", "side").agg(F.greatest(F.max(F.when(ok, g)), F.lit(0.0)).alias("g"), F.max(n).alias("n")).collect()
+        best = cum.groupBy("slot", "cand", "side").agg(F.greatest(F.max(F.when(ok, g)), F.lit(0.0)).alias("g"), F.max(n).alias("n")).collect()
         bonus: dict[tuple, float] = {}
         for r in best:
-            key = (r["tree_id"], r["node_id"])
-            bonus[(key, r["cand"])] = bonus.get((key, r["cand"]), 0.0) + (r["g"] or 0.0) * r["n"] / picked[key][0].node.n
-        for key, (o, top) in picked.items():
-            ranked = sorted(enumerate(top), key=lambda e: (-round(e[1].score + cfg.look_ahead_gamma * bonus.get((key, e[0]), 0.0), 12), e[0]))
-            o.candidates = [c for _, c in ranked]
+            share = (r["g"] or 0.0) * r["n"] / todo[r["slot"]].node.n
+            bonus[(r["slot"], r["cand"])] = bonus.get((r["slot"], r["cand"]), 0.0) + share
+        for slot, top in picked.items():
+            ranked = sorted(enumerate(top), key=lambda e: (-round(e[1].score + cfg.look_ahead_gamma * bonus.get((slot, e[0]), 0.0), 12), e[0]))
+            todo[slot].candidates = [c for _, c in ranked]
 
     def _interactions(self) -> list[tuple[int, int]]:
         """Pairs whose joint median split says more than either single one."""
@@ -499,6 +507,15 @@ class Grower:
         return [(int(r["fi"][1:]), int(r["fj"][1:])) for r in found]
 
 
+def _unpack(df: DataFrame, cell: str, parts: list[tuple[str, int | None]]) -> DataFrame:
+    """Split a mixed-radix cell number; parts are listed from the last digit up."""
+    rest, cols = F.col(cell), {}
+    for name, size in parts:
+        cols[name] = (rest if size is None else F.pmod(rest, F.lit(size))).cast("int")
+        rest = rest if size is None else F.call_function("div", rest, F.lit(size))
+    return df.withColumns(cols).drop(cell)
+
+
 class _Dual:
     """Code and raw value of one feature: thresholds test codes, column pairs raw values."""
 
