@@ -1,7 +1,7 @@
 """Splits and samples from reproducible draws.
 
-Sizes are exact where the definition asks for exact sizes: ranks come from
-``rank_by_hash``, which never ranks a whole class in one task.
+Sizes are exact where the definition asks for exact sizes; neither a split nor a rank
+ever sorts a whole class in one task (see ``scan``).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rulespire.functions.hashing import poisson_weight, unit_hash
-from rulespire.operators.scan import rank_by_hash
+from rulespire.operators.scan import rank_by_hash, smallest_by_hash
 
 
 def draw(df: DataFrame, row_key: str, seed: int, purpose: str, out: str = "u") -> DataFrame:
@@ -21,25 +21,24 @@ def stratified_split(df: DataFrame, strata: list[str], row_key: str, fraction: f
     """``runs`` shuffle splits with round(fraction * n) test rows per stratum."""
     rows = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))) if runs > 1 else df.withColumn("run", F.lit(0))
     rows = rows.withColumn("u", unit_hash(seed, purpose, F.col("run"), F.col(row_key)))
-    ranked = rank_by_hash(rows, ["run", *strata], "u", [row_key], out="rk_in_stratum", total="n_in_stratum")
-    size = F.floor(F.lit(fraction) * F.col("n_in_stratum") + 0.5)
-    return ranked.withColumn("is_test", F.col("rk_in_stratum") <= size).drop("rk_in_stratum", "n_in_stratum", "u")
+    size = lambda n: F.floor(F.lit(fraction) * n + 0.5)
+    return smallest_by_hash(rows, ["run", *strata], "u", [row_key], size, "is_test").drop("u")
 
 
 def guarded_split(df: DataFrame, strata: list[str], row_key: str, fraction: float, seed: int) -> DataFrame:
     """Class-aware split: 1 <= test <= n - 1 per class; a lone row trains."""
     rows = draw(df, row_key, seed, "guarded")
-    ranked = rank_by_hash(rows, strata, "u", [row_key], out="r", total="n")
-    wanted = F.floor(F.lit(fraction) * F.col("n") + 0.5)
-    size = F.when(F.col("n") == 1, 0).otherwise(F.least(F.greatest(wanted, F.lit(1)), F.col("n") - 1))
-    return ranked.withColumn("is_test", F.col("r") <= size).drop("r", "n", "u")
+    def size(n):
+        wanted = F.floor(F.lit(fraction) * n + 0.5)
+        return F.when(n == 1, 0).otherwise(F.least(F.greatest(wanted, F.lit(1)), n - 1))
+    return smallest_by_hash(rows, strata, "u", [row_key], size, "is_test").drop("u")
 
 
 def permutation_split(df: DataFrame, row_key: str, train: float, seed: int) -> DataFrame:
     """Plain shuffle: the first floor(train * n) rows of a permutation train."""
     rows = draw(df, row_key, seed, "perm").withColumn("__all", F.lit(0))
-    ranked = rank_by_hash(rows, ["__all"], "u", [row_key], out="r", total="n")
-    return ranked.withColumn("is_test", F.col("r") > F.floor(F.lit(train) * F.col("n"))).drop("r", "n", "u", "__all")
+    trained = smallest_by_hash(rows, ["__all"], "u", [row_key], lambda n: F.floor(F.lit(train) * n), "__train")
+    return trained.withColumn("is_test", ~F.col("__train")).drop("__train", "u", "__all")
 
 
 def hold_out(df: DataFrame, row_key: str, fraction: float, seed: int, purpose: str, out: str = "held_out") -> DataFrame:

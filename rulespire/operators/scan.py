@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-RANK_BUCKETS = 4096
+RANK_BUCKETS = 65536
 VALUE_BUCKETS = 256
 MAX_SPLITTER_GROUPS = 20_000
 
@@ -42,10 +42,27 @@ def rank_by_hash(
     return ranked.drop("__b", "__r", "__off", "__tot")
 
 
-def smallest_by_hash(df: DataFrame, keys: list[str], u: str, tie: list[str], take: Column, flag: str = "taken") -> DataFrame:
-    """Flag the ``take`` rows of each group with the smallest draws (``take`` may use ``__tot``)."""
-    ranked = rank_by_hash(df, keys, u, tie, out="__rank", total="__tot")
-    return ranked.withColumn(flag, F.col("__rank") <= take).drop("__rank", "__tot")
+def smallest_by_hash(df: DataFrame, keys: list[str], u: str, tie: list[str], take, flag: str = "taken") -> DataFrame:
+    """Flag the ``take(n)`` rows of each group with the smallest draws; n is the group size.
+
+    Bucket totals tell in which bucket the last taken row lies. Rows of all other buckets
+    are decided by their bucket number alone; only that one bucket (1/65536 of a group) is
+    ranked, so the rows themselves are neither shuffled nor sorted.
+    """
+    b = df.withColumn("__b", F.floor(F.col(u) * RANK_BUCKETS).cast("int"))
+    totals = b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    order = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
+    size = F.sum("__n").over(W.partitionBy(*keys))
+    run = totals.select(*keys, "__b", "__n", F.sum("__n").over(order).alias("__cum"), take(size).alias("__take"))
+    # last bucket that starts before the quota is full, and what is left for it
+    edge = run.filter(F.col("__cum") - F.col("__n") < F.col("__take")).groupBy(*keys).agg(
+        F.max("__b").alias("__edge"), F.max_by(F.col("__take") - F.col("__cum") + F.col("__n"), "__b").alias("__left"))
+    placed = b.join(edge, keys, "left")
+    far = placed.filter(F.col("__edge").isNull() | (F.col("__b") != F.col("__edge"))).withColumn(
+        flag, F.coalesce(F.col("__b") < F.col("__edge"), F.lit(False)))
+    near = placed.filter(F.col("__b") == F.col("__edge")).withColumn(
+        flag, F.row_number().over(W.partitionBy(*keys).orderBy(u, *tie)) <= F.col("__left"))
+    return far.unionByName(near).drop("__b", "__edge", "__left")
 
 
 def splitters(df: DataFrame, keys: list[str], value: str, buckets: int = VALUE_BUCKETS) -> dict[tuple, list[float]]:

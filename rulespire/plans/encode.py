@@ -59,7 +59,7 @@ def _dictionaries(df: DataFrame, features: list[str], max_codes: int) -> dict[st
 def _quantile_cuts(df: DataFrame, features: list[str], max_codes: int) -> dict[str, list[float]]:
     probs = [i / max_codes for i in range(1, max_codes)]
     row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), probs, 10 * max_codes).alias(f) for f in features]).first()
-    return {f: sorted(set(row[f])) for f in features}
+    return {f: sorted({v + 0.0 for v in row[f]}) for f in features}
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -71,9 +71,11 @@ def spread(df: DataFrame) -> DataFrame:
 def encode(df: DataFrame, label: str, features: list[str], max_codes: int = 1024, weight: str | None = None,
            keep: list[str] = (), collapse: bool = True, row_key: str | None = None) -> Encoded:
     """Learn the codes in at most three passes and add them to the rows."""
-    df = df.select(*dict.fromkeys([*keep, *([row_key] if row_key else [])]), F.col(label).cast("int").alias("y"),
+    kept = list(dict.fromkeys([*keep, *([row_key] if row_key else [])]))
+    df = df.select(*[k for k in kept if k not in features], F.col(label).cast("int").alias("y"),
                    (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
-                   *[F.col(f).cast("double").alias(f) for f in features])
+                   # + 0.0: a negative zero must get the code of zero, as x >= 0 is true for it
+                   *[(F.col(f).cast("double") + F.lit(0.0)).alias(f) for f in features])
     words = _dictionaries(df, features, max_codes)
     rest = [f for f in features if f not in words]
     cells = _quantile_cuts(df, rest, max_codes) if rest else {}
@@ -94,7 +96,6 @@ def encode(df: DataFrame, label: str, features: list[str], max_codes: int = 1024
             splitsArray=[[-inf, *c, inf] for c in cuts if c], inputCols=coded, outputCols=[f"__code_{f}" for f in coded],
         ).transform(df)
     arr = F.array(*[(F.col(f"__code_{f}") if c else F.lit(0)).cast("smallint") for f, c in zip(features, cuts)])
-    kept = [*dict.fromkeys([*keep, *([row_key] if row_key else [])])]
     out = out.select(*kept, "y", "w", arr.alias("c"))
     n_rows, collapsed = None, False
     if collapse and not kept:
