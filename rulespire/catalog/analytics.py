@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from rulespire.catalog.base import line_cte, line_rows, line_wide, load, query, rounded, rsql
-from rulespire.catalog.profiling import scratch
+from rulespire.session import scratch_dir as scratch
 from rulespire.config import FitConfig
 from rulespire.operators import results as A
 from rulespire.plans.grid import learning_curve, run_grid

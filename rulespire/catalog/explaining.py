@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulespire.catalog.base import line_cte, line_rows, line_wide, load, query, rounded, rsql
-from rulespire.catalog.profiling import scratch
+from rulespire.session import scratch_dir as scratch
 from rulespire.catalog.trees import LEAF_SQL, LITS_SQL, NODES_SQL, PROBA_SQL, RULE_ROWS_SQL, THR_SQL, fixed_model, rule_rows, supplier_nodes, supplier_rules
 from rulespire.functions.hashing import unit_hash
 from rulespire.functions.rules import HORN, rule_problem

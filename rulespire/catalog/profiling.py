@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from rulespire.catalog.base import LINE_KEY_SQL, line_cte, line_rows, line_wide, load, longs, query, rounded, rsql
 from rulespire.operators import profile as P
+from rulespire.session import scratch_dir as scratch
 from rulespire.sources.label_text import read_label_text, restrict
 from rulespire.sources.registry import config_key, restore_join
 from rulespire.sources.sinks import load_model, save_model, union_of
@@ -25,16 +24,6 @@ def event_bits(spark, sf):
         (F.col("user_id") % 2).cast("int").alias("b2"), (F.col("user_id") % 7 == 0).cast("int").alias("b3"))
 
 
-def scratch(spark, name: str) -> str:
-    """Folder for round trips: below the cluster's shared folder, else a local new one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"rulespire-{name}-")
-    import uuid
-
-    return f"{shared}/rulespire-{name}-{uuid.uuid4().hex}"
-
-
 def event_text(spark, sf) -> str:
     """The event bits written as label-first text, one folder per task file."""
     path = scratch(spark, "text")
@@ -195,7 +184,7 @@ def reg3(spark, sf):
 
 @query("reg4_list_newest", f"WITH {RUNS_SQL} SELECT run_id, experiment_id, method FROM r ORDER BY created_at DESC, run_id LIMIT 50")
 def reg4(spark, sf):
-    # the reference's listing page shows the newest entries
+    # a listing of the newest entries: the limit is the report
     return runs(spark, sf).orderBy(F.desc("created_at"), "run_id").limit(50).select("run_id", "experiment_id", "method")
 
 

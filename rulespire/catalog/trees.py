@@ -455,7 +455,7 @@ def pru2(spark, sf):
 
 @query("snk4_model_round_trip", f"WITH {line_cte()} SELECT {PROBA_SQL} AS proba, count(*) AS n, sum(y)::BIGINT AS n_pos FROM s GROUP BY 1")
 def snk4(spark, sf):
-    from rulespire.catalog.profiling import scratch
+    from rulespire.session import scratch_dir as scratch
 
     path = scratch(spark, "model")
     save_model(spark, fixed_model(), path)

@@ -11,6 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulespire.functions.rules import negated
 
 
+# Backend labels of explanation metadata.
+AFFINE_BACKEND = "affine"
+HORN_BACKEND = "structural_horn"
+ANTIHORN_BACKEND = "structural_antihorn"
+TWO_SAT_BACKEND = "two_sat"
+INTERVAL_BACKEND = "interval_dfs_fallback"
+CASE_SPLIT_BACKEND = "prototype_case_split"
+
+
 def threshold_key(t: Column) -> Column:
     """Thresholds are the same when equal to 10 decimals."""
     return F.round(t, 10)
@@ -90,9 +99,9 @@ def backend_labels(steps: DataFrame) -> DataFrame:
     d = fam.join(certificate(steps), ["tree_id", "leaf_id"])
     c = F.col("certificate")
     backend = (
-        F.when(F.col("all_xor"), "affine").when(F.col("all_horn"), "structural_horn").when(F.col("all_anti"), "structural_antihorn")
-        .when(F.col("has_xor"), "interval_dfs_fallback").when(c == "horn", "structural_horn").when(c == "antihorn", "structural_antihorn")
-        .when(c == "2cnf", "two_sat").when(F.col("has_cnf"), "prototype_case_split").otherwise("interval_dfs_fallback"))
+        F.when(F.col("all_xor"), AFFINE_BACKEND).when(F.col("all_horn"), HORN_BACKEND).when(F.col("all_anti"), ANTIHORN_BACKEND)
+        .when(F.col("has_xor"), INTERVAL_BACKEND).when(c == "horn", HORN_BACKEND).when(c == "antihorn", ANTIHORN_BACKEND)
+        .when(c == "2cnf", TWO_SAT_BACKEND).when(F.col("has_cnf"), CASE_SPLIT_BACKEND).otherwise(INTERVAL_BACKEND))
     reason = (
         F.when(F.col("all_xor"), "affine paths are auxiliary").when(F.col("has_xor"), "mixed affine path")
         .when(c == "none", "clauses are neither horn, antihorn nor 2cnf").otherwise(""))

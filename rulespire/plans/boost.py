@@ -2,8 +2,8 @@
 
 The running score F of a row is init + sum of stump values, an expression over its
 codes. It is written to the shared checkpoint folder every ``refresh`` rounds so that
-the expression stays short. One job per round: it counts residuals per (feature, code)
-and, as two more groups, the losses of the score so far.
+the expression stays short. One pass over the rows per round: it adds up residuals per
+(feature, code) and, as two more cells, the losses of the score so far.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def fit_boosting(df: DataFrame, label: str, features: list[str], row_key: str, n
     p0 = min(max(pos, 1e-7), 1 - 1e-7)
     model = BoostModel(list(features), math.log(p0 / (1 - p0)))
     rows, pending = base.withColumn("F", F.lit(model.init)), []
-    values = F.broadcast(enc.value_table())  # features x max_codes numbers
+    width = max(enc.codes(f) for f in range(d))
     best, waited, best_round, rate = float("inf"), 0, None, learning_rate
     n_cols = max(1, int(d * colsample))
     try:
@@ -109,14 +109,17 @@ def fit_boosting(df: DataFrame, label: str, features: list[str], row_key: str, n
             cols = _column_draw(spark, d, n_cols, seed, i)
             prob = sigmoid(score)
             resid = (F.col("y") - prob) / (1 + l2)
-            scored = rows.select("y", "c", "val", F.col(row_key).alias("__k"), resid.alias("r"), log_loss(F.col("y"), prob).alias("loss"))
-            taken = ~F.col("val") & (unit_hash(seed, "row", i, F.col("__k")) < subsample) if subsample < 1 else ~F.col("val")
-            empty = F.lit(None).cast("array<struct<f:int,code:int,r:double,n:int>>")
-            parts = F.array(*[F.struct(F.lit(f).alias("f"), F.col("c")[f].cast("int").alias("code"), F.col("r"), F.lit(1).alias("n")) for f in cols])
-            loss = F.array(F.struct(F.lit(-1).alias("f"), F.col("val").cast("int").alias("code"), F.col("loss").alias("r"), F.lit(1).alias("n")))
-            entry = F.concat(loss, F.coalesce(F.when(taken, parts), F.filter(parts, lambda _: F.lit(False))))
-            counts = scored.select(F.inline(entry)).groupBy("f", "code").agg(F.sum("r").alias("r"), F.sum("n").alias("n")).persist()
-            losses = {r["code"]: r["r"] / r["n"] for r in counts.filter("f = -1").collect()}
+            taken = ~F.col("val")
+            if subsample < 1:
+                taken = taken & (unit_hash(seed, "row", i, F.col(row_key)) < subsample)
+            scored = rows.select("c", "val", resid.alias("r"), log_loss(F.col("y"), prob).alias("loss"), taken.alias("taken"))
+            # codes of the drawn columns (NULL outside of the subsample), then the validation flag for the losses
+            codes = F.array(*[F.when(F.col("taken"), F.col("c")[f].cast("int")) for f in cols], F.col("val").cast("int"))
+            long = scored.select("r", "loss", F.posexplode(codes).alias("p", "code")).filter("code is not null")
+            counts = long.groupBy((F.col("p") * width + F.col("code")).alias("cell")).agg(
+                F.sum("r").alias("r"), F.sum("loss").alias("loss"), F.count(F.lit(1)).alias("n")).persist()
+            first_loss = len(cols) * width
+            losses = {r["cell"] - first_loss: r["loss"] / r["n"] for r in counts.filter(F.col("cell") >= first_loss).collect()}
             if i > 0:
                 model.train_losses.append(losses[0])
                 v = losses.get(1)
@@ -132,7 +135,10 @@ def fit_boosting(df: DataFrame, label: str, features: list[str], row_key: str, n
             if i == n_rounds:
                 counts.unpersist()
                 break
-            cuts = stump_scan(counts.filter("f >= 0").withColumnRenamed("f", "feature"), ["feature"], "code", min_leaf)
+            per_code = counts.filter(F.col("cell") < first_loss).select(
+                F.get(F.array(*[F.lit(f) for f in cols]), F.call_function("div", F.col("cell"), F.lit(width)).cast("int")).alias("feature"),
+                F.pmod("cell", F.lit(width)).alias("code"), "r", "n")
+            cuts = stump_scan(per_code, ["feature"], "code", min_leaf)
             top = cuts.orderBy(F.desc(F.round("reduction", 9)), "feature", "code").limit(1)
             pick = top.collect()
             counts.unpersist()
