@@ -300,7 +300,7 @@ def _prefix_sql(axes):
 def _prefix(spark, sf, axes):
     cells = H.densify(H.class_counts(bins3(spark, sf), ["rf", *axes]), ["rf"], axes)
     tag = "x" * len(axes)
-    return H.cumulate(cells, ["rf"], axes).select("rf", *axes, F.col(f"p_{tag}").alias("pos"), F.col(f"n_{tag}").alias("neg"))
+    return H.cumulate(cells, ["rf"], axes, placed=True).select("rf", *axes, F.col(f"p_{tag}").alias("pos"), F.col(f"n_{tag}").alias("neg"))
 
 
 @query("hst4_prefix_1d", _prefix_sql(["bi"]))

@@ -19,36 +19,43 @@ def class_counts(df: DataFrame, by: list[str], y: str = "y", w: str | None = Non
     )
 
 
-def densify(cells: DataFrame, keys: list[str], axes: list[str], sizes: list[Column | int] | None = None) -> DataFrame:
+def densify(cells: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
     """Add empty cells so that every tuple has its full grid.
 
-    The grid rows are generated per tuple and merged by one aggregation - no join.
+    One cell of each tuple also emits the zero cells of the whole grid, which one
+    aggregation merges. The input is read once and shuffled once, by tuple; everything
+    after it, including ``cumulate``, stays in that placement.
     """
-    if sizes is None:
-        span = cells.groupBy(*keys).agg(*[F.max(a).alias(f"__m_{a}") for a in axes])
-        sizes = [F.col(f"__m_{a}") + 1 for a in axes]
-    else:
-        span = cells.select(*keys).distinct()
-        sizes = [s if isinstance(s, Column) else F.lit(s) for s in sizes]
-    grid = span
-    for a, s in zip(axes, sizes):
-        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), (s - 1).cast("int"))))
-    empty = grid.select(*keys, *axes, F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"))
-    return (
-        cells.select(*keys, *axes, "pos", "neg").unionByName(empty)
-        .groupBy(*keys, *axes).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
+    placed = cells.select(*keys, *axes, "pos", "neg").repartition(*keys) if keys else cells.select(*axes, "pos", "neg").repartition(1)
+    whole = W.partitionBy(*keys)
+    out = placed.withColumns({
+        **{f"__n_{a}": F.max(a).over(whole) + 1 for a in axes},
+        "__first": F.row_number().over(whole.orderBy(*axes)) == 1,
+    })
+    own, size = F.lit(0), F.lit(1)
+    for a in axes:
+        own, size = own * F.col(f"__n_{a}") + F.col(a), size * F.col(f"__n_{a}")
+    spots = F.when(F.col("__first"), F.concat(F.array(own), F.sequence(F.lit(0), size - 1))).otherwise(F.array(own))
+    sizes = [f"__n_{a}" for a in axes]
+    out = out.select(*keys, *sizes, "pos", "neg", F.posexplode(spots).alias("__i", "__at"))
+    real = lambda c: F.sum(F.when(F.col("__i") == 0, F.col(c)).otherwise(F.lit(0.0))).alias(c)
+    out = out.groupBy(*keys, *sizes, "__at").agg(real("pos"), real("neg"))
+    rest = F.col("__at")
+    for a in reversed(axes):
+        out = out.withColumn(a, F.pmod(rest, F.col(f"__n_{a}")).cast("int"))
+        rest = F.call_function("div", rest, F.col(f"__n_{a}"))
+    return out.select(*keys, *axes, "pos", "neg")
 
 
-def cumulate(cells: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+def cumulate(cells: DataFrame, keys: list[str], axes: list[str], placed: bool = False) -> DataFrame:
     """Prefix counts along every axis, with all margins.
 
     For each axis a running sum and a total are kept, so after k axes there is one
     column per subset of axes: ``c_xx`` runs on the axes marked x and totals those
     marked t. ``c_x..x`` is the full prefix, ``c_t..t`` the tuple total. Cells are
-    first placed by tuple, so the sorts of all axes share one exchange.
+    first placed by tuple (``placed``: they already are), so all axes share one exchange.
     """
-    out = cells.repartition(*keys) if keys else cells
+    out = cells.repartition(*keys) if keys and not placed else cells
     names = {"": ("pos", "neg")}
     for a in reversed(axes):
         part = [*keys, *[o for o in axes if o != a]]

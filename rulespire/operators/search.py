@@ -45,7 +45,7 @@ def region_counts(cells: DataFrame, keys: list[str], axes: list[str], step: int
     Axis value b stands for the cut between bin b and bin b + 1. ``step`` > 1 keeps every
     step-th cut of each axis.
     """
-    cum = cumulate(densify(cells, keys, axes), keys, axes)
+    cum = cumulate(densify(cells, keys, axes), keys, axes, placed=True)
     whole = W.partitionBy(*keys)
     for a in axes:
         cum = cum.withColumn(f"__top_{a}", F.max(a).over(whole))
@@ -191,20 +191,21 @@ def compare_counts(df: DataFrame, pairs: list[tuple[str, str]], keys: list[str],
     return rule_counts(long, F.col("e.le"), [*keys, "e.fi", "e.fj"], y)
 
 
-def interaction_scan(bits: DataFrame, features: list[str], y: str = "y", top: int = 50) -> DataFrame:
+def interaction_scan(bits: DataFrame, features: list[str], y: str = "y", top: int = 50, w: str | None = None) -> DataFrame:
     """Joint gain of every pair of two-valued columns and its synergy over the better single.
 
     Rows with equal bits are added up first, so the pair explosion runs on distinct
     bit patterns.
     """
-    packed = bits.groupBy(*features, y).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    entry = F.array(*[
-        F.struct(F.lit(a).alias("fi"), F.lit(b).alias("fj"), F.col(a).alias("bi"), F.col(b).alias("bj")) for a, b in pairs
-    ])
-    long = packed.select(y, "w", F.explode(entry).alias("e"))
+    packed = bits.groupBy(*features, y).agg(F.sum(F.col(w) if w else F.lit(1.0)).alias("w"))
+    # two generators instead of one literal per pair keep the generated code small
+    first = packed.select(y, "w", F.array(*features).alias("b"), F.posexplode(F.array(*features)).alias("i", "bi"))
+    later = F.slice("b", F.col("i") + 2, F.greatest(F.size("b") - F.col("i") - 1, F.lit(0)))
+    long = first.select(y, "w", "i", "bi", F.posexplode(later).alias("p", "bj"))
     pos = F.when(F.col(y) == 1, F.col("w")).otherwise(F.lit(0.0))
-    cells = long.groupBy("e.fi", "e.fj", "e.bi", "e.bj").agg(F.sum(pos).alias("pos"), F.sum(F.col("w") - pos).alias("neg"))
+    name = lambda c: F.get(F.array(*[F.lit(f) for f in features]), c)
+    cells = long.groupBy("i", (F.col("i") + 1 + F.col("p")).alias("j"), "bi", "bj").agg(
+        F.sum(pos).alias("pos"), F.sum(F.col("w") - pos).alias("neg")).withColumns({"fi": name(F.col("i")), "fj": name(F.col("j"))})
     def left(cond, side):
         return F.sum(F.when(cond, F.col(side)).otherwise(F.lit(0.0)))
     n = F.sum(F.col("pos") + F.col("neg"))

@@ -18,12 +18,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rulespire.config import FitConfig
+from rulespire.functions.hashing import unit_hash
 from rulespire.functions.rules import AFFINE, ANTIHORN, ANY, BEST, CONJUI, FAMILY_RANK, HORN, SQUARE2CNF, Literal, Rule
 from rulespire.functions.scores import entropy, gain_ratio, information_gain, penalized_gain
 from rulespire.operators.binning import local_cuts
 from rulespire.operators.dense import best_regions
 from rulespire.operators.search import (
-    best_per, clause_pairs, forms, region_counts, regions_for, rule_of, score_counts, searched_families,
+    best_per, clause_pairs, forms, interaction_scan, region_counts, regions_for, rule_of, score_counts, searched_families,
 )
 from rulespire.plans.encode import Encoded, encode
 from rulespire.plans.model import Node, TreeModel
@@ -493,18 +494,30 @@ class Grower:
             todo[slot].candidates = [c for _, c in ranked]
 
     def _interactions(self) -> list[tuple[int, int]]:
-        """Pairs whose joint median split says more than either single one."""
-        from rulespire.operators.search import interaction_scan
-
-        bits = self.enc.df
-        mids = []
-        for f in range(self.d):
-            cum = bits.select(F.col("c")[f].alias("v")).agg(F.percentile_approx("v", 0.5, 10 * self.cfg.max_codes)).first()[0]
-            mids.append(cum)
-        names = [f"b{f}" for f in range(self.d)]
-        df = bits.select("y", *[(F.col("c")[f] >= m).cast("int").alias(n) for f, (m, n) in enumerate(zip(mids, names))])
-        found = interaction_scan(df, names).select("fi", "fj").collect()
-        return [(int(r["fi"][1:]), int(r["fj"][1:])) for r in found]
+        """Pairs whose joint median split says more than either single one.
+
+        Medians and single gains of all features come from one histogram; pairs are only
+        formed inside the candidate pool, so the work does not grow with d squared.
+        """
+        df, pos = self.enc.df, F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0.0))
+        hist = df.select("y", "w", F.posexplode("c").alias("f", "code")).groupBy("f", "code").agg(F.sum(pos).alias("pos"), F.sum(F.col("w") - pos).alias("neg"))
+        whole, n = W.partitionBy("f"), F.col("pos") + F.col("neg")
+        cum = hist.withColumns({"cum": F.sum(n).over(whole.orderBy("code").rowsBetween(W.unboundedPreceding, 0)), "tot": F.sum(n).over(whole)})
+        mid = F.min(F.when(F.col("cum") * 2 > F.col("tot"), F.col("code"))).over(whole)  # codes of one feature
+        halves = cum.withColumn("mid", mid).withColumn("hi", F.col("code") >= F.col("mid"))
+        side = lambda c: F.sum(F.when(F.col("hi"), F.col(c)).otherwise(F.lit(0.0)))
+        per = halves.groupBy("f", "mid").agg(side("pos").alias("ip"), side("neg").alias("ineg"), F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
+        gain = information_gain(F.col("tp"), F.col("tn"), F.col("ip"), F.col("ineg"))
+        u = unit_hash(self.cfg.seed, "extra", F.col("f"))
+        rows = per.select("f", "mid", F.round(gain, 12).alias("g"), u.alias("u")).collect()  # one row per feature
+        top = max(30, int(3 * self.d**0.5))
+        ranked = sorted(rows, key=lambda r: (-r["g"], r["f"]))
+        extra = sorted(ranked[top:], key=lambda r: (r["u"], r["f"]))[: max(10, top // 3)]
+        pool = sorted(ranked[:top] + extra, key=lambda r: r["f"])
+        names = [f"b{r['f']}" for r in pool]
+        bits = df.select("y", "w", *[(F.col("c")[r["f"]] >= r["mid"]).cast("int").alias(f"b{r['f']}") for r in pool])
+        found = interaction_scan(bits, names, w="w").select("fi", "fj").collect()
+        return [tuple(sorted((int(r["fi"][1:]), int(r["fj"][1:])))) for r in found]
 
 
 def _unpack(df: DataFrame, cell: str, parts: list[tuple[str, int | None]]) -> DataFrame:
