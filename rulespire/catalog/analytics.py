@@ -25,11 +25,11 @@ def _results_sql():
         f"SELECT supp, y, ln::INT % 3 AS run, '{m}' AS method, '{cat}' AS category, {d} AS depth, {nodes * d} AS nodes, {_PRED[d].format(c=c)} AS pred FROM s"
         for m, (c, cat, nodes) in METHODS.items() for d in (1, 2))
     return f"""{line_cte('cnf4')}, ce AS ({cells}), res AS (SELECT supp::VARCHAR AS dataset, method, category, depth, run, nodes::DOUBLE AS nodes,
-      CASE WHEN supp % 7 = 0 AND run = 2 THEN 'nan'::DOUBLE ELSE round(avg((pred::INT = y)::INT), 9) END AS accuracy, round(avg(CASE WHEN pred THEN 1 ELSE 2 END), 9) AS axp_len, count(*)::DOUBLE AS cost FROM ce GROUP BY supp, method, category, depth, run, nodes)"""
+      CASE WHEN supp % 7 = 0 AND run = 2 THEN 'nan'::DOUBLE ELSE avg((pred::INT = y)::INT) END AS accuracy, avg(CASE WHEN pred THEN 1 ELSE 2 END) AS axp_len, count(*)::DOUBLE AS cost FROM ce GROUP BY supp, method, category, depth, run, nodes)"""
 
 
 RES = _results_sql()
-CELL = f"{RES}, m AS (SELECT dataset, method, category, depth, avg(nodes) AS nodes, round(avg(CASE WHEN isnan(accuracy) THEN NULL ELSE accuracy END), 7) AS accuracy, round(avg(axp_len), 7) AS axp_len, avg(cost) AS cost FROM res GROUP BY 1, 2, 3, 4)"
+CELL = f"{RES}, m AS (SELECT dataset, method, category, depth, avg(nodes) AS nodes, round(avg(CASE WHEN isnan(accuracy) THEN NULL ELSE accuracy END), 12) AS accuracy, round(avg(axp_len), 12) AS axp_len, avg(cost) AS cost FROM res GROUP BY 1, 2, 3, 4)"
 
 
 def result_rows(spark, sf):
@@ -39,15 +39,15 @@ def result_rows(spark, sf):
         F.struct(F.lit(m).alias("method"), F.lit(cat).alias("category"), F.lit(d).alias("depth"), F.lit(float(nodes * d)).alias("nodes"), F.expr(_PRED[d].format(c=c)).alias("pred"))
         for m, (c, cat, nodes) in METHODS.items() for d in (1, 2)])
     long = df.select("supp", "y", (F.col("ln").cast("int") % 3).alias("run"), F.inline(entry))
-    acc = F.when((F.col("supp") % 7 == 0) & (F.col("run") == 2), F.lit(float("nan"))).otherwise(F.round(F.avg((F.col("pred").cast("int") == F.col("y")).cast("double")), 9))
-    g = long.groupBy("supp", "method", "category", "depth", "run", "nodes").agg(acc.alias("accuracy"), F.round(F.avg(F.when(F.col("pred"), 1.0).otherwise(2.0)), 9).alias("axp_len"), F.count(F.lit(1)).cast("double").alias("cost"))
+    acc = F.when((F.col("supp") % 7 == 0) & (F.col("run") == 2), F.lit(float("nan"))).otherwise(F.avg((F.col("pred").cast("int") == F.col("y")).cast("double")))
+    g = long.groupBy("supp", "method", "category", "depth", "run", "nodes").agg(acc.alias("accuracy"), F.avg(F.when(F.col("pred"), 1.0).otherwise(2.0)).alias("axp_len"), F.count(F.lit(1)).cast("double").alias("cost"))
     return g.withColumn("dataset", F.col("supp").cast("string")).drop("supp")
 
 
 def cell_rows(spark, sf):
     r = result_rows(spark, sf)
     return r.groupBy("dataset", "method", "category", "depth").agg(
-        F.avg("nodes").alias("nodes"), F.round(F.avg(A.nan_safe(F.col("accuracy"))), 7).alias("accuracy"), F.round(F.avg("axp_len"), 7).alias("axp_len"), F.avg("cost").alias("cost"))
+        F.avg("nodes").alias("nodes"), F.round(F.avg(A.nan_safe(F.col("accuracy"))), 12).alias("accuracy"), F.round(F.avg("axp_len"), 12).alias("axp_len"), F.avg("cost").alias("cost"))
 
 
 @query("ana1_run_grid")
@@ -80,17 +80,19 @@ def ana5(spark, sf):
 
 
 def _pareto_sql(cost):
-    return f"WITH {CELL} SELECT dataset, method, depth, {cost}, accuracy FROM m WHERE accuracy IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m o WHERE o.dataset = m.dataset AND ((o.accuracy > m.accuracy AND o.{cost} <= m.{cost}) OR (o.accuracy >= m.accuracy AND o.{cost} < m.{cost})))"
+    return f"WITH {CELL} SELECT dataset, method, depth, {rsql('m.' + cost)} AS {cost}, {rsql('m.accuracy')} AS accuracy FROM m WHERE accuracy IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m o WHERE o.dataset = m.dataset AND ((o.accuracy > m.accuracy AND o.{cost} <= m.{cost}) OR (o.accuracy >= m.accuracy AND o.{cost} < m.{cost})))"
 
 
 @query("ana6_pareto_size", _pareto_sql("nodes"))
 def ana6(spark, sf):
-    return A.pareto_front(cell_rows(spark, sf).filter("accuracy is not null"), ["dataset"], "accuracy", "nodes").select("dataset", "method", "depth", "nodes", "accuracy")
+    front = A.pareto_front(cell_rows(spark, sf).filter("accuracy is not null"), ["dataset"], "accuracy", "nodes")
+    return rounded(front.select("dataset", "method", "depth", "nodes", "accuracy"), "nodes", "accuracy")
 
 
 @query("ana6_pareto_axp", _pareto_sql("axp_len"))
 def ana6b(spark, sf):
-    return A.pareto_front(cell_rows(spark, sf).filter("accuracy is not null"), ["dataset"], "accuracy", "axp_len").select("dataset", "method", "depth", "axp_len", "accuracy")
+    front = A.pareto_front(cell_rows(spark, sf).filter("accuracy is not null"), ["dataset"], "accuracy", "axp_len")
+    return rounded(front.select("dataset", "method", "depth", "axp_len", "accuracy"), "axp_len", "accuracy")
 
 
 def _outcome(tol):
@@ -119,16 +121,16 @@ def diffs(spark, sf):
     return o.select("method", "depth", F.round("diff", 9).alias("diff"))
 
 
-@query("ana9_paired_t", f"WITH {DIFF_SQL} SELECT method, depth, count(diff) AS n, {rsql('avg(diff)')} AS mean_diff, {rsql('avg(diff) / (stddev_samp(diff) / sqrt(count(diff)))', 5)} AS t FROM df GROUP BY 1, 2")
+@query("ana9_paired_t", f"WITH {DIFF_SQL} SELECT method, depth, count(diff) AS n, {rsql('avg(diff)')} AS mean_diff, {rsql('avg(diff) / (stddev_samp(diff) / sqrt(count(diff)))', 4)} AS t FROM df GROUP BY 1, 2")
 def ana9(spark, sf):
-    return rounded(rounded(A.paired_t(diffs(spark, sf), ["method", "depth"], "diff"), "mean_diff"), "t", digits=5)
+    return rounded(rounded(A.paired_t(diffs(spark, sf), ["method", "depth"], "diff"), "mean_diff"), "t", digits=4)
 
 
 @query("ana10_signed_ranks", f"""WITH {DIFF_SQL}, nz AS (SELECT method, depth, diff, abs(diff) AS a FROM df WHERE diff <> 0), rk AS (SELECT *, rank() OVER (PARTITION BY method, depth ORDER BY a) + (count(*) OVER (PARTITION BY method, depth, a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY method, depth, a) AS ties FROM nz),
     w AS (SELECT method, depth, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS w_minus, sum(ties * ties - 1.0) AS tt FROM rk GROUP BY 1, 2)
-    SELECT method, depth, n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS w, {rsql('(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0)', 5)} AS z FROM w""")
+    SELECT method, depth, n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS w, {rsql('(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0)', 4)} AS z FROM w""")
 def ana10(spark, sf):
-    return rounded(A.signed_ranks(diffs(spark, sf), ["method", "depth"], "diff"), "z", digits=5)
+    return rounded(A.signed_ranks(diffs(spark, sf), ["method", "depth"], "diff"), "z", digits=4)
 
 
 @query("ana10_pairwise_ranks", f"""WITH {CELL}, pw AS (SELECT a.method AS method_a, b.method AS method_b, round(a.accuracy - b.accuracy, 9) AS diff FROM m a JOIN m b ON a.dataset = b.dataset AND a.depth = b.depth AND a.method < b.method), nz AS (SELECT *, abs(diff) AS a FROM pw WHERE diff <> 0),
@@ -166,10 +168,10 @@ def ana13(spark, sf):
     return A.best_per_metric(cell_rows(spark, sf), ["dataset", "depth"], ["accuracy"], ["nodes", "axp_len", "cost"])
 
 
-@query("ana14_normalized_profile", f"""WITH {CELL}, g AS (SELECT method, round(avg(accuracy), 9) AS accuracy, avg(nodes) AS nodes FROM m GROUP BY 1) SELECT method, {rsql('accuracy')} AS accuracy, nodes, {rsql('(accuracy - min(accuracy) OVER ()) / (max(accuracy) OVER () - min(accuracy) OVER ())')} AS accuracy_minmax, {rsql('accuracy / max(accuracy) OVER ()')} AS accuracy_ratio,
+@query("ana14_normalized_profile", f"""WITH {CELL}, g AS (SELECT method, round(avg(accuracy), 12) AS accuracy, avg(nodes) AS nodes FROM m GROUP BY 1) SELECT method, {rsql('accuracy')} AS accuracy, nodes, {rsql('(accuracy - min(accuracy) OVER ()) / (max(accuracy) OVER () - min(accuracy) OVER ())')} AS accuracy_minmax, {rsql('accuracy / max(accuracy) OVER ()')} AS accuracy_ratio,
     {rsql('(nodes - min(nodes) OVER ()) / (max(nodes) OVER () - min(nodes) OVER ())')} AS nodes_minmax, {rsql('nodes / max(nodes) OVER ()')} AS nodes_ratio FROM g""")
 def ana14(spark, sf):
-    g = cell_rows(spark, sf).groupBy("method").agg(F.round(F.avg("accuracy"), 9).alias("accuracy"), F.avg("nodes").alias("nodes"))
+    g = cell_rows(spark, sf).groupBy("method").agg(F.round(F.avg("accuracy"), 12).alias("accuracy"), F.avg("nodes").alias("nodes"))
     return rounded(A.normalized_profile(g, ["accuracy", "nodes"]), "accuracy", "accuracy_minmax", "accuracy_ratio", "nodes_minmax", "nodes_ratio")
 
 
@@ -215,7 +217,7 @@ def ana20(spark, sf):
 
 
 @query("snk3_evidence_tables", f"""WITH {CERT_SQL} SELECT 'full' AS name, count(*) AS n FROM m UNION ALL SELECT 'by_method', count(DISTINCT (method, category, depth)) FROM m UNION ALL SELECT 'certified', sum(certified::INT)::BIGINT FROM c UNION ALL SELECT 'auxiliary', sum((NOT certified)::INT)::BIGINT FROM c
-    UNION ALL SELECT 'complexity', count(DISTINCT dataset) FROM m UNION ALL SELECT 'win_loss', count(*) FROM m {_BASE} UNION ALL SELECT 'pareto', count(*) FROM ({_pareto_sql('nodes')[_pareto_sql('nodes').index('SELECT dataset, method, depth, nodes'):]})""")
+    UNION ALL SELECT 'complexity', count(DISTINCT dataset) FROM m UNION ALL SELECT 'win_loss', count(*) FROM m {_BASE} UNION ALL SELECT 'pareto', count(*) FROM ({_pareto_sql('nodes')[_pareto_sql('nodes').index('SELECT dataset, method, depth, round'):]})""")
 def snk3(spark, sf):
     """Write the evidence tables and count what was written."""
     cells, cert = cell_rows(spark, sf), certified(spark, sf)
