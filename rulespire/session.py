@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application; the driver serves the archive."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rulespire_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    base = Path(tempfile.mkdtemp(prefix="rulespire-ship-")) / "rulespire"
+    sc.addPyFile(shutil.make_archive(str(base), "zip", root, "rulespire"))
+    sc._rulespire_shipped = True
