@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rulespire.session import ship_package
+
 #: White space between words: the space and the control characters 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,3 +33,9 @@ def document_hash(seed: str, doc_id: Column, text: Column) -> Column:
 def document_hash_sql(seed: str, doc_id: str = "doc_id", text: str = "text") -> str:
     return (f"('0x' || substr(md5('{seed}|' || coalesce({doc_id}::VARCHAR, '~') || CASE WHEN {text} IS NULL THEN '~' ELSE '|' END"
             f" || coalesce({text}, '')), 1, 15))::BIGINT")
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from rulespire.llm import mixing, sharding
+from rulespire.llm import chat, mixing, sharding, tokens
 
 QUERIES = {
     "op2_weighted_mix": mixing.op2_weighted_mix,
+    "op4_token_files": tokens.op4_token_files,
+    "op7_chat_format": chat.op7_chat_format,
     "op9_ring_shards": sharding.op9_ring_shards,
 }
 ORACLES = {
     "op2_weighted_mix": mixing.ORACLE,
+    "op7_chat_format": chat.ORACLE,
 }
