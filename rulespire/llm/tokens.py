@@ -46,16 +46,28 @@ OTHER = re.compile("[^\t\n\r\x20-\x7e¡§«»¿À-ɏ‐-―‘-‟…€]")
 RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", "<|endoftext|>")
 
 
+#: Marks that end a word and are a piece of their own behind letters.
+ENDS = ".,;:!?"
+
+
 class Pieces(dict):
-    """Number of each piece; unknown ones are numbered and left in ``todo``."""
+    """Number of each piece. Unknown ones are numbered and left in ``todo``, words with end marks in ``joint`` as two pieces.
+    A text without a space before it is a tuple of one string."""
 
     def __init__(self):
         super().__init__()
-        self.todo: list[str] = []
+        self.todo: list[tuple[int, str]] = []
+        self.joint: list[tuple[int, int, int]] = []
 
     def __missing__(self, piece):
-        self[piece] = at = len(self)
-        self.todo.append(piece)
+        word = piece.rstrip(ENDS) if type(piece) is str else ""
+        if word and word != piece and word.isalpha():
+            parts = self[word], self[(piece[len(word):],)]
+            self[piece] = at = len(self)
+            self.joint.append((at, *parts))
+        else:
+            self[piece] = at = len(self)
+            self.todo.append((at, piece[0] if type(piece) is tuple else " " + piece))
         return at
 
 
@@ -85,23 +97,34 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.first, self.count = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
 
+    def _keep(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Store the ids of pieces ``at``, which follow each other in ``ids``."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.count[at], self.first[at] = counts, self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces ``at`` and the end of each."""
+        counts = self.count[at]
+        ends = np.cumsum(counts, dtype=np.int64)
+        return self.flat[np.repeat(self.first[at] - (ends - counts), counts) + np.arange(ends[-1])], ends
+
     def _learn(self) -> None:
-        todo, n = self.pieces.todo, len(self.pieces)
-        if n > len(self.first):
-            self.first, self.count = (np.resize(x, max(n, 2 * len(x))) for x in (self.first, self.count))
-        for at in range(0, len(todo), 20_000):
-            some = todo[at : at + 20_000]
-            said = self.tokenizer.encode_batch([x[0] if type(x) is tuple else " " + x for x in some], add_special_tokens=False)
-            ids = [x.ids for x in said]
+        if len(self.pieces) > len(self.first):
+            self.first, self.count = (np.resize(x, max(len(self.pieces), 2 * len(x))) for x in (self.first, self.count))
+        todo, joint = self.pieces.todo, self.pieces.joint
+        for k in range(0, len(todo), 20_000):
+            some = todo[k : k + 20_000]
+            ids = [x.ids for x in self.tokenizer.encode_batch([x for _, x in some], add_special_tokens=False)]
             counts = np.fromiter(map(len, ids), np.int32, len(ids))
-            total, start = int(counts.sum()), n - len(todo) + at
-            if self.used + total > len(self.flat):
-                self.flat = np.resize(self.flat, max(self.used + total, 2 * len(self.flat)))
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-            self.count[start : start + len(some)] = counts
-            self.first[start : start + len(some)] = self.used + np.cumsum(counts) - counts
-            self.used += total
-        self.pieces.todo = []
+            self._keep(np.array([at for at, _ in some]), np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
+        if joint:
+            at = np.array(joint, np.int64)
+            ids, _ = self._gather(at[:, 1:].ravel())
+            self._keep(at[:, 0], ids, self.count[at[:, 1]] + self.count[at[:, 2]])
+        self.pieces.todo, self.pieces.joint = [], []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with END."""
@@ -123,14 +146,11 @@ class Encoder:
             if len(self.pieces) > PIECES:
                 self.forget()
             at = np.fromiter(map(self.pieces.__getitem__, words), np.int64, len(words))
-            if self.pieces.todo:
+            if self.pieces.todo or self.pieces.joint:
                 self._learn()
-            counts = self.count[at]
-            ends = np.cumsum(counts, dtype=np.int64)
-            gather = np.repeat(self.first[at] - (ends - counts), counts) + np.arange(ends[-1])
-            ids, cut = self.flat[gather], ends[np.cumsum(sizes) - 1]
+            ids, ends = self._gather(at)
             start = 0
-            for k, end in zip(where, cut):
+            for k, end in zip(where, ends[np.cumsum(sizes) - 1]):
                 out[k] = np.append(ids[start:end], np.uint32(END))
                 start = end
         for k in whole:  # one at a time: such a text may be very long
