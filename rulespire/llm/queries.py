@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rulespire.llm import chat, mixing, sharding, tokens
+from rulespire.llm import chat, mixing, near_dedup, sharding, tokens
 
 QUERIES = {
     "op2_weighted_mix": mixing.op2_weighted_mix,
     "op4_token_files": tokens.op4_token_files,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_chosen_path": near_dedup.op8_chosen_path,
     "op9_ring_shards": sharding.op9_ring_shards,
 }
 ORACLES = {

@@ -13,8 +13,8 @@ Files get their final names when complete, and the manifest lists those that cou
 repeated or speculative task leaves nothing behind that is read.
 
 Encoding looks up white-space words in a bounded table of pieces already encoded by the
-same library call; a space can only begin a piece of this tokenizer, so words between single spaces are
-encoded on their own. Texts for which that doesn't hold by inspection (runs of spaces,
+library's model; a space can only begin a piece of this tokenizer, so words between single spaces are
+encoded on their own, split as the tokenizer splits them. Texts for which that doesn't hold by inspection (runs of spaces,
 characters outside Latin scripts, special tokens) are encoded whole.
 
 Defined cases: null and empty texts are one end id; null doc_ids come first; equal doc_ids
@@ -46,28 +46,39 @@ OTHER = re.compile("[^\t\n\r\x20-\x7e¡§«»¿À-ɏ‐-―‘-‟…€]")
 RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", "<|endoftext|>")
 
 
-#: Marks that end a word and are a piece of their own behind letters.
-ENDS = ".,;:!?"
+#: The tokenizer's own split, for characters that OTHER lets pass.
+SPLIT = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def _shown() -> dict[int, str]:
+    """A byte-level tokenizer's character for each byte: itself where printable, else the next one from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+SHOWN = _shown()
 
 
 class Pieces(dict):
-    """Number of each piece. Unknown ones are numbered and left in ``todo``, words with end marks in ``joint`` as two pieces.
-    A text without a space before it is a tuple of one string."""
+    """Number of each piece. Unknown ones are numbered and left in ``todo``, or in ``joint`` when they consist of
+    several pieces. A text without a space before it is a tuple of one string."""
 
     def __init__(self):
         super().__init__()
         self.todo: list[tuple[int, str]] = []
-        self.joint: list[tuple[int, int, int]] = []
+        self.joint: list[tuple[int, list[int]]] = []
 
     def __missing__(self, piece):
-        word = piece.rstrip(ENDS) if type(piece) is str else ""
-        if word and word != piece and word.isalpha():
-            parts = self[word], self[(piece[len(word):],)]
+        said = piece[0] if type(piece) is tuple else " " + piece
+        parts = [said] if type(piece) is str and piece.isalpha() else SPLIT.findall(said)
+        if len(parts) > 1:
+            own = [self[x[1:]] if x[0] == " " and x != " " else self[(x,)] for x in parts]
             self[piece] = at = len(self)
-            self.joint.append((at, *parts))
+            self.joint.append((at, own))
         else:
             self[piece] = at = len(self)
-            self.todo.append((at, piece[0] if type(piece) is tuple else " " + piece))
+            self.todo.append((at, said))
         return at
 
 
@@ -114,16 +125,17 @@ class Encoder:
     def _learn(self) -> None:
         if len(self.pieces) > len(self.first):
             self.first, self.count = (np.resize(x, max(len(self.pieces), 2 * len(x))) for x in (self.first, self.count))
-        todo, joint = self.pieces.todo, self.pieces.joint
+        todo, joint, tokenize = self.pieces.todo, self.pieces.joint, self.tokenizer.model.tokenize
         for k in range(0, len(todo), 20_000):
             some = todo[k : k + 20_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch([x for _, x in some], add_special_tokens=False)]
+            ids = [[t.id for t in tokenize(x.encode().decode("latin-1").translate(SHOWN))] for _, x in some]
             counts = np.fromiter(map(len, ids), np.int32, len(ids))
             self._keep(np.array([at for at, _ in some]), np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
         if joint:
-            at = np.array(joint, np.int64)
-            ids, _ = self._gather(at[:, 1:].ravel())
-            self._keep(at[:, 0], ids, self.count[at[:, 1]] + self.count[at[:, 2]])
+            parts = np.fromiter(chain.from_iterable(own for _, own in joint), np.int64)
+            ids, _ = self._gather(parts)
+            start = np.cumsum([0] + [len(own) for _, own in joint[:-1]])
+            self._keep(np.array([at for at, _ in joint]), ids, np.add.reduceat(self.count[parts], start))
         self.pieces.todo, self.pieces.joint = [], []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
