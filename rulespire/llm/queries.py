@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rulespire.llm import chat, mixing, near_dedup, sharding, tokens
+from rulespire.llm import chat, embeddings, mixing, near_dedup, sharding, tokens
 
 QUERIES = {
     "op2_weighted_mix": mixing.op2_weighted_mix,
     "op4_token_files": tokens.op4_token_files,
+    "op6_cross_polytope": embeddings.op6_cross_polytope,
     "op7_chat_format": chat.op7_chat_format,
     "op8_chosen_path": near_dedup.op8_chosen_path,
     "op9_ring_shards": sharding.op9_ring_shards,
