@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rulespire.llm import chat, embeddings, mixing, near_dedup, sharding, tokens
+from rulespire.llm import chat, decontamination, embeddings, mixing, near_dedup, sharding, tokens
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_weighted_mix": mixing.op2_weighted_mix,
     "op4_token_files": tokens.op4_token_files,
     "op6_cross_polytope": embeddings.op6_cross_polytope,
