@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulespire.llm import chat, decontamination, embeddings, mixing, near_dedup, sharding, tokens
+from rulespire.llm import chat, decontamination, embeddings, language_model, mixing, near_dedup, sharding, tokens
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_chat_format": chat.op7_chat_format,
     "op8_chosen_path": near_dedup.op8_chosen_path,
     "op9_ring_shards": sharding.op9_ring_shards,
+    "op10_log_bilinear": language_model.op10_log_bilinear,
 }
 ORACLES = {
     "op2_weighted_mix": mixing.ORACLE,
