@@ -21,17 +21,16 @@ def _to_least(arcs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, component) for every node with a link; component is the least node reachable."""
-    arcs = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    arcs = cut_lineage(arcs)
-    before = None
+    arcs = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
+        # done when every node has one smaller neighbour, which has none
+        inner = arcs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        heads = arcs.select(F.col("v").alias("u")).distinct().withColumn("head", F.lit(True))
+        if inner.join(heads, "u", "left").filter("n > 1 or head").isEmpty():
+            break
         both = arcs.union(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = _to_least(large)
-        small = down.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
-        arcs = cut_lineage(small)
-        state = arcs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if before == tuple(state):
-            break
-        before = tuple(state)
+        small = down.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
+        arcs = cut_lineage(small.distinct())
     return arcs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(arcs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

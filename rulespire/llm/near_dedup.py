@@ -6,9 +6,10 @@ a tree's first level branches on one minwise token, so two documents of similari
 probability 0.15**8 < 3e-7. Then, per node:
 
 * up to ``NODE`` documents are compared exhaustively on their tokens;
-* a larger node is compared with about 64 of its own documents. If every document is close to one
-  of them, the node is connected and done; else its documents branch again on two further
-  tokens each, chosen by the node. What is still large after ``DEPTH`` levels is compared in blocks.
+* a larger node is compared with about 64 of its own documents. Those close to the main part of these are
+  joined. If at most ``NODE`` documents are left over, they are compared with all of the node, which is then done; else
+  its documents branch again on two further tokens each, chosen by the node. What is still large after
+  ``DEPTH`` levels is compared in pairs of blocks.
 
 Candidates (38 of 64 tokens equal; at 0.85 fewer have a probability below 1e-6) form clusters.
 Inside clusters the whole sets decide: first every document against one block of the cluster, which joins the
@@ -91,71 +92,100 @@ def _edges(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(node, pa.int64())], schema=_EDGES)
 
 
+def _stars(joined: Union, ids: np.ndarray) -> list[tuple]:
+    """Edges from every document to the first of its set: short paths for the component search."""
+    roots = ((i, joined.find(i)) for i in range(len(ids)))
+    return [(ids[i], ids[r], None) for i, r in roots if i != r]
+
+
 def _compare_nodes(batches):
-    """Groups (node, block): documents, in a large node also pivots. Gives edges of a spanning forest of the
-    candidates found; a document of a large node without a close pivot comes back with its node."""
+    """Groups (node, block) of documents, in a large node (mode 1 and 2) also pivots. Gives edges that join the candidates
+    found. In mode 1 the documents that are not close to the pivots' main part come back with their node; in mode 2
+    these are the pivots."""
     for table, bounds in whole_groups(batches, ("node", "block")):
         ids, node = table.column("rep").to_numpy(), table.column("node").to_numpy()
-        pivot, large = table.column("pivot").to_numpy(), table.column("large").to_numpy()
+        pivot, mode = table.column("pivot").to_numpy(), table.column("mode").to_numpy()
         tokens = rows_of(table.column("tokens"), "<u4", TOKENS)
         out = []
         for s, e in zip(bounds[:-1], bounds[1:]):
-            own, t = ids[s:e], tokens[s:e]
-            if not large[s]:
-                sets = Union(len(own))
-                for i in range(1, len(own)):
+            own, t, n = ids[s:e], tokens[s:e], e - s
+            joined = Union(n)
+            if mode[s] == 0:
+                for i in range(1, n):
                     for j in np.flatnonzero((t[:i] == t[i]).sum(axis=1) >= CLOSE):
-                        if sets.join(i, int(j)):
-                            out.append((own[i], own[j], None))
+                        joined.join(i, int(j))
+                out += _stars(joined, own)
                 continue
             at = np.flatnonzero(pivot[s:e])
-            rest = np.flatnonzero(~pivot[s:e])
-            if not len(at):
-                out += [(own[i], None, node[s]) for i in rest]
-                continue
             near = _equal(t, t[at]) >= CLOSE
-            sets = Union(len(own))
-            for i, k in zip(*np.nonzero(near)):
-                if sets.join(int(i), int(at[k])):
-                    out.append((own[i], own[at[k]], None))
-            # with pivots in more than one part the node may hold links between the parts
-            apart = len({sets.find(int(k)) for k in at}) > 1
-            out += [(own[i], None, node[s]) for i in rest if apart or not near[i].any()]
+            if mode[s] == 2:
+                for i, k in zip(*np.nonzero(near)):
+                    joined.join(int(i), int(at[k]))
+                out += _stars(joined, own)
+                continue
+            among = Union(len(at))
+            for i, k in zip(*np.nonzero(near[at])):
+                among.join(int(i), int(k))
+            roots = np.array([among.find(k) for k in range(len(at))], int)
+            order = np.argsort(own[at], kind="stable")  # the same main part in every block of the node
+            first = {}
+            for k in order:
+                first.setdefault(int(roots[k]), (-int((roots == roots[k]).sum()), int(own[at[k]])))
+            main = roots == min(first, key=first.get) if len(at) else roots
+            settled = near[:, main].any(axis=1) if len(at) else np.zeros(n, bool)
+            if settled.any():
+                hub = own[at[main]].min()
+                out += [(own[i], hub, None) for i in np.flatnonzero(settled) if own[i] != hub]
+            out += [(own[i], None, node[s]) for i in np.flatnonzero(~settled)]
         yield _edges(out)
 
 
-def candidate_edges(reps: DataFrame, partitions: int | None = None) -> DataFrame:
+def candidate_edges(reps: DataFrame) -> DataFrame:
     """reps (rep, tokens) -> edges (a, b) whose components hold every pair the trees bring together."""
-    spark = reps.sparkSession
     token = lambda i: F.conv(F.hex(F.substring(F.col("tokens"), i * 4 + 1, 4)), 16, 10).cast("long")
     roots = F.array(*[F.xxhash64(F.lit(t), token(F.lit(t))) for t in range(TREES)])
     members = reps.select("rep", F.explode(roots).alias("node"))
     edges = None
+    schema = "a long, b long, node long"
+
+    def dealt(known, pivots, mode, blocks):
+        """Members in their block, pivots in all blocks of their node."""
+        mine = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
+        copies = F.when(pivots, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))
+        return known.select("node", F.explode(copies).alias("block"), "rep", "tokens", mode.alias("mode"), pivots.alias("pivot"))
+
     for level in range(DEPTH + 1):
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        known = members.join(sizes, "node").join(reps, "rep")
-        known = cut_lineage(known.withColumn("large", F.col("n") > NODE))
+        known = cut_lineage(members.join(sizes, "node").join(reps, "rep"))
+        large = F.col("n") > NODE
         blocks = F.ceil(F.col("n") / NODE).cast("int")
-        mine = F.when(F.col("large"), F.pmod(F.xxhash64("rep", F.lit("block")), blocks)).otherwise(0).cast("int")
-        chosen = F.col("large") & (F.pmod(F.xxhash64("rep", "node"), F.col("n")) < PIVOTS)
         if level < DEPTH:
-            copies = F.when(chosen, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))
-            rows = known.select("node", F.explode(copies).alias("block"), "rep", "tokens", "large", chosen.alias("pivot"))
+            chosen = large & (F.pmod(F.xxhash64("rep", "node"), F.col("n")) < PIVOTS)
+            rows = dealt(known, chosen, large.cast("int"), blocks)
         else:  # the exact way for what doesn't divide: every pair of blocks, as a node of its own
-            other = F.when(F.col("large"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))
-            pair = known.withColumn("mine", mine).select("node", "rep", "tokens", "mine", F.explode(other).alias("other"))
-            pair = pair.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep", "tokens")
-            rows = pair.select("node", F.lit(0).alias("block"), "rep", "tokens", F.lit(False).alias("large"), F.lit(False).alias("pivot"))
-        found = cut_lineage(map_arrow(by_groups(rows, "node", "block"), _compare_nodes, "a long, b long, node long"))
+            mine = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
+            pair = known.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            rows = pair.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), F.lit(0).alias("block"), "rep", "tokens", F.lit(0).alias("mode"), F.lit(False).alias("pivot"))
+        found = cut_lineage(map_arrow(by_groups(rows, "node", "block"), _compare_nodes, schema))
         here = found.filter("b is not null").select("a", "b")
         edges = here if edges is None else edges.union(here)
-        open_nodes = found.filter("node is not null").select("node").distinct()
-        if level == DEPTH or open_nodes.isEmpty():
+        loose = found.filter("node is not null").select("node", F.col("a").alias("rep")).distinct()
+        if level == DEPTH or loose.isEmpty():
+            break
+        loose = cut_lineage(loose)
+        per_node = cut_lineage(loose.groupBy("node").agg(F.count(F.lit(1)).alias("n_loose")))
+        # few loose ones: compare them with all of the node, which leaves nothing open in it
+        few = per_node.filter(F.col("n_loose") <= NODE)
+        last = known.join(few, "node").join(loose.withColumn("is_loose", F.lit(True)), ["node", "rep"], "left")
+        last = dealt(last, F.coalesce("is_loose", F.lit(False)), F.lit(2), blocks)
+        edges = edges.union(cut_lineage(map_arrow(by_groups(last, "node", "block"), _compare_nodes, schema)).select("a", "b"))
+        many = per_node.filter(F.col("n_loose") > NODE)
+        if many.isEmpty():
             break
         step = lambda k: F.pmod(F.xxhash64("node", F.lit(k), F.lit(level)), F.lit(TOKENS)).cast("int")
         branch = F.array(*[F.xxhash64("node", F.lit(k), token(step(k))) for k in range(2)])
-        members = known.filter("large").join(open_nodes, "node", "left_semi").select("rep", F.explode(branch).alias("node"))
-    return edges if edges is not None else spark.createDataFrame([], "a long, b long")
+        members = known.join(many, "node", "left_semi").select("rep", F.explode(branch).alias("node"))
+    return edges
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -191,7 +221,7 @@ def _link_blocks(percent: int):
                     for j in np.flatnonzero(near):
                         if joined.find(i) != joined.find(int(j)) and _linked(sets[i], sets[j], percent):
                             joined.join(i, int(j))
-                            out.append((ids[s + i], ids[s + j], None))
+                out += _stars(joined, ids[s:e])
             yield _edges(out)
     return link
 
