@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rulespire.llm import chat, decontamination, embeddings, language, language_model, mixing, near_dedup, sharding, tokens
+from rulespire.llm import chat, decontamination, embeddings, language, language_model, lines, mixing, near_dedup, sharding, tokens
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_weighted_mix": mixing.op2_weighted_mix,
     "op3_language_id": language.op3_language_id,
     "op4_token_files": tokens.op4_token_files,
+    "op5_line_alignment": lines.op5_line_alignment,
     "op6_cross_polytope": embeddings.op6_cross_polytope,
     "op7_chat_format": chat.op7_chat_format,
     "op8_chosen_path": near_dedup.op8_chosen_path,
