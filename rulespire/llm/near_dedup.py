@@ -11,7 +11,7 @@ probability 0.15**8 < 3e-7. Then, per node:
   its documents branch again on two further tokens each, chosen by the node. What is still large after
   ``DEPTH`` levels is compared in pairs of blocks.
 
-Candidates (38 of 64 tokens equal; at 0.85 fewer have a probability below 1e-6) form clusters.
+Candidates (36 of 64 tokens equal; at 0.8 fewer have a probability of about 5e-6) form clusters.
 Inside clusters the whole sets decide: first every document against one block of the cluster, which joins the
 copies of one text in linear time, then, in pairs of blocks, only documents not yet
 known to be in one component. Every pair of documents of a cluster is thus compared or already joined by links.
@@ -36,7 +36,7 @@ from rulespire.llm.shingles import mix64, shingle_sets
 from rulespire.session import cut_lineage
 
 TOKENS, TREES, NODE, PIVOTS, DEPTH = 64, 8, 512, 64, 8
-CLOSE = 38
+CLOSE = 36
 #: Documents of a cluster compared in one step.
 BLOCK = 96
 #: Multipliers of the minwise hash functions: odd numbers from the finalizer above.
