@@ -48,11 +48,11 @@ def markup_text(page: str | None) -> str:
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every trigram with at least two letters, of all texts in order, and the texts' numbers of them."""
     joined = [(t or "").lower().encode() for t in texts]
-    b = _KIND[np.frombuffer(b"  ".join(joined) + b"  ", np.uint8)].astype(np.uint32)
+    b = _KIND[np.frombuffer(b"  ".join([b"", *joined, b""]), np.uint8)].astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     letter = (b != 32).astype(np.uint8)
     some = np.flatnonzero(letter[:-2] + letter[1:-1] + letter[2:] >= 2)
-    ends = np.cumsum([len(j) + 2 for j in joined])
+    ends = np.cumsum([len(j) + 2 for j in joined]) + 1  # a trigram is its middle letter's text's
     return ((code[some] * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64), np.diff(np.searchsorted(some, ends), prepend=0)
 
 
@@ -155,8 +155,8 @@ def fuse(rows: DataFrame, names: list[str], carry: list[str], accepted: list[str
         return t.select(F.col(c).alias(f"{c}_"), F.transform(F.arrays_zip(arr().alias("a"), totals.alias("b")), lambda x: F.log((x["a"] + VALUES * share) / (x["b"] + VALUES))).alias(f"{c}_log"))
 
     smooth = lambda counts, towards, weight: F.transform(F.arrays_zip(counts.alias("a"), towards.alias("b")), lambda x: (x["a"] + weight * x["b"]) / (F.aggregate(counts, F.lit(0.0), lambda s, y: s + y) + weight))
-    domains = rows.filter("domain is not null").groupBy("domain").agg(*shares).select(F.col("domain").alias("d_"), smooth(arr(), level, DOMAIN).alias("d_share"))
-    hosts = rows.filter("host is not null").groupBy("host", "domain").agg(*shares).join(domains, F.col("domain") == F.col("d_"), "left")
+    domains = rows.filter("domain is not null").groupBy("domain").agg(*shares, F.count(F.lit(1))).select(F.col("domain").alias("d_"), smooth(arr(), level, DOMAIN).alias("d_share"))
+    hosts = rows.filter("host is not null").groupBy("host", "domain").agg(*shares, F.count(F.lit(1))).join(domains, F.col("domain") == F.col("d_"), "left")
     hosts = hosts.select(F.col("host").alias("h_"), F.col("domain").alias("hd_"), smooth(arr(), F.coalesce("d_share", level), HOST).alias("h_share"))
 
     df = rows.join(per_value("declared"), F.col("declared") == F.col("declared_"), "left").join(per_value("suffix"), F.col("suffix") == F.col("suffix_"), "left")

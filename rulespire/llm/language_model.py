@@ -268,7 +268,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, mode
         if END not in place:  # no training text
             place[END] = len(words)
             word_class, word_log, base_log = np.append(word_class, 0), np.append(word_log, 0.0), np.append(base_log, 0.0)
-        first = len(place)
+        first = len(words)
         for some in _texts(batches):
             rows = [[*tokens(t), END] for _, t in some]
             at = [np.fromiter((place.get(w, -1) for w in r), np.int64, len(r)) for r in rows]

@@ -200,8 +200,9 @@ class SequenceWriter:
     def add(self, ids: np.ndarray) -> None:
         self.held.append(ids.astype(self.dtype))
         self.n_held += len(ids)
-        if self.n_held >= BATCH * self.length:
-            self._put(self.n_held // self.length * self.length)
+        full = self.n_held // (BATCH * self.length) * BATCH * self.length
+        if full:
+            self._put(full)
 
     def _put(self, n: int) -> None:
         ids = np.concatenate(self.held)
