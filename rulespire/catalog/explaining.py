@@ -47,10 +47,7 @@ def explained(spark, sf):
 
 @query("exp1_sufficient_set", f"WITH {GRID_SQL} SELECT r.rk, suff.ok AS sufficient FROM r JOIN suff ON (r.cq, r.cp, r.cd, r.ct) = (suff.cq, suff.cp, suff.cd, suff.ct) AND suff.m = {GIVEN_SQL}")
 def exp1(spark, sf):
-    m = fixed_model()
-    df = line_wide(spark, sf).withColumn("pred", (m.proba_column() >= 0.5).cast("int"))
-    ok = E.sufficient_column(m, E.model_boxes(spark, m), given_set(), F.col("pred"), E.used_features(m))
-    return df.select("rk", ok.alias("sufficient"))
+    return E.sufficient_rows(line_wide(spark, sf), fixed_model(), given_set()).select("rk", "sufficient")
 
 
 @query("exp2_minimal_sets", f"WITH {GRID_SQL} SELECT rk, cls AS y_pred, axp, len::INT AS axp_len FROM ex")

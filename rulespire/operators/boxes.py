@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rulespire.functions.rules import literal_interval, negated
 
-MAX_BOXES_PER_PATH = 1_000_000
 
 
 def _pos(l: Column) -> Column:

@@ -1,27 +1,23 @@
 """Minimal sufficient feature sets of every row (abductive explanations) and audits.
 
-A row blocks a box on the features where it lies outside of it. A feature set S forces
-the prediction iff S meets the blocked set of every box of the other class. Deleting
-features one by one in column order while that holds gives a subset-minimal set. Blocked
-sets are bit masks, the deletion is a fold, and rows with equal threshold bits share
-their answer - no per-row solver.
+A feature set S forces the prediction iff no row that agrees on S reaches a leaf of the other class
+(``operators/reach.py``). Deleting features one by one in column order while that holds gives a
+subset-minimal set. Rows with equal threshold bits share their answer: each distinct signature is
+answered once, in Arrow batches, and joined back.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 
 from rulespire.operators.boxes import path_boxes
-from rulespire.plans.model import TreeModel, score_rows
-
-BITS = 62
-SIGNATURE_LIMIT = 200_000  # distinct signatures that may be broadcast
-
-
-def model_boxes(spark, model: TreeModel, tree: int = 0) -> list[tuple[int, list[tuple[int, float, float]]]]:
-    """(class, box) list of one fitted tree; model-sized."""
-    rows = leaf_boxes(spark, model, tree).select("y_leaf", "box").distinct().collect()
-    return sorted((r["y_leaf"], [(c["feature"], c["lo"], c["hi"]) for c in r["box"]]) for r in rows)
+from rulespire.operators.reach import Reach
+from rulespire.plans.model import TreeModel
+from rulespire.session import ship_package
 
 
 def leaf_boxes(spark, model: TreeModel, tree: int = 0) -> DataFrame:
@@ -39,51 +35,6 @@ def used_features(model: TreeModel, tree: int = 0) -> list[int]:
     return sorted({f for n in model.splits(tree) for f in n.rule.features})
 
 
-def _mask_of(feats: list[int], used: list[int]) -> int:
-    return sum(1 << used.index(f) for f in feats)
-
-
-def blocked_masks(boxes, cls: int, used: list[int], cols: list[Column]) -> Column:
-    """array<bigint>: blocked set of every box of class ``cls`` for the row."""
-    masks = []
-    for y, box in boxes:
-        if y != cls:
-            continue
-        total = F.lit(0).cast("bigint")
-        for f, lo, hi in box:
-            inside = F.lit(True)
-            if lo != float("-inf"):
-                inside = inside & (cols[f] >= lo)
-            if hi != float("inf"):
-                inside = inside & (cols[f] < hi)
-            total = total + F.when(inside, F.lit(0)).otherwise(F.lit(1 << used.index(f))).cast("bigint")
-        masks.append(total)
-    if not masks:
-        return F.array().cast("array<bigint>")
-    return F.array_distinct(F.array(*masks))
-
-
-def meets_all(blocks: Column, s: Column) -> Column:
-    """Sufficiency of a feature mask."""
-    return F.forall(blocks, lambda b: b.bitwiseAND(s) != 0)
-
-
-def deletion_fold(blocks: Column, n_used: int) -> Column:
-    """Drop features in column order while the rest stays sufficient."""
-    full = (1 << n_used) - 1
-    bits = F.array(*[F.lit(1 << i).cast("bigint") for i in range(n_used)])
-    def step(s, bit):
-        smaller = s - bit
-        return F.when(meets_all(blocks, smaller), smaller).otherwise(s)
-    return F.aggregate(bits, F.lit(full).cast("bigint"), step)
-
-
-def mask_features(mask: Column, used: list[int]) -> Column:
-    """Feature indexes of a mask."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(1 << i).cast("bigint").alias("bit")) for i, f in enumerate(used)])
-    return F.transform(F.filter(pairs, lambda p: mask.bitwiseAND(p.bit) != 0), lambda p: p.f)
-
-
 def signature(model: TreeModel, used: list[int], cols: list[Column], tree: int = 0) -> Column:
     """Truth of every distinct threshold of the tree; rows that agree get one answer."""
     atoms = sorted({(l.feature, l.threshold) for n in model.splits(tree) for l in n.rule.literals})
@@ -96,83 +47,76 @@ def signature(model: TreeModel, used: list[int], cols: list[Column], tree: int =
     return F.array(*words)
 
 
+def _known_values(row: list) -> list[float]:
+    """NULL fails every ``>=`` test and NaN passes it, as in SQL."""
+    return [-math.inf if v is None else math.inf if v != v else v for v in row]
+
+
+def _answer(df: DataFrame, model: TreeModel, tree: int, given: dict[str, Column], fn, out: dict) -> DataFrame:
+    """Distinct (signature, given) with the values of ``fn(reach, values, used, *given)`` in the columns ``out``."""
+    spark, used, reach = df.sparkSession, used_features(model, tree), Reach(model, tree)
+    width = max(used, default=-1) + 1
+    ship_package(spark)
+    values = [F.min(F.col(model.features[f]).cast("double")).alias(f"__v{f}") for f in used]
+    cases = df.withColumn("__sig", signature(model, used, model.columns(), tree)).withColumns({f"__g{k}": c for k, c in enumerate(given.values())})
+    keys = ["__sig", *[f"__g{k}" for k in range(len(given))]]
+    cases = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *values)
+    cases = cases.select(*keys, "__n", F.array(*[F.col(f"__v{f}") for f in used]).cast("array<double>").alias("__x"))
+    schema = cases.select(*keys, "__n").schema
+    for name, (kind, _) in out.items():
+        schema = schema.add(name, kind)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            columns = [c.to_pylist() for c in b.columns]
+            for *case, _, some in zip(*columns):
+                x = [-math.inf] * width
+                for f, v in zip(used, _known_values(some)):
+                    x[f] = v
+                rows.append(fn(reach, x, used, *case[1:]))
+            got = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(out.values())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *got], schema.names)
+
+    return cases.mapInArrow(run, schema)
+
+
+def _with_answer(df: DataFrame, model: TreeModel, tree: int, given: dict[str, Column], fn, out) -> DataFrame:
+    answers = _answer(df, model, tree, given, fn, out).drop("__n")
+    keyed = df.withColumn("__sig", signature(model, used_features(model, tree), model.columns(), tree)).withColumns({f"__g{k}": c for k, c in enumerate(given.values())})
+    keys = ["__sig", *[f"__g{k}" for k in range(len(given))]]
+    return keyed.join(answers, keys).select(*df.columns, *out)
+
+
+_INTS = (ArrayType(IntegerType()), pa.list_(pa.int32()))
+
+
 def explain_rows(df: DataFrame, model: TreeModel, tree: int = 0) -> DataFrame:
-    """Add y_pred, axp (feature indexes) and axp_len to every row.
-
-    Up to SIGNATURE_LIMIT distinct signatures the answers are computed once each and
-    broadcast; beyond, every row computes its own in place. Neither way shuffles rows.
-    """
-    spark = df.sparkSession
-    used = used_features(model, tree)
-    if not used:
+    """Add y_pred, axp (feature indexes) and axp_len to every row."""
+    if not used_features(model, tree):
         none = df.withColumn("y_pred", F.lit(int(model.nodes[(tree, 1)].proba >= 0.5)))
         return none.withColumn("axp", F.array().cast("array<int>")).withColumn("axp_len", F.lit(0))
-    if len(used) > BITS:
-        return _explain_wide(df, model, used, tree)
-    boxes = model_boxes(spark, model, tree)
-    cols = model.columns()
-    sig_df = df.select(signature(model, used, cols, tree).alias("__sig"), *[F.col(model.features[f]) for f in used])
-    size = sig_df.agg(F.approx_count_distinct("__sig").alias("k")).first()["k"]
-    if size > SIGNATURE_LIMIT:
-        return _finish(df, model, boxes, used, cols, tree)
-    # one representative per signature; values of any row with that signature will do
-    reps = sig_df.groupBy("__sig").agg(*[F.min(model.features[f]).alias(model.features[f]) for f in used])
-    answers = _finish(reps, model, boxes, used, cols, tree).select("__sig", "y_pred", "axp", "axp_len")
-    return df.withColumn("__sig", signature(model, used, cols, tree)).join(F.broadcast(answers), "__sig").drop("__sig")
-
-
-def _finish(df: DataFrame, model, boxes, used, cols, tree) -> DataFrame:
-    pred = (model.proba_column(tree) >= 0.5).cast("int")
-    both = df.withColumn("y_pred", pred)
-    blocks = F.when(F.col("y_pred") == 1, blocked_masks(boxes, 0, used, cols)).otherwise(blocked_masks(boxes, 1, used, cols))
-    both = both.withColumn("__blocks", blocks).withColumn("__axp", deletion_fold(F.col("__blocks"), len(used)))
-    return both.withColumn("axp", mask_features(F.col("__axp"), used)).withColumn("axp_len", F.size("axp")).drop("__blocks", "__axp")
-
-
-def _explain_wide(df: DataFrame, model: TreeModel, used: list[int], tree: int) -> DataFrame:
-    """More features than bits: the same fold on feature arrays instead of masks."""
-    boxes = model_boxes(df.sparkSession, model, tree)
-    cols = model.columns()
-    def blocked(cls):
-        sets = []
-        for y, box in boxes:
-            if y == cls:
-                tests = [F.when(~((cols[f] >= lo) & (cols[f] < hi)), F.lit(f)) for f, lo, hi in box]
-                sets.append(F.array_compact(F.array(*tests)))
-        return F.array(*sets) if sets else F.array().cast("array<array<int>>")
-    out = df.withColumn("y_pred", (model.proba_column(tree) >= 0.5).cast("int"))
-    out = out.withColumn("__blocks", F.when(F.col("y_pred") == 1, blocked(0)).otherwise(blocked(1)))
-    def step(s, f):
-        smaller = F.array_remove(s, f)
-        return F.when(F.forall("__blocks", lambda b: F.arrays_overlap(b, smaller)), smaller).otherwise(s)
-    every = F.array(*[F.lit(f) for f in used])
-    return out.withColumn("axp", F.aggregate(every, every, step)).withColumn("axp_len", F.size("axp")).drop("__blocks")
-
-
-def sufficient_column(model: TreeModel, boxes, s: Column, pred: Column, used: list[int], tree: int = 0) -> Column:
-    """Whether a feature-index array forces the row's prediction."""
-    cols = model.columns()
-    mask = F.aggregate(s, F.lit(0).cast("bigint"), lambda acc, f: acc + F.get(_bit_by_feature(used), f))
-    blocks = F.when(pred == 1, blocked_masks(boxes, 0, used, cols)).otherwise(blocked_masks(boxes, 1, used, cols))
-    return meets_all(blocks, mask)
 
+    def fn(reach, x, used):
+        cls = reach.predict(x)
+        return cls, reach.minimal(x, cls, used)
 
-def _bit_by_feature(used: list[int]) -> Column:
-    bits = [(1 << used.index(f)) if f in used else 0 for f in range(max(used) + 1)]
-    return F.array(*[F.lit(b).cast("bigint") for b in bits])
+    out = _with_answer(df, model, tree, {}, fn, {"y_pred": (IntegerType(), pa.int32()), "axp": _INTS})
+    return out.withColumn("axp_len", F.size("axp"))
+
+
+def sufficient_rows(df: DataFrame, model: TreeModel, s: Column, tree: int = 0, out: str = "sufficient") -> DataFrame:
+    """Whether the feature indexes in ``s`` force each row's prediction."""
+    def fn(reach, x, used, s):
+        return (reach.sufficient(x, set(s), reach.predict(x)),)
+    return _with_answer(df, model, tree, {"s": s}, fn, {out: (BooleanType(), pa.bool_())})
 
 
 def reachable_leaves(df: DataFrame, model: TreeModel, s: Column, tree: int = 0, out: str = "reachable") -> DataFrame:
     """Leaves some row can reach that agrees with this one on the features in ``s``."""
-    used, cols = used_features(model, tree), model.columns()
-    boxes: dict[int, list] = {}
-    for r in leaf_boxes(df.sparkSession, model, tree).collect():  # model-sized
-        boxes.setdefault(r["leaf_id"], []).append((0, [(c["feature"], c["lo"], c["hi"]) for c in r["box"]]))
-    mask = F.aggregate(s, F.lit(0).cast("bigint"), lambda acc, f: acc + F.get(_bit_by_feature(used), f))
-    parts = [
-        F.when(F.exists(blocked_masks(bs, 0, used, cols), lambda b: b.bitwiseAND(mask) == 0), F.lit(leaf).cast("bigint"))
-        for leaf, bs in sorted(boxes.items())]
-    return df.withColumn(out, F.array_compact(F.array(*parts)))
+    def fn(reach, x, used, s):
+        return (sorted(reach.leaves(x, set(s))),)
+    return _with_answer(df, model, tree, {"s": s}, fn, {out: (ArrayType(LongType()), pa.list_(pa.int64()))})
 
 
 def reading_features(model: TreeModel, tree: int = 0) -> Column:
@@ -195,18 +139,14 @@ def reading_features(model: TreeModel, tree: int = 0) -> Column:
 
 def audit(explained: DataFrame, model: TreeModel, tree: int = 0) -> DataFrame:
     """Shares of rows whose explanation is sufficient and whose every element is needed."""
-    used = used_features(model, tree)
-    boxes = model_boxes(explained.sparkSession, model, tree)
-    cols = model.columns()
-    blocks = F.when(F.col("y_pred") == 1, blocked_masks(boxes, 0, used, cols)).otherwise(blocked_masks(boxes, 1, used, cols))
-    bit = lambda f: F.get(_bit_by_feature(used), f)
-    rows = explained.withColumn("__b", blocks).withColumn(
-        "__m", F.aggregate("axp", F.lit(0).cast("bigint"), lambda a, f: a + bit(f)))
-    ok = meets_all(F.col("__b"), F.col("__m"))
-    spare = F.exists("axp", lambda f: meets_all(F.col("__b"), F.col("__m") - bit(f)))
-    return rows.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg(ok.cast("double")).alias("valid_rate"),
-        F.avg((ok & ~spare).cast("double")).alias("minimal_rate"))
+    def fn(reach, x, used, axp, cls):
+        ok = reach.sufficient(x, set(axp), cls)
+        return ok, ok and not any(reach.sufficient(x, set(axp) - {f}, cls) for f in axp)
+
+    kind = (BooleanType(), pa.bool_())
+    cases = _answer(explained, model, tree, {"axp": F.col("axp"), "cls": F.col("y_pred")}, fn, {"ok": kind, "needed": kind})
+    share = lambda c: F.sum(F.when(F.col(c), F.col("__n")).otherwise(0)) / F.sum("__n")
+    return cases.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("n_rows"), share("ok").alias("valid_rate"), share("needed").alias("minimal_rate"))
 
 
 def participation(explained: DataFrame, keys: list[str]) -> DataFrame:

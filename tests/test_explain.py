@@ -59,22 +59,41 @@ def test_explanations_equal_enumeration(spark, seed):
         assert r["y_pred"] == table[x] and r["axp"] == deletion(x)
 
 
-def test_wide_fold_equals_mask_fold(spark):
-    m = random_tree(random.Random(11))
-    cells = spark.createDataFrame(pd.DataFrame([dict(zip(m.features, map(float, c))) for c in itertools.product(range(4), repeat=4)]))
-    used = E.used_features(m)
-    a = E.explain_rows(cells, m).select(*m.features, "axp")
-    b = E._explain_wide(cells, m, used, 0).select(*m.features, "axp")
-    assert a.exceptAll(b).count() == 0
+def deep_model(depth, width, seed=3):
+    """A full tree of 3-literal rules over ``width`` features."""
+    rng = random.Random(seed)
+    m = TreeModel([f"x{i}" for i in range(width)], {})
+    for node in range(1, 2 ** (depth + 1)):
+        lits = [Literal(f, rng.choice(["GE", "LT"]), rng.choice([0.3, 0.5, 0.7])) for f in rng.sample(range(width), 3)]
+        rule = Rule.of(rng.choice(["or", "and"]), HORN, *lits) if node < 2 ** depth else None
+        m.nodes[(0, node)] = Node(0, node, 0.0, 0.0, rng.choice([0.2, 0.8]), rule)
+    return m
 
 
-def test_per_row_path_equals_signature_path(spark, monkeypatch):
-    m = random_tree(random.Random(4))
-    cells = spark.createDataFrame(pd.DataFrame([dict(zip(m.features, map(float, c))) for c in itertools.product(range(4), repeat=4)]))
-    a = E.explain_rows(cells, m).select(*m.features, "axp", "axp_len")
-    monkeypatch.setattr(E, "SIGNATURE_LIMIT", 0)
-    b = E.explain_rows(cells, m).select(*m.features, "axp", "axp_len")
-    assert a.exceptAll(b).count() == 0
+def test_deep_tree_with_100_features(spark):
+    """Every element is needed, every set suffices; no limit at 62 features."""
+    m = deep_model(10, 100)
+    rng = random.Random(1)
+    rows = [[rng.random() for _ in m.features] for _ in range(200)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=m.features)).repartition(8)
+    r = E.audit(E.explain_rows(df, m), m).first()
+    assert tuple(r) == (200, 1.0, 1.0)
+
+
+def test_chain_of_conjunctions(spark):
+    """Each split that is missed has three ways to be missed; they are not multiplied out."""
+    depth = 24
+    m = TreeModel([f"x{i}" for i in range(3 * depth)], {})
+    node = 1
+    for k in range(depth):
+        rule = Rule.of("and", HORN, *[Literal(3 * k + i, "GE", 0.5) for i in range(3)])
+        m.nodes[(0, node)] = Node(0, node, 0.0, 0.0, 0.5, rule)
+        m.nodes[(0, 2 * node)] = Node(0, 2 * node, 0.0, 0.0, 0.9)
+        node = 2 * node + 1
+    m.nodes[(0, node)] = Node(0, node, 0.0, 0.0, 0.1)
+    df = spark.createDataFrame([tuple([0.0] * (3 * depth)), tuple([1.0] * (3 * depth))], [*m.features])
+    got = {r["y_pred"]: r["axp_len"] for r in E.explain_rows(df, m).collect()}
+    assert got == {0: depth, 1: 3}
 
 
 def test_audit_rates_are_one(spark):
