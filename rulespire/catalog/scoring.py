@@ -85,11 +85,11 @@ def bin4(spark, sf):
     return edge_rows(B.supervised_edges(long_rows(spark, sf, feats=["q", "d", "t"]), ["feature"], 5))
 
 
-@query("bin5_clean_edges", f"""WITH g AS (SELECT l_suppkey AS supp, list_sort(list_distinct(list(l_discount + 0.0) FILTER (WHERE l_quantity < 1 + l_suppkey % 5))) AS e FROM lineitem GROUP BY 1),
+@query("bin5_clean_edges", f"""WITH g AS (SELECT l_suppkey AS supp, list_sort(list_distinct(list(l_discount + 0.0))) AS e FROM lineitem GROUP BY 1),
     c AS (SELECT supp, CASE WHEN len(e) = 1 THEN [e[1] - 1e-10::DOUBLE, e[1], e[1] + 1e-10::DOUBLE] WHEN len(e) = 2 THEN [e[1], (e[1] + e[2]) / 2, e[2]] ELSE e END AS e FROM g WHERE len(e) > 0)
     SELECT supp, len(e)::INT AS n_edges, round(e[1], 12) + 0.0 AS first_edge, round(e[2], 12) + 0.0 AS second_edge, round(e[-1], 12) + 0.0 AS last_edge FROM c""")
 def bin5(spark, sf):
-    li = load(spark, sf, "lineitem").filter(F.col("l_quantity") < 1 + F.col("l_suppkey") % 5)
+    li = load(spark, sf, "lineitem")
     g = li.groupBy(F.col("l_suppkey").alias("supp")).agg(F.collect_set(F.col("l_discount") + 0.0).alias("e")).withColumn("e", B.clean_edges(F.col("e")))
     out = g.select("supp", F.size("e").alias("n_edges"), F.get("e", F.lit(0)).alias("first_edge"), F.get("e", F.lit(1)).alias("second_edge"), F.element_at("e", -1).alias("last_edge"))
     return rounded(out, "first_edge", "second_edge", "last_edge", digits=12)
@@ -103,7 +103,7 @@ def bin6(spark, sf):
     return B.assign_bins(long, edges, ["feature"]).groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-LOCAL_SQL = f"""{line_cte()}, {LONG_SQL}, n AS (SELECT *, rf AS node FROM l WHERE feature <> 'p' OR value < 99999),
+LOCAL_SQL = f"""{line_cte()}, {LONG_SQL}, n AS (SELECT *, rf AS node FROM l),
     h AS (SELECT node, feature, count(DISTINCT value) AS k, quantile_cont(value, {[i / 16 for i in range(1, 16)]!r}::DOUBLE[]) AS qs FROM n GROUP BY 1, 2),
     v AS (SELECT DISTINCT node, feature, value FROM n), m AS (SELECT node, feature, (value + lead(value) OVER (PARTITION BY node, feature ORDER BY value)) / 2 AS cut FROM v),
     c AS (SELECT m.node, m.feature, m.cut AS threshold FROM m JOIN h USING (node, feature) WHERE k <= 16 AND m.cut IS NOT NULL UNION SELECT node, feature, unnest(qs) FROM h WHERE k > 16),
@@ -115,7 +115,7 @@ LOCAL_SQL = f"""{line_cte()}, {LONG_SQL}, n AS (SELECT *, rf AS node FROM l WHER
 def local_cut_table(spark, sf):
     """Cuts per (return flag as node, feature) with 16 bins."""
     long = long_rows(spark, sf).withColumnRenamed("rf", "node")
-    hist = H.class_counts(long.filter((F.col("feature") != "p") | (F.col("value") < 99999)), ["node", "feature", "value"])
+    hist = H.class_counts(long, ["node", "feature", "value"])
     return B.local_cuts(hist, ["node", "feature"], 16)
 
 

@@ -169,15 +169,15 @@ CNF_SQL = f"""{line_cte('cnf4')}, cells AS (SELECT {', '.join(f'{cut_bin_sql(f,
     names(id, txt, fs) AS (VALUES {_CLAUSE_ROWS}), hit AS ({' UNION ALL '.join(f"SELECT {n} AS id, q, d, t, p, pos, neg FROM cells WHERE {_lit_sql(a)} OR {_lit_sql(b)}" for n, (a, b) in enumerate(_CLAUSES))}),
     tot AS (SELECT sum(pos) AS tp, sum(neg) AS tn FROM cells), cl AS (SELECT id, sum(pos) AS ip, sum(neg) AS ineg FROM hit GROUP BY 1),
     cs AS (SELECT id, {penalized_sql(gain_sql('tp', 'tn', 'ip', 'ineg'), '1', '(tp+tn)')} AS score FROM cl, tot),
-    top AS (SELECT id, txt, fs, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS rk FROM cs JOIN names USING (id) WHERE score > 0 QUALIFY rk < 60),
+    top AS (SELECT id, txt, fs, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS rk FROM cs JOIN names USING (id) WHERE score > 0),
     pr AS (SELECT a.id AS ia, b.id AS ib, a.txt AS ta, b.txt AS tb, row_number() OVER (ORDER BY a.rk + b.rk, a.rk) AS r FROM top a JOIN top b ON a.rk < b.rk AND a.fs <> b.fs QUALIFY r <= 500),
     n AS (SELECT ia, ib, ta, tb, sum(x.pos) AS ip, sum(x.neg) AS ineg FROM pr JOIN hit x ON x.id = ia JOIN hit z ON z.id = ib AND z.q = x.q AND z.d = x.d AND z.t = x.t AND z.p = x.p GROUP BY ALL),
     g AS (SELECT *, {gain_sql('tp', 'tn', 'ip', 'ineg')} AS gain, tp + tn AS nn FROM n, tot)"""
 
 
-@query("sea11_best_cnf", f"""WITH {CNF_SQL} SELECT ta || ' & ' || tb AS rule, ip, ineg, {rsql('gain')} AS gain, {rsql(penalized_sql('gain', '2', 'nn'))} AS score FROM g ORDER BY round(gain, 9) DESC, ta, tb LIMIT 20""")
+@query("sea11_best_cnf", f"""WITH {CNF_SQL} SELECT ta || ' & ' || tb AS rule, ip, ineg, {rsql('gain')} AS gain, {rsql(penalized_sql('gain', '2', 'nn'))} AS score FROM g WHERE {penalized_sql('gain', '2', 'nn')} > 0""")
 def sea11(spark, sf):
-    """Clauses ranked by their own gain, the first 500 pairs on other feature sets, best 20 rules."""
+    """Clauses ranked by their own gain, the first 500 pairs on other feature sets."""
     df = line_rows(spark, sf, "cnf4")
     cells = H.class_counts(df.select("y", *[cut_bin(f, CNF_CUTS[f]).alias(f) for f in _FEATS]), _FEATS)  # at most 4^4 cells
     lit = [F.col(f) >= i if op == "GE" else F.col(f) < i for f, op, i in _LITS]
@@ -187,17 +187,17 @@ def sea11(spark, sf):
     hit = rows.select("k", F.struct(*_FEATS).alias("cell"), "pos", "neg", F.inline(truths)).filter("on")
     counts = hit.groupBy("k", "id", "txt", "fs").agg(F.sum("pos").alias("ip"), F.sum("neg").alias("ineg")).join(tot, "k")
     scored = X.score_counts(counts, 1, 1)
-    top = scored.withColumn("rk", F.row_number().over(W.partitionBy("k").orderBy(F.desc(F.round("score", 9)), "id")) - 1).filter("rk < 60")
+    top = scored.withColumn("rk", F.row_number().over(W.partitionBy("k").orderBy(F.desc(F.round("score", 9)), "id")) - 1)
     a = top.select("k", *[F.col(c).alias(f"{c}_a") for c in ("id", "txt", "fs", "rk")])
     b = top.select("k", *[F.col(c).alias(f"{c}_b") for c in ("id", "txt", "fs", "rk")])
-    pairs = a.join(b, "k").filter((F.col("rk_a") < F.col("rk_b")) & (F.col("fs_a") != F.col("fs_b")))  # 60 clauses: model-sized
+    pairs = a.join(b, "k").filter((F.col("rk_a") < F.col("rk_b")) & (F.col("fs_a") != F.col("fs_b")))  # clauses of the fixed cuts
     pairs = pairs.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.col("rk_a") + F.col("rk_b"), "rk_a"))).filter("r <= 500")
     hits_a = hit.select(F.col("id").alias("id_a"), "cell", "pos", "neg")
     hits_b = hit.select(F.col("id").alias("id_b"), "cell")
     n = pairs.join(hits_a, "id_a").join(hits_b, ["id_b", "cell"]).groupBy("k", "txt_a", "txt_b").agg(F.sum("pos").alias("ip"), F.sum("neg").alias("ineg"))
     best = X.score_counts(n.join(tot, "k"), 2, 1)
     out = best.select(F.concat("txt_a", F.lit(" & "), "txt_b").alias("rule"), "ip", "ineg", "gain", "score", "txt_a", "txt_b")
-    return rounded(out.orderBy(F.desc(F.round("gain", 9)), "txt_a", "txt_b").limit(20).drop("txt_a", "txt_b"), "gain", "score")
+    return rounded(out.drop("txt_a", "txt_b"), "gain", "score")
 
 
 # --- SEA12 - SEA15: comparisons and candidates -------------------------------------------------------

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from rulespire.operators.search import regions_of
+from rulespire.session import ship_package
 
 
 def _entropy(p: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -79,4 +80,5 @@ def best_regions(cells: DataFrame, keys: list[str], axes: list[str], regions: li
     def per_tuple(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*key, *row) for row in region_kernel(pdf, axes, regions, min_leaf)], columns=columns)
 
+    ship_package(cells.sparkSession)
     return cells.groupBy(*keys).applyInPandas(per_tuple, schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -15,8 +13,10 @@ def unpivot(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFra
 
 def validate(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     """One row of counts: rows, bad labels, nulls, NaNs and infinities per table."""
+    values = F.array(*[F.col(f).cast("double") for f in features])  # one expression per row, however many columns
+
     def bad(test):
-        return reduce(lambda a, b: a + b, [F.sum(F.when(test(F.col(f).cast("double")), 1).otherwise(0)) for f in features])
+        return F.sum(F.size(F.filter(values, test)))
 
     y = F.col(label)
     return df.agg(
@@ -95,11 +95,11 @@ def feature_summary(df: DataFrame, features: list[str], keys: list[str] = ()) ->
 
 def task_profile(df: DataFrame, label: str, features: list[str], keys: list[str]) -> DataFrame:
     """rows, features, positive rate, all-0/1 flag and original width per task."""
-    all_binary = reduce(Column.__and__, [F.col(f).cast("double").isin(0.0, 1.0) for f in features])
-    varying = [F.when(F.var_pop(F.col(f).cast("double")) > 1e-12, 1).otherwise(0) for f in features]
+    all_binary = F.forall(F.array(*[F.col(f).cast("double") for f in features]), lambda v: v.isin(0.0, 1.0))
+    varying = F.filter(F.array(*[F.var_pop(F.col(f).cast("double")) for f in features]), lambda v: v > 1e-12)
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        reduce(lambda a, b: a + b, varying).alias("n_features"),
+        F.size(varying).alias("n_features"),
         F.avg(F.col(label).cast("double")).alias("pos_rate"),
         F.bool_and(all_binary).alias("is_binary"),
     ).withColumn("n_original", F.lit(len(features)))

@@ -9,7 +9,7 @@ rule family is only a choice of how to write a region as a rule.
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import islice, product
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -222,8 +222,7 @@ def interaction_scan(bits: DataFrame, features: list[str], y: str = "y", top: in
 
 def clause_pairs(n_clauses: int, features: list[frozenset], limit: int) -> list[tuple[int, int]]:
     """First ``limit`` pairs of ranked clauses that do not use the same feature set."""
-    pairs = [(a, b) for b in range(n_clauses) for a in range(b) if features[a] != features[b]]
-    pairs.sort(key=lambda p: (p[0] + p[1], p))
-    return pairs[:limit]
+    every = ((a, s - a) for s in range(1, 2 * n_clauses - 2) for a in range(max(0, s - n_clauses + 1), (s + 1) // 2))
+    return list(islice(((a, b) for a, b in every if features[a] != features[b]), limit))
 
 

@@ -417,8 +417,7 @@ class Grower:
             return
         cells = self._tuple_cells(rows, todo, feats, grid, 2)
         scored = score_counts(region_counts(cells, ["slot", "i", "j"], ["bi", "bj"]).filter(F.col("region") != "X"), 1, cfg.min_samples_leaf)
-        per_pair = W.partitionBy("slot", "i", "j").orderBy(F.desc(F.round("score", 12)), "bi", "bj", "region")  # coarse cells
-        best = scored.withColumn("rk", F.row_number().over(per_pair)).filter("rk <= 4").select("slot", "i", "j", "bi", "bj", "region", "score").collect()
+        best = scored.filter("score > 0").select("slot", "i", "j", "bi", "bj", "region", "score").collect()  # coarse cells of the open nodes
         clauses: dict[int, list] = {}
         for r in best:
             o, fs = todo[r["slot"]], [feats[r["slot"]][r[p]] for p in ("i", "j")]
@@ -428,23 +427,22 @@ class Grower:
         rows_out, kept = [], {}
         for slot, cl in clauses.items():
             cl.sort(key=lambda e: (-e[0], e[1]))
-            top = [c for _, c in cl[:40]]
-            pairs = clause_pairs(len(top), [frozenset(l[0] for l in c) for c in top], cfg.cnf_candidates)
+            pairs = clause_pairs(len(cl), [frozenset(l[0] for l in c) for _, c in cl], cfg.cnf_candidates)
             if pairs:
+                used = sorted({k for pair in pairs for k in pair})
+                top, pairs = [cl[k][1] for k in used], [(used.index(a), used.index(b)) for a, b in pairs]
                 kept[slot] = (top, pairs)
                 rows_out.append((slot, [[(f, op == "GE", c) for f, op, c, _ in clause] for clause in top], [list(p) for p in pairs]))
         if not rows_out:
             return
         table = F.broadcast(spark.createDataFrame(
-            rows_out, "slot int, cl array<array<struct<i:int,ge:boolean,k:int>>>, pairs array<array<int>>"))  # <= 40 clauses per node
+            rows_out, "slot int, cl array<array<struct<i:int,ge:boolean,k:int>>>, pairs array<array<int>>"))  # clauses of cnf_candidates pairs per node
         true_clause = lambda c: F.exists(c, lambda l: (F.get(F.col("c"), l.i) >= l.k) == l.ge)
-        masks = rows.join(table, "slot").select("slot", "y", "w", F.size("cl").alias("k"), F.aggregate(
-            "cl", F.lit(0).cast("bigint"), lambda acc, c: acc * 2 + true_clause(c).cast("bigint")).alias("m"))
-        masks = masks.groupBy("slot", "m", "k").agg(*self._signed())
-        bit = lambda i: F.pmod(F.floor(F.col("m") / F.pow(F.lit(2.0), F.col("k") - 1 - i)), F.lit(2)) == 1
+        masks = rows.join(table, "slot").select("slot", "y", "w", F.transform("cl", true_clause).alias("m"))
+        masks = masks.groupBy("slot", "m").agg(*self._signed())
+        bit = lambda i: F.get(F.col("m"), F.get(F.col("pair"), F.lit(i)))
         hits = masks.join(table.select("slot", "pairs"), "slot").select(
-            "slot", "m", "k", "pos", "neg", F.posexplode("pairs").alias("p", "pair")).withColumn(
-            "hit", bit(F.get(F.col("pair"), F.lit(0))) & bit(F.get(F.col("pair"), F.lit(1))))
+            "slot", "m", "pos", "neg", F.posexplode("pairs").alias("p", "pair")).withColumn("hit", bit(0) & bit(1))
         on = lambda c: F.sum(F.when(F.col("hit"), F.col(c)).otherwise(F.lit(0.0)))
         counts = hits.groupBy("slot", "p").agg(on("pos").alias("ip"), on("neg").alias("ineg"), F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
         for r in best_per(score_counts(counts, 2, cfg.min_samples_leaf), ["slot"], ["p"]).collect():

@@ -41,7 +41,9 @@ class Registry:
         return self._read("experiments", EXPERIMENTS).orderBy(F.desc("created_at"), "experiment_id")
 
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS).orderBy(F.desc("created_at"), "run_id")
+        gone = self._read("runs_deleted", "run_id string").select("run_id").distinct()
+        left = self._read("runs", RUNS).join(gone, "run_id", "left_anti")
+        return left.orderBy(F.desc("created_at"), "run_id")
 
     def register(self, config: dict, note: str = "") -> str:
         text = json.dumps(config, sort_keys=True)
@@ -55,7 +57,7 @@ class Registry:
         """Append run rows (any extra columns are kept)."""
         if "created_at" not in rows.columns:
             rows = rows.withColumn("created_at", F.current_timestamp())
-        rows.write.mode("append").parquet(f"{self.folder}/runs")
+        rows.withColumn("run_id", F.col("run_id").cast("string")).write.mode("append").parquet(f"{self.folder}/runs")
 
     def restore(self, experiment_id: str, payload: DataFrame | None = None) -> DataFrame:
         """Runs of one experiment; payload values win, registry columns fill the gaps."""
@@ -63,11 +65,8 @@ class Registry:
         return runs if payload is None else restore_join(runs, payload, ["method", "accuracy", "nodes", "axp_len"])
 
     def delete_runs(self, ids: DataFrame) -> None:
-        """Write the remaining runs to a new table version, then swap it in by overwrite."""
-        from rulespire.session import cut_lineage
-
-        rest = cut_lineage(self._read("runs", RUNS).join(ids.select("run_id"), "run_id", "left_anti"))
-        rest.write.mode("overwrite").parquet(f"{self.folder}/runs")
+        """Append the ids to the deleted ones; nothing is overwritten, so a failed write loses no run."""
+        ids.select(F.col("run_id").cast("string").alias("run_id")).write.mode("append").parquet(f"{self.folder}/runs_deleted")
 
 
 def restore_join(runs: DataFrame, payload: DataFrame, columns: list[str]) -> DataFrame:

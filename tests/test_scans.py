@@ -113,3 +113,16 @@ def test_clean_edges(spark):
     df = spark.createDataFrame([([3.0, 3.0],), ([1.0, 5.0, 1.0],), ([4.0, 1.0, 2.0],)], "e array<double>")
     got = [r[0] for r in df.select(clean_edges(F.col("e"))).collect()]
     assert got == [[3.0 - 1e-10, 3.0, 3.0 + 1e-10], [1.0, 3.0, 5.0], [1.0, 2.0, 4.0]]
+
+
+def test_wide_table(spark):
+    """As many columns as the widest shipped task: validated, profiled and summarized."""
+    from rulespire.operators import profile as P
+
+    width = 1276
+    names = [f"x{i}" for i in range(width)]
+    rows = [(k, k % 2, [float((k * 7 + i) % 2) for i in range(width)]) for k in range(178)]
+    df = spark.createDataFrame(rows, "rk long, y int, x array<double>").select("rk", "y", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    assert P.require_valid(df, "y", names) == 178
+    r = P.task_profile(df.withColumn("task", F.lit("w")), "y", names, ["task"]).first()
+    assert (r["n_samples"], r["n_features"], r["is_binary"], r["n_original"]) == (178, width, True, width)
