@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulespire.session import ship_package
+from rulespire.session import cut_lineage, ship_package
 
 #: White space between words: the space and the control characters 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,6 +35,21 @@ def document_hash_sql(seed: str, doc_id: str = "doc_id", text: str = "text") ->
             f" || coalesce({text}, '')), 1, 15))::BIGINT")
 
 
+#: Rows that are broadcast; longer tables are joined by a shuffle.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, written and counted, marked for broadcast if it has at most ``SMALL`` (narrow) rows."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def bound(value: Column, use: Callable) -> Column:
+    """``use`` of a value that is computed once, though expressions inside refer to it again and again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the workers."""
     ship_package(df.sparkSession)

@@ -8,8 +8,7 @@ the radius. The pairs are then decided by weighted Jaccard similarity of the shi
 
 Windows are laid where they can matter: a window without a shingle of its item has similarity 0, so
 each occurrence of an item's shingle places one window by its offset in the item, and no other is fingerprinted.
-Shingles are looked up by a join; the item side is broadcast when its counted rows are below ``SMALL``, else
-it is shuffled.
+Shingles are looked up by a join; the item side is broadcast when it has few rows, which is counted, else it is shuffled.
 
 Everything is DataFrame expressions. No group is collected: windows are grouped by document, place and item length,
 and the join keys are hashes of short runs of bits combined with the item length.
@@ -23,19 +22,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulespire.llm.common import SPACE, document_hash, fresh
+from rulespire.llm.common import SPACE, bound, document_hash, fresh, small
 from rulespire.session import cut_lineage
 
-K, RADIUS, SMALL = 5, 20, 1_000_000
+K, RADIUS = 5, 20
 #: Bits that end the blocks of a fingerprint: 21 blocks of three or four bits.
 CUTS = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
 
 
-def bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, though a lambda inside refers to it again and again."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
 
@@ -80,9 +74,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
     bench = items.select("item_id", F.size(words(F.coalesce("text", F.lit("")))).alias("n_words"), shingles(F.col("text")).alias("hs")).filter("n_words > 0")
     bench = cut_lineage(bench.select("item_id", "n_words", "hs", F.size("hs").alias("n"), simhash(F.col("hs")).alias("fingerprint"), counted(F.col("hs")).alias("counts")))
     marks = bench.select(F.posexplode("hs").alias("at", "h"), "n").distinct()
-    marks = cut_lineage(marks.groupBy("h").agg(F.collect_set(F.struct("at", "n")).alias("offsets")))  # at most one entry per place in an item
-    if marks.count() <= SMALL:
-        marks = F.broadcast(marks)
+    marks = small(marks.groupBy("h").agg(F.collect_set(F.struct("at", "n")).alias("offsets")))  # at most one entry per place in an item
     text = F.col("text")
     key = document_hash("leak", F.col("doc_id"), text)
     spread = docs.select(key.alias("place"), F.posexplode(shingles(text)).alias("pos", "h"))
@@ -90,7 +82,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
     starts = hits.select("place", "n", (F.col("pos") - F.col("at")).alias("start")).distinct()
     starts = cut_lineage(starts)
     # the few documents with windows are read again, which is cheaper than carrying all shingles along
-    found = docs.select(key.alias("place"), "doc_id", "text").join(starts.select("place").distinct(), "place").dropDuplicates(["place"])
+    found = docs.select(key.alias("place"), "doc_id", "text").join(small(starts.select("place").distinct()), "place").dropDuplicates(["place"])
     found = found.select("place", "doc_id", shingles(text).alias("hs"))
     placed = found.join(starts, "place").withColumn("start", F.greatest(F.lit(0), F.least(F.col("start"), F.size("hs") - F.col("n"))))
     window = placed.select("place", "doc_id", "n", "start", F.slice("hs", F.col("start") + 1, F.col("n")).alias("w")).dropDuplicates(["place", "n", "start"])
@@ -108,7 +100,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents without a contaminated window, with all columns."""
     (gone,) = fresh(docs, "leak_place")
-    bad = contaminated(docs, items, threshold).select(F.col("place").alias(gone)).distinct()
+    bad = small(contaminated(docs, items, threshold).select(F.col("place").alias(gone)).distinct())
     return docs.join(bad, document_hash("leak", docs["doc_id"], docs["text"]) == F.col(gone), "left_anti")
 
 

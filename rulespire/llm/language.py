@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from rulespire.llm.common import document_hash, fresh, map_arrow
+from rulespire.llm.common import bound, document_hash, fresh, map_arrow, small
 from rulespire.session import cut_lineage
 
 BUCKETS = 8192
@@ -126,9 +126,14 @@ def evidence(rows: DataFrame, logs: np.ndarray) -> DataFrame:
 
 
 def _softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(F.greatest(x - top, F.lit(-700.0))))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+    def shares(powers):
+        return bound(F.aggregate(powers, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(powers, lambda x: x / total))
+
+    def of(xs):
+        powers = bound(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(F.greatest(x - top, F.lit(-700.0)))))
+        return bound(powers, shares)
+
+    return bound(logits, of)
 
 
 def fuse(rows: DataFrame, names: list[str], carry: list[str], accepted: list[str] | None = None, least: float = 0.5) -> DataFrame:
@@ -169,10 +174,11 @@ def fuse(rows: DataFrame, names: list[str], carry: list[str], accepted: list[str
     said = [F.coalesce(f"{c}_log", nothing) for c in ("declared", "suffix")]
     host = F.transform(F.coalesce("h_share", level), lambda x: F.log(x))
     total = F.transform(F.arrays_zip(F.col("ll").alias("t"), *[with_und(a, mean(a)).alias(x) for a, x in zip(said, "ds")], with_und(host, und).alias("h")), lambda x: x["t"] + x["d"] + x["s"] + x["h"])
-    df = df.select(*carry, "n", total.alias("total")).withColumn("q", _softmax(F.col("total")))
-    best = F.array_position("q", F.array_max("q")).cast("int")
-    language = F.when(F.col("n") > 0, F.element_at(F.array(*[F.lit(x) for x in names]), best)).otherwise("und")
-    df = df.select(*carry, language.alias("language"), F.when(F.col("n") > 0, F.array_max("q")).otherwise(0.0).alias("posterior"))
+    named = F.array(*[F.lit(x) for x in names])
+    best = bound(_softmax(total), lambda q: bound(F.array_max(q), lambda p: F.struct(F.element_at(named, F.array_position(q, p).cast("int")).alias("language"), p.alias("posterior"))))
+    df = df.select(*carry, "n", best.alias("best"))
+    some = F.col("n") > 0
+    df = df.select(*carry, F.when(some, F.col("best.language")).otherwise("und").alias("language"), F.when(some, F.col("best.posterior")).otherwise(0.0).alias("posterior"))
     fine = F.col("language").isin(accepted if accepted is not None else names[:-1])
     return df.withColumn("kept", fine & (F.col("posterior") >= least))
 
@@ -201,8 +207,7 @@ def accepted_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
     rows = document_rows(docs).withColumn("place", place)
     (gone,) = fresh(docs, "language_place")
     rejected = fuse(evidence(rows, logs), names, ["place"], least=least).filter("not kept").select(F.col("place").alias(gone)).distinct()
-    # few rows as a rule; adaptive execution broadcasts them then
-    return docs.join(rejected, document_hash("language", docs["doc_id"], docs["text"]) == F.col(gone), "left_anti")
+    return docs.join(small(rejected), document_hash("language", docs["doc_id"], docs["text"]) == F.col(gone), "left_anti")
 
 
 def op3_language_id(spark, sf: str) -> DataFrame:

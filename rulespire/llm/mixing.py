@@ -22,7 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rulespire.llm.common import WORD, document_hash, document_hash_sql, fresh
+from rulespire.llm.common import WORD, document_hash, document_hash_sql, fresh, small
 from rulespire.session import cut_lineage
 
 SEED = "mix"
@@ -103,7 +103,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     sized = sized_documents(docs, seed)
     last = fair_queue(sized, weights, share, passes).filter("taken").groupBy("source", "pass").agg(F.max("u").alias("u"))
     s, u, p = fresh(docs, "mix_source", "mix_last", "mix_pass")
-    last = cut_lineage(last.select(F.col("source").alias(s), F.col("u").alias(u), F.col("pass").alias(p)))
+    last = small(last.select(F.col("source").alias(s), F.col("u").alias(u), F.col("pass").alias(p)))
     place = document_hash(seed, docs["doc_id"], docs["text"])
     return docs.join(last, docs["source"].eqNullSafe(last[s])).filter(place <= last[u]).select(*[docs[c] for c in docs.columns])
 
