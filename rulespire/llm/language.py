@@ -34,7 +34,7 @@ from rulespire.session import cut_lineage
 
 BUCKETS = 8192
 #: Languages of the model (the most frequent labels), prior of ``und``, strengths of the smoothing.
-LANGUAGES, UNKNOWN, HOST, DOMAIN, VALUES = 64, 0.001, 20.0, 100.0, 50.0
+LANGUAGES, UNKNOWN, HOST, DOMAIN, VALUES = 64, 1e-4, 20.0, 100.0, 50.0
 _KIND = np.full(256, 32, np.uint8)  # bytes of letters; everything else is a space
 _KIND[97:123] = np.arange(97, 123)
 _KIND[128:] = np.arange(128, 256)
@@ -46,9 +46,14 @@ def markup_text(page: str | None) -> str:
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every trigram with at least two letters, of all texts in order, and the texts' numbers of them."""
+    """Bucket of every trigram with at least two letters, of all texts in order, and the texts' numbers of them. Words with
+    digits are no evidence: keys and numbers look the same in every language."""
     joined = [(t or "").lower().encode() for t in texts]
-    b = _KIND[np.frombuffer(b"  ".join([b"", *joined, b""]), np.uint8)].astype(np.uint32)
+    raw = np.frombuffer(b"  ".join([b"", *joined, b""]), np.uint8)
+    word = np.cumsum(raw <= 32, dtype=np.int32)
+    code_words = np.zeros(word[-1] + 1, bool)
+    code_words[word[(raw >= 48) & (raw <= 57)]] = True
+    b = np.where(code_words[word], np.uint8(32), _KIND[raw]).astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     letter = (b != 32).astype(np.uint8)
     some = np.flatnonzero(letter[:-2] + letter[1:-1] + letter[2:] >= 2)
