@@ -35,6 +35,8 @@ from rulespire.session import cut_lineage
 BUCKETS = 8192
 #: Languages of the model (the most frequent labels), prior of ``und``, strengths of the smoothing.
 LANGUAGES, UNKNOWN, HOST, DOMAIN, VALUES = 64, 1e-4, 20.0, 100.0, 50.0
+#: Share of a text's trigrams that may be anything (keys, names), so that some of them don't outweigh the rest.
+NOISE = 0.2
 _KIND = np.full(256, 32, np.uint8)  # bytes of letters; everything else is a space
 _KIND[97:123] = np.arange(97, 123)
 _KIND[128:] = np.arange(128, 256)
@@ -100,7 +102,8 @@ def train(labelled: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], n
         counts = np.zeros((len(names), BUCKETS))
         for r in each.groupBy("language", "k").agg(F.sum("n").alias("n")).collect():  # at most languages x BUCKETS rows
             counts[names.index(r["language"]), r["k"]] = r["n"]
-        logs[:-1] = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
+        shares = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
+        logs[:-1] = np.log((1 - NOISE) * shares + NOISE / BUCKETS)
     return [*names, "und"], logs
 
 
