@@ -121,16 +121,32 @@ def diffs(spark, sf):
     return o.select("method", "depth", F.round("diff", 9).alias("diff"))
 
 
-@query("ana9_paired_t", f"WITH {DIFF_SQL} SELECT method, depth, count(diff) AS n, {rsql('avg(diff)')} AS mean_diff, {rsql('avg(diff) / (stddev_samp(diff) / sqrt(count(diff)))', 4)} AS t FROM df GROUP BY 1, 2")
+def t_p_sql(t, n):
+    """Two-sided p of a t statistic, integrated in DuckDB."""
+    simpson = lambda hi: f"list_sum(list_transform(range(0, 401), lambda i: pow(cos(i * ({hi}) / 400), {n} - 2) * CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)) * ({hi}) / 1200"
+    return f"greatest(0.0, 1 - ({simpson(f'atan(abs({t}) / sqrt({n} - 1))')}) / ({simpson('pi() / 2')}))"
+
+
+def z_p_sql(z):
+    x = f"(abs({z}) / sqrt(2))"
+    u, total = f"(1 / (1 + {A.ERFC[0]} * {x}))", "0.0"
+    for c in reversed(A.ERFC[1:]):
+        total = f"(({total} + {c}) * {u})"
+    return f"{total} * exp(-{x} * {x})"
+
+
+@query("ana9_paired_t", f"WITH {DIFF_SQL} SELECT method, depth, count(diff) AS n, {rsql('avg(diff)')} AS mean_diff, {rsql('avg(diff) / (stddev_samp(diff) / sqrt(count(diff)))', 4)} AS t, {rsql(t_p_sql('avg(diff) / (stddev_samp(diff) / sqrt(count(diff)))', 'count(diff)'), 5)} AS p FROM df GROUP BY 1, 2")
 def ana9(spark, sf):
-    return rounded(rounded(A.paired_t(diffs(spark, sf), ["method", "depth"], "diff"), "mean_diff"), "t", digits=4)
+    out = A.paired_t(diffs(spark, sf), ["method", "depth"], "diff").withColumn("p", A.t_p_column(F.col("t"), F.col("n")))
+    return rounded(rounded(rounded(out, "mean_diff"), "t", digits=4), "p", digits=5)
 
 
 @query("ana10_signed_ranks", f"""WITH {DIFF_SQL}, nz AS (SELECT method, depth, diff, abs(diff) AS a FROM df WHERE diff <> 0), rk AS (SELECT *, rank() OVER (PARTITION BY method, depth ORDER BY a) + (count(*) OVER (PARTITION BY method, depth, a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY method, depth, a) AS ties FROM nz),
     w AS (SELECT method, depth, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS w_minus, sum(ties * ties - 1.0) AS tt FROM rk GROUP BY 1, 2)
-    SELECT method, depth, n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS w, {rsql('(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0)', 4)} AS z FROM w""")
+    SELECT method, depth, n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS w, {rsql('(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0)', 4)} AS z, {rsql(z_p_sql('(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0)'), 5)} AS p FROM w""")
 def ana10(spark, sf):
-    return rounded(A.signed_ranks(diffs(spark, sf), ["method", "depth"], "diff"), "z", digits=4)
+    out = A.signed_ranks(diffs(spark, sf), ["method", "depth"], "diff").withColumn("p", A.z_p_column(F.col("z")))
+    return rounded(rounded(out, "z", digits=4), "p", digits=5)
 
 
 @query("ana10_pairwise_ranks", f"""WITH {CELL}, pw AS (SELECT a.method AS method_a, b.method AS method_b, round(a.accuracy - b.accuracy, 9) AS diff FROM m a JOIN m b ON a.dataset = b.dataset AND a.depth = b.depth AND a.method < b.method), nz AS (SELECT *, abs(diff) AS a FROM pw WHERE diff <> 0),

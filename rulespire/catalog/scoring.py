@@ -80,9 +80,9 @@ def _supervised_sql(feats: list[str], n_bins: int) -> str:
     return f"WITH {', '.join(ctes)}, e AS (SELECT feature, cut AS edge FROM {last} WHERE cut > -1e299 UNION SELECT feature, min(value) FROM l GROUP BY 1 UNION SELECT feature, max(value) FROM l GROUP BY 1) SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY edge) - 1)::INT AS i, {rsql('edge')} AS edge FROM e"
 
 
-@query("bin4_supervised_edges", _supervised_sql(["q", "d", "t"], 5))
+@query("bin4_supervised_edges", _supervised_sql(["q", "d", "t", "p"], 5))
 def bin4(spark, sf):
-    return edge_rows(B.supervised_edges(long_rows(spark, sf, feats=["q", "d", "t"]), ["feature"], 5))
+    return edge_rows(B.supervised_edges(long_rows(spark, sf, feats=["q", "d", "t", "p"]), ["feature"], 5))
 
 
 @query("bin5_clean_edges", f"""WITH g AS (SELECT l_suppkey AS supp, list_sort(list_distinct(list(l_discount + 0.0))) AS e FROM lineitem GROUP BY 1),

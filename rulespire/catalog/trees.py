@@ -418,11 +418,11 @@ def tre18(spark, sf):
 
 @query("tre19_axis_path_length")
 def tre19(spark, sf):
-    from rulespire.plans.grid import axis_rule_lengths, axis_tree
+    from rulespire.plans.grid import axis_path_lengths, axis_tree
 
     df = line_rows(spark, sf, "or2")
-    lengths = axis_rule_lengths(axis_tree(df, "y", LINE_FEATURES)[1])
-    return df.groupBy("task").agg(F.count(F.lit(1)).alias("n")).withColumn("mean_leaf_depth", F.lit(float(lengths["mean_leaf_depth"]))).withColumn("leaves", F.lit(lengths["leaves"]))
+    rows = axis_path_lengths(df, axis_tree(df, "y", LINE_FEATURES))
+    return rounded(rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.avg("path_length").alias("mean_path_length")), "mean_path_length")
 
 
 # --- PRU ---------------------------------------------------------------------------------------------------

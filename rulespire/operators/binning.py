@@ -90,13 +90,14 @@ def supervised_edges(long: DataFrame, keys: list[str], n_bins: int) -> DataFrame
         .persist()
     )
     from rulespire.operators.scan import splitters
+    from rulespire.session import cut_lineage
 
     borders = splitters(counts, keys, "value")
     cum = prefix_sums(counts, keys, "value", ["pos", "neg"], borders)
     cum = cum.withColumn("cut", (F.col("value") + F.col("next_value")) / 2).persist()
     schema = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
-    chosen: dict[tuple, list[float]] = {k: [] for k in borders}
-    open_keys = set(borders)
+    chosen: dict[tuple, list[float]] = {tuple(r): [] for r in borders.select(*keys).collect()}  # features
+    open_keys = set(chosen)
     while open_keys:
         cuts = spark.createDataFrame([(*k, sorted(chosen[k])) for k in open_keys], f"{schema}, cuts array<double>")
         seg = cum.join(F.broadcast(cuts), keys).withColumn("seg", F.size(F.filter("cuts", lambda c: c <= F.col("value"))))
@@ -120,7 +121,9 @@ def supervised_edges(long: DataFrame, keys: list[str], n_bins: int) -> DataFrame
             chosen[k].append(r["cut"])
             if len(chosen[k]) < n_bins - 1:
                 open_keys.add(k)
-    span = counts.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    span = cut_lineage(counts.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
+    counts.unpersist()
+    cum.unpersist()
     table = spark.createDataFrame([(*k, sorted(v)) for k, v in chosen.items()], f"{schema}, cuts array<double>")
     return span.join(F.broadcast(table), keys).select(
         *keys, F.array_sort(F.array_distinct(F.concat(F.array("lo"), "cuts", F.array("hi")))).alias("edges"))

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rulespire.session import cut_lineage
+
 RANK_BUCKETS = 65536
 VALUE_BUCKETS = 256
-MAX_SPLITTER_GROUPS = 20_000
+BROADCAST_GROUPS = 2_000  # groups whose borders are broadcast
 
 
 def rank_by_hash(
@@ -45,9 +47,9 @@ def rank_by_hash(
 def smallest_by_hash(df: DataFrame, keys: list[str], u: str, tie: list[str], take, flag: str = "taken") -> DataFrame:
     """Flag the ``take(n)`` rows of each group with the smallest draws; n is the group size.
 
-    Bucket totals tell in which bucket the last taken row lies. Rows of all other buckets
-    are decided by their bucket number alone; only that one bucket (1/65536 of a group) is
-    ranked, so the rows themselves are neither shuffled nor sorted.
+    Bucket totals tell in which bucket the last taken row lies. Only that one bucket (1/65536 of
+    a group) is ranked, which gives the last taken (draw, tie) of each group; the rows are then
+    compared with it in one pass and neither shuffled nor sorted. Rows that agree in draw and tie share their flag.
     """
     b = df.withColumn("__b", F.floor(F.col(u) * RANK_BUCKETS).cast("int"))
     totals = b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -57,38 +59,27 @@ def smallest_by_hash(df: DataFrame, keys: list[str], u: str, tie: list[str], tak
     # last bucket that starts before the quota is full, and what is left for it
     edge = run.filter(F.col("__cum") - F.col("__n") < F.col("__take")).groupBy(*keys).agg(
         F.max("__b").alias("__edge"), F.max_by(F.col("__take") - F.col("__cum") + F.col("__n"), "__b").alias("__left"))
-    placed = b.join(edge, keys, "left")
-    far = placed.filter(F.col("__edge").isNull() | (F.col("__b") != F.col("__edge"))).withColumn(
-        flag, F.coalesce(F.col("__b") < F.col("__edge"), F.lit(False)))
-    near = placed.filter(F.col("__b") == F.col("__edge")).withColumn(
-        flag, F.row_number().over(W.partitionBy(*keys).orderBy(u, *tie)) <= F.col("__left"))
-    return far.unionByName(near).drop("__b", "__edge", "__left")
+    near = b.join(edge, keys).filter(F.col("__b") == F.col("__edge")).select(*keys, "__left", F.struct(u, *tie).alias("__at"))
+    ranked = near.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy("__at")))
+    last = ranked.filter(F.col("__i") <= F.col("__left")).groupBy(*keys).agg(F.max("__at").alias("__last"))
+    # one row per group: as large as the table only where every row is its own group
+    return df.join(last, keys, "left").withColumn(flag, F.coalesce(F.struct(u, *tie) <= F.col("__last"), F.lit(False))).drop("__last")
 
 
-def splitters(df: DataFrame, keys: list[str], value: str, buckets: int = VALUE_BUCKETS) -> dict[tuple, list[float]]:
+def splitters(df: DataFrame, keys: list[str], value: str, buckets: int = VALUE_BUCKETS) -> DataFrame:
     """Bucket borders per group from a mergeable sketch: groups x buckets numbers.
 
-    They are fetched once, so every later pass uses the same borders. Which borders
+    They are written once, so every later pass uses the same borders. Which borders
     come back only balances the work; results do not depend on them.
     """
     probs = [i / buckets for i in range(1, buckets)]
-    rows = (
-        df.groupBy(*keys)
-        .agg(F.percentile_approx(value, probs, 4 * buckets).alias("__s"))
-        .limit(MAX_SPLITTER_GROUPS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_SPLITTER_GROUPS:
-        raise ValueError("too many groups for value buckets; keys must be model-sized (features, nodes)")
-    return {tuple(r[k] for k in keys): sorted(set(r["__s"] or [])) for r in rows}
+    rows = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 4 * buckets).alias("__s"))
+    return cut_lineage(rows.select(*keys, F.coalesce(F.array_sort(F.array_distinct("__s")), F.array().cast("array<double>")).alias("__s")))
 
 
-def _with_value_bucket(df: DataFrame, keys: list[str], value: str, borders: dict[tuple, list[float]]) -> DataFrame:
-    spark = df.sparkSession
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    table = spark.createDataFrame([(*k, v) for k, v in borders.items()], f"{schema}, __s array<double>")
-    # groups x buckets numbers, checked in splitters(): safe to broadcast
-    joined = df.join(F.broadcast(table), keys)
+def _with_value_bucket(df: DataFrame, keys: list[str], value: str, borders: DataFrame) -> DataFrame:
+    few = borders.count() <= BROADCAST_GROUPS  # groups x buckets numbers
+    joined = df.join(F.broadcast(borders) if few else borders, keys)
     return joined.withColumn("__b", _count_below(F.col("__s"), F.col(value))).drop("__s")
 
 
@@ -100,7 +91,7 @@ def _count_below(borders: Column, value: Column, block: int = 16) -> Column:
 
 
 def prefix_sums(
-    counts: DataFrame, keys: list[str], value: str, sums: list[str], borders: dict[tuple, list[float]] | None = None,
+    counts: DataFrame, keys: list[str], value: str, sums: list[str], borders: DataFrame | None = None,
     positions: list[float] | None = None,
 ) -> DataFrame:
     """Running sums of ``sums`` by ascending ``value`` within ``keys``.

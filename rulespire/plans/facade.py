@@ -10,13 +10,14 @@ from rulespire.config import FitConfig
 from rulespire.functions.hashing import unit_hash
 from rulespire.functions.rules import ANY, BEST, FAMILIES
 from rulespire.operators.calibrate import binned_apply, binned_fit, platt_apply, platt_fit
+from rulespire.operators.certificates import backend_labels, require_certified
 from rulespire.operators.explain import explain_rows
 from rulespire.operators.profile import require_valid
 from rulespire.operators.prune import prune
 from rulespire.plans.boost import fit_boosting
 from rulespire.plans.forest import fit_forest, score_forest
 from rulespire.plans.grow import fit_tree
-from rulespire.plans.model import accuracy, score_rows
+from rulespire.plans.model import accuracy, root_paths, score_rows
 
 
 def choose_model(n_train: int, requested: str = "auto") -> str:
@@ -48,6 +49,16 @@ class RuleClassifier:
     pruning_alpha: float = 0.01
     strict_family: bool = False
     seed: int = 42
+    min_gain: float = 1e-7
+    complexity_penalty: float = 0.0
+    laplace: float = 1.0
+    allow_affine: bool = False
+    allow_compare: bool = False
+    use_interactions: bool = False
+    use_gain_ratio: bool = False
+    look_ahead: bool = False
+    limit_2d: int | None = None
+    limit_3d: int | None = None
     model_: object = field(default=None, init=False)
     kind_: str | None = field(default=None, init=False)
     calibrator_: tuple | None = field(default=None, init=False)
@@ -65,7 +76,10 @@ class RuleClassifier:
     def _config(self, depth: int, bins: int) -> FitConfig:
         return FitConfig(family=self.family, max_depth=depth, n_bins=bins, min_samples_leaf=self.min_samples_leaf,
                          min_samples_split=self.min_samples_split, max_arity=self.max_arity,
-                         strict_family=self.strict_family, seed=self.seed)
+                         strict_family=self.strict_family, seed=self.seed, min_gain=self.min_gain,
+                         complexity_penalty=self.complexity_penalty, laplace=self.laplace, allow_affine=self.allow_affine,
+                         allow_compare=self.allow_compare, use_interactions=self.use_interactions, use_gain_ratio=self.use_gain_ratio,
+                         look_ahead=self.look_ahead, limit_2d=self.limit_2d, limit_3d=self.limit_3d)
 
     def fit(self, df: DataFrame) -> "RuleClassifier":
         if self.strict_family and self.family == ANY:
@@ -75,7 +89,7 @@ class RuleClassifier:
         u = unit_hash(self.seed, "cal", F.col(self.row_key))
         train = df.filter(u >= 0.15) if hold else df
         held = df.filter(u < 0.15) if hold else None
-        self.kind_ = choose_model(int(n * 0.85) if hold else n, self.model_type)
+        self.kind_ = choose_model(train.count() if hold and self.model_type == "auto" else n, self.model_type)
         if self.kind_ == "single":
             self.model_ = fit_tree(train, self.label, self.features, self._config(self.max_depth, self.n_bins))
             if self.use_pruning:
@@ -121,10 +135,16 @@ class RuleClassifier:
     def score(self, df: DataFrame) -> float:
         return accuracy(self.predict(df), "pred", self.label).first()["accuracy"]
 
-    def explain(self, df: DataFrame) -> DataFrame:
+    def explain(self, df: DataFrame, strict: bool = False) -> DataFrame:
+        """Add y_pred, axp and axp_len; ``strict`` refuses a tree with a path that has no certificate."""
         self._fitted()
         if self.kind_ != "single":
             raise NotImplementedError("explanations exist for single trees only")
+        if strict:
+            nodes = self.model_.frame(df.sparkSession)
+            deepest = max(n.depth for n in self.model_.leaves())
+            rules = nodes.filter("not is_leaf").select("tree_id", "node_id", "family", "combine", "lits")
+            require_certified(backend_labels(root_paths(nodes, deepest).join(rules, ["tree_id", "node_id"])))
         return explain_rows(df, self.model_)
 
     def summary(self) -> dict:

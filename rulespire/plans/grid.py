@@ -40,14 +40,18 @@ def axis_predict(df: DataFrame, fitted) -> DataFrame:
         "proba", vector_to_array("probability")[1]).drop("__v", "prediction", "rawPrediction", "probability")
 
 
-def axis_rule_lengths(model) -> dict[float, int]:
-    """Number of decisions above every leaf of the baseline (from its text form)."""
-    depths, level = [], 0
-    for line in model.toDebugString.splitlines():
-        level = (len(line) - len(line.lstrip(" "))) // 1
-        if line.strip().startswith("Predict:"):
-            depths.append(max(level - 2, 0))
-    return {"mean_leaf_depth": sum(depths) / max(len(depths), 1), "leaves": len(depths)}
+def axis_leaf_depths(model) -> list[int]:
+    """Decisions above every leaf of the baseline, in the order of its leaf numbers (left to right, as in its text form)."""
+    lines = model.toDebugString.splitlines()
+    return [len(line) - len(line.lstrip(" ")) - 2 for line in lines if line.strip().startswith("Predict:")]
+
+
+def axis_path_lengths(df: DataFrame, fitted, out: str = "path_length") -> DataFrame:
+    """Add the number of decisions on each row's own path."""
+    assembler, model = fitted
+    depths = F.array(*[F.lit(d) for d in axis_leaf_depths(model)])
+    scored = model.copy().setLeafCol("__leaf").transform(assembler.transform(df))
+    return scored.withColumn(out, F.get(depths, F.col("__leaf").cast("int"))).select(*df.columns, out)
 
 
 def run_grid(spark: SparkSession, tasks: dict[str, DataFrame], features: dict[str, list[str]], methods: dict[str, FitConfig],

@@ -65,3 +65,24 @@ def test_pareto_front_by_definition(spark):
     got = {r["id"] for r in A.pareto_front(df, ["k"], "gain", "cost").collect()}
     beats = lambda o, r: o[0] == r[0] and o[1] >= r[1] and o[2] <= r[2] and (o[1] > r[1] or o[2] < r[2])
     assert got == {r[3] for r in rows if not any(beats(o, r) for o in rows)}
+
+
+def test_every_fitted_kind_is_saved(spark, tmp_path):
+    import random
+
+    from rulespire.plans.facade import RuleClassifier
+    from rulespire.sources.sinks import load_fitted, save_fitted
+
+    rng = random.Random(2)
+    rows = [(k, *[float(rng.randint(0, 5)) for _ in range(3)]) for k in range(400)]
+    df = spark.createDataFrame([(k, a, b, c, int(a >= 3 or b < 2)) for k, a, b, c in rows], "rk long, a double, b double, c double, y int")
+    for kind, how in (("single", "platt"), ("forest", "isotonic"), ("boosting", "platt")):
+        clf = RuleClassifier(["a", "b", "c"], model_type=kind, calibration_method=how, n_estimators=2, max_depth=2).fit(df)
+        path = f"{tmp_path}/{kind}"
+        save_fitted(spark, clf, path)
+        again = load_fitted(spark, path)
+        assert again.kind_ == kind and again.max_depth == 2
+        one, two = (sorted((r["rk"], r["proba"], r["pred"]) for r in c.predict(df).collect()) for c in (clf, again))
+        assert one == two
+        if kind == "single":
+            assert again.explain(df).count() == 400
