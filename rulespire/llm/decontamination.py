@@ -107,3 +107,24 @@ def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
 def op1_decontamination(spark, sf: str) -> DataFrame:
     found = contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
     return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), F.round("similarity", 6).alias("similarity"))
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    """key, ws (words) and hs (shingles as text) of every row."""
+    return f"""(SELECT *, CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS hs
+    FROM (SELECT {key}, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '{SPACE}') if x <> ''] AS ws FROM {table}))"""
+
+
+# The same windows compared exactly, without fingerprints: equal unless a match is more than RADIUS bits apart.
+ORACLE = f"""WITH d AS {_shingles_sql("documents", "doc_id")}, b AS {_shingles_sql("benchmark", "item_id")},
+i AS (SELECT item_id, len(ws) AS n_words, len(hs) AS n, hs FROM b WHERE len(ws) > 0),
+m AS (SELECT DISTINCT n, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS off FROM i),
+p AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS pos FROM d),
+s AS (SELECT DISTINCT p.doc_id, m.n, greatest(0, least(pos - off, len(d.hs) - m.n)) AS start FROM p JOIN m ON p.h = m.h JOIN d ON d.doc_id = p.doc_id),
+w AS (SELECT s.*, d.hs[start + 1:start + n] AS hs FROM s JOIN d USING (doc_id)),
+wc AS (SELECT doc_id, n, start, h, count(*) AS c FROM (SELECT doc_id, n, start, unnest(hs) AS h FROM w) GROUP BY ALL),
+ic AS (SELECT item_id, n, n_words, h, count(*) AS c FROM (SELECT item_id, n, n_words, unnest(hs) AS h FROM i) GROUP BY ALL),
+o AS (SELECT doc_id, item_id, start, n, n_words, sum(least(wc.c, ic.c)) AS shared FROM wc JOIN ic USING (n, h) GROUP BY ALL),
+r AS (SELECT o.doc_id, item_id, start, n_words, shared / (len(w.hs) + o.n - shared)::DOUBLE AS similarity FROM o JOIN w USING (doc_id, n, start))
+SELECT doc_id, item_id, start::BIGINT AS start, n_words::BIGINT AS n_words, round(similarity, 6) AS similarity FROM r WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_log_bilinear": language_model.op10_log_bilinear,
 }
 ORACLES = {
+    "op1_decontamination": decontamination.ORACLE,
     "op2_weighted_mix": mixing.ORACLE,
     "op7_chat_format": chat.ORACLE,
 }
