@@ -1,7 +1,7 @@
 """Every registered query against its SQL at the smallest size.
 
 Fits without SQL are covered by the other test files. RULESPIRE_ALL=1 runs all queries,
-otherwise every fourth one of each group plus all searches and explanations with windows.
+otherwise every third one but the slowest.
 """
 
 import os
