@@ -37,8 +37,8 @@ from rulespire.session import cut_lineage
 
 TOKENS, TREES, NODE, PIVOTS, DEPTH = 64, 8, 512, 64, 8
 CLOSE = 36
-#: Documents of a cluster compared in one step.
-BLOCK = 96
+#: Documents of a cluster compared with all others at first, and in blocks that are compared in pairs; characters of a block.
+BLOCK, PAIRED, CHARS = 96, 384, 8 << 20
 #: Multipliers of the minwise hash functions: odd numbers from the finalizer above.
 _TIMES = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -206,7 +206,6 @@ def _link_blocks(percent: int):
         for table, bounds in whole_groups(batches, ("cluster", "pair")):
             ids, side, part = (table.column(c).to_numpy() for c in ("rep", "side", "part"))
             texts = table.column("text")
-            tokens = rows_of(table.column("tokens"), "<u4", TOKENS)
             out = []
             for s, e in zip(bounds[:-1], bounds[1:]):
                 sets = shingle_sets(texts.slice(s, e - s).to_pylist())
@@ -214,7 +213,7 @@ def _link_blocks(percent: int):
                 known: dict[int, int] = {}
                 for i, p in enumerate(part[s:e]):  # documents already in one component
                     joined.join(i, known.setdefault(int(p), i))
-                t, sides = tokens[s:e], side[s:e]
+                t, sides = np.frombuffer(b"".join(map(minwise, sets)), "<u4").reshape(-1, TOKENS), side[s:e]
                 for i in range(e - s):
                     near = (t[:i] == t[i]).sum(axis=1) >= CLOSE
                     near &= (sides[:i] != sides[i]) | (sides[i] == 2)
@@ -226,17 +225,22 @@ def _link_blocks(percent: int):
     return link
 
 
-def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+def _blocks(documents: int):
+    """Blocks for n documents of m characters in all."""
+    return F.greatest(F.ceil(F.col("n") / documents), F.ceil(F.col("m") / CHARS)).cast("int")
+
+
+def verified_links(docs: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), decided on whole sets, that connect what is linked inside the clusters (rep, cluster)."""
     schema = "a long, b long, node long"
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    placed = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit("cluster")), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select("rep", "cluster", "blocks", "block"), F.col("doc_id") == F.col("rep"))
-    rows = cut_lineage(texts.join(reps, "rep").select("rep", "cluster", "blocks", "block", "text", "tokens"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters, "rep")
+    rows = cut_lineage(texts.select("rep", "cluster", "text", F.length("text").alias("chars")))
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("m"))
+    rows = rows.join(sizes, "cluster").withColumn("blocks", _blocks(BLOCK))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit("cluster")), F.col("blocks")).cast("int")).drop("n", "m")
 
     copies = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = rows.select("cluster", F.explode(copies.cast("array<long>")).alias("pair"), "rep", "text", "tokens", "block")
+    first = rows.select("cluster", F.explode(copies.cast("array<long>")).alias("pair"), "rep", "text", "block")
     first = first.withColumn("side", F.when(F.col("pair") == 0, 2).when(F.col("block") == 0, 0).otherwise(1)).withColumn("part", F.col("rep"))
     links = cut_lineage(map_arrow(by_groups(first.drop("block"), "cluster", "pair"), _link_blocks(percent), schema)).select("a", "b")
     rest = rows.filter("blocks > 1 and block > 0")
@@ -245,21 +249,22 @@ def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, percen
     # documents of one component side by side; only blocks that hold two components are compared
     part = components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     rest = rest.drop("blocks", "block").join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    sizes = rest.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(F.col("n") < BLOCK).groupBy("cluster").agg(F.sum("n").alias("n_small"))
-    sizes = sizes.join(small, "cluster", "left")
+    sizes = cut_lineage(rest.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("m")))
     own = F.col("n") >= BLOCK
+    small = sizes.filter(~own).groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).select("cluster", _blocks(PAIRED).alias("shared"))
+    sizes = sizes.select("cluster", "part", own.alias("own"), _blocks(PAIRED).alias("blocks")).join(small, "cluster", "left")
+    own = F.col("own")
     held = rest.join(sizes, ["cluster", "part"])
-    key = F.when(own, F.xxhash64("part", F.pmod(F.xxhash64("rep", F.lit("own")), F.ceil(F.col("n") / BLOCK)))).otherwise(
-        F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("part", F.lit("small")), F.ceil(F.col("n_small") / BLOCK))))
-    held = held.select("cluster", "rep", "text", "tokens", "part", key.alias("block"), F.when(own, F.col("part")).alias("pure"))
+    key = F.when(own, F.xxhash64("part", F.pmod(F.xxhash64("rep", F.lit("own")), F.col("blocks")))).otherwise(
+        F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("part", F.lit("small")), F.col("shared"))))
+    held = held.select("cluster", "rep", "text", "part", key.alias("block"), F.when(own, F.col("part")).alias("pure"))
     blocks = cut_lineage(held.select("cluster", "block", "pure").distinct())
     p, q = blocks.alias("p"), blocks.alias("q")
     pairs = p.join(q, (F.col("p.cluster") == F.col("q.cluster")) & (F.col("p.block") <= F.col("q.block"))).filter("p.pure is null or q.pure is null or p.pure <> q.pure")
     pairs = pairs.select(F.col("p.cluster").alias("cluster"), F.col("p.block").alias("low"), F.col("q.block").alias("high"), F.xxhash64("p.block", "q.block").alias("pair"))
     sides = pairs.select("cluster", "pair", F.inline(F.when(F.col("low") == F.col("high"), F.array(F.struct(F.col("low").alias("block"), F.lit(2).alias("side")))).otherwise(
         F.array(F.struct(F.col("low").alias("block"), F.lit(0).alias("side")), F.struct(F.col("high").alias("block"), F.lit(1).alias("side"))))))
-    second = held.join(sides, ["cluster", "block"]).select("cluster", "pair", "rep", "text", "tokens", "side", "part")
+    second = held.join(sides, ["cluster", "block"]).select("cluster", "pair", "rep", "text", "side", "part")
     more = cut_lineage(map_arrow(by_groups(second, "cluster", "pair"), _link_blocks(percent), schema)).select("a", "b")
     return links.union(more)
 
@@ -273,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = full.withColumnRenamed("doc_id", "rep").join(classes, ["rep", *keys], "left_semi").dropDuplicates(["rep", *keys]).select("rep", "tokens")
     reps = cut_lineage(reps)
     clusters = components(candidate_edges(reps)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    links = verified_links(docs, reps, cut_lineage(clusters), percent)
+    links = verified_links(docs, cut_lineage(clusters), percent)
     members = full.select("doc_id", *keys).join(classes, keys).select("doc_id", "rep")
     # one doc_id in several classes joins them
     least = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a <> most").select("doc_id", "a")
