@@ -4,8 +4,9 @@ Documents are ordered by doc_id (null last). A line that occurs in several docum
 the earliest one that has it, so the number of pairs is at most the number of lines, however often a line occurs, and
 rare and frequent lines are treated alike: nothing is capped. Each pair is aligned by patience diff on line hashes:
 lines that are unique on both sides, in longest increasing order, then the gaps between them in the same way, then equal
-lines next to them. Runs of aligned lines with at least ``BLOCK_WORDS`` words are deleted from the later document, and the
-rest is aligned again, so moved blocks go as well. The earliest holder of a line never loses it.
+lines next to them. Lines that repeat give no anchor: equal runs that the alignment passes over are looked up by their
+hashes. Runs of equal lines with at least ``BLOCK_WORDS`` words are deleted from the later document, and the
+rest is aligned again, so moved blocks go as well, until the two share no such run. The earliest holder of a line never loses it.
 
 Shuffles carry line hashes; texts move once, in the join with the deletions. A line with a third of all documents
 is one row after the minimum per line, and the joins on its earliest holder can be split.
@@ -81,11 +82,38 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(words: list[int]) -> list[tuple[int, int]]:
+    """First and last place of the shortest runs of enough words that begin at each line with words, or end there. Every
+    line of a longer run lies in one of those inside it."""
+    out: list[tuple[int, int]] = []
+    at = [k for k, n in enumerate(words) if n]
+    p = total = 0
+    for k in at:
+        total += words[k]
+        if total >= BLOCK_WORDS and not out:
+            out.append((at[0], k))
+        while total - words[at[p]] >= BLOCK_WORDS:
+            total, p = total - words[at[p]], p + 1
+            out.append((at[p], k))
+        if total >= BLOCK_WORDS and out[-1:] != [(at[p], k)]:
+            out.append((at[p], k))
+    return out
+
+
+def shared_runs(a: list[int], words: list[int], b: list[int]) -> set[int]:
+    """Places in a of all runs with enough words that stand in b as well, however often their lines repeat."""
+    count = dict(zip(a, words))
+    there = {tuple(b[s : e + 1]) for s, e in runs([count.get(x, BLOCK_WORDS) for x in b])}
+    return {i for s, e in runs(words) if tuple(a[s : e + 1]) in there for i in range(s, e + 1)}
+
+
 def repeated_lines(a: list[int], words: list[int], b: list[int]) -> list[int]:
-    """Places in a of aligned blocks with enough words. What is left is aligned again, so blocks in another order are found too."""
+    """Places in a of aligned blocks and other shared runs with enough words. What is left is aligned again, so blocks in another order are found too."""
     left, drop = list(range(len(a))), []
     while True:
-        pairs, gone, k = patience([a[i] for i in left], b), [], 0
+        own_a = [a[i] for i in left]
+        pairs, k = patience(own_a, b), 0
+        gone = [left[i] for i in shared_runs(own_a, [words[i] for i in left], b)]
         while k < len(pairs):
             end = k + 1
             while end < len(pairs) and pairs[end] == (pairs[end - 1][0] + 1, pairs[end - 1][1] + 1):
@@ -96,7 +124,7 @@ def repeated_lines(a: list[int], words: list[int], b: list[int]) -> list[int]:
             k = end
         if not gone:
             return sorted(drop)
-        drop += gone
+        drop += set(gone)
         left = sorted(set(left) - set(gone))
 
 

@@ -217,6 +217,33 @@ def test_lines_as_brute_force(spark, sf):
     assert got == brute_lines(sorted((r["doc_id"], r["text"]) for r in read(sf, "documents")))
 
 
+def common_runs(a, b, least=5):
+    """Places in a of all runs of lines that stand in b as well, with at least so many words; every pair of places is tried."""
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+                if sum(len(x.split()) for x in a[i : i + k]) >= least:
+                    out |= {m for m in range(i, i + k) if a[m]}
+    return out
+
+
+def test_lines_that_repeat_as_brute_force():
+    assert lines.repeated_lines([1, 2, 7, 3, 7, 4], [9] * 6, [5, 7, 6]) == [2, 4]  # twice in the later one
+    assert lines.repeated_lines([1, 7, 2], [9] * 3, [5, 7, 6, 7, 8]) == [1]  # twice in the earlier one
+    assert lines.repeated_lines([9, 1, 2, 8, 2, 1, 2], [3] * 7, [5, 1, 2, 6, 1, 2, 4]) == [1, 2, 5, 6]  # a passage, not the odd short line
+    rng = np.random.default_rng(5)
+    said = ["", "a", "b c", "d e f", "g h i j k", "l m n o p q", "r s"]
+    for _ in range(400):
+        a, b = ([said[k] for k in rng.integers(0, 3 + rng.integers(1, 5), rng.integers(1, 14))] for _ in "ab")
+        code = lambda t: [said.index(x) for x in t]
+        gone = set(lines.repeated_lines(code(a), [len(x.split()) for x in a], code(b)))
+        assert common_runs(a, b) <= gone and all(a[k] in b for k in gone)
+        assert not common_runs([x for k, x in enumerate(a) if k not in gone], b)
+
+
 def test_line_edges(spark):
     shared = "one line that is long enough\nand a second line of words"
     rows = [*edge_rows(), (30, shared, "en", "a"), (31, f"own start here\n{shared}\n\nown end", "en", "a"), (32, " one line that is long enough \r", "en", "a")]
