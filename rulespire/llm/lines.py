@@ -1,7 +1,9 @@
 """Line deduplication by pairwise alignment.
 
 Documents are ordered by doc_id (null last). A line that occurs in several documents pairs each of them with
-the earliest one that has it, so the number of pairs is at most the number of lines, however often a line occurs, and
+the earliest one that has it, and so does each shortest run of lines with ``BLOCK_WORDS`` words that begins or ends at a line. Every
+block that a document shares with any earlier one consists of such runs, so it is deleted whoever holds its single lines first. The
+number of pairs is at most three times the number of lines, however often a line occurs, and
 rare and frequent lines are treated alike: nothing is capped. Each pair is aligned by patience diff on line hashes:
 lines that are unique on both sides, in longest increasing order, then the gaps between them in the same way, then equal
 lines next to them. Lines that repeat give no anchor: equal runs that the alignment passes over are looked up by their
@@ -128,6 +130,17 @@ def repeated_lines(a: list[int], words: list[int], b: list[int]) -> list[int]:
         left = sorted(set(left) - set(gone))
 
 
+def block_keys(h: list[int], words: list[int]) -> set[int]:
+    """Hashes of the lines with words and of the shortest runs of several lines with enough words."""
+    return {x for x in h if x} | {hash(tuple(h[s : e + 1])) for s, e in runs(words) if s < e}
+
+
+def _keys(batches):
+    for batch in batches:
+        keys = [list(block_keys(h, n)) for h, n in zip(batch.column("h").to_pylist(), batch.column("n").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], ["place", "doc_id", "keys"])
+
+
 def _align(batches):
     for batch in batches:
         later, hashes, words, first = (batch.column(c).to_pylist() for c in range(4))
@@ -150,7 +163,8 @@ def deletions(docs: DataFrame) -> DataFrame:
     rows = cut_lineage(rows.dropDuplicates(["place"]))
     # null doc_ids come last
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
-    held = rows.select(F.explode(F.array_distinct("h")).alias("x"), order.alias("d")).filter("x <> 0")
+    keys = map_arrow(rows.select("place", "doc_id", "h", "n"), _keys, "place long, doc_id long, keys array<long>")
+    held = keys.select(F.explode("keys").alias("x"), order.alias("d"))
     first = held.groupBy("x").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("x", F.col("first.place").alias("first"))
     pairs = held.join(first, "x").select(F.col("d.place").alias("later"), "first").filter("later <> first").distinct()
     a = rows.select(F.col("place").alias("later"), F.col("h").alias("ha"), F.col("n").alias("na"))

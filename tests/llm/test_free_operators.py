@@ -244,6 +244,27 @@ def test_lines_that_repeat_as_brute_force():
         assert not common_runs([x for k, x in enumerate(a) if k not in gone], b)
 
 
+def test_blocks_of_short_lines_with_other_first_holders(spark):
+    texts = ["a b c\nzero zero", "one one\nd e f", "two two\na b c\nd e f\nown end", "a b c\nd e f\nthree", "l m n o p", "five\nl m n o p\nq", "l m n o p\nq\nend"]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    assert [got[k] for k in range(7)] == [*texts[:3], "three", texts[4], "five\nq", "end"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shared_blocks_go_as_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    said = ["", *(" ".join(f"{chr(97 + k)}{m}" for m in range(1 + k % 6)) for k in range(14))]
+    texts = [[said[k] for k in rng.integers(0, len(said), rng.integers(1, 12))] for _ in range(60)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in lines.dedup_lines(documents(spark, [(k, "\n".join(t), "en", "a") for k, t in enumerate(texts)])).collect()}
+    for k, t in enumerate(texts):
+        due = set().union(*[common_runs(t, e) for e in texts[:k]])
+        must = Counter(x for i, x in enumerate(t) if x and i not in due)
+        left = Counter(x for x in got[k] if x)
+        assert left <= must, (k, t, got[k])
+        early = {x for e in texts[:k] for x in e}
+        assert all(x in early for x in (must - left)), (k, t, got[k])
+
+
 def test_line_edges(spark):
     shared = "one line that is long enough\nand a second line of words"
     rows = [*edge_rows(), (30, shared, "en", "a"), (31, f"own start here\n{shared}\n\nown end", "en", "a"), (32, " one line that is long enough \r", "en", "a")]
