@@ -48,14 +48,17 @@ def markup_text(page: str | None) -> str:
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every trigram with at least two letters, of all texts in order, and the texts' numbers of them. Words with
-    digits are no evidence: keys and numbers look the same in every language."""
+    """Bucket of every trigram with at least two letters, of all texts in order, and the texts' numbers of them. Digits and
+    the ASCII letters joined to them are no evidence: keys and numbers look the same in every language. Other letters beside
+    them are, as scripts without spaces have no other place for a number."""
     joined = [(t or "").lower().encode() for t in texts]
     raw = np.frombuffer(b"  ".join([b"", *joined, b""]), np.uint8)
-    word = np.cumsum(raw <= 32, dtype=np.int32)
+    digit = (raw >= 48) & (raw <= 57)
+    other = ~(digit | ((raw >= 97) & (raw <= 122)))
+    word = np.cumsum(other, dtype=np.int32)  # its first byte is the one before the letters and digits
     code_words = np.zeros(word[-1] + 1, bool)
-    code_words[word[(raw >= 48) & (raw <= 57)]] = True
-    b = np.where(code_words[word], np.uint8(32), _KIND[raw]).astype(np.uint32)
+    code_words[word[digit]] = True
+    b = np.where(code_words[word] & ~other, np.uint8(32), _KIND[raw]).astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     letter = (b != 32).astype(np.uint8)
     some = np.flatnonzero(letter[:-2] + letter[1:-1] + letter[2:] >= 2)

@@ -309,6 +309,22 @@ def test_other_evidence_decides_short_texts(spark, sf):
     assert (got[-2]["language"], got[-2]["kept"], got[-3]["language"]) == ("und", False, "und")
 
 
+ZH = ["今天天气很好我们一起去公园散步", "他在图书馆里读了一本关于历史的书", "这座城市的人口增长得非常快", "昨天晚上大家都在谈论那场比赛"]
+FR = ["le chat dort sur la chaise près de la fenêtre", "nous avons mangé du pain avec du fromage", "elle travaille dans une grande maison blanche"]
+
+
+def test_numbers_in_texts_without_spaces(spark):
+    def counted(*texts):
+        return language.trigrams(list(texts))[1].tolist()
+
+    plain, dated, key, joined = counted("今天天气很好", "今天天气很好2024年", "今天 k1a2b3 x9 2024", "mot\u00a0chat\u00a02024")
+    assert dated >= plain > 0 and key < plain and joined > 0
+    assert counted("k1a2b3 x9 2024", "abc12", "12abc 7") == [0, 0, 0]
+    rows = [(k, t, lang, "a") for k, (t, lang) in enumerate([*[(f"{x}{y}", "zh") for x in ZH for y in ZH], *[(f"{x} {y}", "fr") for x in FR for y in FR]])]
+    rows += [(100, "".join(ZH) + "2024年" + ZH[0] + "3号", "zh", "a"), (101, "\u00a0".join([*FR[0].split(" "), "2024"]), "fr", "a")]
+    assert {100, 101} <= {r["doc_id"] for r in language.accepted_documents(documents(spark, rows)).collect()}
+
+
 def test_language_edges(spark):
     docs = documents(spark, edge_rows()).withColumn("place", F.lit(1)).withColumn("n", F.lit(1))
     out = language.accepted_documents(docs)
