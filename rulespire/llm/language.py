@@ -2,8 +2,8 @@
 
     P(language | all) ~ P(text | language)**(1/3) * P(declared | language) * P(suffix | language) * P(language | host)
 
-* text: hashed byte trigrams of letters, counted per language over all labelled texts (a sum per task, then by
-  language and bucket); the power stands for the overlap of the trigrams;
+* text: hashed byte trigrams of letters, counted per language over all labelled texts, for every label there is (sums per
+  task, then by language and bucket; the model that goes to the workers grows with the number of labels); the power stands for the overlap of the trigrams;
 * declared: the language named by the markup (``<html lang>``) or by the table; suffix: the last label of the address. Their
   likelihoods are shares of the texts' own posteriors, added up per value;
 * host: shares of a host are smoothed towards those of its parent domain, these towards the shares of all texts,
@@ -33,8 +33,10 @@ from rulespire.llm.common import bound, document_hash, fresh, map_arrow, small
 from rulespire.session import cut_lineage
 
 BUCKETS = 8192
-#: Languages of the model (the most frequent labels), prior of ``und``, strengths of the smoothing.
-LANGUAGES, UNKNOWN, HOST, DOMAIN, VALUES = 64, 1e-4, 20.0, 100.0, 50.0
+#: Prior of ``und``, strengths of the smoothing.
+UNKNOWN, HOST, DOMAIN, VALUES = 1e-4, 20.0, 100.0, 50.0
+#: Languages whose counts a task holds before it hands them on.
+HELD = 256
 #: Share of a text's trigrams that may be anything (keys, names), so that some of them don't outweigh the rest.
 NOISE = 0.2
 _KIND = np.full(256, 32, np.uint8)  # bytes of letters; everything else is a space
@@ -80,31 +82,36 @@ def _pieces(columns: list[list], text_at: int, limit: int = 1 << 20) -> Iterator
 
 def _count(batches):
     sums: dict[str, np.ndarray] = {}
+
+    def held():
+        for name, row in sums.items():
+            k = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k), pa.array(row[k])], ["language", "k", "n"])
+        sums.clear()
+
     for b in batches:
         columns = [c.to_pylist() for c in b.columns]
         for at in _pieces(columns, 1):
             bucket, n = trigrams(columns[1][at])
-            labels = columns[0][at]
-            names = sorted(set(labels))
-            which = np.repeat([names.index(x) for x in labels], n)
-            found = np.bincount(which * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-            for name, row in zip(names, found):
-                sums[name] = sums.get(name, 0) + row
-    for name, row in sums.items():
-        k = np.flatnonzero(row)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k), pa.array(row[k])], ["language", "k", "n"])
-
-
-def train(labelled: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """labelled (language, text) -> languages and log probabilities [language, bucket]; ``und`` comes last."""
+            start = 0
+            for name, end in zip(columns[0][at], np.cumsum(n).tolist()):
+                if name not in sums and len(sums) == HELD:
+                    yield from held()
+                sums[name] = sums.get(name, 0) + np.bincount(bucket[start:end], minlength=BUCKETS)
+                start = end
+    yield from held()
+
+
+def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+    """labelled (language, text) -> all languages and log probabilities [language, bucket]; ``und`` comes last."""
     rows = labelled.filter("language is not null and language <> '' and language <> 'und'")
-    names = sorted(r["language"] for r in rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages).collect())
+    names = sorted(r["language"] for r in rows.select("language").distinct().collect())
     logs = np.full((len(names) + 1, BUCKETS), -np.log(BUCKETS))
     if names:
-        each = map_arrow(rows.filter(F.col("language").isin(names)).select("language", "text"), _count, "language string, k long, n long")
-        counts = np.zeros((len(names), BUCKETS))
-        for r in each.groupBy("language", "k").agg(F.sum("n").alias("n")).collect():  # at most languages x BUCKETS rows
-            counts[names.index(r["language"]), r["k"]] = r["n"]
+        each = map_arrow(rows.select("language", "text"), _count, "language string, k long, n long")
+        number, counts = {x: k for k, x in enumerate(names)}, np.zeros((len(names), BUCKETS))
+        for b in each.groupBy("language", "k").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most languages x BUCKETS rows
+            counts[[number[x] for x in b.column(0).to_pylist()], b.column(1).to_numpy()] = b.column(2).to_numpy()
         shares = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
         logs[:-1] = np.log((1 - NOISE) * shares + NOISE / BUCKETS)
     return [*names, "und"], logs
@@ -170,7 +177,10 @@ def fuse(rows: DataFrame, names: list[str], carry: list[str], accepted: list[str
         share = F.col("m") / F.lit(float(max(1, all_["n_all"])))
         return t.select(F.col(c).alias(f"{c}_"), F.transform(F.arrays_zip(arr().alias("a"), totals.alias("b")), lambda x: F.log((x["a"] + VALUES * share) / (x["b"] + VALUES))).alias(f"{c}_log"))
 
-    smooth = lambda counts, towards, weight: F.transform(F.arrays_zip(counts.alias("a"), towards.alias("b")), lambda x: (x["a"] + weight * x["b"]) / (F.aggregate(counts, F.lit(0.0), lambda s, y: s + y) + weight))
+    def smooth(counts, towards, weight):
+        total = F.aggregate(counts, F.lit(0.0), lambda s, y: s + y)
+        return bound(total, lambda t: F.transform(F.arrays_zip(counts.alias("a"), towards.alias("b")), lambda x: (x["a"] + weight * x["b"]) / (t + weight)))
+
     domains = rows.filter("domain is not null").groupBy("domain").agg(*shares, F.count(F.lit(1))).select(F.col("domain").alias("d_"), smooth(arr(), level, DOMAIN).alias("d_share"))
     hosts = rows.filter("host is not null").groupBy("host", "domain").agg(*shares, F.count(F.lit(1))).join(domains, F.col("domain") == F.col("d_"), "left")
     hosts = hosts.select(F.col("host").alias("h_"), F.col("domain").alias("hd_"), smooth(arr(), F.coalesce("d_share", level), HOST).alias("h_share"))

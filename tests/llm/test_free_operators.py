@@ -325,6 +325,22 @@ def test_numbers_in_texts_without_spaces(spark):
     assert {100, 101} <= {r["doc_id"] for r in language.accepted_documents(documents(spark, rows)).collect()}
 
 
+def test_all_labels_are_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD", 7)
+    rng = np.random.default_rng(3)
+    words = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(80)}
+    rows = [(k, " ".join(rng.choice(w, 30)), lang, "a") for k, (lang, w) in enumerate([*words.items()] * 2)]
+    docs = documents(spark, [*rows, *[(1000 + k, t, lang, "a") for k, t, lang, _ in rows[:40]]])  # the later half has fewer texts
+    names, logs = language.train(docs.select(F.col("lang").alias("language"), "text"))
+    assert names == [*words, "und"]
+    bucket, n = language.trigrams([t for _, t, lang, _ in rows if lang == "l79"])
+    shares = (np.bincount(bucket, minlength=language.BUCKETS) + 0.5) / (n.sum() + 0.5 * language.BUCKETS)
+    assert np.allclose(logs[79], np.log((1 - language.NOISE) * shares + language.NOISE / language.BUCKETS))
+    got = language.fuse(language.evidence(language.document_rows(docs), logs), names, ["doc_id"]).collect()
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert all(r["language"] == lang[r["doc_id"]] and r["kept"] for r in got) and len(got) == 200
+
+
 def test_language_edges(spark):
     docs = documents(spark, edge_rows()).withColumn("place", F.lit(1)).withColumn("n", F.lit(1))
     out = language.accepted_documents(docs)
