@@ -215,7 +215,8 @@ def document_rows(docs: DataFrame) -> DataFrame:
 def page_rows(pages: DataFrame) -> DataFrame:
     """Pages as rows for ``evidence``."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    declared = F.lower(F.regexp_extract(F.substring("html", 1, 4096), r"""(?i)<html\b[^>]*\slang\s*=\s*["']?([a-z]{2,3})""", 1))
+    bare = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")  # may name a language, or stand before the tag at any length
+    declared = F.lower(F.regexp_extract(bare, r"""(?i)<html\b[^>]*\slang\s*=\s*["']?([a-z]{2,3})""", 1))
     return pages.select(
         F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), declared.alias("declared"),
         F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"^[^.]+\.(.+)$", 1).alias("domain"), F.lit(True).alias("is_markup"), F.col("html").alias("text"))

@@ -341,6 +341,14 @@ def test_all_labels_are_languages(spark, monkeypatch):
     assert all(r["language"] == lang[r["doc_id"]] and r["kept"] for r in got) and len(got) == 200
 
 
+def test_declaration_anywhere_in_the_page(spark):
+    tag = '<html class="a" lang="DE-at"><body>'
+    pages = [tag, f"<!-- {'licence ' * 2000}-->{tag}", " " * 9000 + tag, f'<!-- <html lang="fr"> -->{tag}', f"<script>x = '<html lang=fr>';{'y' * 9000}</script>\n{tag}", "<html><body lang=de>", None]
+    rows = spark.createDataFrame([(k, "https://a.b.de/x", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["declared"] for r in language.page_rows(rows).collect()}
+    assert [got[k] or None for k in range(7)] == ["de"] * 5 + [None, None]
+
+
 def test_language_edges(spark):
     docs = documents(spark, edge_rows()).withColumn("place", F.lit(1)).withColumn("n", F.lit(1))
     out = language.accepted_documents(docs)
