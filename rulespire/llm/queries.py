@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulespire.llm import chat, decontamination, embeddings, language, language_model, lines, mixing, near_dedup, sharding, tokens
+from rulespire.llm import chat, decontamination, embeddings, language, language_model, lines, mixing, near_dedup, sharding, structure, tokens
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_chosen_path": near_dedup.op8_chosen_path,
     "op9_ring_shards": sharding.op9_ring_shards,
     "op10_log_bilinear": language_model.op10_log_bilinear,
+    "op12_structure_repair": structure.op12_structure_repair,
 }
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_weighted_mix": mixing.ORACLE,
     "op7_chat_format": chat.ORACLE,
+    "op12_structure_repair": structure.ORACLE,
 }
