@@ -35,6 +35,13 @@ def document_hash_sql(seed: str, doc_id: str = "doc_id", text: str = "text") ->
             f" || coalesce({text}, '')), 1, 15))::BIGINT")
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of ASCII text in DuckDB, bit by bit."""
+    bit = "lambda d, x: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END"
+    byte = f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda a: ascii(a)::BIGINT)), {byte}), 4294967295)"
+
+
 #: Rows that are broadcast; longer tables are joined by a shuffle.
 SMALL = 100_000
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulespire.llm import chat, decontamination, embeddings, language, language_model, lines, mixing, near_dedup, sharding, structure, tokens
+from rulespire.llm import chat, decontamination, embeddings, language, language_model, lines, manifest, mixing, near_dedup, sharding, structure, tokens
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_ring_shards": sharding.op9_ring_shards,
     "op10_log_bilinear": language_model.op10_log_bilinear,
     "op12_structure_repair": structure.op12_structure_repair,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_weighted_mix": mixing.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op12_structure_repair": structure.ORACLE,
+    "op13_merkle_manifest": manifest.ORACLE,
 }
