@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulespire.llm import chat, decontamination, embeddings, language, language_model, lines, manifest, mixing, near_dedup, sharding, structure, tokens
+from rulespire.llm import chat, decontamination, embeddings, language, language_model, lines, manifest, mixing, near_dedup, sharding, structure, substrings, tokens
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chosen_path": near_dedup.op8_chosen_path,
     "op9_ring_shards": sharding.op9_ring_shards,
     "op10_log_bilinear": language_model.op10_log_bilinear,
+    "op11_substring_dedup": substrings.op11_substring_dedup,
     "op12_structure_repair": structure.op12_structure_repair,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
@@ -22,6 +23,7 @@ ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_weighted_mix": mixing.ORACLE,
     "op7_chat_format": chat.ORACLE,
+    "op11_substring_dedup": substrings.ORACLE,
     "op12_structure_repair": structure.ORACLE,
     "op13_merkle_manifest": manifest.ORACLE,
 }
