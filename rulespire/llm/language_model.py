@@ -12,8 +12,10 @@ probabilities sum to one. Z is computed exactly for all pairs of classes by batc
 Word counts are one pass (a table per task, then a sum by word). Training is one pass per round: every task runs
 AdaGrad on its documents in numpy, from the same start, with class unigrams as noise; results are averaged by position in
 Spark, weighted by tokens, so the driver sees one set of parameters whatever the number of tasks. Scoring is one
-pass; counts of the ``TABLE`` most frequent words go along as a broadcast of that size, all other words are joined
-with the count table by a shuffle. All passes read every text whole.
+pass. Of the words, only the ``OWN`` ones are ever in the driver. The frequent words, at most ``TABLE`` of them, are those
+at or above a count that a grouped histogram of the counts gives; one task writes them to a file in the
+shared folder, which every scoring task reads. All other words are joined with the count table by a shuffle. All
+passes read every text whole.
 
 Defined cases: null and empty texts are one end; a null doc_id counts as the empty text for the fold; equal rows are
 scored one by one; without training documents the start parameters are used; an empty table gives an empty
@@ -26,13 +28,14 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulespire.llm.common import map_arrow
+from rulespire.llm.files import locate, shared_folder
 from rulespire.session import cut_lineage
 
 END = b"\n"
@@ -42,8 +45,10 @@ OWN, TAILS, WIDTH = 159, 96, 16
 CLASSES = 1 + OWN + TAILS
 #: Training: tokens in a step, noise samples of a step, learning rate, rounds over the corpus.
 STEP, NOISE, RATE, ROUNDS = 2048, 24, 0.15, 1
-#: Words whose counts are broadcast; distinct words that a task counts before it passes them on.
+#: Most words in the file of frequent ones; distinct words that a task counts before it passes them on.
 TABLE, HELD = 200_000, 400_000
+#: Steps of a doubling of counts in their histogram.
+FINE = 16
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -86,37 +91,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Bounded part of the counts: the most frequent words and the totals of the classes."""
+    """What the model knows of the counts: the own words, the totals of the classes, the file of frequent words."""
 
-    words: list[bytes]
-    counts: np.ndarray
+    classes: dict[bytes, int]
     class_totals: np.ndarray
     class_words: np.ndarray
     total: int
     distinct: int
-    classes: dict[bytes, int] = field(default_factory=dict)
-
-    def __post_init__(self):
-        own = [w for w in self.words[: OWN + 1] if w != END][:OWN]
-        self.classes = {END: 0} | {w: k + 1 for k, w in enumerate(own)}
+    table: str
 
     @classmethod
-    def of(cls, counts: DataFrame) -> "Vocabulary":
-        top = counts.orderBy(F.desc("c"), "word").limit(TABLE).collect()
-        tails = {r["k"]: r for r in counts.groupBy(_tail(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    def of(cls, counts: DataFrame, size: int = TABLE) -> "Vocabulary":
+        top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(OWN).collect()
+        end = counts.filter(F.col("word") == F.lit(END)).agg(F.sum("c").alias("c")).first()["c"]
+        classes = {END: 0} | {bytes(r["word"]): k + 1 for k, r in enumerate(top)}
         own_total, own_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for k, r in tails.items():
-            own_total[1 + OWN + k], own_words[1 + OWN + k] = r["c"], r["n"]
+        for r in counts.groupBy(_tail(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+            own_total[1 + OWN + r["k"]], own_words[1 + OWN + r["k"]] = r["c"], r["n"]
         total, distinct = int(own_total.sum()), int(own_words.sum())
-        words = [bytes(r["word"]) for r in top]
-        found = cls(words, np.array([r["c"] for r in top], np.int64), own_total, own_words, total, distinct)
-        for w, c in zip(words, found.counts):
-            if w in found.classes:
-                k, t = found.classes[w], tail_class(w)
+        for word, c in [(END, end or 0), *((bytes(r["word"]), r["c"]) for r in top)]:
+            if c:
+                k, t = classes[word], tail_class(word)
                 own_total[k], own_words[k] = c, 1
                 own_total[t] -= c
                 own_words[t] -= 1
-        return found
+        return cls(classes, own_total, own_words, total, distinct, _frequent(counts, list(classes), size))
 
     def class_shares(self) -> np.ndarray:
         p = self.class_totals + 0.5
@@ -131,6 +130,32 @@ class Vocabulary:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
+def _frequent(counts: DataFrame, own: list[bytes], size: int) -> str:
+    """Folder of the ``own`` words and of those at or above the least count that at most ``size`` words reach."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * FINE).cast("int")
+    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 * FINE rows
+    least, n = 64 * FINE, 0
+    for r in sorted(histogram, key=lambda r: -r["step"]):
+        n += r["n"]
+        if n > size:
+            break
+        least = r["step"]
+    address = shared_folder(counts.sparkSession, "words")
+    counts.filter((step >= least) | F.col("word").isin(*map(F.lit, own))).coalesce(1).write.parquet(address)
+    return address
+
+
+def _read_words(address: str) -> tuple[list[bytes], np.ndarray]:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = locate(address)
+    files = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+    tables = [pq.read_table(f, filesystem=system) for f in files]
+    words = [w for t in tables for w in t.column("word").to_pylist()]
+    return words, np.concatenate([np.zeros(0, np.int64), *[t.column("c").to_numpy() for t in tables]])
+
+
 class LogBilinear:
     """Parameters; class number CLASSES is the place before a text's first token."""
 
@@ -249,21 +274,21 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> LogBil
             yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([here.flat.tolist()], pa.list_(pa.float64()))], ["n", "flat"])
 
         each = map_arrow(docs.select("text"), run, "n double, flat array<double>").filter("n > 0")
-        mean = each.select("n", F.posexplode("flat").alias("k", "x")).groupBy("k").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).collect()
-        if mean:
-            model = LogBilinear(np.array([r["x"] for r in sorted(mean, key=lambda r: r["k"])]))
+        mean = each.select("n", F.posexplode("flat").alias("k", "x")).groupBy("k").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).toArrow()
+        if mean.num_rows:
+            model = LogBilinear(mean.sort_by("k").column("x").to_numpy().copy())
     return model
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: LogBilinear) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, base_score, score."""
-    sc = docs.sparkSession.sparkContext
     both, z = model.tables()
-    top = np.array([vocabulary.classes.get(w) if w in vocabulary.classes else tail_class(w) for w in vocabulary.words], np.int64)
-    parts = sc.broadcast((vocabulary.words, top, vocabulary.word_logs(vocabulary.counts, top), vocabulary.base_logs(vocabulary.counts), both / math.log(10), z / math.log(10)))
+    (far, near), log_z = both / math.log(10), z / math.log(10)
 
     def run(batches):
-        words, word_class, word_log, base_log, (far, near), log_z = parts.value
+        words, found = _read_words(vocabulary.table)
+        word_class = np.fromiter((vocabulary.classes[w] if w in vocabulary.classes else tail_class(w) for w in words), np.int64, len(words))
+        word_log, base_log = vocabulary.word_logs(found, word_class), vocabulary.base_logs(found)
         place = {w: k for k, w in enumerate(words)}
         if END not in place:  # no training text
             place[END] = len(words)

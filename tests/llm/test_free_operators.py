@@ -1,5 +1,6 @@
 """Token files, near duplicates, embeddings, lines, language and the language model."""
 
+import functools
 import math
 import zlib
 from collections import Counter
@@ -407,3 +408,36 @@ def test_model_edges(spark):
     got = language_model.score_texts(docs, counts, voc, language_model.fit(none, voc)).collect()
     assert all(r["n_known"] == 0 and r["base_score"] == 0.0 for r in got)
     assert language_model.score_texts(none, counts, voc, language_model.fit(none, voc)).count() == 0
+
+
+@pytest.mark.parametrize("size", [200_000, 300, 1])
+def test_scores_equal_a_plain_evaluation(spark, sf, size):
+    import math
+
+    lm = language_model
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    counts = lm.word_counts(docs.filter("doc_id % 3 > 0"))
+    voc = lm.Vocabulary.of(counts, size)
+    words, _ = lm._read_words(voc.table)
+    assert len(words) <= max(size, lm.OWN + 1) and set(voc.classes) <= set(words)
+    model = lm.fit(docs, voc)
+    c = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    got = {r["doc_id"]: (r["score"], r["n_known"]) for r in lm.score_texts(docs, counts, voc, model).collect()}
+
+    @functools.cache
+    def logs(two, one):
+        q = model.seen[two] * model.place[0] + model.seen[one] * model.place[1]
+        e = [math.exp(sum(q * r) + b) for r, b in zip(model.said, model.bias)]
+        return [math.log10(x / sum(e)) for x in e]
+
+    for r in read(sf, "documents")[:12]:
+        two = one = lm.CLASSES
+        score = known = 0
+        for w in [*lm.tokens(r["text"]), lm.END]:
+            k = voc.classes.get(w, lm.tail_class(w))
+            score += logs(two, one)[k]
+            known += w in c
+            if k > lm.OWN:
+                score += math.log10((c.get(w, 0) + 0.5) / (voc.class_totals[k] + 0.5 * (voc.class_words[k] + 1)))
+            two, one = one, k
+        assert got[r["doc_id"]][0] == pytest.approx(score, abs=1e-6) and got[r["doc_id"]][1] == known
