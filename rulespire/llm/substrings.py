@@ -33,47 +33,78 @@ from pyspark.sql import DataFrame, functions as F
 
 from rulespire.llm.common import map_arrow
 from rulespire.llm.files import shared_folder
-from rulespire.llm.shingles import mix64
+from rulespire.llm.shingles import _Powers, mix64
 
 WINDOW = 50
-#: Bytes of a text that are split into words at a time; words whose hashes a task remembers.
-STEP, KNOWN = 1 << 20, 500_000
+#: Bytes of text that are hashed at a time.
+STEP = 1 << 20
 _SPACE = b" \t\n\x0b\f\r"
-_FOLD = np.uint64(0xD6E8FEB86659FD93)
+_IS_SPACE = np.isin(np.arange(256), list(_SPACE))
+_FOLD, _MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 _NONE = np.empty(0, np.int64)
 
 
-class _Words(dict):
-    """128-bit hashes of words."""
+#: Two bases of the words' hashes, with the powers up and down that take a word's place out of them.
+_BASES = [(_Powers(base), _Powers(pow(base, -1, 1 << 64))) for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = code = hashlib.blake2b(word, digest_size=16).digest()
-        return code
 
-
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, some at a time."""
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text in parts that end between words."""
     at = 0
     while at < len(text):
         cut = at + STEP
         while cut < len(text) and text[cut] not in _SPACE:
             cut += 1
-        yield text[at:cut].split()
+        yield text[at:cut]
         at = cut
 
 
-def codes(text: bytes, known: _Words) -> np.ndarray:
-    """[2, words] hashes of the words."""
-    parts = [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u8").reshape(-1, 2) for ws in pieces(text)]
-    return np.concatenate(parts).T.copy() if parts else np.empty((2, 0), np.uint64)
+def _hash_words(text: bytes, n_hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """[hashes, words] and the words' starts."""
+    b = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(_IS_SPACE[b], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    out = np.empty((n_hashes, len(start)), np.uint64)
+    value = b + np.uint64(1)
+    for h, (up, down) in zip(out, _BASES):
+        run = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(value * down.upto(len(b)), out=run[1:])
+        h[:] = mix64((run[end] - run[start]) * up.upto(len(b) + 1)[start] + (end - start).astype(np.uint64) * _FOLD)
+    return out, start
+
+
+def codes(texts: list[bytes], n_hashes: int = 2) -> Iterator[np.ndarray]:
+    """[hashes, words] of every text; short texts are hashed together."""
+    some: list[bytes] = []
+    held = 0
+
+    def flush():
+        h, start = _hash_words(b" ".join(some), n_hashes)
+        ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in some]))
+        yield from (h[:, a:z] for a, z in zip([0, *ends[:-1]], ends))
+
+    for text in texts:
+        if held + len(text) > STEP and some:
+            yield from flush()
+            some, held = [], 0
+        if len(text) > STEP:
+            yield np.concatenate([_hash_words(part, n_hashes)[0] for part in pieces(text)], axis=1)
+            continue
+        some.append(text)
+        held += len(text) + 1
+    if some:
+        yield from flush()
 
 
 def doubled(h: np.ndarray, tail: np.ndarray, gap: int) -> np.ndarray:
     """Hashes of h's windows, each with the one of ``tail`` that starts ``gap`` later."""
     n = max(0, tail.shape[-1] - gap)
-    return mix64(h[..., :n] * _FOLD + tail[..., gap : gap + n])
+    out = h[..., :n] * _FOLD
+    out += tail[..., gap : gap + n]
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def windows(h: np.ndarray, length: int) -> np.ndarray:
@@ -102,9 +133,8 @@ def chosen(order: np.ndarray, run: int) -> np.ndarray:
     return np.flatnonzero(order == most)
 
 
-def halves(text: bytes, known: _Words, window: int) -> np.ndarray:
-    """Distinct counted half windows of a text, as 64-bit hashes."""
-    h = codes(text, known)[0]
+def halves(h: np.ndarray, window: int) -> np.ndarray:
+    """Distinct counted half windows of a text's words, as 64-bit hashes."""
     if len(h) < window:
         return np.empty(0, np.uint64)
     half = windows(h, (window + 1) // 2)
@@ -147,7 +177,8 @@ def settled(full: np.ndarray, runs: np.ndarray, window: int, answers: set[tuple[
 def kept(text: bytes, gone: np.ndarray | None) -> tuple[int, str]:
     """Number of words, and the hash of those not ``gone``, joined by spaces."""
     n, digest, first = 0, hashlib.sha256(), True
-    for ws in pieces(text):
+    for part in pieces(text):
+        ws = part.split()
         some = ws if gone is None else [w for w, x in zip(ws, gone[n : n + len(ws)].tolist()) if not x]
         if some:
             digest.update((b"" if first else b" ") + b" ".join(some))
@@ -189,12 +220,12 @@ def half_windows(docs: DataFrame, window: int) -> DataFrame:
     """h, doc_id, salt: the counted half windows of every document."""
 
     def run(batches):
-        known = _Words()
         for b in batches:
             found, ids, salts = [], [], []
-            for doc_id, salt, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "salt", "text"))):
+            texts = [t.encode() for t in b.column("text").to_pylist()]
+            for doc_id, salt, words in zip(b.column("doc_id").to_pylist(), b.column("salt").to_pylist(), codes(texts, 1)):
                 if doc_id is not None:
-                    h = halves(text.encode(), known, window)
+                    h = halves(words[0], window)
                     found.append(h)
                     ids.append(np.full(len(h), doc_id))
                     salts.append(np.full(len(h), salt, np.int32))
@@ -210,7 +241,7 @@ _SORTED = "doc_id long, salt int, n_words long, kept_sha256 string, text string,
 
 def _sort_out(batches, window: int):
     """Texts with the repeated half windows they hold -> results of clean texts, open texts with their runs, hashes to count."""
-    known, out, held = _Words(), [], 0
+    out, held = [], 0
 
     def table():
         nonlocal out, held
@@ -219,11 +250,14 @@ def _sort_out(batches, window: int):
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "salt", "n_words", "kept_sha256", "text", "runs", "asks", "a", "b", "kind"])
 
     for batch in batches:
-        for doc_id, salt, text, answer in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "salt", "text", "answer"))):
+        texts, given = batch.column("text").to_pylist(), batch.column("answer").to_pylist()
+        # texts that hold nothing repeated aren't hashed
+        hashed = codes([t.encode() for t, a in zip(texts, given) if a])
+        for doc_id, salt, text, answer in zip(batch.column("doc_id").to_pylist(), batch.column("salt").to_pylist(), texts, given):
             said = text.encode()
             runs = _NONE.reshape(0, 2)
             if answer:
-                h = codes(said, known)
+                h = next(hashed)
                 repeated = np.array([x["h"] for x in answer], np.int64).view(np.uint64)
                 runs = candidates(h, repeated, window)
             if not len(runs):
@@ -274,10 +308,10 @@ def _answers(rows: DataFrame, *what: str) -> DataFrame:
 
 def _opened(batches, window: int) -> Iterator[tuple]:
     """(batch row as dict, 128-bit hashes of its windows, settled starts, other candidates)."""
-    known = _Words()
     for batch in batches:
-        for row in batch.to_pylist():
-            full = windows(codes(row["text"].encode(), known), window)
+        rows = batch.to_pylist()
+        for row, words in zip(rows, codes([r["text"].encode() for r in rows])):
+            full = windows(words, window)
             runs = np.array(row["runs"], np.int64).reshape(-1, 2)
             answers = {(x["level"], x["x"], x["y"]) for x in row["answer"] or ()}
             yield row, full, *settled(full, runs, window, answers)
