@@ -8,6 +8,7 @@ an exploded grid. Used inside fits, where thousands of tuples are scored per lev
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -18,7 +19,7 @@ from rulespire.operators.search import regions_of
 from rulespire.session import ship_package
 
 
-def _entropy(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+def entropy_of(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     total = p + n
     with np.errstate(divide="ignore", invalid="ignore"):
         a, b = p / total, n / total
@@ -37,40 +38,51 @@ def _sides(prefix: np.ndarray, region: str) -> np.ndarray:
     return out
 
 
-def region_kernel(cells: pd.DataFrame, axes: list[str], regions: list[str], min_leaf: int) -> list[tuple]:
-    """(region, axes..., score, gain, ip, ineg) of the best cuts of one tuple."""
-    at = tuple(cells[a].to_numpy() for a in axes)
-    shape = tuple(int(i.max()) + 1 for i in at)
-    if min(shape) < 2:
-        return []
+def region_scores(grids: list[np.ndarray], regions: list[str], min_leaf: int, arity: int | None = None) -> Iterator[tuple]:
+    """(region, score, gain, ip, ineg) for all cut combinations of dense (pos, neg) counts; invalid ones score -1."""
     prefix = []
-    for side in ("pos", "neg"):
-        grid = np.zeros(shape)
-        np.add.at(grid, at, cells[side].to_numpy())
-        for axis in range(len(axes)):
+    for grid in grids:
+        for axis in range(grid.ndim):
             grid = np.cumsum(grid, axis=axis)
         prefix.append(grid)
     tp, tn = float(prefix[0].flat[-1]), float(prefix[1].flat[-1])
-    n, arity = tp + tn, len(axes)
-    parent = float(_entropy(np.array(tp), np.array(tn)))
-    penalty = (arity + 1.0) * np.log(max(n, 2.0)) / (2.0 * n)
-    out = []
-    full = tuple(s - 1 for s in shape)
+    n, axes = tp + tn, prefix[0].ndim
+    parent = float(entropy_of(np.array(tp), np.array(tn)))
+    penalty = ((arity or axes) + 1.0) * np.log(max(n, 2.0)) / (2.0 * n)
+    full = tuple(s - 1 for s in prefix[0].shape)
     for region in regions:
-        names = [r for r in regions_of(arity) if r != "X" and r.count("H") % 2] if region == "X" else [region]
+        names = [r for r in regions_of(axes) if r != "X" and r.count("H") % 2] if region == "X" else [region]
         ip = np.broadcast_to(sum(_sides(prefix[0], r) for r in names), full)
         ineg = np.broadcast_to(sum(_sides(prefix[1], r) for r in names), full)
         inside = ip + ineg
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = parent - inside / n * _entropy(ip, ineg) - (n - inside) / n * _entropy(tp - ip, tn - ineg)
+            gain = parent - inside / n * entropy_of(ip, ineg) - (n - inside) / n * entropy_of(tp - ip, tn - ineg)
         score = np.where((inside >= min_leaf) & (n - inside >= min_leaf) & (inside > 0) & (inside < n), np.maximum(gain, 0.0) - penalty, -1.0)
+        yield region, score, gain, ip, ineg
+
+
+def best_cuts(grids: list[np.ndarray], regions: list[str], min_leaf: int) -> list[tuple]:
+    """(region, axes..., score, gain, ip, ineg) of the best cuts of one tuple."""
+    if min(grids[0].shape) < 2:
+        return []
+    out = []
+    for region, score, gain, ip, ineg in region_scores(grids, regions, min_leaf):
         best = int(np.argmax(np.round(score, 12)))  # first maximum = smallest cuts
         if score.flat[best] > 0:
-            where = np.unravel_index(best, full)
+            where = np.unravel_index(best, score.shape)
             out.append((region, *(int(w) for w in where), float(score.flat[best]), float(gain.flat[best]), float(ip.flat[best]), float(ineg.flat[best])))
     return out
 
 
+def region_kernel(cells: pd.DataFrame, axes: list[str], regions: list[str], min_leaf: int) -> list[tuple]:
+    """``best_cuts`` of one tuple's cells."""
+    at = tuple(cells[a].to_numpy() for a in axes)
+    grids = [np.zeros(tuple(int(i.max()) + 1 for i in at)) for _ in range(2)]
+    for grid, side in zip(grids, ("pos", "neg")):
+        np.add.at(grid, at, cells[side].to_numpy())
+    return best_cuts(grids, regions, min_leaf)
+
+
 def best_regions(cells: DataFrame, keys: list[str], axes: list[str], regions: list[str], min_leaf: int) -> DataFrame:
     """Best cuts of every (tuple, region): keys, region, axes, score, gain, ip, ineg."""
     key_types = [f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys]

@@ -3,7 +3,9 @@
 A fit passes over the rows once per level. Raw doubles are therefore replaced once by
 codes: a feature with few distinct values gets one code per value, a finer-grained one
 gets ``max_codes`` quantile cells. A code test ``code >= c`` is the same as
-``x >= cuts[c - 1]``, so rules found on codes are exact on raw values.
+``x >= cuts[c - 1]``, so rules found on codes are exact on raw values. Cells only guide the
+search: with ``exact`` the values of finer-grained features stay beside the codes and fits
+cut anywhere between two of them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ class Encoded:
     values: list[list[float] | None]  # distinct values per code, None for quantile cells
     n_rows: int
     collapsed: bool = False
-    extra: dict = field(default_factory=dict)
+    raw: list[str] = field(default_factory=list)  # features whose values stand beside the codes
 
     def codes(self, f: int) -> int:
         return len(self.cuts[f]) + 1
@@ -44,16 +46,20 @@ class Encoded:
         return self.df.sparkSession.createDataFrame(rows, "f int, code int, value double")
 
 
-def _dictionaries(df: DataFrame, features: list[str], max_codes: int) -> dict[str, list[float]]:
-    """Distinct values of the features that have at most max_codes of them."""
-    est = df.agg(*[F.approx_count_distinct(f, 0.05).alias(f) for f in features]).first()
-    small = [f for f in features if est[f] <= max_codes]
+#: Tables up to so many rows are dealt out evenly, whatever files they came from.
+FEW_ROWS = 5_000_000
+
+
+def _dictionaries(df: DataFrame, features: list[str], max_codes: int) -> tuple[dict[str, list[float]], int]:
+    """Distinct values of the features that have at most max_codes of them, and the number of rows."""
+    est = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(f, 0.05) for f in features]).first()
+    small = [f for f, k in zip(features, est[1:]) if k <= max_codes]
     if not small:
-        return {}
+        return {}, est[0]
     found = unpivot(df, small).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     # at most features x ~1.2 max_codes values; a feature above the limit is dropped below
     values = found.groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("v")).collect()
-    return {r["feature"]: [v + 0.0 for v in r["v"]] for r in values if len(r["v"]) <= max_codes}
+    return {r["feature"]: [v + 0.0 for v in r["v"]] for r in values if len(r["v"]) <= max_codes}, est[0]
 
 
 def _quantile_cuts(df: DataFrame, features: list[str], max_codes: int) -> dict[str, list[float]]:
@@ -62,23 +68,19 @@ def _quantile_cuts(df: DataFrame, features: list[str], max_codes: int) -> dict[s
     return {f: sorted({v + 0.0 for v in row[f]}) for f in features}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table read in fewer tasks (one small file); large tables stay put."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def encode(df: DataFrame, label: str, features: list[str], max_codes: int = 1024, weight: str | None = None,
-           keep: list[str] = (), collapse: bool = True, row_key: str | None = None) -> Encoded:
+           keep: list[str] = (), collapse: bool = True, row_key: str | None = None, exact: bool = False) -> Encoded:
     """Learn the codes in at most three passes and add them to the rows."""
     kept = list(dict.fromkeys([*keep, *([row_key] if row_key else [])]))
     df = df.select(*[k for k in kept if k not in features], F.col(label).cast("int").alias("y"),
                    (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
                    # + 0.0: a negative zero must get the code of zero, as x >= 0 is true for it
                    *[(F.col(f).cast("double") + F.lit(0.0)).alias(f) for f in features])
-    words = _dictionaries(df, features, max_codes)
+    words, n_rows = _dictionaries(df, features, max_codes)
     rest = [f for f in features if f not in words]
     cells = _quantile_cuts(df, rest, max_codes) if rest else {}
+    if exact:
+        kept = list(dict.fromkeys([*kept, *rest]))
     cuts, values = [], []
     for f in features:
         if f in words:
@@ -97,12 +99,13 @@ def encode(df: DataFrame, label: str, features: list[str], max_codes: int = 1024
         ).transform(df)
     arr = F.array(*[(F.col(f"__code_{f}") if c else F.lit(0)).cast("smallint") for f, c in zip(features, cuts)])
     out = out.select(*kept, "y", "w", arr.alias("c"))
-    n_rows, collapsed = None, False
+    collapsed = False
     if collapse and not kept:
-        stat = out.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct("y", "c")).alias("k")).first()
-        n_rows = stat["n"]
-        if stat["k"] * 4 < n_rows:  # equal rows are worth adding up
+        distinct = out.agg(F.approx_count_distinct(F.struct("y", "c"))).first()[0]
+        if distinct * 4 < n_rows:  # equal rows are worth adding up
             out = out.groupBy("y", "c").agg(F.sum("w").alias("w"))
             collapsed = True
-    out = spread(out).persist(StorageLevel.MEMORY_AND_DISK)
-    return Encoded(out, list(features), cuts, values, n_rows if n_rows is not None else out.count(), collapsed)
+    if not collapsed and n_rows <= FEW_ROWS:
+        out = out.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    return Encoded(out, list(features), cuts, values, n_rows, collapsed, [f for f in features if f in kept])

@@ -38,7 +38,7 @@ def fit_forest(df: DataFrame, label: str, features: list[str], row_key: str, n_t
                seed: int = 42, bootstrap: bool = True) -> ForestModel:
     spark = df.sparkSession
     subsets = _subsets(spark, len(features), n_trees, subset_size(max_features, len(features)), seed)
-    enc = encode(df, label, features, cfg.max_codes, collapse=False, row_key=row_key)
+    enc = encode(df, label, features, cfg.max_codes, collapse=False, row_key=row_key, exact=True)
     cached = enc.df
     try:
         weights = None

@@ -1,35 +1,35 @@
-"""Level-synchronous growth: a constant number of jobs per level for all open nodes of
+"""Level-synchronous growth: a constant number of jobs per level for the open nodes of
 all trees.
 
-Rows never move. Their node is a CASE over the codes, recomputed from the splits found
-so far, so a level needs no checkpoint and a lost executor only repeats a narrow scan.
-Shuffles carry histogram cells: nodes x features x codes, then nodes x tuples x bins^k.
+Rows never move. They are cached as column blocks and every pass routes them through the
+splits found so far, so a level needs no checkpoint and a lost executor only repeats its
+blocks. Shuffles carry count arrays per (node, feature) and (node, tuple of features).
 The driver holds nodes, thresholds of the top features and one winner per node and
-region - all model-sized.
+region; open nodes are searched in lots, so that this and a task's arrays stay bounded.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from dataclasses import dataclass, field
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rulespire.config import FitConfig
 from rulespire.functions.hashing import unit_hash
 from rulespire.functions.rules import AFFINE, ANTIHORN, ANY, BEST, CONJUI, FAMILY_RANK, HORN, SQUARE2CNF, Literal, Rule
-from rulespire.functions.scores import entropy, gain_ratio, information_gain, penalized_gain
-from rulespire.operators.binning import local_cuts
-from rulespire.operators.dense import best_regions
-from rulespire.operators.search import (
-    best_per, clause_pairs, forms, interaction_scan, region_counts, regions_for, rule_of, score_counts, searched_families,
-)
+from rulespire.functions.scores import information_gain
+from rulespire.operators.dense import best_cuts, entropy_of, region_scores
+from rulespire.operators.search import clause_pairs, forms, interaction_scan, regions_for, regions_of, rule_of, searched_families
+from rulespire.plans import tensors as T
 from rulespire.plans.encode import Encoded, encode
 from rulespire.plans.model import Node, TreeModel
 
-KEYS = ["slot"]  # position of a node in the level's list of open nodes
+#: Cells of the arrays that a task holds at once.
+CELLS = 1 << 23
 
 
 @dataclass
@@ -37,7 +37,7 @@ class Candidate:
     score: float
     gain: float
     rule: Rule  # thresholds as values
-    code_rule: Rule  # thresholds as codes
+    code_rule: Rule  # thresholds as codes, for features that have one per value
     ip: float
     ineg: float
 
@@ -54,7 +54,7 @@ class OpenNode:
     node: Node
     scores: dict[int, float] = field(default_factory=dict)
     ranked: list[int] = field(default_factory=list)
-    cuts: dict[int, list[tuple[int, float]]] = field(default_factory=dict)  # feature -> [(code, threshold)]
+    cuts: dict[int, list[tuple[float, float]]] = field(default_factory=dict)  # feature -> [(code or threshold, threshold)]
     candidates: list[Candidate] = field(default_factory=list)
 
 
@@ -62,7 +62,7 @@ def fit_tree(df: DataFrame, label: str, features: list[str], cfg: FitConfig = Fi
     """Fit one rule tree on a table."""
     if cfg.strict_family and cfg.family == ANY:
         raise ValueError("strict family mode needs one family, not Any")
-    enc = encode(df, label, features, cfg.max_codes, weight, keep=features if cfg.allow_compare else ())
+    enc = encode(df, label, features, cfg.max_codes, weight, keep=features if cfg.allow_compare else (), exact=True)
     try:
         return Grower(enc, cfg).run()
     finally:
@@ -101,40 +101,35 @@ class Grower:
         self.subsets = subsets
         self.spark = enc.df.sparkSession
         self.families = searched_families(cfg.family, cfg.allow_affine)
-        self.model = TreeModel(enc.features, meta={"config": cfg, "quantile_cells": [f for f, v in zip(enc.features, enc.values) if v is None]})
+        self.model = TreeModel(enc.features, meta={"config": cfg, "finer_than_codes": [f for f, v in zip(enc.features, enc.values) if v is None]})
         self.code_rules: dict[tuple[int, int], Rule] = {}
-        self.value_table = F.broadcast(enc.value_table())  # features x max_codes numbers
+        self.raw = {enc.features.index(f): k for k, f in enumerate(enc.raw)}
+        self.wide = frozenset(f for f, v in enumerate(enc.values) if v is None)
+        self.blocks: DataFrame | None = None
+        self.held: list[DataFrame] = []
         self.extra_pairs: list[tuple[int, int]] = []
 
     # -- rows of the open nodes ------------------------------------------------------
 
-    def _route(self, tree: int, node: int, slots: dict) -> Column:
-        key = (tree, node)
-        if key in self.code_rules:
-            cols = [F.col("c")[i] for i in range(self.d)]
-            if self.cfg.allow_compare:
-                cols = [_Dual(c, F.col(f)) for c, f in zip(cols, self.enc.features)]
-            truth = _code_truth(self.code_rules[key], cols)
-            return F.when(truth, self._route(tree, 2 * node, slots)).otherwise(self._route(tree, 2 * node + 1, slots))
-        return F.lit(slots.get(key)).cast("int")
-
-    def rows(self, open_nodes: list[OpenNode]) -> DataFrame:
-        """Rows of the open nodes with their slot; one row per tree that is still open for it."""
+    def router(self, open_nodes: list[OpenNode]) -> T.Router:
         slots = {(o.node.tree_id, o.node.node_id): i for i, o in enumerate(open_nodes)}
-        df = self.enc.df
-        if self.n_trees == 1 and self.weights is None:
-            return df.withColumn("slot", self._route(0, 1, slots)).filter("slot is not null")
-        places = F.array(*[
-            F.struct(self._route(t, 1, slots).alias("slot"),
-                     (F.col("w") * F.col(self.weights)[t] if self.weights else F.col("w")).alias("w"))
-            for t in sorted({t for t, _ in slots})
-        ])
-        live = F.filter(places, lambda p: p.slot.isNotNull() & (p.w > 0))
-        return df.withColumn("__p", F.explode(live)).select(*[c for c in df.columns if c != "w"], "__p.slot", "__p.w")
-
-    def _signed(self) -> list[Column]:
-        pos = F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0.0))
-        return [F.sum(pos).alias("pos"), F.sum(F.col("w") - pos).alias("neg")]
+        return T.Router(self.code_rules, slots, self.raw, self.wide)
+
+    def _lots(self, todo: list[OpenNode], cells) -> list[list[OpenNode]]:
+        """Open nodes whose arrays fit into a task together; ``cells(o)`` is the size of those of one node."""
+        lots, held = [], 0
+        for o in todo:
+            size = cells(o)
+            if not lots or held + size > CELLS:
+                lots.append([])
+                held = 0
+            lots[-1].append(o)
+            held += size
+        return lots
+
+    def _tuple_cells(self, o: OpenNode) -> int:
+        sizes = {a: [len(self._grid(a)(o, f)) + 1 for f in self._tuple_features([o], a)[0]] for a in (2, 3)}
+        return sum(math.prod(c) for a in (2, 3) if a <= self.cfg.max_arity for c in combinations(sizes[a], a))
 
     # -- level ------------------------------------------------------------------------
 
@@ -150,12 +145,18 @@ class Grower:
             level.append(OpenNode(self._node(t, 1, pos, neg)))
         if cfg.use_interactions:
             self.extra_pairs = self._interactions()
-        while level:
-            todo = [o for o in level if not o.node.stop_reason]
-            if not todo:
-                break
-            self._search(todo)
-            level = [child for o in todo for child in self._close(o)]
+        self.blocks = T.pack(self.enc.df, self.enc.raw, self.weights)
+        try:
+            while level:
+                todo = [o for o in level if not o.node.stop_reason]
+                for lot in self._lots(todo, lambda o: max(sum(map(self.enc.codes, range(self.d))), self.d * self.cfg.n_bins)):
+                    self._cuts(lot)
+                for lot in self._lots(todo, self._tuple_cells):
+                    self._search(lot)
+                level = [child for o in todo for child in self._close(o)]
+        finally:
+            self._release()
+            self.blocks.unpersist()
         return self.model
 
     def _node(self, tree: int, node: int, pos: float, neg: float) -> Node:
@@ -184,77 +185,79 @@ class Grower:
 
     def _search(self, todo: list[OpenNode]) -> None:
         cfg = self.cfg
-        rows = self.rows(todo)
-        self._cuts(rows, todo)
         plain = self.families & {HORN, ANTIHORN, CONJUI, AFFINE}
-        if plain and cfg.search_2d and cfg.max_arity >= 2:
-            self._score_tuples(rows, todo, 2)
-            if cfg.allow_compare and self.families & {HORN, ANTIHORN}:
-                self._score_compare(rows, todo)
-        if plain and cfg.search_3d and cfg.max_arity >= 3:
-            self._score_tuples(rows, todo, 3)
-        if SQUARE2CNF in self.families:
-            self._score_cnf(rows, todo)
+        self._score_tuples(todo, plain)
+        if plain and cfg.search_2d and cfg.max_arity >= 2 and cfg.allow_compare and self.families & {HORN, ANTIHORN}:
+            self._score_compare(todo)
         if cfg.look_ahead:
-            self._look_ahead(rows, todo)
+            self._look_ahead(todo)
 
     # -- features, cuts and single tests ------------------------------------------------
 
     def _fresh_scores(self, o: OpenNode) -> bool:
         return o.node.depth == 0 or (o.node.depth <= 2 and o.node.n >= 100)
 
-    def _cuts(self, rows: DataFrame, todo: list[OpenNode]) -> None:
-        cfg, d, width = self.cfg, self.d, max(self.enc.codes(f) for f in range(self.d))
-        if self.subsets:
-            # open nodes -> features of their tree: one short list per slot
-            allowed = [(i, self.subsets[o.node.tree_id]) for i, o in enumerate(todo)]
-            table = F.broadcast(self.spark.createDataFrame(allowed, "slot int, fs array<int>"))
-            entry = F.transform("fs", lambda f: F.struct(f.alias("f"), F.get(F.col("c"), f).cast("int").alias("code")))
-            long = rows.join(table, "slot").select("slot", "y", "w", F.inline(entry))
-        else:
-            long = rows.select("slot", "y", "w", F.posexplode("c").alias("f", "code"))
-        # one number per cell keeps the hash aggregation on a single long key
-        cell = (F.col("slot").cast("bigint") * d + F.col("f")) * width + F.col("code")
-        hist = long.groupBy(cell.alias("cell")).agg(*self._signed())
-        hist = _unpack(hist, "cell", [("code", width), ("f", d), ("slot", None)])
-        hist = hist.join(self.value_table, ["f", "code"])
-        cuts = local_cuts(hist, [*KEYS, "f"], cfg.n_bins, "value", "code")
-        by_feature = [*KEYS, "f"]
+    def _all_cuts(self, todo: list[OpenNode]) -> DataFrame:
+        """slot, f, threshold, cut_code, cum_pos, cum_neg, tot_pos, tot_neg: exact node-local cuts of all features."""
+        router = self.router(todo)
+        features = [self.subsets[o.node.tree_id] if self.subsets else list(range(self.d)) for o in todo]
+        codes = [self.enc.codes(f) for f in range(self.d)]
+        parts = T.count(self.blocks, router, T.Histogram(codes, self.wide, self.raw, features), 2)
+        cutter = T.Cutter(self.enc.values, self.cfg.n_bins)
+        cuts = T.merged(parts, 2, cutter, T.CUTS, ("sum", "min", "max") if self.wide else ("sum",))
+        if self.wide:
+            cuts, few = self._hold(cuts), None
+            picks = [r.asDict() for r in cuts.filter(F.col("kind") != T.CUT).collect()]  # at most open nodes x wide features x bins
+            while picks:
+                large = [(k, p) for k, p in enumerate(picks) if p["kind"] == T.PICK and p["rows"] > T.VALUES]
+                inside = T.inside_counts(self.blocks, router, T.Inside(picks, self.raw, self.cfg.n_bins), large)
+                got = self._hold(T.resolve(inside, picks, cutter))
+                if any(p["kind"] == T.FEW for p in picks):
+                    few = got.filter(F.col("kind") == T.FEW)
+                cuts = cuts.unionByName(got.filter(F.col("kind") != T.FEW))
+                picks = [r.asDict() for r in got.filter(F.col("kind") == T.PICK).collect()]
+            cuts = cuts.filter(F.col("kind") == T.CUT)
+            if few is not None:
+                cuts = cuts.join(few.select("slot", "f").distinct(), ["slot", "f"], "left_anti").unionByName(few)
+        return cuts.select("slot", "f", "threshold", "cut_code", "cum_pos", "cum_neg", "tot_pos", "tot_neg")
+
+    def _hold(self, df: DataFrame) -> DataFrame:
+        """Keep a small table that is read twice."""
+        self.held.append(df.persist())
+        return df
+
+    def _release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
+
+    def _cuts(self, todo: list[OpenNode]) -> None:
+        cfg = self.cfg
+        cuts = self._all_cuts(todo)
         # inherited scores: features allowed by the parent's ranking
         extra = sorted({f for p in self.extra_pairs for f in p})
-        plan = []
+        plan: list[tuple[bool, list[int]]] = []
         for o in todo:
             fresh = self._fresh_scores(o)
-            top = [] if fresh else sorted(o.scores, key=lambda f: (-o.scores[f], f))[: cfg.top_k]
-            plan.append((len(plan), fresh, top + extra if top else extra))
-        plan_df = F.broadcast(self.spark.createDataFrame(plan, "slot int, fresh boolean, wanted array<int>"))  # one row per open node
-        if todo[0].node.depth == 0 and not cfg.use_gain_ratio:
-            scored = _with_mutual_information(cuts, by_feature)
-        else:
-            scored = _with_feature_score(cuts, by_feature, cfg)
-        left, n = F.col("cum_pos") + F.col("cum_neg"), F.col("tot_pos") + F.col("tot_neg")
-        gain = information_gain(F.col("tot_pos"), F.col("tot_neg"), F.col("cum_pos"), F.col("cum_neg"))
-        ok = (left >= cfg.min_samples_leaf) & (n - left >= cfg.min_samples_leaf)
-        single = F.when(ok, penalized_gain(F.col("gain"), 1, n)).otherwise(F.lit(-1.0))
-        # a node has at most features x n_bins cuts: node-sized windows
-        node = W.partitionBy(*KEYS)
-        ranked = scored.withColumn("gain", gain).withColumn("score", single).join(plan_df, KEYS).withColumns({
-            "rk": F.dense_rank().over(node.orderBy(F.desc(F.round("feature_score", 12)), "f")),
-            "first": F.row_number().over(node.orderBy(F.desc(F.round("score", 12)), "f", "cut_code")) == 1,
-        })
-        keep = F.array_contains("wanted", F.col("f")) | (F.col("fresh") & (F.col("rk") <= cfg.top_k))
-        got = ranked.withColumn("keep", keep).filter(F.col("keep") | F.col("first")).select(
-            *KEYS, "f", "cut_code", "threshold", "feature_score", "score", "gain",
-            F.col("cum_pos").alias("ip"), F.col("cum_neg").alias("ineg"), "first", "keep").toPandas().to_dict("records")
+            plan.append((fresh, extra if fresh else sorted(o.scores, key=lambda f: (-o.scores[f], f))[: cfg.top_k] + extra))
+        by_information = todo[0].node.depth == 0 and not cfg.use_gain_ratio
+
+        def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _ranked(pdf, *plan[int(pdf["slot"].iloc[0])], cfg, by_information)
+
+        schema = "slot int, f int, cut_code int, threshold double, feature_score double, score double, gain double, ip double, ineg double, first boolean, keep boolean"
+        # a node has at most features x n_bins cuts
+        got = cuts.groupBy("slot").applyInPandas(rank, schema).toPandas().to_dict("records")
+        self._release()
         singles = []
         for r in got:
             o = todo[r["slot"]]
-            t = self._threshold(r["f"], r["cut_code"], r["threshold"])
+            t = float(r["threshold"])
+            test = t if r["f"] in self.wide else r["cut_code"]
             if r["first"] and r["score"] > 0:
-                singles.append((o, r, t))
+                singles.append((o, r, test, t))
             if not r["keep"]:
                 continue
-            o.cuts.setdefault(r["f"], []).append((r["cut_code"], t))
+            o.cuts.setdefault(r["f"], []).append((test, t))
             if self._fresh_scores(o):
                 o.scores[r["f"]] = r["feature_score"]
         for o in todo:
@@ -262,12 +265,8 @@ class Grower:
                 o.cuts[f].sort()
             o.ranked = sorted(o.cuts, key=lambda f: (-o.scores.get(f, 0.0), f))
         if cfg.search_1d or CONJUI in self.families:
-            for o, r, t in singles:
-                self._add(o, "L", [r["f"]], [r["cut_code"]], [t], r)
-
-    def _threshold(self, f: int, code: int, t: float) -> float:
-        """Quantile cells can only be cut at their border."""
-        return self.enc.cuts[f][code - 1] if self.enc.values[f] is None else float(t)
+            for o, r, test, t in singles:
+                self._add(o, "L", [r["f"]], [test], [t], r)
 
     def _add(self, o: OpenNode, region: str, feats: list[int], codes: list[int], values: list[float], r) -> None:
         for family, combine in forms(region):
@@ -290,65 +289,14 @@ class Grower:
         limit = cfg.pair_features(self.d) if arity == 2 else cfg.triple_features(self.d)
         return [sorted(o.ranked[: min(limit, cfg.top_k)]) for o in todo]
 
-    def _bin_tables(self, todo: list[OpenNode], feats: list[list[int]], grid) -> tuple[list, int]:
-        """(slot, features, code -> bin per feature) rows and the largest bin count."""
-        rows, most = [], 2
-        for slot, (o, fs) in enumerate(zip(todo, feats)):
-            tables = []
-            for f in fs:
-                cut_codes = [c for c, _ in grid(o, f)]
-                tables.append([bisect_right(cut_codes, c) for c in range(self.enc.codes(f))])
-                most = max(most, len(cut_codes) + 1)
-            rows.append((slot, fs, tables))
-        return rows, most
-
-    def _binned(self, rows: DataFrame, todo: list[OpenNode], feats: list[list[int]], grid) -> tuple[DataFrame, int]:
-        """(slot, pos, neg, b): bins of the node's features, equal rows added up where that pays."""
-        own, most = self._bin_tables(todo, feats, grid)
-        # open nodes x top features x codes small integers
-        info = F.broadcast(self.spark.createDataFrame(own, "slot int, fs array<int>, lut array<array<int>>"))
-        b = F.transform("fs", lambda f, i: F.get(F.get(F.col("lut"), i), F.get(F.col("c"), f).cast("int")).cast("bigint"))
-        pos = F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0.0))
-        df = rows.join(info, "slot").select("slot", b.alias("b"), pos.alias("pos"), (F.col("w") - pos).alias("neg"))
-        if self._packs(todo, feats, grid):
-            df = df.groupBy("slot", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        return df, most
-
-    def _tuple_cells(self, rows: DataFrame, todo: list[OpenNode], feats: list[list[int]], grid, arity: int) -> DataFrame:
-        """Joint counts (slot, i, j[, k], bi, bj[, bk], pos, neg); i, j, k are places in the node's features.
-
-        One generator per axis spreads a row over the tuples: the generated code stays
-        small however many tuples there are, so the JIT compiles it. A tuple and its bins
-        are one long number, the only key of the aggregation.
-        """
-        df, most = self._binned(rows, todo, feats, grid)
-        k = max(len(fs) for fs in feats)
-        df = df.withColumn("cell", F.col("slot").cast("bigint")).withColumn("at", F.lit(-1)).withColumn("bins", F.lit(0).cast("bigint"))
-        for _ in range(arity):
-            later = F.slice("b", F.col("at") + 2, F.greatest(F.size("b") - F.col("at") - 1, F.lit(0)))
-            df = df.select("slot", "b", "pos", "neg", "cell", "at", "bins", F.posexplode(later).alias("p", "v"))
-            here = F.col("at") + 1 + F.col("p")
-            df = df.select("slot", "b", "pos", "neg", (F.col("cell") * k + here).alias("cell"), here.alias("at"), (F.col("bins") * most + F.col("v")).alias("bins"))
-        counted = df.select("pos", "neg", (F.col("cell") * most**arity + F.col("bins")).alias("cell"))
-        counted = counted.groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        axes, places = ["bi", "bj", "bk"][:arity], ["i", "j", "k"][:arity]
-        return _unpack(counted, "cell", [*[(a, most) for a in reversed(axes)], *[(p, k) for p in reversed(places)], ("slot", None)])
-
-    def _extra_cells(self, rows: DataFrame, todo: list[OpenNode], grid) -> tuple[DataFrame | None, list[list[int]]]:
-        """Joint counts of the interacting pairs outside of the ranked features."""
-        feats = [sorted({f for p in self.extra_pairs for f in p if f in o.cuts}) for o in todo]
-        if not any(len(fs) > 1 for fs in feats):
-            return None, feats
-        cells = self._tuple_cells(rows, todo, feats, grid, 2)
-        wanted = {tuple(sorted(p)) for p in self.extra_pairs}
-        keep = [(s, i, j) for s, fs in enumerate(feats) for i, j in combinations(range(len(fs)), 2) if (fs[i], fs[j]) in wanted]
-        table = F.broadcast(self.spark.createDataFrame(keep, "slot int, i int, j int"))  # at most 50 pairs per node
-        return cells.join(table, ["slot", "i", "j"], "left_semi"), feats
-
-    def _packs(self, todo: list[OpenNode], feats: list[list[int]], grid) -> bool:
-        """Whether the bin vectors of the open nodes are far fewer than their rows."""
-        vectors = sum(min(math.prod(len(grid(o, f)) + 1 for f in fs), o.node.n) for o, fs in zip(todo, feats))
-        return vectors * 4 < sum(o.node.n for o in todo)
+    def _bins(self, o: OpenNode, fs: list[int], grid, arity: int) -> T.Grid:
+        """Bins of the features ``fs`` of a node and their tuples."""
+        tables, sizes = [], []
+        for f in fs:
+            tests = np.array([c for c, _ in grid(o, f)])
+            tables.append(tests if f in self.wide else np.searchsorted(tests, np.arange(self.enc.codes(f)), "right"))
+            sizes.append(len(tests) + 1)
+        return T.Grid(fs, tables, sizes, list(combinations(range(len(fs)), arity)))
 
     def _grid(self, arity: int):
         """Cuts used for a tuple size: triples take every step-th one."""
@@ -358,134 +306,172 @@ class Grower:
             return [c for i, c in enumerate(cuts) if (i + 1) % step == 0]
         return cuts_of
 
-    def _score_tuples(self, rows: DataFrame, todo: list[OpenNode], arity: int) -> None:
-        wanted = regions_for(self.families, arity)
-        feats = self._tuple_features(todo, arity)
-        if not wanted or max(len(fs) for fs in feats) < arity:
+    def _coarse(self, o: OpenNode, f: int) -> list[tuple[float, float]]:
+        """Cuts used in clauses."""
+        nb = len(o.cuts[f]) + 1
+        step = max(1, nb // self.cfg.cnf_thresholds)
+        return [o.cuts[f][i - 1] for i in range(step, nb, step)]
+
+    def _score_tuples(self, todo: list[OpenNode], plain: set[str]) -> None:
+        """Best regions of all pairs and triples and all gainful clauses, from one pass."""
+        cfg = self.cfg
+        grids: dict[tuple[int, int], T.Grid] = {}
+        cuts_of = {T.PAIRS: self._grid(2), T.TRIPLES: self._grid(3), T.EXTRA: self._grid(2), T.CLAUSES: self._coarse}
+        for slot, o in enumerate(todo):
+            for kind, arity, on in ((T.PAIRS, 2, plain and cfg.search_2d), (T.TRIPLES, 3, plain and cfg.search_3d)):
+                if on and cfg.max_arity >= arity:
+                    grids[(kind, slot)] = self._bins(o, self._tuple_features([o], arity)[0], cuts_of[kind], arity)
+            if (T.PAIRS, slot) in grids and self.extra_pairs and self.families & {HORN, ANTIHORN}:
+                fs = sorted({f for p in self.extra_pairs for f in p if f in o.cuts})
+                extra = self._bins(o, fs, cuts_of[T.EXTRA], 2)
+                wanted = {tuple(sorted(p)) for p in self.extra_pairs}
+                extra.tuples = [(i, j) for i, j in extra.tuples if (fs[i], fs[j]) in wanted]
+                grids[(T.EXTRA, slot)] = extra
+            if SQUARE2CNF in self.families:
+                grids[(T.CLAUSES, slot)] = self._bins(o, sorted(o.ranked[: cfg.cnf_features]), self._coarse, 2)
+        grids = {k: g for k, g in grids.items() if g.tuples}
+        if not grids:
             return
-        grid = self._grid(arity)
-        self._best_of(self._tuple_cells(rows, todo, feats, grid, arity), todo, feats, grid, arity, wanted)
-        if arity == 2 and self.extra_pairs and self.families & {HORN, ANTIHORN}:
-            cells, feats = self._extra_cells(rows, todo, grid)
-            if cells is not None:
-                self._best_of(cells, todo, feats, grid, 2, wanted)
-
-    def _best_of(self, cells: DataFrame, todo: list[OpenNode], feats: list[list[int]], grid, arity: int, wanted: list[str]) -> None:
-        axes, places = ["bi", "bj", "bk"][:arity], ["i", "j", "k"][:arity]
-        scored = best_regions(cells, ["slot", *places], axes, wanted, self.cfg.min_samples_leaf)
-        for r in best_per(scored, ["slot", "region"], [*places, *axes]).collect():
-            o, fs = todo[r["slot"]], [feats[r["slot"]][r[p]] for p in places]
-            picks = [grid(o, f)[r[a]] for f, a in zip(fs, axes)]
-            self._add(o, r["region"], fs, [c for c, _ in picks], [t for _, t in picks], r)
-
-    def _score_compare(self, rows: DataFrame, todo: list[OpenNode]) -> None:
-        """x_i <= x_j for the node's pairs (needs the raw columns)."""
-        own = [(slot, [list(t) for t in combinations(fs, 2)]) for slot, fs in enumerate(self._tuple_features(todo, 2))]
-        info = F.broadcast(self.spark.createDataFrame(own, "slot int, tuples array<array<int>>"))  # pairs of open nodes
-        x = F.array(*[F.col(f) for f in self.enc.features])
-        entry = F.transform("tuples", lambda t: F.struct(F.get(t, F.lit(0)).alias("fi"), F.get(t, F.lit(1)).alias("fj")))
-        long = rows.withColumn("x", x).join(info, "slot").select("slot", "y", "w", "x", F.inline(entry))
-        le = F.get(F.col("x"), F.col("fi")) <= F.get(F.col("x"), F.col("fj"))
-        pos = F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0.0))
-        neg = F.col("w") - pos
-        on = lambda v: F.sum(F.when(le, v).otherwise(F.lit(0.0)))
-        counts = long.groupBy(*KEYS, "fi", "fj").agg(on(pos).alias("ip"), on(neg).alias("ineg"), F.sum(pos).alias("tp"), F.sum(neg).alias("tn"))
-        scored = score_counts(counts, 1, self.cfg.min_samples_leaf)
-        for r in best_per(scored, KEYS, ["fi", "fj"]).collect():
+        regions = {k: regions_for(self.families, 3 if k == T.TRIPLES else 2) for k in (T.PAIRS, T.TRIPLES, T.EXTRA)}
+        sizes = {k: g.sizes for k, g in grids.items()}
+        min_leaf = cfg.min_samples_leaf
+
+        def finish(key: tuple, arrays: list[np.ndarray]) -> list[tuple]:
+            kind, slot, *places = key
+            shape = [sizes[(kind, slot)][k] for k in places if k >= 0]
+            both = arrays[0].reshape(*shape, 2)
+            counts = [both[..., 1], both[..., 0]]
+            pad = [-1] * (3 - len(shape))
+            if kind != T.CLAUSES:
+                return [(*key, region, *r[: len(shape)], *pad, *r[len(shape) :]) for region, *r in best_cuts(counts, regions[kind], min_leaf)]
+            out = []
+            if min(shape) > 1:
+                for region, score, gain, ip, ineg in region_scores(counts, [r for r in regions_of(2) if r != "X"], min_leaf, 1):
+                    out += [(*key, region, int(i), int(j), -1, float(score[i, j]), float(gain[i, j]), float(ip[i, j]), float(ineg[i, j])) for i, j in np.argwhere(score > 0)]
+            return out
+
+        parts = T.count(self.blocks, self.router(todo), T.Tuples(grids, self.raw, self.wide), 5)
+        schema = "kind int, slot int, i int, j int, k int, region string, bi int, bj int, bk int, score double, gain double, ip double, ineg double"
+        # tuples x regions of the lot's nodes, and their coarse clauses
+        found = T.merged(parts, 5, finish, schema).toPandas().to_dict("records")
+        best: dict[tuple, dict] = {}
+        clauses: dict[int, list] = {}
+        for r in found:
+            if r["kind"] == T.CLAUSES:
+                clauses.setdefault(r["slot"], []).append(r)
+                continue
+            order = (-round(r["score"], 12), *(r[c] for c in ("i", "j", "k", "bi", "bj", "bk")))
+            key = r["kind"], r["slot"], r["region"]
+            if key not in best or order < best[key][0]:
+                best[key] = order, r
+        for (kind, slot, region), (_, r) in sorted(best.items()):
+            o, fs = todo[slot], grids[(kind, slot)].features
+            used = [(fs[r[p]], r[b]) for p, b in zip("ijk", ("bi", "bj", "bk")) if r[p] >= 0]
+            picks = [cuts_of[kind](o, f)[b] for f, b in used]
+            self._add(o, region, [f for f, _ in used], [c for c, _ in picks], [t for _, t in picks], r)
+        if clauses:
+            self._score_cnf(todo, {slot: self._clauses(todo[slot], grids[(T.CLAUSES, slot)].features, rs) for slot, rs in clauses.items()})
+
+    def _score_compare(self, todo: list[OpenNode]) -> None:
+        """x_i <= x_j for the node's pairs."""
+        pairs = {slot: list(combinations(self._tuple_features([o], 2)[0], 2)) for slot, o in enumerate(todo)}
+        raw, min_leaf = self.raw, self.cfg.min_samples_leaf
+
+        def truths(ps: list[tuple[int, int]]):
+            return lambda b, rows: [b.x[raw[i]][rows] <= b.x[raw[j]][rows] for i, j in ps]
+
+        totals = {slot: (o.node.n_pos, o.node.n_neg) for slot, o in enumerate(todo)}
+
+        def finish(key: tuple, arrays: list[np.ndarray]) -> list[tuple]:
+            (slot,) = key
+            n = len(pairs[slot])
+            neg, pos = (a.diagonal() for a in arrays[0].reshape(2, n, n))
+            return _best_row(slot, pos, neg, *totals[slot], 1, min_leaf)
+
+        counter = T.Together({slot: truths(ps) for slot, ps in pairs.items() if ps})
+        found = T.merged(T.count(self.blocks, self.router(todo), counter, 1), 1, finish, _BEST_ROW)
+        for r in found.collect():
             o = todo[r["slot"]]
+            i, j = pairs[r["slot"]][r["p"]]
             family = HORN if HORN in self.families else ANTIHORN
-            rule = Rule.of("or", family, Literal(r["fi"], "LE", 0.0, r["fj"]), gain=r["score"])
+            rule = Rule.of("or", family, Literal(i, "LE", 0.0, j), gain=r["score"])
             o.candidates.append(Candidate(r["score"], r["gain"], rule, rule, r["ip"], r["ineg"]))
 
     # -- two-clause rules -------------------------------------------------------------------
 
-    def _score_cnf(self, rows: DataFrame, todo: list[OpenNode]) -> None:
+    def _clauses(self, o: OpenNode, fs: list[int], rows: list[dict]) -> list[list[tuple]]:
+        """Clauses (feature, operator, test, threshold) of a node by rank."""
+        out = []
+        for r in rows:
+            used = [fs[r["i"]], fs[r["j"]]]
+            picks = [self._coarse(o, f)[b] for f, b in zip(used, (r["bi"], r["bj"]))]
+            clause = [(f, "LT" if s == "H" else "GE", c, t) for f, (c, t), s in zip(used, picks, r["region"])]
+            out.append((round(r["score"], 12), clause))
+        out.sort(key=lambda e: (-e[0], e[1]))
+        return [clause for _, clause in out]
+
+    def _score_cnf(self, todo: list[OpenNode], clauses: dict[int, list[list[tuple]]]) -> None:
         """(a or b) and (c or d): rank clauses by their own gain, then try pairs of them.
 
-        Clause counts come from coarse pair histograms; the pairs are counted on the
-        distinct truth patterns of the kept clauses.
+        The truths of the kept clauses are multiplied with each other, which counts all pairs at once.
         """
-        cfg, spark = self.cfg, self.spark
-
-        def grid(o: OpenNode, f: int) -> list[tuple[int, float]]:
-            nb = len(o.cuts[f]) + 1
-            step = max(1, nb // cfg.cnf_thresholds)
-            return [o.cuts[f][i - 1] for i in range(step, nb, step)]
-
-        feats = [sorted(o.ranked[: cfg.cnf_features]) for o in todo]
-        if max(len(fs) for fs in feats) < 2:
-            return
-        cells = self._tuple_cells(rows, todo, feats, grid, 2)
-        scored = score_counts(region_counts(cells, ["slot", "i", "j"], ["bi", "bj"]).filter(F.col("region") != "X"), 1, cfg.min_samples_leaf)
-        best = scored.filter("score > 0").select("slot", "i", "j", "bi", "bj", "region", "score").collect()  # coarse cells of the open nodes
-        clauses: dict[int, list] = {}
-        for r in best:
-            o, fs = todo[r["slot"]], [feats[r["slot"]][r[p]] for p in ("i", "j")]
-            picks = [grid(o, f)[r[b]] for f, b in zip(fs, ("bi", "bj"))]
-            clause = [(f, "LT" if s == "H" else "GE", c, t) for f, (c, t), s in zip(fs, picks, r["region"])]
-            clauses.setdefault(r["slot"], []).append((round(r["score"], 12), clause))
-        rows_out, kept = [], {}
+        cfg, min_leaf = self.cfg, self.cfg.min_samples_leaf
+        kept: dict[int, tuple[list, list[tuple[int, int]]]] = {}
         for slot, cl in clauses.items():
-            cl.sort(key=lambda e: (-e[0], e[1]))
-            pairs = clause_pairs(len(cl), [frozenset(l[0] for l in c) for _, c in cl], cfg.cnf_candidates)
+            pairs = clause_pairs(len(cl), [frozenset(l[0] for l in c) for c in cl], cfg.cnf_candidates)
             if pairs:
                 used = sorted({k for pair in pairs for k in pair})
-                top, pairs = [cl[k][1] for k in used], [(used.index(a), used.index(b)) for a, b in pairs]
-                kept[slot] = (top, pairs)
-                rows_out.append((slot, [[(f, op == "GE", c) for f, op, c, _ in clause] for clause in top], [list(p) for p in pairs]))
-        if not rows_out:
+                kept[slot] = [cl[k] for k in used], [(used.index(a), used.index(b)) for a, b in pairs]
+        if not kept:
             return
-        table = F.broadcast(spark.createDataFrame(
-            rows_out, "slot int, cl array<array<struct<i:int,ge:boolean,k:int>>>, pairs array<array<int>>"))  # clauses of cnf_candidates pairs per node
-        true_clause = lambda c: F.exists(c, lambda l: (F.get(F.col("c"), l.i) >= l.k) == l.ge)
-        masks = rows.join(table, "slot").select("slot", "y", "w", F.transform("cl", true_clause).alias("m"))
-        masks = masks.groupBy("slot", "m").agg(*self._signed())
-        bit = lambda i: F.get(F.col("m"), F.get(F.col("pair"), F.lit(i)))
-        hits = masks.join(table.select("slot", "pairs"), "slot").select(
-            "slot", "m", "pos", "neg", F.posexplode("pairs").alias("p", "pair")).withColumn("hit", bit(0) & bit(1))
-        on = lambda c: F.sum(F.when(F.col("hit"), F.col(c)).otherwise(F.lit(0.0)))
-        counts = hits.groupBy("slot", "p").agg(on("pos").alias("ip"), on("neg").alias("ineg"), F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
-        for r in best_per(score_counts(counts, 2, cfg.min_samples_leaf), ["slot"], ["p"]).collect():
-            top, pairs = kept[r["slot"]]
-            pick = [top[i] for i in pairs[r["p"]]]
+        router = self.router(todo)
+
+        def truths(top: list):
+            rules = [Rule("or", (tuple(Literal(f, op, c) for f, op, c, _ in clause),), HORN) for clause in top]
+            return lambda b, rows: [router.truth(b, rule, rows) for rule in rules]
+
+        totals = {slot: (o.node.n_pos, o.node.n_neg) for slot, o in enumerate(todo)}
+        pairs = {slot: tuple(np.array(ps).T) for slot, (_, ps) in kept.items()}
+        n_clauses = {slot: len(top) for slot, (top, _) in kept.items()}
+
+        def finish(key: tuple, arrays: list[np.ndarray]) -> list[tuple]:
+            (slot,) = key
+            neg, pos = (a[pairs[slot]] for a in arrays[0].reshape(2, n_clauses[slot], n_clauses[slot]))
+            return _best_row(slot, pos, neg, *totals[slot], 2, min_leaf)
+
+        counter = T.Together({slot: truths(top) for slot, (top, _) in kept.items()})
+        for r in T.merged(T.count(self.blocks, router, counter, 1), 1, finish, _BEST_ROW).collect():
+            top, ps = kept[r["slot"]]
+            pick = [top[i] for i in ps[r["p"]]]
             rule = Rule("cnf", tuple(tuple(Literal(f, op, t) for f, op, _, t in c) for c in pick), SQUARE2CNF, r["score"]).check()
             code = Rule("cnf", tuple(tuple(Literal(f, op, c) for f, op, c, _ in cl) for cl in pick), SQUARE2CNF)
             todo[r["slot"]].candidates.append(Candidate(r["score"], r["gain"], rule, code, r["ip"], r["ineg"]))
 
     # -- look-ahead ---------------------------------------------------------------------------
 
-    def _look_ahead(self, rows: DataFrame, todo: list[OpenNode]) -> None:
+    def _look_ahead(self, todo: list[OpenNode]) -> None:
         """Re-rank the best candidates by gain plus the best next single test of both sides."""
         cfg = self.cfg
-        picked, expr = {}, F.lit(None).cast("array<boolean>")
-        cols = [F.col("c")[i] for i in range(self.d)]
-        if cfg.allow_compare:
-            cols = [_Dual(c, F.col(f)) for c, f in zip(cols, self.enc.features)]
-        for slot, o in enumerate(todo):
-            if o.candidates:
-                picked[slot] = sorted(o.candidates, key=Candidate.order)[: cfg.look_ahead_top]
-                truths = F.array(*[_code_truth(c.code_rule, cols) for c in picked[slot]])
-                expr = F.when(F.col("slot") == slot, truths).otherwise(expr)
+        picked = {slot: sorted(o.candidates, key=Candidate.order)[: cfg.look_ahead_top] for slot, o in enumerate(todo) if o.candidates}
         if not picked:
             return
-        own, _ = self._bin_tables(todo, [sorted(o.ranked[: cfg.top_k]) for o in todo], self._grid(1))
-        info = F.broadcast(self.spark.createDataFrame(own, "slot int, feats array<int>, lut array<array<int>>"))  # open nodes
-        sides = rows.withColumn("__t", expr).filter("__t is not null").join(info, "slot")
-        sides = sides.select("slot", "y", "w", "c", "feats", "lut", F.posexplode("__t").alias("cand", "side"))
-        entry = F.transform("feats", lambda f, i: F.struct(f.alias("f"), F.get(F.get(F.col("lut"), i), F.get(F.col("c"), f).cast("int")).alias("bin")))
-        part = ["slot", "cand", "side", "f"]
-        cells = sides.select("slot", "y", "w", "cand", "side", F.inline(entry)).groupBy(*part, "bin").agg(*self._signed())
-        run = W.partitionBy(*part).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-        full = W.partitionBy(*part)
-        cum = cells.select(*part, F.sum("pos").over(run).alias("cp"), F.sum("neg").over(run).alias("cn"),
-                           F.sum("pos").over(full).alias("tp"), F.sum("neg").over(full).alias("tn"))
-        left, n = F.col("cp") + F.col("cn"), F.col("tp") + F.col("tn")
-        g = information_gain(F.col("tp"), F.col("tn"), F.col("cp"), F.col("cn"))
-        ok = (left >= cfg.min_samples_leaf) & (n - left >= cfg.min_samples_leaf)
-        best = cum.groupBy("slot", "cand", "side").agg(F.greatest(F.max(F.when(ok, g)), F.lit(0.0)).alias("g"), F.max(n).alias("n")).collect()
+        router, min_leaf = self.router(todo), cfg.min_samples_leaf
+        grids = {slot: self._bins(todo[slot], sorted(todo[slot].ranked[: cfg.top_k]), self._grid(1), 1) for slot in picked}
+        sizes = {slot: g.sizes for slot, g in grids.items()}
+
+        def finish(key: tuple, arrays: list[np.ndarray]) -> list[tuple]:
+            best, at, n = 0.0, 0, 0.0
+            for size in sizes[key[0]]:
+                neg, pos = arrays[0][at : at + 2 * size].reshape(size, 2).T
+                at, n = at + 2 * size, float(neg.sum() + pos.sum())
+                gain, ok = _gains(np.cumsum(pos), np.cumsum(neg), pos.sum(), neg.sum(), min_leaf)
+                best = max(best, float(gain[ok].max(initial=0.0)))
+            return [(*key, best, n)]
+
+        counter = T.Sides(grids, {slot: [c.code_rule for c in cs] for slot, cs in picked.items()}, router)
         bonus: dict[tuple, float] = {}
-        for r in best:
-            share = (r["g"] or 0.0) * r["n"] / todo[r["slot"]].node.n
+        for r in T.merged(T.count(self.blocks, router, counter, 3), 3, finish, "slot int, cand int, side int, g double, n double").collect():
+            share = r["g"] * r["n"] / todo[r["slot"]].node.n
             bonus[(r["slot"], r["cand"])] = bonus.get((r["slot"], r["cand"]), 0.0) + share
         for slot, top in picked.items():
             ranked = sorted(enumerate(top), key=lambda e: (-round(e[1].score + cfg.look_ahead_gamma * bonus.get((slot, e[0]), 0.0), 12), e[0]))
@@ -518,44 +504,61 @@ class Grower:
         return [tuple(sorted((int(r["fi"][1:]), int(r["fj"][1:])))) for r in found]
 
 
-def _unpack(df: DataFrame, cell: str, parts: list[tuple[str, int | None]]) -> DataFrame:
-    """Split a mixed-radix cell number; parts are listed from the last digit up."""
-    rest, cols = F.col(cell), {}
-    for name, size in parts:
-        cols[name] = (rest if size is None else F.pmod(rest, F.lit(size))).cast("int")
-        rest = rest if size is None else F.call_function("div", rest, F.lit(size))
-    return df.withColumns(cols).drop(cell)
-
-
-class _Dual:
-    """Code and raw value of one feature: thresholds test codes, column pairs raw values."""
-
-    def __init__(self, code: Column, raw: Column):
-        self.code, self.raw = code, raw
-
-
-def _code_truth(rule: Rule, cols: list) -> Column:
-    if rule.literals[0].feature2 is not None:
-        return rule.column([c.raw if isinstance(c, _Dual) else c for c in cols])
-    return rule.column([c.code if isinstance(c, _Dual) else c for c in cols])
-
-
-def _with_feature_score(cuts: DataFrame, keys: list[str], cfg: FitConfig) -> DataFrame:
-    """Best single-cut gain (or ratio) of the feature on every cut row."""
-    fn = gain_ratio if cfg.use_gain_ratio else information_gain
-    left, n = F.col("cum_pos") + F.col("cum_neg"), F.col("tot_pos") + F.col("tot_neg")
-    g = fn(F.col("tot_pos"), F.col("tot_neg"), F.col("cum_pos"), F.col("cum_neg"))
-    ok = (left >= cfg.min_samples_leaf) & (n - left >= cfg.min_samples_leaf)
-    best = F.max(F.when(ok, g)).over(W.partitionBy(*keys))
-    return cuts.withColumn("feature_score", F.greatest(F.coalesce(best, F.lit(0.0)), F.lit(0.0)))
-
-
-def _with_mutual_information(cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """Plug-in mutual information of label and bin from the cuts' running counts."""
-    order, whole = W.partitionBy(*keys).orderBy("threshold"), W.partitionBy(*keys)
-    seg = lambda s: F.col(f"cum_{s}") - F.coalesce(F.lag(f"cum_{s}").over(order), F.lit(0.0))
-    with_seg = cuts.withColumns({"__p": seg("pos"), "__q": seg("neg"), "__lp": F.max("cum_pos").over(whole), "__lq": F.max("cum_neg").over(whole)})
-    last_p, last_q = F.col("tot_pos") - F.col("__lp"), F.col("tot_neg") - F.col("__lq")
-    rest = F.sum((F.col("__p") + F.col("__q")) * entropy(F.col("__p"), F.col("__q"))).over(whole) + (last_p + last_q) * entropy(last_p, last_q)
-    mi = entropy(F.col("tot_pos"), F.col("tot_neg")) - rest / (F.col("tot_pos") + F.col("tot_neg"))
-    return with_seg.withColumn("feature_score", F.greatest(mi, F.lit(0.0))).drop("__p", "__q", "__lp", "__lq")
+_BEST_ROW = "slot int, p int, score double, gain double, ip double, ineg double"
+
+
+def _gains(ip: np.ndarray, ineg: np.ndarray, tp: float, tn: float, min_leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Information gains of splits given by the counts inside, and which leave enough rows on both sides."""
+    inside, n = ip + ineg, tp + tn
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = entropy_of(np.array(tp), np.array(tn)) - inside / n * entropy_of(ip, ineg) - (n - inside) / n * entropy_of(tp - ip, tn - ineg)
+    ok = (inside >= min_leaf) & (n - inside >= min_leaf) & (inside > 0) & (inside < n)
+    return np.maximum(gain, 0.0), ok
+
+
+def _best_row(slot: int, ip: np.ndarray, ineg: np.ndarray, tp: float, tn: float, arity: int, min_leaf: int) -> list[tuple]:
+    """The first of the best splits as one row, if its penalized gain is positive."""
+    gain, ok = _gains(ip, ineg, tp, tn, min_leaf)
+    n = tp + tn
+    score = np.round(np.where(ok, gain - (arity + 1.0) * np.log(max(n, 2.0)) / (2.0 * n), -1.0), 12)
+    p = int(np.argmax(score))
+    return [(slot, p, float(score[p]), float(gain[p]), float(ip[p]), float(ineg[p]))] if score[p] > 0 else []
+
+
+def _ranked(cuts: pd.DataFrame, fresh: bool, wanted: list[int], cfg: FitConfig, by_information: bool) -> pd.DataFrame:
+    """Cuts of a node's best features, and its best single cut; one row per distinct split of the rows."""
+    cuts = cuts.sort_values(["f", "threshold"], kind="stable").drop_duplicates(["f", "cum_pos", "cum_neg"], ignore_index=True)
+    f, cp, cn = (cuts[c].to_numpy() for c in ("f", "cum_pos", "cum_neg"))
+    tp, tn = cuts["tot_pos"].to_numpy(), cuts["tot_neg"].to_numpy()
+    n, left = tp + tn, cp + cn
+    whole = entropy_of(tp, tn)
+    gain = np.maximum(whole - left / n * entropy_of(cp, cn) - (n - left) / n * entropy_of(tp - cp, tn - cn), 0.0)
+    ok = (left >= cfg.min_samples_leaf) & (n - left >= cfg.min_samples_leaf) & (left > 0) & (left < n)
+    score = np.where(ok & (gain > 0), gain - 2.0 * np.log(np.maximum(n, 2.0)) / (2.0 * n), -1.0)
+    score[score <= 0] = -1.0
+    start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+    if by_information:  # plug-in mutual information of label and bin
+        head = np.zeros(len(f), bool)
+        head[start] = True
+        p, q = (np.diff(c, prepend=0.0) + np.where(head, np.concatenate([[0.0], c[:-1]]), 0.0) for c in (cp, cn))
+        last = np.append(start[1:], len(f)) - 1
+        rest = np.add.reduceat((p + q) * entropy_of(p, q), start)
+        lp, lq = (tp - cp)[last], (tn - cn)[last]
+        per = np.maximum(whole[start] - (rest + (lp + lq) * entropy_of(lp, lq)) / n[start], 0.0)
+    else:
+        use = gain
+        if cfg.use_gain_ratio:
+            info = entropy_of(left, n - left)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                use = np.where(gain <= 0, -1.0, np.where(info <= 1e-10, gain, gain / info))
+        per = np.maximum.reduceat(np.where(ok, np.maximum(use, 0.0), 0.0), start)
+    names = f[start]
+    ranks = np.empty(len(names), int)
+    ranks[np.lexsort((names, -np.round(per, 12)))] = np.arange(1, len(names) + 1)
+    kept = np.isin(names, wanted) | (fresh & (ranks <= cfg.top_k))
+    of = np.cumsum(np.concatenate([[True], f[1:] != f[:-1]])) - 1
+    first = np.zeros(len(f), bool)
+    first[np.argmax(np.round(score, 12))] = True  # the first of the best, by feature and threshold
+    out = pd.DataFrame({"slot": cuts["slot"], "f": f, "cut_code": cuts["cut_code"], "threshold": cuts["threshold"], "feature_score": per[of],
+                        "score": score, "gain": gain, "ip": cp, "ineg": cn, "first": first, "keep": kept[of]})
+    return out[out["keep"] | out["first"]]
