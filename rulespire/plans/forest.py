@@ -12,6 +12,7 @@ from rulespire.operators.sampling import subset_size
 from rulespire.plans.encode import encode
 from rulespire.plans.grow import Grower
 from rulespire.plans.model import TreeModel, importance, score_rows
+from rulespire.plans.walk import probas_of
 
 
 @dataclass
@@ -57,8 +58,8 @@ def fit_forest(df: DataFrame, label: str, features: list[str], row_key: str, n_t
 
 def oob_scores(df: DataFrame, forest: ForestModel, label: str) -> DataFrame:
     """One row: rows with an out-of-bag tree and the accuracy of their out-of-bag mean."""
-    parts = [(F.when(forest.weight_column(t) == 0, forest.trees.proba_column(t))) for t in forest.trees.tree_ids]
-    votes = F.array_compact(F.array(*parts))
+    inside = F.array(*[forest.weight_column(t) > 0 for t in forest.trees.tree_ids])
+    votes = F.array_compact(F.zip_with(probas_of(df.sparkSession, forest.trees), inside, lambda p, i: F.when(~i, p)))
     mean = F.aggregate(votes, F.lit(0.0), lambda a, v: a + v) / F.size(votes)
     scored = df.select(F.col(label).alias("y"), votes.alias("v"), mean.alias("p")).filter(F.size("v") > 0)
     return scored.agg(F.count(F.lit(1)).alias("n_oob"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("oob_accuracy"))

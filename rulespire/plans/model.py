@@ -10,13 +10,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulespire.functions.rules import Rule
+from rulespire.plans.walk import leaves_of, proba_of
 
 NODE_SCHEMA = (
     "tree_id int, node_id bigint, depth int, n double, n_pos double, n_neg double, proba double, is_leaf boolean, "
     "stop_reason string, family string, requested_family string, pattern string, arity int, gain double, "
     "combine string, lits array<struct<clause:int,feature:int,op:string,threshold:double,feature2:int>>"
 )
-CASE_LIMIT = 200  # splits; above it rows are routed by one small join per level
+CASE_LIMIT = 200  # splits of one tree; above it rows are walked by a node table
 
 
 @dataclass
@@ -85,14 +86,6 @@ class TreeModel:
     def proba_column(self, tree: int = 0, cols: list[Column] | None = None) -> Column:
         return self._walk(tree, 1, lambda n: F.lit(float(n.proba)), cols or self.columns())
 
-    def mean_proba_column(self) -> Column:
-        """Mean over the trees."""
-        total = None
-        for t in self.tree_ids:
-            p = self.proba_column(t)
-            total = p if total is None else total + p
-        return total / len(self.tree_ids)
-
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([n.to_row() for _, n in sorted(self.nodes.items())], NODE_SCHEMA)
 
@@ -118,44 +111,20 @@ class TreeModel:
 
 
 def score_rows(df: DataFrame, model: TreeModel, proba: str = "proba", pred: str = "pred", leaf: str | None = None) -> DataFrame:
-    """Add probability and class. Works unchanged on a streaming DataFrame."""
-    if max((len(model.splits(t)) for t in model.tree_ids), default=0) > CASE_LIMIT and len(model.tree_ids) == 1:
-        out = route_by_join(df, model, "__leaf")
-        values = [(n.node_id, float(n.proba)) for n in model.leaves(model.tree_ids[0])]
-        table = df.sparkSession.createDataFrame(values, f"__leaf bigint, `{proba}` double")
-        out = out.join(F.broadcast(table), "__leaf")  # one row per leaf
-        out = out.withColumn(leaf, F.col("__leaf")) if leaf else out
-        out = out.drop("__leaf")
-    else:
-        out = df.withColumn(proba, model.mean_proba_column())
+    """Add probability and class. Works unchanged on a streaming DataFrame.
+
+    One small tree is a CASE expression; forests and larger trees are walked by their node table.
+    """
+    one = len(model.tree_ids) == 1
+    if one and len(model.splits(model.tree_ids[0])) <= CASE_LIMIT:
+        out = df.withColumn(proba, model.proba_column(model.tree_ids[0]))
         out = out.withColumn(leaf, model.leaf_column(model.tree_ids[0])) if leaf else out
+    else:
+        out = df.withColumn(proba, proba_of(df.sparkSession, model))
+        out = out.withColumn(leaf, leaves_of(df.sparkSession, model)[0]) if leaf else out
     return out.withColumn(pred, (F.col(proba) >= 0.5).cast("int"))
 
 
-def route_by_join(df: DataFrame, model: TreeModel, out: str) -> DataFrame:
-    """Leaf ids for trees too large for one CASE: one broadcast of the splits per level."""
-    spark, tree = df.sparkSession, model.tree_ids[0]
-    lit_type = "array<array<struct<f:int,f2:int,op:string,t:double>>>"
-    res = df.withColumn("__x", F.array(*[c.cast("double") for c in model.columns()])).withColumn(out, F.lit(1).cast("bigint"))
-    deepest = max(n.depth for n in model.leaves(tree))
-    for depth in range(deepest):
-        rows = [
-            (n.node_id, n.rule.combine, [[(l.feature, -1 if l.feature2 is None else l.feature2, l.op, float(l.threshold)) for l in c] for c in n.rule.clauses])
-            for n in model.splits(tree) if n.depth == depth
-        ]
-        table = spark.createDataFrame(rows, f"{out} bigint, __comb string, __cl {lit_type}")
-        res = res.join(F.broadcast(table), out, "left")  # one row per split of the level
-        def truth(l):
-            left = F.get(F.col("__x"), l.f)
-            right = F.when(l.f2 >= 0, F.get(F.col("__x"), l.f2)).otherwise(l.t)
-            return F.when(l.op == "GE", left >= right).when(l.op == "LT", left < right).when(l.op == "LE", left <= right).otherwise(left > right)
-        clause = lambda c: F.when(F.col("__comb") == "and", F.forall(c, truth)).when(
-            F.col("__comb") == "xor", F.size(F.filter(c, truth)) % 2 == 1).otherwise(F.exists(c, truth))
-        taken = F.forall("__cl", clause)
-        res = res.withColumn(out, F.when(F.col("__comb").isNull(), F.col(out)).when(taken, F.col(out) * 2).otherwise(F.col(out) * 2 + 1)).drop("__comb", "__cl")
-    return res.drop("__x")
-
-
 def decision_trace(leaf: Column) -> Column:
     """Node ids from the root to the leaf (heap ids halve on the way up)."""
     depth = F.length(F.bin(leaf)) - 1
