@@ -11,6 +11,7 @@ from rulespire.functions.rules import AFFINE, ANTIHORN, CONJUI, HORN, SQUARE2CNF
 from rulespire.functions.scores import information_gain
 from rulespire.operators.prune import node_errors, prune
 from rulespire.plans import model as M
+from rulespire.plans.walk import leaves_of
 from rulespire.plans.grow import fit_tree
 from rulespire.plans.model import Node, TreeModel, score_rows
 from rulespire.sources.sinks import load_model, save_model
@@ -366,7 +367,7 @@ def tre10(spark, sf):
 
 @query("tre11_decision_trace", f"WITH {line_cte()} SELECT rk, {LEAF_SQL}::BIGINT AS leaf, '1>' || ({LEAF_SQL} // 2) || '>' || {LEAF_SQL} AS trace FROM s")
 def tre11(spark, sf):
-    out = M.route_by_join(line_rows(spark, sf), fixed_model(), "leaf")
+    out = line_rows(spark, sf).withColumn("leaf", leaves_of(spark, fixed_model())[0])
     return out.select("rk", "leaf", F.array_join(F.transform(M.decision_trace(F.col("leaf")), lambda n: n.cast("string")), ">").alias("trace"))
 
 

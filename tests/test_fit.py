@@ -18,7 +18,8 @@ from rulespire.plans.encode import encode
 from rulespire.plans.facade import RuleClassifier, choose_model
 from rulespire.plans.forest import fit_forest, oob_scores, score_forest
 from rulespire.plans.grow import fit_tree
-from rulespire.plans.model import TreeModel, accuracy, route_by_join, score_rows
+from rulespire.plans.model import TreeModel, accuracy, score_rows
+from rulespire.plans.walk import leaves_of
 from rulespire.sources.sinks import load_model, save_model
 from rulespire.sources.tables import LINE_FEATURES, line_task
 
@@ -76,9 +77,9 @@ def test_node_counts_are_the_rows_routed(or2, tree):
     assert got == {n.node_id: (n.n_pos, n.n) for n in tree.leaves()}
 
 
-def test_join_routing_equals_case_routing(or2, tree):
-    both = route_by_join(or2, tree, "by_join").withColumn("by_case", tree.leaf_column())
-    assert both.filter("by_join <> by_case").count() == 0
+def test_walk_equals_case_routing(spark, or2, tree):
+    both = or2.withColumn("by_walk", leaves_of(spark, tree)[0]).withColumn("by_case", tree.leaf_column())
+    assert both.filter("by_walk <> by_case").count() == 0
 
 
 def test_same_tree_on_one_partition(spark, or2, tree):

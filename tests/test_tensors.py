@@ -103,3 +103,30 @@ def test_routed_counts(spark, frame):
     m = fit_tree(df, "y", ["a", "b", "d", "e"], FitConfig(max_depth=3, n_bins=BINS, search_3d=False))
     routed = df.withColumn("leaf", m.leaf_column()).groupBy("leaf").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).collect()
     assert {r["leaf"]: (r["p"], r["n"]) for r in routed} == {n.node_id: (n.n_pos, n.n) for n in m.leaves()}
+
+
+def test_boosting_cuts_any_value(spark, frame):
+    """Stumps equal a plain search of all values, round by round, without draws."""
+    from rulespire.plans.boost import fit_boosting
+    from pyspark.sql import functions as F
+
+    pdf = frame.iloc[:30_000].copy()
+    pdf["a"] += np.where(pdf.y == 1, 300.0, 0.0)
+    df = spark.createDataFrame(pdf).withColumn("k", F.monotonically_increasing_id().cast("string"))
+    m = fit_boosting(df, "y", ["a", "b", "e"], "k", n_rounds=4, learning_rate=0.4, subsample=1.0, colsample=1.0, validation=0.0, refresh=2)
+    p0 = pdf.y.mean()
+    score, rate = np.full(len(pdf), np.log(p0 / (1 - p0))), 0.4
+    for s in m.stumps:
+        r = (pdf.y - 1 / (1 + np.exp(-score))) / 1.1
+        best = []
+        for k, f in enumerate(["a", "b", "e"]):
+            g = pd.DataFrame({"x": pdf[f], "r": r}).groupby("x").r.agg(["sum", "count"])
+            ls, ln = g["sum"].cumsum().to_numpy()[:-1], g["count"].cumsum().to_numpy()[:-1]
+            ts, tn = g["sum"].sum(), g["count"].sum()
+            gain = np.where((ln >= 10) & (tn - ln >= 10), ls**2 / ln + (ts - ls) ** 2 / (tn - ln) - ts**2 / tn, -1)
+            j = int(np.argmax(np.round(gain, 9)))
+            best.append((-round(gain[j], 9), k, (g.index[j] + g.index[j + 1]) / 2, ls[j] / ln[j], (ts - ls[j]) / (tn - ln[j])))
+        _, k, t, left, right = min(best)
+        assert (s.feature, s.threshold) == (k, pytest.approx(t)) and (s.left, s.right) == (pytest.approx(left), pytest.approx(right))
+        score = score + rate * np.where(pdf[["a", "b", "e"][k]] <= t, left, right)
+        rate *= 0.995
