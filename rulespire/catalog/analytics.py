@@ -8,7 +8,7 @@ from rulespire.catalog.base import line_cte, line_rows, line_wide, load, query,
 from rulespire.session import scratch_dir as scratch
 from rulespire.config import FitConfig
 from rulespire.operators import results as A
-from rulespire.plans.grid import learning_curve, run_grid
+from rulespire.plans.grid import METHODS as GRID_METHODS, learning_curve, run_grid
 from rulespire.sources.sinks import write_tables
 from rulespire.sources.tables import LINE_FEATURES
 
@@ -52,9 +52,9 @@ def cell_rows(spark, sf):
 
 @query("ana1_run_grid")
 def ana1(spark, sf):
-    """A small grid of real fits; failures would be rows with their error."""
+    """All methods, two runs and three depths; failures would be rows with their error."""
     df = line_rows(spark, sf, "or2")
-    g = run_grid(spark, {"or2": df}, {"or2": LINE_FEATURES}, {"horn": FitConfig(family="Horn", search_3d=False)}, [1])
+    g = run_grid(spark, {"or2": df}, {"or2": LINE_FEATURES}, GRID_METHODS, [1, 2, 3], 2)
     return rounded(g.drop("fit_sec"), "accuracy", "train_accuracy", "axp_len")
 
 
@@ -145,18 +145,44 @@ def ana9(spark, sf):
     w AS (SELECT method, depth, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS w_minus, sum(ties * ties - 1.0) AS tt FROM rk GROUP BY 1, 2)
     SELECT method, depth, n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS w, {rsql('(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0)', 4)} AS z, {rsql(z_p_sql('(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0)'), 5)} AS p FROM w""")
 def ana10(spark, sf):
-    out = A.signed_ranks(diffs(spark, sf), ["method", "depth"], "diff").withColumn("p", A.z_p_column(F.col("z")))
+    out = A.signed_ranks(diffs(spark, sf), ["method", "depth"], "diff").drop("p_exact").withColumn("p", A.z_p_column(F.col("z")))
     return rounded(rounded(out, "z", digits=4), "p", digits=5)
 
 
+_ZP = "(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0)"
+
+
 @query("ana10_pairwise_ranks", f"""WITH {CELL}, pw AS (SELECT a.method AS method_a, b.method AS method_b, round(a.accuracy - b.accuracy, 9) AS diff FROM m a JOIN m b ON a.dataset = b.dataset AND a.depth = b.depth AND a.method < b.method), nz AS (SELECT *, abs(diff) AS a FROM pw WHERE diff <> 0),
-    rk AS (SELECT *, rank() OVER (PARTITION BY method_a, method_b ORDER BY a) + (count(*) OVER (PARTITION BY method_a, method_b, a) - 1) / 2.0 AS r FROM nz) SELECT method_a, method_b, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END)::DOUBLE AS w_minus FROM rk GROUP BY 1, 2""")
+    rk AS (SELECT *, rank() OVER (PARTITION BY method_a, method_b ORDER BY a) + (count(*) OVER (PARTITION BY method_a, method_b, a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY method_a, method_b, a) AS ties FROM nz),
+    w AS (SELECT method_a, method_b, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END)::DOUBLE AS w_minus, sum(ties * ties - 1.0) AS tt FROM rk GROUP BY 1, 2)
+    SELECT method_a, method_b, n, w_plus, w_minus, {rsql(_ZP, 4)} AS z, {rsql(z_p_sql(_ZP), 5)} AS p FROM w""")
 def ana10b(spark, sf):
     c = cell_rows(spark, sf).select("dataset", "depth", "method", "accuracy")
     # five methods: the accuracies of a cell side by side, pairs built inside the row
     wide = c.groupBy("dataset", "depth").agg(F.sort_array(F.collect_list(F.struct("method", "accuracy"))).alias("v"))
     pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b.method > a.method), lambda b: F.struct(a.method.alias("method_a"), b.method.alias("method_b"), F.round(a.accuracy - b.accuracy, 9).alias("diff")))))
-    return A.signed_ranks(wide.select(F.inline(pairs)), ["method_a", "method_b"], "diff").select("method_a", "method_b", "n", "w_plus", "w_minus")
+    out = A.signed_ranks(wide.select(F.inline(pairs)), ["method_a", "method_b"], "diff").withColumn("p", A.z_p_column(F.col("z")))
+    return rounded(rounded(out.select("method_a", "method_b", "n", "w_plus", "w_minus", "z", "p"), "z", digits=4), "p", digits=5)
+
+
+_BY_LINE = {m: c for m, (c, _, _) in METHODS.items() if m != "axis"}
+
+
+@query("ana10_exact_signed_ranks", f"""WITH {line_cte('cnf4')}, a AS (SELECT supp, ln, avg((({METHODS['axis'][0]})::INT = y)::INT) AS base, {', '.join(f'avg((({c})::INT = y)::INT) AS {m}' for m, c in _BY_LINE.items())} FROM s GROUP BY 1, 2),
+    df AS ({' UNION ALL '.join(f"SELECT supp, '{m}' AS method, round({m} - base, 9) AS diff FROM a" for m in _BY_LINE)}), nz AS (SELECT *, abs(diff) AS v FROM df WHERE diff <> 0),
+    rk AS (SELECT *, rank() OVER (PARTITION BY supp, method ORDER BY v) + (count(*) OVER (PARTITION BY supp, method, v) - 1) / 2.0 AS r FROM nz),
+    g AS (SELECT supp, method, count(*) AS n, least(sum(CASE WHEN diff > 0 THEN r ELSE 0 END), sum(CASE WHEN diff < 0 THEN r ELSE 0 END))::DOUBLE AS w, list(r) AS rs FROM rk GROUP BY 1, 2),
+    e AS (SELECT supp, method, n, w, unnest(range(1 << n)) AS signs, rs FROM g),
+    t AS (SELECT supp, method, n, w, list_sum(list_transform(range(n), lambda i: CASE WHEN (signs >> i) & 1 = 1 THEN rs[i + 1] ELSE 0 END)) AS sum_ FROM e)
+    SELECT supp, method, n, w, {rsql('least(1.0, 2.0 * sum((sum_ <= w)::INT) / (1 << n))')} AS p FROM t GROUP BY 1, 2, 3, 4""")
+def ana10c(spark, sf):
+    """Per supplier: every method against the single test over its line numbers, with exact p values."""
+    df = line_wide(spark, sf, "cnf4")
+    hit = lambda c: F.avg((F.expr(c).cast("int") == F.col("y")).cast("double"))
+    a = df.groupBy("supp", "ln").agg(hit(METHODS["axis"][0]).alias("base"), *[hit(c).alias(m) for m, c in _BY_LINE.items()])
+    entry = F.array(*[F.struct(F.lit(m).alias("method"), F.round(F.col(m) - F.col("base"), 9).alias("diff")) for m in _BY_LINE])
+    out = A.signed_ranks(a.select("supp", F.inline(entry)), ["supp", "method"], "diff")
+    return rounded(out.select("supp", "method", "n", "w", F.col("p_exact").alias("p")), "p")
 
 
 CERT_SQL = f"{CELL}, c AS (SELECT *, category IN ('Horn', 'Square2CNF') AND axp_len < 1.6 AS certified FROM m)"
@@ -202,7 +228,7 @@ def ana15(spark, sf):
 
 @query("ana16_learning_curve")
 def ana16(spark, sf):
-    out = learning_curve(line_rows(spark, sf, "and2"), "y", LINE_FEATURES, "rk", [0.1, 1.0], FitConfig(max_depth=1, search_3d=False))
+    out = learning_curve(line_rows(spark, sf, "and2"), "y", LINE_FEATURES, "rk", [k / 10 for k in range(1, 11)], FitConfig(max_depth=3))
     return rounded(out, "train_accuracy", "test_accuracy")
 
 

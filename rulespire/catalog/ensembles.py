@@ -9,13 +9,13 @@ from rulespire.catalog.splits import POISSON_SQL
 from rulespire.catalog.trees import IMPORTANCE_SQL, L, LEAF_SQL, PROBA_SQL, fixed_model, supplier_nodes
 from rulespire.config import FitConfig
 from rulespire.functions import scores as C
-from rulespire.functions.rules import HORN, CONJUI, Rule
+from rulespire.functions.rules import AFFINE, ANTIHORN, CONJUI, HORN, SQUARE2CNF, Rule
 from rulespire.operators import calibrate as A
 from rulespire.operators.profile import unpivot
 from rulespire.plans import model as M
 from rulespire.plans.boost import BoostModel, Stump, fit_boosting, stump_scan
 from rulespire.plans.facade import RuleClassifier
-from rulespire.plans.forest import ForestModel, fit_forest, oob_scores, score_forest
+from rulespire.plans.forest import ForestModel, fit_forest, forest_importance, oob_scores, score_forest
 from rulespire.plans.grid import choose_family
 from rulespire.plans.model import Node, score_rows
 from rulespire.sources.tables import LINE_FEATURES
@@ -113,9 +113,7 @@ def rf2(spark, sf):
 @query("rf3_forest_importance", f"WITH {IMPORTANCE_SQL}, f AS (SELECT feature, sum(importance) AS s FROM imp GROUP BY 1) SELECT feature, {rsql('s / sum(s) OVER ()')} AS importance FROM f")
 def rf3(spark, sf):
     """The supplier trees as one forest."""
-    per = M.importance(supplier_nodes(spark, sf), ["tree_id"]).groupBy("feature").agg(F.sum("importance").alias("s")).withColumn("k", F.lit(0))
-    total = per.groupBy("k").agg(F.sum("s").alias("total"))
-    return rounded(per.join(total, "k").select("feature", (F.col("s") / F.col("total")).alias("importance")), "importance")
+    return rounded(forest_importance(supplier_nodes(spark, sf)), "importance")
 
 
 @query("rf4_forest_probability", f"WITH {line_cte()} SELECT rk, {rsql(f'({PROBA_SQL} + {TREE2_SQL} + {TREE3_SQL}) / 3')} AS proba FROM s")
@@ -239,5 +237,5 @@ def pip3(spark, sf):
 @query("pip4_choose_family")
 def pip4(spark, sf):
     df = line_rows(spark, sf, "and2")
-    out = choose_family(df, "y", LINE_FEATURES, "rk", [HORN, CONJUI], k=2, cfg=FitConfig(max_depth=1, search_3d=False))
+    out = choose_family(df, "y", LINE_FEATURES, "rk", [HORN, ANTIHORN, CONJUI, SQUARE2CNF, AFFINE], k=3, cfg=FitConfig(max_depth=3))
     return rounded(out, "accuracy", "nodes", "axp_len", "objective")

@@ -7,6 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+#: Differences up to which signed ranks get their exact distribution.
+EXACT = 50
+
+
 def nan_safe(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
@@ -69,7 +73,8 @@ def paired_t(diffs: DataFrame, keys: list[str], diff: str) -> DataFrame:
 def signed_ranks(diffs: DataFrame, keys: list[str], diff: str) -> DataFrame:
     """Wilcoxon rank sums per key: zeros dropped, ties share the average rank.
 
-    Equal absolute differences are added up first; ranks come from running sums of counts.
+    Equal absolute differences are added up first; ranks come from running sums of counts. ``p_exact`` is the two-sided p of
+    the exact distribution for up to ``EXACT`` differences, null beyond.
     """
     d = diffs.filter(F.col(diff) != 0).withColumn("__a", F.round(F.abs(diff), 12))
     per = d.groupBy(*keys, "__a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(diff) > 0).alias("n_pos"))
@@ -78,10 +83,25 @@ def signed_ranks(diffs: DataFrame, keys: list[str], diff: str) -> DataFrame:
     out = ranked.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("n_pos")).alias("w_plus"),
         F.sum(F.col("rank") * (F.col("n") - F.col("n_pos"))).alias("w_minus"),
-        F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tie_term"))
+        F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tie_term"),
+        # twice the ranks, which are whole numbers; at most EXACT entries
+        F.collect_list(F.when(F.col("last") <= EXACT, F.struct((2 * F.col("rank")).cast("int").alias("r"), F.col("n").cast("int").alias("n")))).alias("__ranks"))
     mean = F.col("n") * (F.col("n") + 1) / 4
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("tie_term") / 48
-    return out.withColumn("w", F.least("w_plus", "w_minus")).withColumn("z", F.when(var > 0, (F.col("w") - mean) / F.sqrt(var))).drop("tie_term")
+    return out.withColumn("w", F.least("w_plus", "w_minus")).withColumn("z", F.when(var > 0, (F.col("w") - mean) / F.sqrt(var))).withColumn(
+        "p_exact", F.when(F.col("n") <= EXACT, exact_p_column(F.col("__ranks"), F.col("w"), F.col("n")))).drop("tie_term", "__ranks")
+
+
+def exact_p_column(ranks: Column, w: Column, n: Column) -> Column:
+    """Two-sided p of a signed-rank sum: how many of the 2^n sign patterns give at most ``w``.
+
+    The patterns by their doubled rank sum are an array; a rank adds the array to itself, moved by the rank.
+    """
+    each = F.flatten(F.transform(ranks, lambda r: F.array_repeat(r["r"], r["n"])))
+    none = lambda r: F.array_repeat(F.lit(0.0), r)
+    patterns = F.aggregate(each, F.array(F.lit(1.0)), lambda acc, r: F.zip_with(F.concat(acc, none(r)), F.concat(none(r), acc), lambda a, b: a + b))
+    low = F.aggregate(F.slice(patterns, F.lit(1), (2 * w).cast("int") + 1), F.lit(0.0), lambda a, v: a + v)
+    return F.least(F.lit(1.0), 2 * low / F.pow(F.lit(2.0), n))
 
 
 def _simpson(upper: Column, power: Column) -> Column:

@@ -65,9 +65,9 @@ def oob_scores(df: DataFrame, forest: ForestModel, label: str) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("n_oob"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("oob_accuracy"))
 
 
-def forest_importance(spark, forest: ForestModel) -> DataFrame:
-    """Normalized sum of the trees' normalized importances."""
-    per = importance(forest.trees.frame(spark), ["tree_id"]).groupBy("feature").agg(F.sum("importance").alias("s")).withColumn("k", F.lit(0))
+def forest_importance(nodes: DataFrame) -> DataFrame:
+    """Normalized sum of the trees' normalized importances; ``nodes`` is the forest's node table."""
+    per = importance(nodes, ["tree_id"]).groupBy("feature").agg(F.sum("importance").alias("s")).withColumn("k", F.lit(0))
     total = per.groupBy("k").agg(F.sum("s").alias("total"))
     return per.join(total, "k").select("feature", (F.col("s") / F.col("total")).alias("importance"))
 

@@ -1,6 +1,8 @@
 """Runs over (task, run, method, depth), family choice by folds, learning curves.
 
-Fits are sequenced by the driver; each one is a set of Spark jobs over its rows.
+All runs, folds or fractions of one method are fitted together: a row carries one weight per run, a run is a tree of one
+growth, and every count array has the run's nodes among its keys. Smaller depths are the upper part of the deepest
+tree. All trees are scored in one pass.
 """
 
 from __future__ import annotations
@@ -15,9 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulespire.config import FitConfig
 from rulespire.operators.explain import explain_rows
-from rulespire.operators.sampling import k_folds, k_rows, learning_fractions, stratified_split
-from rulespire.plans.grow import fit_tree
-from rulespire.plans.model import accuracy, score_rows
+from rulespire.functions.hashing import unit_hash
+from rulespire.functions.rules import AFFINE, ANTIHORN, BEST, CONJUI, HORN, SQUARE2CNF
+from rulespire.operators.sampling import k_folds, k_rows
+from rulespire.operators.scan import smallest_by_hash
+from rulespire.plans.encode import encode
+from rulespire.plans.grow import Grower
+from rulespire.plans.model import Node, TreeModel, accuracy
+from rulespire.plans.walk import probas_of
 
 RESULT_SCHEMA = (
     "dataset string, method string, category string, depth int, run int, accuracy double, train_accuracy double, "
@@ -25,8 +32,24 @@ RESULT_SCHEMA = (
 )
 
 
+#: Methods of a grid: category and settings. One-dimensional splits are Horn rules of one test.
+METHODS = {
+    "1D": ("main", FitConfig(family=HORN, search_2d=False, search_3d=False)),
+    "Horn": ("main", FitConfig(family=HORN, search_3d=False)),
+    "AntiHorn": ("main", FitConfig(family=ANTIHORN, search_3d=False)),
+    "ConjUI": ("auxiliary", FitConfig(family=CONJUI, search_1d=False, search_3d=False)),
+    "Square2CNF": ("main", FitConfig(family=SQUARE2CNF, search_1d=False, search_3d=False)),
+    "Affine": ("auxiliary", FitConfig(family=AFFINE, search_1d=False, search_3d=False)),
+    "BestPN": ("empirical", FitConfig(family=BEST)),
+}
+
+
 def axis_tree(train: DataFrame, label: str, features: list[str], depth: int = 7, min_leaf: int = 5):
-    """Single-column baseline tree of pyspark.ml."""
+    """Single-column baseline tree of pyspark.ml.
+
+    With at least ``min_leaf`` rows in both children no node below 2 * ``min_leaf`` rows is split, which is the baseline's
+    minimum of 10 rows at the default of 5.
+    """
     assembler = VectorAssembler(inputCols=features, outputCol="__v")
     data = assembler.transform(train).select(F.col(label).cast("double").alias("__label"), "__v")
     model = DecisionTreeClassifier(featuresCol="__v", labelCol="__label", maxDepth=depth, minInstancesPerNode=min_leaf).fit(data)
@@ -54,35 +77,84 @@ def axis_path_lengths(df: DataFrame, fitted, out: str = "path_length") -> DataFr
     return scored.withColumn(out, F.get(depths, F.col("__leaf").cast("int"))).select(*df.columns, out)
 
 
-def run_grid(spark: SparkSession, tasks: dict[str, DataFrame], features: dict[str, list[str]], methods: dict[str, FitConfig],
+def fit_runs(df: DataFrame, label: str, features: list[str], weights: list[str], cfg: FitConfig) -> TreeModel:
+    """One tree per column of ``weights`` (0 or 1: whether the row trains that run), all from the same jobs."""
+    rows = df.withColumn("__ws", F.array(*[F.col(w).cast("tinyint") for w in weights]))
+    enc = encode(rows, label, features, cfg.max_codes, keep=["__ws"], collapse=False, exact=True)
+    try:
+        return Grower(enc, cfg, len(weights), weights="__ws").run()
+    finally:
+        enc.df.unpersist()
+
+
+def upper_part(model: TreeModel, tree: int, depth: int) -> dict[int, Node]:
+    """The tree that growth to ``depth`` gives, by node id."""
+    out = {}
+    for (t, k), n in model.nodes.items():
+        if t == tree and n.depth < depth:
+            out[k] = n
+        elif t == tree and n.depth == depth:
+            out[k] = replace(n, rule=None, stop_reason=n.stop_reason or "MAX_DEPTH")
+    return out
+
+
+def as_forest(features: list[str], trees: list[dict[int, Node]]) -> TreeModel:
+    return TreeModel(list(features), {(t, k): replace(n, tree_id=t) for t, nodes in enumerate(trees) for k, n in nodes.items()})
+
+
+def run_accuracies(df: DataFrame, label: str, forest: TreeModel, weights: list[str]) -> list[tuple[float, float]]:
+    """(train, test) accuracy of every tree; tree t is trained where ``weights[t]`` is 1 and tested elsewhere."""
+    hit = [((F.get(F.col("__ps"), F.lit(t)) >= 0.5).cast("int") == F.col(label)).cast("double") for t in range(len(weights))]
+    scored = df.select(label, *dict.fromkeys(weights), probas_of(df.sparkSession, forest).alias("__ps"))
+    parts = [F.avg(F.when(F.col(w) == side, h)) for h, w in zip(hit, weights) for side in (1, 0)]
+    got = scored.agg(*parts).first()
+    return [(got[2 * t], got[2 * t + 1]) for t in range(len(weights))]
+
+
+def _split_runs(df: DataFrame, label: str, row_key: str, fraction: float, runs: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """Shuffle splits with round(fraction * n) test rows per class, as one column per run (1: trains)."""
+    size = lambda n: F.floor(F.lit(fraction) * n + 0.5)
+    for r in range(runs):
+        drawn = df.withColumn("__u", unit_hash(seed, "split", F.lit(r), F.col(row_key)))
+        df = smallest_by_hash(drawn, [label], "__u", [row_key], size, "__t").withColumn(f"__run{r}", 1 - F.col("__t").cast("int")).drop("__u", "__t")
+    return df, [f"__run{r}" for r in range(runs)]
+
+
+def run_grid(spark: SparkSession, tasks: dict[str, DataFrame], features: dict[str, list[str]], methods: dict[str, tuple[str, FitConfig]],
              depths: list[int], runs: int = 1, explain_rows_n: int = 200, seed: int = 42, label: str = "y", row_key: str = "rk") -> DataFrame:
-    """One result row per cell; a failing fit becomes a row with its error."""
+    """One result row per cell; a failing fit becomes a row with its error for each of its cells."""
     rows = []
     for name, df in tasks.items():
-        split = stratified_split(df, [label], row_key, 0.2, seed, runs).persist()
-        for run in range(runs):
-            part = split.filter(F.col("run") == run)
-            train, test = part.filter(~F.col("is_test")), part.filter("is_test")
-            start = time.time()
-            base = axis_tree(train, label, features[name])
-            took = time.time() - start
-            rows.append((name, "axis", "baseline", 7, run, accuracy(axis_predict(test, base), "pred", label).first()[0],
-                         accuracy(axis_predict(train, base), "pred", label).first()[0], float(base[1].numNodes),
-                         float((base[1].numNodes + 1) // 2), float(base[1].numNodes // 2), None, took, None))
-            for method, cfg in methods.items():
-                for depth in depths:
-                    try:
-                        start = time.time()
-                        model = fit_tree(train, label, features[name], replace(cfg, max_depth=depth))
-                        took = time.time() - start
-                        acc = accuracy(score_rows(test, model), "pred", label).first()[0]
-                        acc_train = accuracy(score_rows(train, model), "pred", label).first()[0]
-                        axp = explain_rows(k_rows(test, row_key, explain_rows_n, seed), model).agg(F.avg("axp_len")).first()[0]
-                        lits = sum(len(n.rule.literals) for n in model.splits())
-                        rows.append((name, method, cfg.family, depth, run, acc, acc_train, float(len(model.nodes)),
-                                     float(len(model.leaves())), float(lits), axp, took, None))
-                    except Exception as problem:  # a failed cell must not end the grid
-                        rows.append((name, method, cfg.family, depth, run, None, None, None, None, None, None, None, str(problem)[:500]))
+        split, masks = _split_runs(df, label, row_key, 0.2, runs, seed)
+        split = split.persist()
+        for run, mask in enumerate(masks):
+            train, test = split.filter(F.col(mask) == 1), split.filter(F.col(mask) == 0)
+            try:
+                start = time.time()
+                base = axis_tree(train, label, features[name])
+                took = time.time() - start
+                nodes = base[1].numNodes
+                rows.append((name, "axis", "baseline", 7, run, accuracy(axis_predict(test, base), "pred", label).first()[0],
+                             accuracy(axis_predict(train, base), "pred", label).first()[0], float(nodes), float((nodes + 1) // 2),
+                             float(nodes // 2), test.transform(axis_path_lengths, base).agg(F.avg("path_length")).first()[0], took, None))
+            except Exception as problem:  # a failed cell must not end the grid
+                rows.append((name, "axis", "baseline", 7, run, *[None] * 7, str(problem)[:500]))
+        for method, (category, cfg) in methods.items():
+            try:
+                start = time.time()
+                model = fit_runs(split, label, features[name], masks, replace(cfg, max_depth=max(depths)))
+                took = (time.time() - start) / (runs * len(depths))
+                cells = [(run, depth) for run in range(runs) for depth in depths]
+                forest = as_forest(features[name], [upper_part(model, run, depth) for run, depth in cells])
+                found = run_accuracies(split, label, forest, [masks[run] for run, _ in cells])
+                for t, ((run, depth), (train, test)) in enumerate(zip(cells, found)):
+                    some = k_rows(split.filter(F.col(masks[run]) == 0), row_key, explain_rows_n, seed)
+                    axp = explain_rows(some, forest, t).agg(F.avg("axp_len")).first()[0]
+                    splits, leaves = forest.splits(t), forest.leaves(t)
+                    rows.append((name, method, category, depth, run, test, train, float(len(splits) + len(leaves)), float(len(leaves)),
+                                 float(sum(len(n.rule.literals) for n in splits)), axp, took, None))
+            except Exception as problem:
+                rows += [(name, method, category, depth, run, *[None] * 7, str(problem)[:500]) for run in range(runs) for depth in depths]
         split.unpersist()
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
@@ -90,15 +162,15 @@ def run_grid(spark: SparkSession, tasks: dict[str, DataFrame], features: dict[st
 def choose_family(df: DataFrame, label: str, features: list[str], row_key: str, families: list[str], k: int = 3,
                   cfg: FitConfig = FitConfig(), node_cost: float = 0.001, axp_cost: float = 0.01, seed: int = 42) -> DataFrame:
     """(family, objective, ...) best first: mean accuracy - node_cost * nodes - axp_cost * mean explanation length."""
-    folded = k_folds(df, row_key, k, seed).persist()
+    masks = [f"__fold{fold}" for fold in range(k)]
+    folded = k_folds(df, row_key, k, seed).withColumns({m: (F.col("fold") != fold).cast("int") for fold, m in enumerate(masks)}).persist()
     rows = []
     for family in families:
-        for fold in range(k):
-            train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-            model = fit_tree(train, label, features, replace(cfg, family=family))
-            acc = accuracy(score_rows(test, model), "pred", label).first()[0]
-            axp = explain_rows(k_rows(test, row_key, 200, seed), model).agg(F.avg("axp_len")).first()[0]
-            rows.append((family, fold, acc, float(len(model.nodes)), axp or 0.0))
+        model = fit_runs(folded, label, features, masks, replace(cfg, family=family))
+        for fold, (_, test) in enumerate(run_accuracies(folded, label, model, masks)):
+            some = k_rows(folded.filter(F.col("fold") == fold), row_key, 200, seed)
+            axp = explain_rows(some, model, fold).agg(F.avg("axp_len")).first()[0]
+            rows.append((family, fold, test, float(len(model.splits(fold)) + len(model.leaves(fold))), axp or 0.0))
     folded.unpersist()
     per = df.sparkSession.createDataFrame(rows, "family string, fold int, accuracy double, nodes double, axp_len double")
     mean = per.groupBy("family").agg(F.avg("accuracy").alias("accuracy"), F.avg("nodes").alias("nodes"), F.avg("axp_len").alias("axp_len"))
@@ -106,14 +178,16 @@ def choose_family(df: DataFrame, label: str, features: list[str], row_key: str,
 
 
 def learning_curve(df: DataFrame, label: str, features: list[str], row_key: str, fractions: list[float], cfg: FitConfig, seed: int = 42) -> DataFrame:
-    """Train and test accuracy of fits on nested fractions of the training rows."""
-    split = stratified_split(df, [label], row_key, 0.2, seed).persist()
-    nested = learning_fractions(split.filter(~F.col("is_test")), row_key, fractions, seed)
-    rows = []
-    for fraction in fractions:
-        train = nested.filter(F.col("fraction") == fraction)
-        model = fit_tree(train, label, features, cfg)
-        rows.append((float(fraction), accuracy(score_rows(train, model), "pred", label).first()[0],
-                     accuracy(score_rows(split.filter("is_test"), model), "pred", label).first()[0], len(model.nodes)))
+    """Rows, train and test accuracy of fits on nested fractions of the training rows."""
+    split, (trains,) = _split_runs(df, label, row_key, 0.2, 1, seed)
+    u = unit_hash(seed, "curve", F.col(row_key))
+    masks = [f"__part{t}" for t in range(len(fractions))]
+    # 1 trains, 0 tests, null neither
+    part = {m: F.when(F.col(trains) == 0, 0).when(u < f, 1) for m, f in zip(masks, fractions)}
+    split = split.withColumns(part).persist()
+    model = fit_runs(split.fillna(0, masks), label, features, masks, cfg)
+    found = run_accuracies(split, label, model, masks)
+    sizes = split.agg(*[F.sum(m) for m in masks]).first()
     split.unpersist()
-    return df.sparkSession.createDataFrame(rows, "fraction double, train_accuracy double, test_accuracy double, nodes int")
+    rows = [(float(f), int(n or 0), train, test, len(model.splits(t)) + len(model.leaves(t))) for t, (f, n, (train, test)) in enumerate(zip(fractions, sizes, found))]
+    return df.sparkSession.createDataFrame(rows, "fraction double, n_train long, train_accuracy double, test_accuracy double, nodes int")
