@@ -263,7 +263,7 @@ def fit_boosting(df: DataFrame, label: str, features: list[str], row_key: str, n
                  validation: float = 0.15, min_rounds: int = 10, l2: float = 0.1, decay: float = 0.995, seed: int = 42,
                  max_codes: int = 1024, refresh: int = 20) -> BoostModel:
     spark = df.sparkSession
-    enc = encode(df, label, features, max_codes, collapse=False, row_key=row_key, exact=True)
+    enc = encode(df, label, features, max_codes, collapse=False, row_key=row_key, exact=True, cache=False)
     d = len(features)
     draw = F.lit(1.0) + unit_hash(seed, "row", F.col(row_key))
     base = enc.df.withColumns({"w": F.when(unit_hash(seed, "bval", F.col(row_key)) < validation, 0.0).otherwise(1.0), "__u": draw})
@@ -315,7 +315,6 @@ def fit_boosting(df: DataFrame, label: str, features: list[str], row_key: str, n
     finally:
         for held in cached:
             held.unpersist()
-        enc.df.unpersist()
     last = len(model.stumps) - 1
     model.best_iteration = last if best_round is None else min(max(min_rounds - 1, best_round), last)
     return model

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rulespire.operators.profile import unpivot
 
@@ -34,17 +34,6 @@ class Encoded:
     def codes(self, f: int) -> int:
         return len(self.cuts[f]) + 1
 
-    def code(self, f: int) -> Column:
-        return F.col("c")[f]
-
-    def value_table(self) -> DataFrame:
-        rows = [
-            (f, c, float(v))
-            for f, vals in enumerate(self.values)
-            for c, v in enumerate(vals if vals is not None else range(self.codes(f)))
-        ]
-        return self.df.sparkSession.createDataFrame(rows, "f int, code int, value double")
-
 
 #: Tables up to so many rows are dealt out evenly, whatever files they came from.
 FEW_ROWS = 5_000_000
@@ -69,8 +58,8 @@ def _quantile_cuts(df: DataFrame, features: list[str], max_codes: int) -> dict[s
 
 
 def encode(df: DataFrame, label: str, features: list[str], max_codes: int = 1024, weight: str | None = None,
-           keep: list[str] = (), collapse: bool = True, row_key: str | None = None, exact: bool = False) -> Encoded:
-    """Learn the codes in at most three passes and add them to the rows."""
+           keep: list[str] = (), collapse: bool = True, row_key: str | None = None, exact: bool = False, cache: bool = True) -> Encoded:
+    """Learn the codes in at most three passes and add them to the rows; fits that pack them need no cache."""
     kept = list(dict.fromkeys([*keep, *([row_key] if row_key else [])]))
     df = df.select(*[k for k in kept if k not in features], F.col(label).cast("int").alias("y"),
                    (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
@@ -107,5 +96,5 @@ def encode(df: DataFrame, label: str, features: list[str], max_codes: int = 1024
             collapsed = True
     if not collapsed and n_rows <= FEW_ROWS:
         out = out.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out = out.persist(StorageLevel.MEMORY_AND_DISK) if cache else out
     return Encoded(out, list(features), cuts, values, n_rows, collapsed, [f for f in features if f in kept])

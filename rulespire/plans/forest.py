@@ -39,20 +39,11 @@ def fit_forest(df: DataFrame, label: str, features: list[str], row_key: str, n_t
                seed: int = 42, bootstrap: bool = True) -> ForestModel:
     spark = df.sparkSession
     subsets = _subsets(spark, len(features), n_trees, subset_size(max_features, len(features)), seed)
-    enc = encode(df, label, features, cfg.max_codes, collapse=False, row_key=row_key, exact=True)
-    cached = enc.df
-    try:
-        weights = None
-        if bootstrap:
-            w = F.array(*[poisson_weight(unit_hash(seed, "boot", t, F.col(row_key))).cast("tinyint") for t in range(n_trees)])
-            enc.df = cached.withColumn("ws", w).drop(row_key).persist()
-            enc.df.count()
-            weights = "ws"
-        model = Grower(enc, replace(cfg, seed=seed), n_trees, subsets, weights).run()
-    finally:
-        if enc.df is not cached:
-            enc.df.unpersist()
-        cached.unpersist()
+    enc = encode(df, label, features, cfg.max_codes, collapse=False, row_key=row_key, exact=True, cache=False)
+    if bootstrap:
+        w = F.array(*[poisson_weight(unit_hash(seed, "boot", t, F.col(row_key))).cast("tinyint") for t in range(n_trees)])
+        enc.df = enc.df.withColumn("ws", w)
+    model = Grower(enc, replace(cfg, seed=seed), n_trees, subsets, "ws" if bootstrap else None).run()
     return ForestModel(model, subsets, seed, row_key)
 
 

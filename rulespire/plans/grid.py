@@ -80,11 +80,8 @@ def axis_path_lengths(df: DataFrame, fitted, out: str = "path_length") -> DataFr
 def fit_runs(df: DataFrame, label: str, features: list[str], weights: list[str], cfg: FitConfig) -> TreeModel:
     """One tree per column of ``weights`` (0 or 1: whether the row trains that run), all from the same jobs."""
     rows = df.withColumn("__ws", F.array(*[F.col(w).cast("tinyint") for w in weights]))
-    enc = encode(rows, label, features, cfg.max_codes, keep=["__ws"], collapse=False, exact=True)
-    try:
-        return Grower(enc, cfg, len(weights), weights="__ws").run()
-    finally:
-        enc.df.unpersist()
+    enc = encode(rows, label, features, cfg.max_codes, keep=["__ws"], collapse=False, exact=True, cache=False)
+    return Grower(enc, cfg, len(weights), weights="__ws").run()
 
 
 def upper_part(model: TreeModel, tree: int, depth: int) -> dict[int, Node]:

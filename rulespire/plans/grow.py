@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rulespire.config import FitConfig
 from rulespire.functions.hashing import unit_hash
@@ -30,6 +30,9 @@ from rulespire.plans.model import Node, TreeModel
 
 #: Cells of the arrays that a task holds at once.
 CELLS = 1 << 23
+#: Cuts of a lot of open nodes that are ranked in the driver; more are ranked in tasks.
+FEW_CUTS = 1 << 18
+CUT_COLUMNS = ["slot", "f", "threshold", "cut_code", "cum_pos", "cum_neg", "tot_pos", "tot_neg"]
 
 
 @dataclass
@@ -62,11 +65,8 @@ def fit_tree(df: DataFrame, label: str, features: list[str], cfg: FitConfig = Fi
     """Fit one rule tree on a table."""
     if cfg.strict_family and cfg.family == ANY:
         raise ValueError("strict family mode needs one family, not Any")
-    enc = encode(df, label, features, cfg.max_codes, weight, keep=features if cfg.allow_compare else (), exact=True)
-    try:
-        return Grower(enc, cfg).run()
-    finally:
-        enc.df.unpersist()
+    enc = encode(df, label, features, cfg.max_codes, weight, keep=features if cfg.allow_compare else (), exact=True, cache=False)
+    return Grower(enc, cfg).run()
 
 
 def stop_reason(cfg: FitConfig, n_pos: float, n_neg: float, depth: int) -> str:
@@ -135,18 +135,11 @@ class Grower:
 
     def run(self) -> TreeModel:
         cfg, trees = self.cfg, range(self.n_trees)
-        wt = [F.col("w") * F.col(self.weights)[t] if self.weights else F.col("w") for t in trees]
-        tot = self.enc.df.groupBy("y").agg(*[F.sum(w).alias(f"w{t}") for t, w in zip(trees, wt)]).collect()
-        by = {r["y"]: r for r in tot}
-        level = []
-        for t in trees:
-            pos = float(by[1][f"w{t}"] if 1 in by else 0.0)
-            neg = float(by[0][f"w{t}"] if 0 in by else 0.0)
-            level.append(OpenNode(self._node(t, 1, pos, neg)))
-        if cfg.use_interactions:
-            self.extra_pairs = self._interactions()
         self.blocks = T.pack(self.enc.df, self.enc.raw, self.weights)
         try:
+            level = [OpenNode(self._node(t, 1, pos, neg)) for t, (pos, neg) in zip(trees, T.totals(self.blocks, self.n_trees))]
+            if cfg.use_interactions:
+                self.extra_pairs = self._interactions()
             while level:
                 todo = [o for o in level if not o.node.stop_reason]
                 for lot in self._lots(todo, lambda o: max(sum(map(self.enc.codes, range(self.d))), self.d * self.cfg.n_bins)):
@@ -197,21 +190,47 @@ class Grower:
     def _fresh_scores(self, o: OpenNode) -> bool:
         return o.node.depth == 0 or (o.node.depth <= 2 and o.node.n >= 100)
 
-    def _all_cuts(self, todo: list[OpenNode]) -> DataFrame:
-        """slot, f, threshold, cut_code, cum_pos, cum_neg, tot_pos, tot_neg: exact node-local cuts of all features."""
-        router = self.router(todo)
+    def _all_cuts(self, todo: list[OpenNode]) -> DataFrame | pd.DataFrame:
+        """slot, f, threshold, cut_code, cum_pos, cum_neg, tot_pos, tot_neg: exact node-local cuts of all features.
+
+        At most open nodes x features x bins rows; up to ``FEW_CUTS`` they are fetched, more stay a Spark table.
+        """
+        router, n_bins = self.router(todo), self.cfg.n_bins
         features = [self.subsets[o.node.tree_id] if self.subsets else list(range(self.d)) for o in todo]
         codes = [self.enc.codes(f) for f in range(self.d)]
         parts = T.count(self.blocks, router, T.Histogram(codes, self.wide, self.raw, features), 2)
-        cutter = T.Cutter(self.enc.values, self.cfg.n_bins)
+        cutter = T.Cutter(self.enc.values, n_bins)
         cuts = T.merged(parts, 2, cutter, T.CUTS, ("sum", "min", "max") if self.wide else ("sum",))
+
+        def inside(picks: list[dict]) -> DataFrame:
+            large = [(k, p) for k, p in enumerate(picks) if p["kind"] == T.PICK and p["rows"] > T.VALUES]
+            return T.resolve(T.inside_counts(self.blocks, router, T.Inside(picks, self.raw, n_bins), large), picks, cutter)
+
+        return self._few_cuts(cuts, inside) if sum(map(len, features)) * n_bins <= FEW_CUTS else self._many_cuts(cuts, inside)
+
+    @staticmethod
+    def _few_cuts(cuts: DataFrame, inside) -> pd.DataFrame:
+        found, few = [cuts.toPandas()], []
+        picks = found[0][found[0]["kind"] != T.CUT]
+        while len(picks):
+            got = inside([p | {"nxt": None if pd.isna(p["nxt"]) else p["nxt"]} for p in picks.to_dict("records")]).toPandas()
+            few.append(got[got["kind"] == T.FEW])
+            found.append(got)
+            picks = got[got["kind"] == T.PICK]
+        found = pd.concat(found)
+        found = found[found["kind"] == T.CUT]
+        if few and len(few[0]):
+            # features of few values after all: their midpoints replace their quantiles
+            known = set(zip(few[0]["slot"], few[0]["f"]))
+            found = pd.concat([found[[k not in known for k in zip(found["slot"], found["f"])]], few[0]])
+        return found[CUT_COLUMNS]
+
+    def _many_cuts(self, cuts: DataFrame, inside) -> DataFrame:
         if self.wide:
             cuts, few = self._hold(cuts), None
             picks = [r.asDict() for r in cuts.filter(F.col("kind") != T.CUT).collect()]  # at most open nodes x wide features x bins
             while picks:
-                large = [(k, p) for k, p in enumerate(picks) if p["kind"] == T.PICK and p["rows"] > T.VALUES]
-                inside = T.inside_counts(self.blocks, router, T.Inside(picks, self.raw, self.cfg.n_bins), large)
-                got = self._hold(T.resolve(inside, picks, cutter))
+                got = self._hold(inside(picks))
                 if any(p["kind"] == T.FEW for p in picks):
                     few = got.filter(F.col("kind") == T.FEW)
                 cuts = cuts.unionByName(got.filter(F.col("kind") != T.FEW))
@@ -219,7 +238,7 @@ class Grower:
             cuts = cuts.filter(F.col("kind") == T.CUT)
             if few is not None:
                 cuts = cuts.join(few.select("slot", "f").distinct(), ["slot", "f"], "left_anti").unionByName(few)
-        return cuts.select("slot", "f", "threshold", "cut_code", "cum_pos", "cum_neg", "tot_pos", "tot_neg")
+        return cuts.select(*CUT_COLUMNS)
 
     def _hold(self, df: DataFrame) -> DataFrame:
         """Keep a small table that is read twice."""
@@ -244,9 +263,13 @@ class Grower:
         def rank(pdf: pd.DataFrame) -> pd.DataFrame:
             return _ranked(pdf, *plan[int(pdf["slot"].iloc[0])], cfg, by_information)
 
-        schema = "slot int, f int, cut_code int, threshold double, feature_score double, score double, gain double, ip double, ineg double, first boolean, keep boolean"
-        # a node has at most features x n_bins cuts
-        got = cuts.groupBy("slot").applyInPandas(rank, schema).toPandas().to_dict("records")
+        if isinstance(cuts, pd.DataFrame):
+            ranked = [rank(part) for _, part in cuts.groupby("slot")]
+            got = pd.concat(ranked).to_dict("records") if ranked else []
+        else:
+            schema = "slot int, f int, cut_code int, threshold double, feature_score double, score double, gain double, ip double, ineg double, first boolean, keep boolean"
+            # a node has at most features x n_bins cuts
+            got = cuts.groupBy("slot").applyInPandas(rank, schema).toPandas().to_dict("records")
         self._release()
         singles = []
         for r in got:

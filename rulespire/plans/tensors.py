@@ -199,6 +199,19 @@ def merged(parts: DataFrame, keys: int, finish: Callable, schema: str, ops: tupl
     return parts.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, spark_schema)
 
 
+def totals(blocks: DataFrame, n_trees: int) -> list[tuple[float, float]]:
+    """(positive, negative) weight of every tree's rows."""
+
+    def add(acc, b: Block, slot: int, rows, w) -> None:
+        pos = b.pos[rows]
+        acc.setdefault((slot,), [np.zeros(2)])[0] += np.bincount(pos, w, 2)
+
+    router = Router({}, {(t, 1): t for t in range(n_trees)})
+    rows = merged(count(blocks, router, add, 1), 1, lambda key, arrays: [(*key, float(arrays[0][1]), float(arrays[0][0]))], "t int, pos double, neg double").collect()
+    by = {r["t"]: (r["pos"], r["neg"]) for r in rows}
+    return [by.get(t, (0.0, 0.0)) for t in range(n_trees)]
+
+
 # --- histograms and cuts of single features -------------------------------------------------
 
 

@@ -47,9 +47,10 @@ def sql_cuts(pdf, where, f):
 NODES = {2: "a >= 9000 AND d < 2500.5", 3: "NOT (a >= 9000 AND d < 2500.5)", 6: "NOT (a >= 9000 AND d < 2500.5) AND d < 12", 7: "NOT (a >= 9000 AND d < 2500.5) AND d >= 12"}
 
 
-@pytest.mark.parametrize("partitions,values", [(1, 1 << 20), (50, 1 << 20), (7, 40)])
-def test_cuts_equal_sql(spark, frame, monkeypatch, partitions, values):
+@pytest.mark.parametrize("partitions,values,few", [(1, 1 << 20, 1 << 18), (50, 1 << 20, 1 << 18), (7, 40, 0)])
+def test_cuts_equal_sql(spark, frame, monkeypatch, partitions, values, few):
     monkeypatch.setattr(T, "VALUES", values)
+    monkeypatch.setattr(grow, "FEW_CUTS", few)
     features = ["a", "b", "d", "e"]
     enc = encode(spark.createDataFrame(frame).repartition(partitions), "y", features, exact=True)
     assert enc.raw == ["a", "b", "d"]
@@ -57,7 +58,8 @@ def test_cuts_equal_sql(spark, frame, monkeypatch, partitions, values):
     g.blocks = T.pack(enc.df, enc.raw, None)
     g.code_rules = {(0, 1): Rule.of("and", CONJUI, Literal(0, "GE", 9000.0), Literal(2, "LT", 2500.5)), (0, 3): Rule.of("or", HORN, Literal(2, "LT", 12.0))}
     todo = [OpenNode(Node(0, k, 0, 0, 0.5)) for k in (2, 6, 7)]
-    got = g._all_cuts(todo).toPandas().sort_values("threshold")
+    got = g._all_cuts(todo)
+    got = (got if isinstance(got, pd.DataFrame) else got.toPandas()).sort_values("threshold")
     for slot, o in enumerate(todo):
         for f, name in enumerate(features):
             mine = got[(got.slot == slot) & (got.f == f)].drop_duplicates(["cum_pos", "cum_neg"])
