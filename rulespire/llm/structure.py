@@ -347,7 +347,7 @@ def damage(rows: DataFrame) -> DataFrame:
 
 def op12_structure_repair(spark, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    flags = _flags(damage(rows))
+    flags = cut_lineage(_flags(damage(rows)))
     found = cut_lineage(_audits(flags, rows.select("conv_id").distinct()))
     repaired = map_arrow(_with_heads(flags, found), _repair, _REPAIRED)
     digests = map_arrow(repaired, _digest, "conv_id long, repaired_sha256 string").withColumnRenamed("conv_id", "c_")
