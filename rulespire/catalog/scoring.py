@@ -124,15 +124,6 @@ def bin7(spark, sf):
     return rounded(local_cut_table(spark, sf), "threshold")
 
 
-@query("bin8_live_features", """WITH b AS (SELECT l_suppkey AS node, l_returnflag AS feature, max(CASE WHEN l_quantity < 25 THEN l_quantity ELSE 0 END) AS lo, min(CASE WHEN l_tax >= 0.04 THEN l_quantity ELSE 50 END) + (l_suppkey % 3) * 20 AS hi FROM lineitem GROUP BY 1, 2, l_suppkey % 3)
-    SELECT node, feature, lo, hi FROM b WHERE lo < hi""")
-def bin8(spark, sf):
-    b = load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("node"), F.col("l_returnflag").alias("feature")).agg(
-        F.max(F.when(F.col("l_quantity") < 25, F.col("l_quantity")).otherwise(0.0)).alias("lo"),
-        F.min(F.when(F.col("l_tax") >= 0.04, F.col("l_quantity")).otherwise(50.0)).alias("hi"))
-    return B.live_features(b.withColumn("hi", F.col("hi") + (F.col("node") % 3) * 20))
-
-
 @query("bin9_bin_count", f"WITH {line_cte()}, {LONG_SQL} SELECT feature, (len(list_distinct({quantile_sql(32)})) - 1)::INT AS n_bins FROM l GROUP BY 1")
 def bin9(spark, sf):
     e = B.quantile_edges(long_rows(spark, sf), ["feature"], 32)

@@ -10,6 +10,7 @@ from rulespire.functions import rules as R
 from rulespire.functions.rules import AFFINE, ANTIHORN, CONJUI, HORN, SQUARE2CNF, Literal, Rule
 from rulespire.functions.scores import information_gain
 from rulespire.operators.prune import node_errors, prune
+from rulespire.operators import binning as B
 from rulespire.plans import model as M
 from rulespire.plans.walk import leaves_of
 from rulespire.plans.grow import fit_tree
@@ -332,13 +333,24 @@ def tre5(spark, sf):
       UNION ALL SELECT tree_id, 7, feature, op, threshold FROM lits WHERE node_id IN (1, 3) AND combine <> 'xor' UNION ALL SELECT tree_id, 6, feature, op, threshold FROM lits WHERE node_id = 1 AND combine <> 'xor') GROUP BY 1, 2, 3)
     SELECT tree_id, child::BIGINT AS node_id, feature, round(lo, 6) AS lo, round(hi, 6) AS hi FROM b""")
 def tre6(spark, sf):
-    """Bounds of nodes below false branches: every literal of a false rule bounds its feature."""
-    lits = supplier_rules(spark, sf).filter("combine <> 'xor'").select("tree_id", "node_id", F.inline("lits"))
-    below = {1: [3, 6, 7], 2: [5], 3: [7]}
-    child = F.explode(F.create_map(*[x for k, v in below.items() for x in (F.lit(k).cast("bigint"), F.array(*[F.lit(c).cast("bigint") for c in v]))])[F.col("node_id")])
-    rows = lits.select("tree_id", child.alias("child"), "feature", "op", "threshold")
-    return rows.groupBy("tree_id", F.col("child").alias("node_id"), "feature").agg(
-        F.round(F.max(F.when(F.col("op") == "LT", F.col("threshold"))), 6).alias("lo"), F.round(F.min(F.when(F.col("op") == "GE", F.col("threshold"))), 6).alias("hi"))
+    """Bounds of nodes below false branches: every literal of a false rule bounds its feature, as in growth."""
+    b = M.path_bounds(supplier_nodes(spark, sf))
+    return b.select("tree_id", "node_id", "feature", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+_BOUNDS_SQL = f"""{THR_SQL}, {LITS_SQL}, paths AS (SELECT DISTINCT n.tree_id, n.node_id, a.up FROM (SELECT tree_id, unnest([2, 3, 4, 5, 6, 7]) AS node_id FROM thr) n
+      JOIN (VALUES (3, 1), (5, 2), (6, 1), (7, 1), (7, 3)) a(node_id, up) USING (node_id)),
+    bounds AS (SELECT p.tree_id, p.node_id, feature, max(CASE WHEN op = 'LT' THEN threshold END) AS lo, min(CASE WHEN op = 'GE' THEN threshold END) AS hi
+      FROM paths p JOIN lits l ON l.tree_id = p.tree_id AND l.node_id = p.up WHERE combine <> 'xor' GROUP BY 1, 2, 3)"""
+
+
+@query("bin8_live_features", f"""WITH {_BOUNDS_SQL} SELECT tree_id, node_id::BIGINT AS node_id, feature, round(lo, 6) AS lo, round(hi, 6) AS hi, coalesce(lo, '-inf'::DOUBLE) < coalesce(hi, 'inf'::DOUBLE) AS live FROM bounds""")
+def bin8(spark, sf):
+    """Features of every node with bounds, and whether their path interval still holds a value."""
+    b = M.path_bounds(supplier_nodes(spark, sf))
+    live = B.live_features(b.withColumns({"lo": F.coalesce("lo", F.lit(float("-inf"))), "hi": F.coalesce("hi", F.lit(float("inf")))})).select("tree_id", "node_id", "feature", F.lit(True).alias("live"))
+    out = b.join(live, ["tree_id", "node_id", "feature"], "left").na.fill({"live": False})
+    return out.select("tree_id", "node_id", "feature", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "live")
 
 
 @query("tre7_route_rows", f"WITH {line_cte()}, {THR_SQL}, {ROUTE_SQL} SELECT tree_id, leaf::BIGINT AS leaf, count(*) AS n FROM rt GROUP BY 1, 2")

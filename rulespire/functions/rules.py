@@ -113,6 +113,18 @@ class Rule:
             return [[lit if taken else lit.negate()] for lit in lits]
         return [[lit if taken else lit.negate() for lit in lits]]
 
+    def narrowed(self, bounds: dict[int, tuple[float, float]]) -> dict[int, tuple[float, float]]:
+        """Intervals [lo, hi) of a path after the rule's false branch: every literal is taken as false.
+
+        XOR rules and tests against columns bound nothing. The true branch keeps the bounds as they are.
+        """
+        out = dict(bounds)
+        for l in self.literals if self.combine != "xor" else ():
+            if l.feature2 is None:
+                lo, hi = out.get(l.feature, (float("-inf"), float("inf")))
+                out[l.feature] = (lo, min(hi, l.threshold)) if l.op == "GE" else (max(lo, l.threshold), hi)
+        return out
+
     def check(self) -> "Rule":
         """Refuse a rule that breaks the shape of its family."""
         problem = shape_problem(self)

@@ -59,6 +59,11 @@ class OpenNode:
     ranked: list[int] = field(default_factory=list)
     cuts: dict[int, list[tuple[float, float]]] = field(default_factory=dict)  # feature -> [(code or threshold, threshold)]
     candidates: list[Candidate] = field(default_factory=list)
+    bounds: dict[int, tuple[float, float]] = field(default_factory=dict)  # path interval per feature
+
+    def off(self) -> set[int]:
+        """Features whose path interval is empty; they are not searched."""
+        return {f for f, (lo, hi) in self.bounds.items() if lo >= hi}
 
 
 def fit_tree(df: DataFrame, label: str, features: list[str], cfg: FitConfig = FitConfig(), weight: str | None = None) -> TreeModel:
@@ -173,8 +178,8 @@ class Grower:
             return []
         node.rule = best.rule
         self.code_rules[(node.tree_id, node.node_id)] = best.code_rule
-        kids = [(2, best.ip, best.ineg), (3, node.n_pos - best.ip, node.n_neg - best.ineg)]
-        return [OpenNode(self._node(node.tree_id, 2 * node.node_id + (k - 2), p, n), scores=dict(o.scores)) for k, p, n in kids]
+        kids = [(0, best.ip, best.ineg, o.bounds), (1, node.n_pos - best.ip, node.n_neg - best.ineg, best.rule.narrowed(o.bounds))]
+        return [OpenNode(self._node(node.tree_id, 2 * node.node_id + side, p, n), scores=dict(o.scores), bounds=dict(b)) for side, p, n, b in kids]
 
     def _search(self, todo: list[OpenNode]) -> None:
         cfg = self.cfg
@@ -196,7 +201,7 @@ class Grower:
         At most open nodes x features x bins rows; up to ``FEW_CUTS`` they are fetched, more stay a Spark table.
         """
         router, n_bins = self.router(todo), self.cfg.n_bins
-        features = [self.subsets[o.node.tree_id] if self.subsets else list(range(self.d)) for o in todo]
+        features = [[f for f in (self.subsets[o.node.tree_id] if self.subsets else range(self.d)) if f not in o.off()] for o in todo]
         codes = [self.enc.codes(f) for f in range(self.d)]
         parts = T.count(self.blocks, router, T.Histogram(codes, self.wide, self.raw, features), 2)
         cutter = T.Cutter(self.enc.values, n_bins)

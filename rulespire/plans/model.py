@@ -185,3 +185,19 @@ def root_paths(nodes: DataFrame, max_depth: int) -> DataFrame:
     node = F.call_function("shiftright", F.col("leaf_id"), shift)
     child = F.call_function("shiftright", F.col("leaf_id"), (shift - 1).cast("int"))
     return rows.select("tree_id", "leaf_id", "step", node.alias("node_id"), (child % 2 == 0).alias("taken"))
+
+
+def path_bounds(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, feature, lo, hi): intervals that the false branches above a node leave of its features.
+
+    Heap ids make ancestors arithmetic: a node meets the false branch of every ancestor whose child on its path is odd.
+    """
+    length = F.length(F.bin("node_id"))
+    above = F.explode(F.when(length > 1, F.sequence(F.lit(1), (length - 1).cast("int"))))
+    child = F.call_function("shiftright", F.col("node_id"), (F.col("up") - 1).cast("int"))
+    rows = nodes.select("tree_id", "node_id", above.alias("up")).filter(child % 2 == 1)
+    rows = rows.select("tree_id", "node_id", F.call_function("shiftright", F.col("node_id"), F.col("up").cast("int")).alias("ancestor"))
+    rules = nodes.filter("not is_leaf and combine <> 'xor'").select(F.col("tree_id").alias("t_"), F.col("node_id").alias("a_"), F.inline("lits"))
+    met = rows.join(rules, (F.col("tree_id") == F.col("t_")) & (F.col("ancestor") == F.col("a_")))
+    side = lambda op: F.when(F.col("op") == op, F.col("threshold"))
+    return met.groupBy("tree_id", "node_id", "feature").agg(F.max(side("LT")).alias("lo"), F.min(side("GE")).alias("hi"))

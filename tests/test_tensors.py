@@ -132,3 +132,28 @@ def test_boosting_cuts_any_value(spark, frame):
         assert (s.feature, s.threshold) == (k, pytest.approx(t)) and (s.left, s.right) == (pytest.approx(left), pytest.approx(right))
         score = score + rate * np.where(pdf[["a", "b", "e"][k]] <= t, left, right)
         rate *= 0.995
+
+
+def test_path_bounds_of_a_fit(spark, frame):
+    """The intervals of growth are those of the node table; an empty one switches its feature off."""
+    from rulespire.plans.model import path_bounds
+
+    enc = encode(spark.createDataFrame(frame.iloc[:20_000]), "y", ["a", "b", "d", "e"], exact=True)
+    g, seen = Grower(enc, FitConfig(family=CONJUI, max_depth=4, n_bins=BINS, min_samples_leaf=50)), {}
+    cuts = g._cuts
+
+    def watch(todo):
+        cuts(todo)
+        for o in todo:
+            seen[o.node.node_id] = dict(o.bounds)
+            assert not o.off() & set(o.cuts)
+
+    g._cuts = watch
+    m = g.run()
+    inf = float("inf")
+    want = {}
+    for r in path_bounds(m.frame(spark)).collect():
+        want.setdefault(r["node_id"], {})[r["feature"]] = (-inf if r["lo"] is None else r["lo"], inf if r["hi"] is None else r["hi"])
+    assert {k: b for k, b in seen.items() if b} == {k: b for k, b in want.items() if k in seen} and any(seen.values())
+    o = OpenNode(Node(0, 1, 0, 0, 0.5), bounds={0: (3.0, 2.0), 1: (0.0, 1.0)})
+    assert o.off() == {0}
