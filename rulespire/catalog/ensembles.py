@@ -145,7 +145,7 @@ def gb2(spark, sf):
     return rounded(line_rows(spark, sf).select("rk", r.alias("residual")), "residual")
 
 
-_GB_FEATS = ["q", "d", "t", "ln"]
+_GB_FEATS = list(LINE_FEATURES)
 STUMP_SQL = f"""{line_cte()}, rs AS (SELECT *, (y - (SELECT avg(y) FROM s)) / 1.1 AS r FROM s), l AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f} + 0.0 AS value, r FROM rs" for f in _GB_FEATS)}),
     h AS (SELECT feature, value, sum(r) AS r, count(*) AS n FROM l GROUP BY 1, 2), c AS (SELECT *, sum(r) OVER w AS ls, sum(n) OVER w AS ln_, sum(r) OVER a AS ts, sum(n) OVER a AS tn, lead(value) OVER (PARTITION BY feature ORDER BY value) AS nxt FROM h WINDOW w AS (PARTITION BY feature ORDER BY value), a AS (PARTITION BY feature)),
     st AS (SELECT feature, (value + nxt) / 2 AS threshold, ls / ln_ AS left_value, (ts - ls) / (tn - ln_) AS right_value, ln_ * pow(ls / ln_ - ts / tn, 2) + (tn - ln_) * pow((ts - ls) / (tn - ln_) - ts / tn, 2) AS reduction FROM c WHERE nxt IS NOT NULL AND ln_ >= 10 AND tn - ln_ >= 10),
@@ -188,9 +188,10 @@ def gb6(spark, sf):
 
 @query("gb7_boosting_importance", f"WITH {STUMP_SQL} SELECT feature, {rsql('reduction / sum(reduction) OVER ()')} AS importance FROM bs")
 def gb7(spark, sf):
-    s = best_stumps(spark, sf).withColumn("k", F.lit(0))
-    total = s.groupBy("k").agg(F.sum("reduction").alias("total"))
-    return rounded(s.join(total, "k").select("feature", (F.col("reduction") / F.col("total")).alias("importance")), "importance")
+    """Importance of a model with the best stump of every feature."""
+    m = BoostModel(_GB_FEATS, 0.0)
+    m.stumps = [Stump(_GB_FEATS.index(r["feature"]), r["threshold"], -1, r["left_value"], r["right_value"], 1.0, r["reduction"]) for r in best_stumps(spark, sf).collect()]
+    return rounded(spark.createDataFrame([(f, v) for f, v in m.importance().items()], "feature string, importance double"), "importance")
 
 
 # --- PIP ----------------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from rulespire.functions.scores import information_gain
 from rulespire.operators import binning as B
 from rulespire.operators import histograms as H
 from rulespire.operators import search as X
+from rulespire.sources.tables import LINE_FEATURES
 from rulespire.operators.profile import unpivot
 
 MIN_LEAF = 20
@@ -415,8 +416,7 @@ for _name, (_rule, _cond, _task) in RULES.items():
 
 # --- SEA26, SEA27: exact midpoints, all features ---------------------------------------------------------------
 
-_EXACT = ["d", "t", "ln", "ls"]
-_MIDS = {"d": [(i + 0.5) / 100 for i in range(10)], "t": [(i + 0.5) / 100 for i in range(8)], "ln": [i + 0.5 for i in range(1, 7)], "ls": [0.5]}
+_EXACT = ["q", "d", "t", "ln", "ls"]  # the price has as many values as rows; sea27 covers it
 
 
 def value_codes(spark, sf, task):
@@ -462,7 +462,7 @@ _register_exact("sea26_exact_antihorn", "cnf4", ANTIHORN)
 _register_exact("sea26_exact_affine", "xor2", AFFINE)
 
 
-@query("sea27_stump", f"""WITH {line_cte('and2')}, l AS ({' UNION ALL '.join(f"SELECT '{f}' AS f, {i} AS pos_, {f} + 0.0 AS v, y FROM s" for i, f in enumerate(['q', 'd', 't', 'ln', 'ls']))}),
+@query("sea27_stump", f"""WITH {line_cte('and2')}, l AS ({' UNION ALL '.join(f"SELECT '{f}' AS f, {i} AS pos_, {f} + 0.0 AS v, y FROM s" for i, f in enumerate(LINE_FEATURES))}),
     h AS (SELECT f, pos_, v, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM l GROUP BY ALL),
     c AS (SELECT *, sum(p) OVER w AS ip, sum(n) OVER w AS ineg, sum(p) OVER a AS tp, sum(n) OVER a AS tn, lead(v) OVER (PARTITION BY f ORDER BY v) AS nx FROM h WINDOW w AS (PARTITION BY f ORDER BY v), a AS (PARTITION BY f)),
     g AS (SELECT *, {gain_sql('tp', 'tn', 'ip', 'ineg')} AS gain FROM c WHERE nx IS NOT NULL AND ip + ineg >= 5 AND tp + tn - ip - ineg >= 5),
@@ -470,16 +470,11 @@ _register_exact("sea26_exact_affine", "xor2", AFFINE)
     SELECT 1::BIGINT AS node_id, tp AS n_pos, tn AS n_neg, false AS is_leaf, f AS feature, {rsql('(v + nx) / 2')} AS threshold FROM w
     UNION ALL SELECT 2, tp - ip, tn - ineg, true, NULL, NULL FROM w UNION ALL SELECT 3, ip, ineg, true, NULL, NULL FROM w""")
 def sea27(spark, sf):
-    """Depth-1 model of one family with exact midpoints: rule and both leaves."""
-    from rulespire.config import FitConfig
-    from rulespire.plans.grow import fit_tree
-
-    feats = ["q", "d", "t", "ln", "ls"]
-    m = fit_tree(line_rows(spark, sf, "and2"), "y", feats, FitConfig(family=HORN, max_depth=1, search_2d=False, search_3d=False))
-    lit = m.nodes[(0, 1)].rule.literals[0]
-    flip = lit.op == "LT"  # report the side at or above the threshold first
-    name = F.get(F.array(*[F.lit(f) for f in feats]), F.get("lits", F.lit(0)).feature)
-    out = m.frame(spark).select(
-        F.when(F.lit(flip) & (F.col("node_id") > 1), 5 - F.col("node_id")).otherwise(F.col("node_id")).alias("node_id"), "n_pos", "n_neg", "is_leaf",
-        F.when(~F.col("is_leaf"), name).alias("feature"), F.when(~F.col("is_leaf"), F.get("lits", F.lit(0)).threshold).alias("threshold"))
-    return rounded(out, "threshold")
+    """Depth-1 model of one family with exact midpoints of all six columns: rule and both leaves."""
+    best = X.exact_stump(line_rows(spark, sf, "and2"), LINE_FEATURES, 5)
+    node = lambda k, p, n, f, t: F.struct(F.lit(k).cast("bigint").alias("node_id"), p.alias("n_pos"), n.alias("n_neg"), F.lit(k > 1).alias("is_leaf"), f.alias("feature"), t.alias("threshold"))
+    p, n, no = (F.col("ip"), F.col("ineg"), F.lit(None))
+    rows = F.array(
+        node(1, F.col("tp"), F.col("tn"), F.col("feature"), F.col("threshold")),
+        node(2, F.col("tp") - p, F.col("tn") - n, no.cast("string"), no.cast("double")), node(3, p, n, no.cast("string"), no.cast("double")))
+    return rounded(best.select(F.inline(rows)), "threshold")

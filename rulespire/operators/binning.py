@@ -6,7 +6,7 @@ rows (keys..., feature, value[, y]).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rulespire.functions.scores import gini
 from rulespire.operators.scan import exact_quantiles, prefix_sums
@@ -129,26 +129,16 @@ def supervised_edges(long: DataFrame, keys: list[str], n_bins: int) -> DataFrame
         *keys, F.array_sort(F.array_distinct(F.concat(F.array("lo"), "cuts", F.array("hi")))).alias("edges"))
 
 
-def local_cuts(hist: DataFrame, keys: list[str], n_bins: int, value: str = "value", code: str | None = None) -> DataFrame:
-    """Node-local thresholds from a value histogram (keys, value, pos, neg).
+def local_cuts(hist: DataFrame, keys: list[str], n_bins: int, value: str = "value") -> DataFrame:
+    """Group-local thresholds from a value histogram (keys, value, pos, neg).
 
     A constant has none; up to n_bins distinct values give the midpoints of
     neighbours; more give the n_bins - 1 inner quantiles (linear interpolation).
     Output: (keys, threshold, cum_pos, cum_neg, tot_pos, tot_neg) where cum_* count the
-    rows below the threshold. Histograms here are node-sized (codes or few values).
-    With ``code`` the smallest code at or above each threshold is added as ``cut_code``.
+    rows below the threshold. Values are added up in ordered buckets, so a group may have any number of them.
     """
-    code_col = F.col(code) if code else F.lit(0)
-    order = W.partitionBy(*keys).orderBy(value)
-    running = order.rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    h = hist.select(
-        *keys, value, "pos", "neg", code_col.alias("__code"),
-        F.lead(value).over(order).alias("nxt"),
-        F.sum("pos").over(running).alias("cum_pos"), F.sum("neg").over(running).alias("cum_neg"),
-        F.sum("pos").over(whole).alias("tot_pos"), F.sum("neg").over(whole).alias("tot_neg"),
-        F.count(F.lit(1)).over(whole).alias("distinct_values"),
-    )
+    distinct = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct_values"))
+    h = prefix_sums(hist, keys, value, ["pos", "neg"]).withColumnRenamed(f"next_{value}", "nxt").join(distinct, keys)
     n = F.col("tot_pos") + F.col("tot_neg")
     last = F.col("cum_pos") + F.col("cum_neg")
     first = last - F.col("pos") - F.col("neg")
@@ -162,14 +152,11 @@ def local_cuts(hist: DataFrame, keys: list[str], n_bins: int, value: str = "valu
     few = F.when(F.col("nxt").isNotNull(), F.array(F.struct(
         ((F.col(value) + F.col("nxt")) / 2).alias("threshold"), F.lit(True).alias("after"))))
     picked = F.when(F.col("distinct_values") <= n_bins, few).otherwise(F.transform(on_it, edge))
-    cuts = h.select(*keys, "__code", "pos", "neg", "cum_pos", "cum_neg", "tot_pos", "tot_neg", F.explode(picked).alias("c"))
+    cuts = h.select(*keys, "pos", "neg", "cum_pos", "cum_neg", "tot_pos", "tot_neg", F.explode(picked).alias("c"))
     below = lambda s: F.when(F.col("c.after"), F.col(f"cum_{s}")).otherwise(F.col(f"cum_{s}") - F.col(s))
-    cut_code = F.when(F.col("c.after"), F.col("__code") + 1).otherwise(F.col("__code"))
-    cuts = cuts.select(*keys, F.col("c.threshold").alias("threshold"), cut_code.alias("cut_code"),
-                       below("pos").alias("cum_pos"), below("neg").alias("cum_neg"), "tot_pos", "tot_neg")
+    cuts = cuts.select(*keys, F.col("c.threshold").alias("threshold"), below("pos").alias("cum_pos"), below("neg").alias("cum_neg"), "tot_pos", "tot_neg")
     cuts = cuts.filter((F.col("cum_pos") + F.col("cum_neg")) > 0)
-    least = [F.min("threshold").alias("threshold"), *([F.min("cut_code").alias("cut_code")] if code else [])]
-    return cuts.groupBy(*keys, "cum_pos", "cum_neg", "tot_pos", "tot_neg").agg(*least)
+    return cuts.groupBy(*keys, "cum_pos", "cum_neg", "tot_pos", "tot_neg").agg(F.min("threshold").alias("threshold"))
 
 
 def live_features(bounds: DataFrame) -> DataFrame:

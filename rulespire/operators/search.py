@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rulespire.functions.rules import AFFINE, ANTIHORN, ANY, BEST, CONJUI, HORN, SQUARE2CNF, Literal, Rule
 from rulespire.functions.scores import entropy, gain_ratio, information_gain, penalized_gain
-from rulespire.operators.histograms import cumulate, densify
+from rulespire.operators.histograms import class_counts, cumulate, densify
+from rulespire.operators.profile import unpivot
+from rulespire.operators.scan import prefix_sums
 
 
 def regions_of(arity: int) -> list[str]:
@@ -226,3 +228,15 @@ def clause_pairs(n_clauses: int, features: list[frozenset], limit: int) -> list[
     return list(islice(((a, b) for a, b in every if features[a] != features[b]), limit))
 
 
+def exact_stump(df: DataFrame, features: list[str], min_leaf: int, y: str = "y") -> DataFrame:
+    """Best single test over the midpoints of all neighbouring values of all features, as one row.
+
+    feature, threshold, ip, ineg (rows below), tp, tn, gain, score. Values are counted and added up in ordered buckets.
+    """
+    long = unpivot(df, features, [y]).withColumn("value", F.col("value") + F.lit(0.0))
+    counts = class_counts(long, ["feature", "value"], y)
+    cuts = prefix_sums(counts, ["feature"], "value", ["pos", "neg"]).filter(F.col("next_value").isNotNull())
+    cuts = cuts.select("feature", "value", ((F.col("value") + F.col("next_value")) / 2).alias("threshold"),
+                       F.col("cum_pos").alias("ip"), F.col("cum_neg").alias("ineg"), F.col("tot_pos").alias("tp"), F.col("tot_neg").alias("tn"))
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
+    return best_per(score_counts(cuts, 1, min_leaf).withColumns({"place": place, "k": F.lit(0)}), ["k"], ["place", "value"], digits=9).drop("k", "place", "value")

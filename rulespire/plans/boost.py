@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rulespire.functions.hashing import unit_hash
 from rulespire.functions.scores import sigmoid
+from rulespire.operators.scan import prefix_sums
 from rulespire.plans import tensors as T
 from rulespire.plans.encode import encode
 from rulespire.session import cut_lineage, ship_package
@@ -76,21 +77,16 @@ class BoostModel:
 
 
 def stump_scan(counts: DataFrame, keys: list[str], order: str, min_leaf: int) -> DataFrame:
-    """Between-group sum of squares of every cut of (keys, order, r, n) counts.
+    """Between-group sum of squares of every cut of (keys, order, r, n) counts per value.
 
-    Windows run on counts per value, not on rows.
+    Running sums are taken in ordered buckets, so a feature may have any number of values.
     """
-    run = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    c = counts.select(
-        *keys, order, F.lead(order).over(W.partitionBy(*keys).orderBy(order)).alias("nxt"),
-        F.sum("r").over(run).alias("ls"), F.sum("n").over(run).alias("ln"),
-        F.sum("r").over(whole).alias("ts"), F.sum("n").over(whole).alias("tn"))
-    rs, rn = F.col("ts") - F.col("ls"), F.col("tn") - F.col("ln")
-    mean = F.col("ts") / F.col("tn")
-    red = F.col("ln") * F.pow(F.col("ls") / F.col("ln") - mean, 2) + rn * F.pow(rs / rn - mean, 2)
-    return c.filter(F.col("nxt").isNotNull() & (F.col("ln") >= min_leaf) & (rn >= min_leaf)).withColumns(
-        {"reduction": red, "left_value": F.col("ls") / F.col("ln"), "right_value": rs / rn})
+    c = prefix_sums(counts, keys, order, ["n", "r"]).withColumnRenamed(f"next_{order}", "nxt")
+    ls, ln, ts, tn = (F.col(k) for k in ("cum_r", "cum_n", "tot_r", "tot_n"))
+    rs, rn, mean = ts - ls, tn - ln, ts / tn
+    red = ln * F.pow(ls / ln - mean, 2) + rn * F.pow(rs / rn - mean, 2)
+    return c.filter(F.col("nxt").isNotNull() & (ln >= min_leaf) & (rn >= min_leaf)).withColumns(
+        {"reduction": red, "left_value": ls / ln, "right_value": rs / rn})
 
 
 @dataclass
