@@ -49,6 +49,15 @@ def cal2(spark, sf):
     return rounded(A.binned_fit(df, "p2", "y"), "mean_p", "rate").withColumn("bin", F.col("bin").cast("int"))
 
 
+@query("cal2_monotone", f"""WITH {line_cte()}, g AS (SELECT round({PROBA_SQL} - ln / 40, 6) AS p, count(*) AS n, sum(y) AS pos FROM s GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS cn, sum(pos) OVER (ORDER BY p) AS cp FROM g),
+    m AS (SELECT x.i, x.p, x.n, a.i AS a, min((b.cp - a.cp + a.pos)::DOUBLE / (b.cn - a.cn + a.n)) AS low FROM o x JOIN o a ON a.i <= x.i JOIN o b ON b.i >= x.i GROUP BY 1, 2, 3, 4),
+    f AS (SELECT i, p, n, max(low) AS rate FROM m GROUP BY 1, 2, 3) SELECT min(p) AS lo, max(p) AS hi, sum(n)::BIGINT AS n, {rsql('any_value(rate)')} AS rate FROM f GROUP BY round(rate, 12)""")
+def cal2b(spark, sf):
+    """Rising step function by pooled violators; the SQL takes the largest of the least means over all spans."""
+    df = scored(spark, sf).withColumn("p2", F.col("proba") - F.col("ln") / 40)
+    return rounded(A.monotone_fit(df, "p2", "y"), "rate")
+
+
 _KNOTS = [(0.1, 0.05), (0.3, 0.2), (0.5, 0.65), (0.8, 0.7)]
 
 

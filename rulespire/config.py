@@ -19,6 +19,9 @@ class FitConfig:
     purity: float = 0.99
     complexity_penalty: float = 0.0
     n_bins: int = 64
+    binning: str = "local"  # or edges fixed before growth: quantile, width, density, supervised
+    prune_holdout: float = 0.0  # share of a stratified hold-out that prunes the tree, from 500 rows on
+    prune_alpha: float = 0.01
     top_k: int = 15
     search_1d: bool = True
     search_2d: bool = True

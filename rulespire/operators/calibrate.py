@@ -5,10 +5,12 @@ Tree scores take few distinct values, so fits work on (probability, label) count
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rulespire.functions.scores import log_odds, sigmoid
 from rulespire.operators.scan import prefix_sums, splitters
+from rulespire.session import ship_package
 
 
 def platt_fit(df: DataFrame, p: str, y: str, steps: int = 50, tol: float = 1e-10) -> tuple[float, float]:
@@ -45,6 +47,39 @@ def platt_apply(p: Column, a: float, b: float) -> Column:
     return sigmoid(F.lit(a) * log_odds(p) + F.lit(b), 30.0)
 
 
+#: Digits of the probabilities that a monotone fit tells apart: at most a million groups, whatever the rows.
+MONOTONE_DIGITS = 6
+
+
+def _pool(batches):
+    """Pool adjacent violators over (lo, hi, n, pos) in order: neighbours whose rates don't rise become one block."""
+    lo, hi, n, pos = [], [], [], []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("lo", "hi", "n", "pos"))):
+            for held, v in zip((lo, hi, n, pos), row):
+                held.append(v)
+            while len(n) > 1 and pos[-2] * n[-1] >= pos[-1] * n[-2]:
+                n[-2:], pos[-2:] = [n[-2] + n[-1]], [pos[-2] + pos[-1]]
+                hi[-2:] = [hi[-1]]
+                lo.pop()
+    yield pa.RecordBatch.from_arrays([pa.array(lo, pa.float64()), pa.array(hi, pa.float64()), pa.array(n, pa.int64()), pa.array(pos, pa.int64())], ["lo", "hi", "n", "pos"])
+
+
+def monotone_fit(df: DataFrame, p: str, y: str) -> DataFrame:
+    """Least-squares rising step function of p: (lo, hi, n, rate) of its blocks.
+
+    Equal probabilities are added up; violators are pooled inside ranges of p and then between the ranges' blocks,
+    which gives the same blocks as one sorted pass.
+    """
+    ship_package(df.sparkSession)
+    points = df.groupBy(F.round(F.col(p).cast("double"), MONOTONE_DIGITS).alias("lo")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos"))
+    points = points.select("lo", F.col("lo").alias("hi"), "n", "pos")
+    schema = "lo double, hi double, n long, pos long"
+    ranges = points.repartitionByRange("lo").sortWithinPartitions("lo").mapInArrow(_pool, schema)
+    whole = ranges.repartition(1).sortWithinPartitions("lo").mapInArrow(_pool, schema)
+    return whole.select("lo", "hi", "n", (F.col("pos") / F.col("n")).alias("rate"))
+
+
 def binned_fit(df: DataFrame, p: str, y: str, max_bins: int = 20) -> DataFrame:
     """Equal-count bins by ascending p: (bin, n, mean_p, rate); no rows below two bins.
 

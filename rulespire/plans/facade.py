@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from rulespire.config import FitConfig
 from rulespire.functions.hashing import unit_hash
 from rulespire.functions.rules import ANY, BEST, FAMILIES
-from rulespire.operators.calibrate import binned_apply, binned_fit, platt_apply, platt_fit
+from rulespire.operators.calibrate import binned_apply, binned_fit, monotone_fit, platt_apply, platt_fit
 from rulespire.operators.certificates import backend_labels, require_certified
 from rulespire.operators.explain import explain_rows
 from rulespire.operators.profile import require_valid
@@ -59,6 +59,7 @@ class RuleClassifier:
     look_ahead: bool = False
     limit_2d: int | None = None
     limit_3d: int | None = None
+    binning: str = "local"
     model_: object = field(default=None, init=False)
     kind_: str | None = field(default=None, init=False)
     calibrator_: tuple | None = field(default=None, init=False)
@@ -70,7 +71,7 @@ class RuleClassifier:
             raise ValueError(f"unknown family: {self.family}")
         if not 1 <= self.max_arity <= 3:
             raise ValueError("max_arity is 1, 2 or 3")
-        if self.calibration_method not in ("platt", "isotonic"):
+        if self.calibration_method not in ("platt", "isotonic", "monotone"):
             raise ValueError(f"unknown calibration method: {self.calibration_method}")
 
     def _config(self, depth: int, bins: int) -> FitConfig:
@@ -79,7 +80,7 @@ class RuleClassifier:
                          strict_family=self.strict_family, seed=self.seed, min_gain=self.min_gain,
                          complexity_penalty=self.complexity_penalty, laplace=self.laplace, allow_affine=self.allow_affine,
                          allow_compare=self.allow_compare, use_interactions=self.use_interactions, use_gain_ratio=self.use_gain_ratio,
-                         look_ahead=self.look_ahead, limit_2d=self.limit_2d, limit_3d=self.limit_3d)
+                         look_ahead=self.look_ahead, limit_2d=self.limit_2d, limit_3d=self.limit_3d, binning=self.binning)
 
     def fit(self, df: DataFrame) -> "RuleClassifier":
         if self.strict_family and self.family == ANY:
@@ -104,6 +105,9 @@ class RuleClassifier:
             scored = self._raw(held)
             if self.calibration_method == "platt":
                 self.calibrator_ = ("platt", *platt_fit(scored, "proba", self.label))
+            elif self.calibration_method == "monotone":
+                blocks = monotone_fit(scored, "proba", self.label).orderBy("lo").collect()  # one per step
+                self.calibrator_ = ("isotonic", [(x, r["rate"]) for r in blocks for x in dict.fromkeys((r["lo"], r["hi"]))]) if blocks else None
             else:
                 knots = binned_fit(scored, "proba", self.label).orderBy("mean_p").collect()  # at most 20 rows
                 self.calibrator_ = ("isotonic", [(r["mean_p"], r["rate"]) for r in knots]) if knots else None

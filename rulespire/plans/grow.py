@@ -22,7 +22,11 @@ from rulespire.config import FitConfig
 from rulespire.functions.hashing import unit_hash
 from rulespire.functions.rules import AFFINE, ANTIHORN, ANY, BEST, CONJUI, FAMILY_RANK, HORN, SQUARE2CNF, Literal, Rule
 from rulespire.functions.scores import information_gain
+from rulespire.operators.binning import clean_edges, density_edges, equal_width_edges, interior, quantile_edges, supervised_edges
 from rulespire.operators.dense import best_cuts, entropy_of, region_scores
+from rulespire.operators.profile import unpivot
+from rulespire.operators.prune import prune
+from rulespire.operators.sampling import stratified_split
 from rulespire.operators.search import clause_pairs, forms, interaction_scan, regions_for, regions_of, rule_of, searched_families
 from rulespire.plans import tensors as T
 from rulespire.plans.encode import Encoded, encode
@@ -30,6 +34,8 @@ from rulespire.plans.model import Node, TreeModel
 
 #: Cells of the arrays that a task holds at once.
 CELLS = 1 << 23
+#: Rows from which a hold-out is set aside for pruning.
+PRUNE_ROWS = 500
 #: Cuts of a lot of open nodes that are ranked in the driver; more are ranked in tasks.
 FEW_CUTS = 1 << 18
 CUT_COLUMNS = ["slot", "f", "threshold", "cut_code", "cum_pos", "cum_neg", "tot_pos", "tot_neg"]
@@ -66,12 +72,28 @@ class OpenNode:
         return {f for f, (lo, hi) in self.bounds.items() if lo >= hi}
 
 
-def fit_tree(df: DataFrame, label: str, features: list[str], cfg: FitConfig = FitConfig(), weight: str | None = None) -> TreeModel:
-    """Fit one rule tree on a table."""
+def fit_tree(df: DataFrame, label: str, features: list[str], cfg: FitConfig = FitConfig(), weight: str | None = None, row_key: str | None = None) -> TreeModel:
+    """Fit one rule tree on a table; with ``cfg.prune_holdout`` a part of the rows (told apart by ``row_key``) prunes it."""
     if cfg.strict_family and cfg.family == ANY:
         raise ValueError("strict family mode needs one family, not Any")
+    held = None
+    if cfg.prune_holdout and row_key and df.count() >= PRUNE_ROWS:
+        split = stratified_split(df, [label], row_key, cfg.prune_holdout, cfg.seed, purpose="prune")
+        df, held = split.filter("not is_test"), split.filter("is_test")
     enc = encode(df, label, features, cfg.max_codes, weight, keep=features if cfg.allow_compare else (), exact=True, cache=False)
-    return Grower(enc, cfg).run()
+    model = Grower(enc, cfg, edges=fixed_edges(df, label, features, cfg)).run()
+    return prune(model, held, label, cfg.prune_alpha) if held is not None else model
+
+
+def fixed_edges(df: DataFrame, label: str, features: list[str], cfg: FitConfig) -> list[np.ndarray] | None:
+    """Inner edges per feature, found before growth; None where every node finds its own."""
+    if cfg.binning == "local":
+        return None
+    make = {"quantile": quantile_edges, "width": equal_width_edges, "density": density_edges, "supervised": supervised_edges}[cfg.binning]
+    long = unpivot(df, features, [label]).withColumnRenamed(label, "y")
+    rows = make(long, ["feature"], cfg.n_bins).select("feature", interior(clean_edges(F.col("edges"))).alias("e")).collect()  # features x bins numbers
+    by = {r["feature"]: np.array(r["e"]) for r in rows}
+    return [by.get(f, np.empty(0)) for f in features]
 
 
 def stop_reason(cfg: FitConfig, n_pos: float, n_neg: float, depth: int) -> str:
@@ -100,7 +122,9 @@ class Grower:
     """Grows ``n_trees`` trees at once. ``subsets[t]`` limits the features of tree t;
     with ``weights`` the rows carry an array column of per-tree weights."""
 
-    def __init__(self, enc: Encoded, cfg: FitConfig, n_trees: int = 1, subsets: list[list[int]] | None = None, weights: str | None = None):
+    def __init__(self, enc: Encoded, cfg: FitConfig, n_trees: int = 1, subsets: list[list[int]] | None = None, weights: str | None = None,
+                 edges: list[np.ndarray] | None = None):
+        self.edges = edges
         self.enc, self.cfg, self.n_trees, self.weights = enc, cfg, n_trees, weights
         self.d = len(enc.features)
         self.subsets = subsets
@@ -202,6 +226,10 @@ class Grower:
         """
         router, n_bins = self.router(todo), self.cfg.n_bins
         features = [[f for f in (self.subsets[o.node.tree_id] if self.subsets else range(self.d)) if f not in o.off()] for o in todo]
+        if self.edges is not None:
+            fixed = T.Fixed(self.edges, self.enc.values, self.raw, features)
+            cuts = T.merged(T.count(self.blocks, router, fixed, 2), 2, fixed.cuts, T.CUTS)
+            return cuts.toPandas()[CUT_COLUMNS] if sum(map(len, features)) * n_bins <= FEW_CUTS else cuts.select(*CUT_COLUMNS)
         codes = [self.enc.codes(f) for f in range(self.d)]
         parts = T.count(self.blocks, router, T.Histogram(codes, self.wide, self.raw, features), 2)
         cutter = T.Cutter(self.enc.values, n_bins)

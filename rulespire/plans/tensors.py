@@ -312,6 +312,33 @@ class Cutter:
         return out
 
 
+class Fixed:
+    """Adds counts per bin of fixed edges [bin, (neg, pos)]; ``cuts`` turns them into cuts at the edges."""
+
+    def __init__(self, edges: list[np.ndarray], values: list[list[float] | None], raw: dict[int, int], features: list[list[int]]):
+        self.edges, self.values, self.raw, self.features = edges, values, raw, features
+        # code -> bin of features with a code per value
+        self.tables = [None if v is None else np.searchsorted(e, v, "right") for e, v in zip(edges, values)]
+
+    def __call__(self, acc: dict, b: Block, slot: int, rows, w) -> None:
+        pos = b.pos[rows]
+        for f in self.features[slot]:
+            bins = np.searchsorted(self.edges[f], b.x[self.raw[f]][rows], "right") if self.tables[f] is None else self.tables[f][b.c[f][rows]]
+            size = 2 * (len(self.edges[f]) + 1)
+            acc.setdefault((slot, f), [np.zeros(size)])[0] += np.bincount(bins * 2 + pos, w, size)
+
+    def cuts(self, key: tuple, arrays: list[np.ndarray]) -> list[tuple]:
+        slot, f = key
+        neg, pos = arrays[0].reshape(-1, 2).T
+        cp, cn, tot = np.cumsum(pos), np.cumsum(neg), (float(pos.sum()), float(neg.sum()))
+        out = []
+        for k, t in enumerate(self.edges[f].tolist()):
+            if 0 < cp[k] + cn[k] < sum(tot):
+                code = -1 if self.values[f] is None else int(np.searchsorted(self.values[f], t, "left"))
+                out.append((slot, f, CUT, t, code, float(cp[k]), float(cn[k]), *tot, *[None] * 6, None))
+        return out
+
+
 def finer(pick: dict, v: np.ndarray) -> np.ndarray:
     """Number of the cell of equal width inside a pick."""
     return np.minimum(np.floor((v - pick["lo"]) / (pick["hi"] - pick["lo"]) * FINER), FINER - 1)

@@ -218,3 +218,20 @@ def test_rule_shapes():
     with pytest.raises(ValueError):
         Rule.of("and", HORN, Literal(0, "GE", 1.0)).check()
     assert Rule.of("or", ANTIHORN, Literal(0, "GE", 1.0), Literal(1, "LT", 1.0)).label() == "AH_2L_NEG_1"
+
+
+def test_monotone_fit_equals_a_sorted_pass(spark):
+    from rulespire.operators.calibrate import monotone_fit
+
+    rng = np.random.default_rng(8)
+    p = np.round(rng.random(4000), 3)
+    y = (rng.random(4000) < np.clip(p + rng.normal(0, 0.3, 4000), 0, 1)).astype(int)
+    blocks = []
+    for v, g in sorted(pd.DataFrame({"p": p, "y": y}).groupby("p")):
+        blocks.append([v, v, len(g), int(g.y.sum())])
+        while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
+            _, hi, n, k = blocks.pop()
+            blocks[-1] = [blocks[-1][0], hi, blocks[-1][2] + n, blocks[-1][3] + k]
+    got = monotone_fit(spark.createDataFrame(pd.DataFrame({"p": p, "y": y})).repartition(7), "p", "y").orderBy("lo").collect()
+    assert [(r["lo"], r["hi"], r["n"]) for r in got] == [(lo, hi, n) for lo, hi, n, _ in blocks]
+    assert [r["rate"] for r in got] == pytest.approx([k / n for _, _, n, k in blocks]) and len(got) > 5

@@ -157,3 +157,35 @@ def test_path_bounds_of_a_fit(spark, frame):
     assert {k: b for k, b in seen.items() if b} == {k: b for k, b in want.items() if k in seen} and any(seen.values())
     o = OpenNode(Node(0, 1, 0, 0, 0.5), bounds={0: (3.0, 2.0), 1: (0.0, 1.0)})
     assert o.off() == {0}
+
+
+@pytest.mark.parametrize("binning", ["quantile", "width", "density", "supervised"])
+def test_fixed_edges(spark, frame, binning):
+    """Cuts lie on the chosen edges and count the rows below them."""
+    pdf = frame.iloc[:20_000]
+    cfg = FitConfig(n_bins=BINS, binning=binning, max_depth=2, family=CONJUI)
+    df = spark.createDataFrame(pdf)
+    edges = grow.fixed_edges(df, "y", ["a", "d", "e"], cfg)
+    m = fit_tree(df, "y", ["a", "d", "e"], cfg)
+    assert all(l.threshold in edges[l.feature] for n in m.splits() for l in n.rule.literals) and m.splits()
+    for n in m.leaves():
+        rows = np.ones(len(pdf), bool)
+        for k in range(n.node_id.bit_length() - 1, 0, -1):
+            rule, taken = m.nodes[(0, n.node_id >> k)].rule, (n.node_id >> (k - 1)) % 2 == 0
+            hit = np.logical_and.reduce([(pdf[["a", "d", "e"][l.feature]] >= l.threshold) == (l.op == "GE") for l in rule.literals])
+            rows &= hit == taken
+        assert (n.n, n.n_pos) == (rows.sum(), pdf.y[rows].sum())
+
+
+def test_pruning_hold_out_in_a_fit(spark, frame):
+    from pyspark.sql import functions as F
+
+    pdf = frame.iloc[:6000].assign(y=np.random.default_rng(1).integers(0, 2, 6000))
+    df = spark.createDataFrame(pdf).withColumn("k", F.monotonically_increasing_id().cast("string"))
+    cfg = FitConfig(max_depth=3, n_bins=BINS, search_3d=False, min_gain=1e-9)
+    full = fit_tree(df, "y", ["a", "b", "e"], cfg, row_key="k")
+    pruned = fit_tree(df, "y", ["a", "b", "e"], FitConfig(max_depth=3, n_bins=BINS, search_3d=False, min_gain=1e-9, prune_holdout=0.2), row_key="k")
+    assert pruned.nodes[(0, 1)].n == 4800 and full.nodes[(0, 1)].n == 6000
+    assert len(pruned.nodes) <= len(full.nodes)
+    few = fit_tree(df.limit(400), "y", ["a", "b", "e"], FitConfig(max_depth=1, prune_holdout=0.2), row_key="k")
+    assert few.nodes[(0, 1)].n == 400
