@@ -222,7 +222,7 @@ def doc_task(spark, sf):
 def pip1(spark, sf):
     """Hold-out, model choice by size, fit, prune, calibrate on the document labels."""
     df = doc_task(spark, sf)
-    clf = RuleClassifier(DOC_FEATURES, max_depth=3, n_bins=16, model_type="single").fit(df)
+    clf = RuleClassifier(DOC_FEATURES, max_depth=3, n_bins=16).fit(df)
     return rounded(clf.predict(df).groupBy("pred", "y").agg(F.count(F.lit(1)).alias("n"), F.avg("proba").alias("mean_proba")), "mean_proba")
 
 
