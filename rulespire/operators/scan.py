@@ -44,12 +44,11 @@ def rank_by_hash(
     return ranked.drop("__b", "__r", "__off", "__tot")
 
 
-def smallest_by_hash(df: DataFrame, keys: list[str], u: str, tie: list[str], take, flag: str = "taken") -> DataFrame:
-    """Flag the ``take(n)`` rows of each group with the smallest draws; n is the group size.
+def last_by_hash(df: DataFrame, keys: list[str], u: str, tie: list[str], take) -> DataFrame:
+    """(keys, __last): the last (draw, tie) of the ``take(n)`` rows of each group with the smallest draws; n is the group size.
 
     Bucket totals tell in which bucket the last taken row lies. Only that one bucket (1/65536 of
-    a group) is ranked, which gives the last taken (draw, tie) of each group; the rows are then
-    compared with it in one pass and neither shuffled nor sorted. Rows that agree in draw and tie share their flag.
+    a group) is ranked.
     """
     b = df.withColumn("__b", F.floor(F.col(u) * RANK_BUCKETS).cast("int"))
     totals = b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -61,7 +60,16 @@ def smallest_by_hash(df: DataFrame, keys: list[str], u: str, tie: list[str], tak
         F.max("__b").alias("__edge"), F.max_by(F.col("__take") - F.col("__cum") + F.col("__n"), "__b").alias("__left"))
     near = b.join(edge, keys).filter(F.col("__b") == F.col("__edge")).select(*keys, "__left", F.struct(u, *tie).alias("__at"))
     ranked = near.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy("__at")))
-    last = ranked.filter(F.col("__i") <= F.col("__left")).groupBy(*keys).agg(F.max("__at").alias("__last"))
+    return ranked.filter(F.col("__i") <= F.col("__left")).groupBy(*keys).agg(F.max("__at").alias("__last"))
+
+
+def smallest_by_hash(df: DataFrame, keys: list[str], u: str, tie: list[str], take, flag: str = "taken") -> DataFrame:
+    """Flag the ``take(n)`` rows of each group with the smallest draws; n is the group size.
+
+    The rows are compared with the last taken one of their group in one pass and neither shuffled nor sorted. Rows that
+    agree in draw and tie share their flag.
+    """
+    last = last_by_hash(df, keys, u, tie, take)
     # one row per group: as large as the table only where every row is its own group
     return df.join(last, keys, "left").withColumn(flag, F.coalesce(F.struct(u, *tie) <= F.col("__last"), F.lit(False))).drop("__last")
 

@@ -20,7 +20,7 @@ from rulespire.operators.explain import explain_rows
 from rulespire.functions.hashing import unit_hash
 from rulespire.functions.rules import AFFINE, ANTIHORN, BEST, CONJUI, HORN, SQUARE2CNF
 from rulespire.operators.sampling import k_folds, k_rows
-from rulespire.operators.scan import smallest_by_hash
+from rulespire.operators.scan import last_by_hash
 from rulespire.plans.encode import encode
 from rulespire.plans.grow import Grower
 from rulespire.plans.model import Node, TreeModel, accuracy
@@ -110,11 +110,19 @@ def run_accuracies(df: DataFrame, label: str, forest: TreeModel, weights: list[s
 
 def _split_runs(df: DataFrame, label: str, row_key: str, fraction: float, runs: int, seed: int) -> tuple[DataFrame, list[str]]:
     """Shuffle splits with round(fraction * n) test rows per class, as one column per run (1: trains)."""
+    draw = lambda run: unit_hash(seed, "split", run, F.col(row_key))
+    rows = df.select(label, row_key, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     size = lambda n: F.floor(F.lit(fraction) * n + 0.5)
+    lasts = last_by_hash(rows.withColumn("u", draw(F.col("run"))), ["run", label], "u", [row_key], size).collect()  # runs x classes
+    masks = {}
     for r in range(runs):
-        drawn = df.withColumn("__u", unit_hash(seed, "split", F.lit(r), F.col(row_key)))
-        df = smallest_by_hash(drawn, [label], "__u", [row_key], size, "__t").withColumn(f"__run{r}", 1 - F.col("__t").cast("int")).drop("__u", "__t")
-    return df, [f"__run{r}" for r in range(runs)]
+        test = F.lit(False)
+        for e in lasts:
+            if e["run"] == r:
+                taken = F.struct(draw(F.lit(r)), F.col(row_key)) <= F.struct(F.lit(e["__last"][0]), F.lit(e["__last"][1]))
+                test = F.when(F.col(label) == e[label], taken).otherwise(test)
+        masks[f"__run{r}"] = 1 - test.cast("int")
+    return df.withColumns(masks), list(masks)
 
 
 def run_grid(spark: SparkSession, tasks: dict[str, DataFrame], features: dict[str, list[str]], methods: dict[str, tuple[str, FitConfig]],

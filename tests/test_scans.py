@@ -126,3 +126,13 @@ def test_wide_table(spark):
     assert P.require_valid(df, "y", names) == 178
     r = P.task_profile(df.withColumn("task", F.lit("w")), "y", names, ["task"]).first()
     assert (r["n_samples"], r["n_features"], r["is_binary"], r["n_original"]) == (178, width, True, width)
+
+
+def test_runs_of_a_grid_are_the_stratified_splits(spark):
+    from rulespire.plans.grid import _split_runs
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("rk"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    split, masks = _split_runs(df, "y", "rk", 0.2, 10, 42)
+    rows = split.select("rk", F.posexplode(F.array(*masks)).alias("run", "train"))
+    want = S.stratified_split(df, ["y"], "rk", 0.2, 42, 10).select("rk", "run", (1 - F.col("is_test").cast("int")).alias("train"))
+    assert rows.exceptAll(want).count() == 0 and rows.count() == want.count()
