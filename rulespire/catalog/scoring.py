@@ -11,6 +11,7 @@ from rulespire.functions import scores as C
 from rulespire.operators import binning as B
 from rulespire.operators import histograms as H
 from rulespire.operators import search as X
+from rulespire.operators.neighbours import neighbour_information
 from rulespire.operators.profile import unpivot
 
 FEATS = ["q", "p", "d", "t"]
@@ -197,6 +198,25 @@ def sco7(spark, sf):
     return rounded(X.mutual_information(cells, ["rf", "feature"]), "feature_score")
 
 
+# H(n) - 0.5772... is the digamma function of n + 1; neighbours by rank, rows between the ends by the last running sum below them
+NEIGHBOUR_SQL = f"""{line_cte()}, {LONG_SQL}, c0 AS (SELECT rf, feature, y, value AS v, count(*) AS n FROM l GROUP BY ALL),
+    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rf, feature, y ORDER BY v) AS i, sum(n) OVER (PARTITION BY rf, feature, y) AS n_c FROM c0) WHERE n_c > 1),
+    cum AS (SELECT rf, feature, v, sum(sum(n)) OVER (PARTITION BY rf, feature ORDER BY v) AS cum FROM c GROUP BY 1, 2, 3),
+    w AS (SELECT a.*, least(3, a.n_c - 1) AS k, b.v AS u, abs(b.v - a.v) AS dist, CASE WHEN b.i = a.i THEN b.n - 1 ELSE b.n END AS bn FROM c a JOIN c b ON a.rf = b.rf AND a.feature = b.feature AND a.y = b.y AND b.i BETWEEN a.i - 3 AND a.i + 3),
+    g AS (SELECT *, sum(bn) OVER (PARTITION BY rf, feature, y, i ORDER BY dist) AS got FROM w),
+    r AS (SELECT *, min(CASE WHEN got >= k THEN dist END) OVER (PARTITION BY rf, feature, y, i) AS r FROM g),
+    e AS (SELECT rf, feature, v, n, n_c, 1 + coalesce(sum(CASE WHEN dist < r OR u = v THEN bn END), 0) AS k, coalesce(max(CASE WHEN dist = r AND u < v THEN u END), v - r) AS lo, coalesce(min(CASE WHEN dist = r AND u > v THEN u END), v + r) AS hi, r FROM r GROUP BY rf, feature, y, v, n, n_c, k, r),
+    m AS (SELECT e.*, b.cum AS below FROM e ASOF LEFT JOIN cum b ON b.rf = e.rf AND b.feature = e.feature AND (CASE WHEN e.r = 0 THEN e.v ELSE nextafter(e.hi, '-inf'::DOUBLE) END) >= b.v),
+    m2 AS (SELECT m.*, below - coalesce(b.cum, 0) AS m FROM m ASOF LEFT JOIN cum b ON b.rf = m.rf AND b.feature = m.feature AND (CASE WHEN m.r = 0 THEN nextafter(m.v, '-inf'::DOUBLE) ELSE m.lo END) >= b.v),
+    h AS (SELECT i + 1 AS n, sum(CASE WHEN i = 0 THEN 0.0 ELSE 1.0::DOUBLE / i END) OVER (ORDER BY i) AS s FROM range(0, (SELECT count(*) FROM s)) t(i)),
+    t AS (SELECT rf, feature, sum(m2.n) AS n, sum(m2.n * (a.s - b.s - d.s)) AS part FROM m2 JOIN h a ON a.n = m2.k JOIN h b ON b.n = m2.m JOIN h d ON d.n = m2.n_c GROUP BY 1, 2)"""
+
+
+@query("sco7_neighbour_information", f"WITH {NEIGHBOUR_SQL} SELECT rf, feature, {rsql('greatest(h.s + part / t.n, 0.0)')} AS feature_score FROM t JOIN h ON h.n = t.n")
+def sco7_neighbours(spark, sf):
+    return rounded(neighbour_information(long_rows(spark, sf, keep=("y", "rf")), ["rf", "feature"]), "feature_score")
+
+
 def median_bits(spark, sf, task="xor2"):
     """1 at or above the exact median of each column (four numbers through the driver)."""
     from rulespire.operators.scan import exact_quantiles

@@ -20,6 +20,7 @@ class FitConfig:
     complexity_penalty: float = 0.0
     n_bins: int = 64
     binning: str = "local"  # or edges fixed before growth: quantile, width, density, supervised
+    root_score: str = "bins"  # information of the features at the root: of their bins, or from neighbours
     prune_holdout: float = 0.0  # share of a stratified hold-out that prunes the tree, from 500 rows on
     prune_alpha: float = 0.01
     top_k: int = 15

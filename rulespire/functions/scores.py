@@ -79,3 +79,11 @@ def sigmoid(z: Column, limit: float = 500.0) -> Column:
 def log_odds(p: Column, eps: float = 1e-7) -> Column:
     q = clipped(p, eps)
     return F.log(q / (1.0 - q))
+
+
+def digamma(n: Column) -> Column:
+    """Digamma function of a number of 1 and more: six steps of its recurrence, then the asymptotic series (1e-10)."""
+    x = n + F.lit(6.0)
+    steps = sum((1.0 / (n + F.lit(float(i))) for i in range(1, 6)), 1.0 / n)
+    series = 1.0 / 12.0 - (1.0 / 120.0 - (1.0 / 252.0 - 1.0 / (240.0 * x * x)) / (x * x)) / (x * x)
+    return F.log(x) - 1.0 / (2.0 * x) - series / (x * x) - steps

@@ -24,6 +24,7 @@ from rulespire.functions.rules import AFFINE, ANTIHORN, ANY, BEST, CONJUI, FAMIL
 from rulespire.functions.scores import information_gain
 from rulespire.operators.binning import clean_edges, density_edges, equal_width_edges, interior, quantile_edges, supervised_edges
 from rulespire.operators.dense import best_cuts, entropy_of, region_scores
+from rulespire.operators.neighbours import feature_information
 from rulespire.operators.profile import unpivot
 from rulespire.operators.prune import prune
 from rulespire.operators.sampling import stratified_split
@@ -81,7 +82,7 @@ def fit_tree(df: DataFrame, label: str, features: list[str], cfg: FitConfig = Fi
         split = stratified_split(df, [label], row_key, cfg.prune_holdout, cfg.seed, purpose="prune")
         df, held = split.filter("not is_test"), split.filter("is_test")
     enc = encode(df, label, features, cfg.max_codes, weight, keep=features if cfg.allow_compare else (), exact=True, cache=False)
-    model = Grower(enc, cfg, edges=fixed_edges(df, label, features, cfg)).run()
+    model = Grower(enc, cfg, edges=fixed_edges(df, label, features, cfg), root_scores=root_scores(df, label, features, cfg)).run()
     return prune(model, held, label, cfg.prune_alpha) if held is not None else model
 
 
@@ -96,6 +97,13 @@ def fixed_edges(df: DataFrame, label: str, features: list[str], cfg: FitConfig)
     return [by.get(f, np.empty(0)) for f in features]
 
 
+def root_scores(df: DataFrame, label: str, features: list[str], cfg: FitConfig) -> dict[int, float] | None:
+    """Scores of the features at the root estimated from neighbours; None where those of its bins rank them."""
+    if cfg.root_score == "bins" or cfg.use_gain_ratio:
+        return None
+    return {features.index(r["feature"]): r["feature_score"] for r in feature_information(df, label, features).collect()}  # one number per feature
+
+
 def stop_reason(cfg: FitConfig, n_pos: float, n_neg: float, depth: int) -> str:
     """Stop rules that need no search, in their fixed order."""
     n = n_pos + n_neg
@@ -123,8 +131,8 @@ class Grower:
     with ``weights`` the rows carry an array column of per-tree weights."""
 
     def __init__(self, enc: Encoded, cfg: FitConfig, n_trees: int = 1, subsets: list[list[int]] | None = None, weights: str | None = None,
-                 edges: list[np.ndarray] | None = None):
-        self.edges = edges
+                 edges: list[np.ndarray] | None = None, root_scores: dict[int, float] | None = None):
+        self.edges, self.root_scores = edges, root_scores
         self.enc, self.cfg, self.n_trees, self.weights = enc, cfg, n_trees, weights
         self.d = len(enc.features)
         self.subsets = subsets
@@ -292,9 +300,10 @@ class Grower:
             fresh = self._fresh_scores(o)
             plan.append((fresh, extra if fresh else sorted(o.scores, key=lambda f: (-o.scores[f], f))[: cfg.top_k] + extra))
         by_information = todo[0].node.depth == 0 and not cfg.use_gain_ratio
+        given = self.root_scores if by_information else None
 
         def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _ranked(pdf, *plan[int(pdf["slot"].iloc[0])], cfg, by_information)
+            return _ranked(pdf, *plan[int(pdf["slot"].iloc[0])], cfg, by_information, given)
 
         if isinstance(cuts, pd.DataFrame):
             ranked = [rank(part) for _, part in cuts.groupby("slot")]
@@ -581,7 +590,8 @@ def _best_row(slot: int, ip: np.ndarray, ineg: np.ndarray, tp: float, tn: float,
     return [(slot, p, float(score[p]), float(gain[p]), float(ip[p]), float(ineg[p]))] if score[p] > 0 else []
 
 
-def _ranked(cuts: pd.DataFrame, fresh: bool, wanted: list[int], cfg: FitConfig, by_information: bool) -> pd.DataFrame:
+def _ranked(cuts: pd.DataFrame, fresh: bool, wanted: list[int], cfg: FitConfig, by_information: bool,
+            given: dict[int, float] | None = None) -> pd.DataFrame:
     """Cuts of a node's best features, and its best single cut; one row per distinct split of the rows."""
     cuts = cuts.sort_values(["f", "threshold"], kind="stable").drop_duplicates(["f", "cum_pos", "cum_neg"], ignore_index=True)
     f, cp, cn = (cuts[c].to_numpy() for c in ("f", "cum_pos", "cum_neg"))
@@ -593,7 +603,9 @@ def _ranked(cuts: pd.DataFrame, fresh: bool, wanted: list[int], cfg: FitConfig,
     score = np.where(ok & (gain > 0), gain - 2.0 * np.log(np.maximum(n, 2.0)) / (2.0 * n), -1.0)
     score[score <= 0] = -1.0
     start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-    if by_information:  # plug-in mutual information of label and bin
+    if given is not None:
+        per = np.array([given[k] for k in f[start].tolist()])
+    elif by_information:  # plug-in mutual information of label and bin
         head = np.zeros(len(f), bool)
         head[start] = True
         p, q = (np.diff(c, prepend=0.0) + np.where(head, np.concatenate([[0.0], c[:-1]]), 0.0) for c in (cp, cn))
