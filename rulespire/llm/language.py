@@ -42,11 +42,38 @@ NOISE = 0.2
 _KIND = np.full(256, 32, np.uint8)  # bytes of letters; everything else is a space
 _KIND[97:123] = np.arange(97, 123)
 _KIND[128:] = np.arange(128, 256)
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-
-
-def markup_text(page: str | None) -> str:
-    return html.unescape(_MARKUP.sub(" ", page or ""))
+_BLOCK = re.compile(r"<(?:(script|style)\b|!--)", re.I | re.A)
+_CLOSE = {"script": re.compile(r"</script\s*>", re.I | re.A), "style": re.compile(r"</style\s*>", re.I | re.A), "--": re.compile("-->")}
+_HTML = re.compile(r"<html\b", re.I | re.A)
+_LANG = re.compile(r"""(?=\slang\s*=\s*["']?([a-z]{2,3}))""", re.I | re.A)
+
+
+def read_page(page: str | None) -> tuple[str, str | None]:
+    """Text of a page and the language of its first html tag that names one, read once from front to back.
+
+    Scripts, styles and comments are left out to their ends. The end of a kind of block is searched no more once there is none; such
+    an opener is a tag like any other. A tag that is not closed is text, with all that follows.
+    """
+    page = page or ""
+    text, declared, unclosed, at = [], None, set(), 0
+    while (start := page.find("<", at)) >= 0:
+        end, block = 0, _BLOCK.match(page, start)
+        kind = (block[1] or "--").lower() if block else None
+        if block and kind not in unclosed:
+            if close := _CLOSE[kind].search(page, block.end()):
+                end = close.end()
+            else:
+                unclosed.add(kind)
+        if not end:
+            end = page.find(">", start) + 1
+            if declared is None and _HTML.match(page, start):
+                said = _LANG.findall(page, start, end or len(page))
+                declared = said[-1].lower() if said else None
+            if not end:
+                break
+        text.append(page[at:start])
+        at = end
+    return html.unescape(" ".join([*text, page[at:]])), declared
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +155,7 @@ def evidence(rows: DataFrame, logs: np.ndarray) -> DataFrame:
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             markup = b.column(b.schema.get_field_index("is_markup")).to_pylist()
-            texts = [markup_text(t) if m else t for t, m in zip(texts, markup)]
+            texts = [read_page(t)[0] if m else t for t, m in zip(texts, markup)]
             for at in _pieces([texts], 0):
                 bucket, n = trigrams(texts[at])
                 ll = np.zeros((len(n), table.shape[1]))
@@ -212,14 +239,21 @@ def document_rows(docs: DataFrame) -> DataFrame:
         none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"), F.lit(False).alias("is_markup"), "text")
 
 
+def _read_pages(batches):
+    for b in batches:
+        found = [read_page(p) for p in b.column(2).to_pylist()]
+        said, texts = (pa.array(x, pa.string()) for x in ([d for _, d in found], [t for t, _ in found]))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), said, texts], ["page_id", "host", "declared", "text"])
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Pages as rows for ``evidence``."""
+    """Pages as rows for ``evidence``: their texts and declared languages, read together."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    bare = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")  # may name a language, or stand before the tag at any length
-    declared = F.lower(F.regexp_extract(bare, r"""(?i)<html\b[^>]*\slang\s*=\s*["']?([a-z]{2,3})""", 1))
-    return pages.select(
-        F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), declared.alias("declared"),
-        F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"^[^.]+\.(.+)$", 1).alias("domain"), F.lit(True).alias("is_markup"), F.col("html").alias("text"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), "html")
+    rows = map_arrow(rows, _read_pages, "page_id long, host string, declared string, text string")
+    return rows.select(
+        F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "page_id", "declared", F.regexp_extract("host", r"([^.]+)$", 1).alias("suffix"),
+        "host", F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("domain"), F.lit(False).alias("is_markup"), "text")
 
 
 def accepted_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:

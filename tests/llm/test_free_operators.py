@@ -1,7 +1,11 @@
 """Token files, near duplicates, embeddings, lines, language and the language model."""
 
 import functools
+import html
 import math
+import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -342,6 +346,34 @@ def test_all_labels_are_languages(spark, monkeypatch):
     assert all(r["language"] == lang[r["doc_id"]] and r["kept"] for r in got) and len(got) == 200
 
 
+MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I | re.A)
+
+
+def test_pages_are_read_as_by_one_pattern():
+    """Random markup, closed and unclosed, against a pattern that starts anew at every opener."""
+    rng = random.Random(4)
+    parts = ["<", ">", "<!--", "-->", "<script", "<script>", "</script >", "</script", "<STYLE a>", "</style>", "<scripted>", " ", "x &amp; y", "<p>", "-", "</", "é\n"]
+    for _ in range(3000):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert language.read_page(page)[0] == html.unescape(MARKUP.sub(" ", page)), page
+
+
+def test_declared_language_of_a_page():
+    said = lambda page: language.read_page(page)[1]
+    assert said(None) is None and said("") is None and said("<p lang=en>") is None
+    assert said("<!-- <html lang=fr> --><HTML class='a'\n LANG = 'DE-at'>") == "de"
+    assert said("<html><html lang=es><html lang=it>") == "es" and said("<html lang=") is None
+    assert said("<html xml:lang=en data-lang=fr>") is None and said("<html lang=en") == "en"
+    assert said("<!-- never closed <html lang=fr>") is None and said("<!-- never closed > <html lang=fr>") == "fr"
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script ", "<script>", "<style><!--", "<html ", "<html lang", "</script", "<script></script   ", "<"])
+def test_broken_pages_take_linear_time(piece):
+    start = time.perf_counter()
+    language.read_page(piece * (5_000_000 // len(piece)))
+    assert time.perf_counter() - start < 10  # quadratic patterns took 23 s for 80 KB
+
+
 def test_declaration_anywhere_in_the_page(spark):
     tag = '<html class="a" lang="DE-at"><body>'
     pages = [tag, f"<!-- {'licence ' * 2000}-->{tag}", " " * 9000 + tag, f'<!-- <html lang="fr"> -->{tag}', f"<script>x = '<html lang=fr>';{'y' * 9000}</script>\n{tag}", "<html><body lang=de>", None]
