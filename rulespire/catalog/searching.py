@@ -17,6 +17,7 @@ from rulespire.operators import histograms as H
 from rulespire.operators import search as X
 from rulespire.sources.tables import LINE_FEATURES
 from rulespire.operators.profile import unpivot
+from rulespire.operators.wide import exact_wide_pairs
 
 MIN_LEAF = 20
 AXES = ["bi", "bj", "bk"]
@@ -416,7 +417,7 @@ for _name, (_rule, _cond, _task) in RULES.items():
 
 # --- SEA26, SEA27: exact midpoints, all features ---------------------------------------------------------------
 
-_EXACT = ["q", "d", "t", "ln", "ls"]  # the price has as many values as rows; sea27 covers it
+_EXACT = ["q", "d", "t", "ln", "ls"]  # the price has as many values as rows; its pairs are the sea26_wide queries
 
 
 def value_codes(spark, sf, task):
@@ -462,6 +463,30 @@ _register_exact("sea26_exact_antihorn", "cnf4", ANTIHORN)
 _register_exact("sea26_exact_affine", "xor2", AFFINE)
 
 
+def _wide_sql(task, family):
+    regs = X.regions_for({family}, 2)
+    cells = " UNION ALL ".join(f"SELECT '{f}' AS fj, p + 0.0 AS w, {f} + 0.0 AS v, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM s GROUP BY ALL" for f in _EXACT)
+    inside = {"LL": "l{0}", "LH": "a{0} - l{0}", "HL": "t{0}l - l{0}", "HH": "t{0} - a{0} - t{0}l + l{0}", "X": "a{0} + t{0}l - 2 * l{0}"}
+    tall = " UNION ALL ".join(f"SELECT fj, w, nx, c, '{r}' AS region, {inside[r].format('p')} AS ip, {inside[r].format('n')} AS ineg, tp, tn FROM r1" for r in regs)
+    return f"""WITH {line_cte(task)}, cells AS ({cells}), cut AS (SELECT fj, (v + nx) / 2 AS c FROM (SELECT fj, v, lead(v) OVER (PARTITION BY fj ORDER BY v) AS nx FROM (SELECT DISTINCT fj, v FROM cells)) WHERE nx IS NOT NULL),
+      e AS (SELECT fj, c, w, sum(pos) AS ap, sum(neg) AS an, sum(CASE WHEN v < c THEN pos ELSE 0 END) AS lp, sum(CASE WHEN v < c THEN neg ELSE 0 END) AS ln FROM cells JOIN cut USING (fj) GROUP BY 1, 2, 3),
+      r1 AS (SELECT fj, c, w, lead(w) OVER o AS nx, sum(ap) OVER o AS ap, sum(an) OVER o AS an, sum(lp) OVER o AS lp, sum(ln) OVER o AS ln, sum(ap) OVER g AS tp, sum(an) OVER g AS tn, sum(lp) OVER g AS tpl, sum(ln) OVER g AS tnl
+        FROM e WINDOW o AS (PARTITION BY fj, c ORDER BY w), g AS (PARTITION BY fj, c)), r2 AS ({tall}),
+      m AS (SELECT *, {gain_sql('tp', 'tn', 'ip', 'ineg')} AS gain FROM r2 WHERE nx IS NOT NULL AND ip + ineg >= 5 AND tp + tn - ip - ineg >= 5)
+      SELECT fj AS feature, region, {rsql('(w + nx) / 2')} AS t_wide, {rsql('c')} AS t_short, ip, ineg, {rsql('gain')} AS gain FROM m WHERE gain > 0 ORDER BY round(gain, 9) DESC, fj, region, w, c LIMIT 1"""
+
+
+def _register_wide(name, task, family):
+    def run(spark, sf):
+        best = exact_wide_pairs(line_rows(spark, sf, task), "p", _EXACT, X.regions_for({family}, 2), 5)
+        return rounded(best, "t_wide", "t_short", "gain")
+    query(name, _wide_sql(task, family))(run)
+
+
+_register_wide("sea26_wide_horn", "cnf4", HORN)
+_register_wide("sea26_wide_affine", "xor2", AFFINE)
+
+
 @query("sea27_stump", f"""WITH {line_cte('and2')}, l AS ({' UNION ALL '.join(f"SELECT '{f}' AS f, {i} AS pos_, {f} + 0.0 AS v, y FROM s" for i, f in enumerate(LINE_FEATURES))}),
     h AS (SELECT f, pos_, v, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM l GROUP BY ALL),
     c AS (SELECT *, sum(p) OVER w AS ip, sum(n) OVER w AS ineg, sum(p) OVER a AS tp, sum(n) OVER a AS tn, lead(v) OVER (PARTITION BY f ORDER BY v) AS nx FROM h WINDOW w AS (PARTITION BY f ORDER BY v), a AS (PARTITION BY f)),
