@@ -42,6 +42,19 @@ def cal1(spark, sf):
     return rounded(out, "rate", "mean_calibrated", digits=4)
 
 
+@query("cal1_platt_slope", f"""WITH {line_cte()}, p AS (SELECT rf, {PROBA_SQL} AS p, y FROM s), z AS (SELECT rf, ln(p / (1 - p)) AS z, y FROM p)
+    SELECT rf, {rsql('avg(z * y)', 4)} AS moment, {rsql('avg(z * z)', 4)} AS spread FROM z GROUP BY 1""")
+def cal1_slope(spark, sf):
+    """Per return flag of the data: at the optimum the log-odds weigh calibrated scores as they weigh labels. Together with
+    equal means this holds at one pair of parameters only."""
+    df, z = scored(spark, sf).withColumn("z", C.log_odds(F.col("proba"))), None
+    for r in df.select("rf").distinct().orderBy("rf").collect():  # the flags of a column of codes
+        part = df.filter(F.col("rf").eqNullSafe(F.lit(r["rf"])))
+        part = part.withColumn("cal", A.platt_apply(F.col("proba"), *A.platt_fit(part, "proba", "y"))).select("rf", "z", "cal")
+        z = part if z is None else z.unionByName(part)
+    return rounded(z.groupBy("rf").agg(F.avg(F.col("z") * F.col("cal")).alias("moment"), F.avg(F.col("z") * F.col("z")).alias("spread")), "moment", "spread", digits=4)
+
+
 @query("cal2_binned", f"""WITH {line_cte()}, p AS (SELECT {PROBA_SQL} + ln / 100 AS p, y FROM s), o AS (SELECT p, y, row_number() OVER (ORDER BY p, y) - 1 AS i, count(*) OVER () AS n FROM p),
     b AS (SELECT p, y, least(floor(i / floor(n / least(20, floor(n / 10)))), least(20, floor(n / 10)) - 1)::INT AS bin FROM o) SELECT bin, count(*) AS n, {rsql('avg(p)')} AS mean_p, {rsql('avg(y)')} AS rate FROM b GROUP BY 1""")
 def cal2(spark, sf):

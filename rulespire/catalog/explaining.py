@@ -119,6 +119,16 @@ def exp6(spark, sf):
     return c.groupBy("tree_id", "leaf_id", "kind", F.size("clause").alias("len")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("exp7_threshold_digits", """WITH t AS (SELECT l_suppkey AS supp, l_discount / 7 + CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 1e-13 ELSE 1e-8 END AS t FROM lineitem)
+    SELECT supp, count(DISTINCT t) AS n_values, count(DISTINCT round(t, 10)) AS n_thresholds FROM t GROUP BY 1""")
+def exp7_digits(spark, sf):
+    """Noise beyond the tenth digit is none, noise before it is."""
+    ln = F.col("l_linenumber") % 3
+    t = F.col("l_discount") / 7 + F.when(ln == 0, F.lit(0.0)).when(ln == 1, F.lit(1e-13)).otherwise(F.lit(1e-8))
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("supp"), t.alias("t"))
+    return rows.groupBy("supp").agg(F.count_distinct("t").alias("n_values"), F.count_distinct(K.threshold_key(F.col("t"))).alias("n_thresholds"))
+
+
 @query("exp7_threshold_identity", "SELECT l_suppkey AS supp, count(DISTINCT round(l_extendedprice / 7 + CASE WHEN l_linenumber % 2 = 0 THEN 1e-13 ELSE 0 END, 3)) AS n_thresholds FROM lineitem GROUP BY 1")
 def exp7(spark, sf):
     """Noise below the identity digits must not create new thresholds (3 digits: values are large)."""

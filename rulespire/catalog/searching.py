@@ -281,17 +281,15 @@ def sea17(spark, sf):
 _ROUTES = [("Horn", False), ("AntiHorn", False), ("Affine", False), ("ConjUI", False), ("BestPerNode", False), ("BestPerNode", True), ("Any", False)]
 
 
-def _route_sql():
-    rows = []
-    for fam, aff in _ROUTES:
-        for region in X.regions_of(2):
-            for form, _ in X.forms(region):
-                if form in X.searched_families(fam, aff):
-                    rows.append(f"('{fam}{'+' if aff else ''}', '{region}', '{form}')")
-    return ", ".join(rows)
+# which families are searched, and which regions each can write: OR rules name the outside of a region, so one L is one GE (Horn), one H one LT (AntiHorn)
+ROUTE_SQL = """searched(requested, family) AS (VALUES ('Horn', 'Horn'), ('AntiHorn', 'AntiHorn'), ('Affine', 'Affine'), ('ConjUI', 'ConjUI'),
+      ('BestPerNode', 'Horn'), ('BestPerNode', 'AntiHorn'), ('BestPerNode', 'ConjUI'), ('BestPerNode+', 'Horn'), ('BestPerNode+', 'AntiHorn'), ('BestPerNode+', 'ConjUI'), ('BestPerNode+', 'Affine'),
+      ('Any', 'Horn'), ('Any', 'AntiHorn'), ('Any', 'ConjUI'), ('Any', 'Affine')),
+    route AS (SELECT requested, region, family FROM searched, (VALUES ('LL'), ('LH'), ('HL'), ('HH'), ('X')) g(region)
+      WHERE CASE family WHEN 'Affine' THEN region = 'X' WHEN 'Horn' THEN region IN ('HH', 'HL', 'LH') WHEN 'AntiHorn' THEN region IN ('LL', 'HL', 'LH') ELSE region <> 'X' END)"""
 
 
-@query("sea18_family_routing", f"""WITH {regions_sql('cnf4', 2, [HORN, ANTIHORN, CONJUI, AFFINE])}, route(requested, region, family) AS (VALUES {_route_sql()}),
+@query("sea18_family_routing", f"""WITH {regions_sql('cnf4', 2, [HORN, ANTIHORN, CONJUI, AFFINE])}, {ROUTE_SQL},
     m AS (SELECT requested, family, max(round(score, 6)) + 0.0 AS best, count(*) AS n FROM r JOIN route USING (region) GROUP BY 1, 2) SELECT * FROM m""")
 def sea18(spark, sf):
     scored = scored_tuples(line_rows(spark, sf, "cnf4"), 2, [HORN, ANTIHORN, CONJUI, AFFINE])
