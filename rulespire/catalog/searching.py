@@ -481,7 +481,9 @@ def _register_wide(name, task, family):
     query(name, _wide_sql(task, family))(run)
 
 
+_register_wide("sea26_wide_conjui", "and2", CONJUI)
 _register_wide("sea26_wide_horn", "cnf4", HORN)
+_register_wide("sea26_wide_antihorn", "or2", ANTIHORN)
 _register_wide("sea26_wide_affine", "xor2", AFFINE)
 
 
