@@ -27,9 +27,25 @@ NAMES = ["fi", "fj", "fk"]
 # --- regions: Spark and SQL ------------------------------------------------------------------
 
 
+#: Keys whose cells a task holds at once.
+KEYS_A_TASK = 500
+
+
+def key_parts(df, keys):
+    """Partitions for the cells of all keys, in proportion to their number; None where the default will do."""
+    n = df.agg(F.approx_count_distinct(F.struct(*keys))).first()[0] if keys else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // KEYS_A_TASK)) if n > KEYS_A_TASK else None
+
+
 def tuple_cells(df, arity, keys=(), feats=CUT_FEATURES):
     """Joint class counts of every feature tuple in one job."""
-    packed = H.class_counts(df.select("y", *keys, *[cut_bin(f).alias(f) for f in feats]), [*keys, *feats])
+    binned = df.select("y", *keys, *[cut_bin(f).alias(f) for f in feats])
+    parts = key_parts(df, keys)
+    if parts:  # many keys: few rows share all bins, so they are placed before they are counted
+        binned = binned.repartition(parts, *keys, *feats)
+    packed = H.class_counts(binned, [*keys, *feats])
+    if parts:  # a key has at most as many cells as there are bins, however many rows
+        packed = packed.repartition(parts, *keys)
     entry = F.array(*[
         F.struct(*[F.lit(f).alias(n) for n, f in zip(NAMES, t)], *[F.col(f).alias(a) for a, f in zip(AXES, t)])
         for t in combinations(feats, arity)])
@@ -41,7 +57,7 @@ def tuple_cells(df, arity, keys=(), feats=CUT_FEATURES):
 def scored_tuples(df, arity, families, step=1, keys=()):
     names, axes = NAMES[:arity], AXES[:arity]
     allowed = X.regions_for(set(families), arity)
-    r = X.region_counts(tuple_cells(df, arity, keys), [*keys, *names], axes, step).filter(F.col("region").isin(allowed))
+    r = X.region_counts(tuple_cells(df, arity, keys), [*keys, *names], axes, step, allowed)
     return X.score_counts(r, arity, MIN_LEAF)
 
 
