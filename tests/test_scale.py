@@ -45,3 +45,18 @@ def test_regions_are_counted_without_sorting_a_task(spark):
     assert {tuple(r) for r in out.collect()} == want
     assert region_counts(cells.filter("false"), ["t"], ["bi", "bj"]).count() == 0
     assert {r["region"] for r in region_counts(cells, ["t"], ["bi", "bj"], regions=["LH", "X"]).collect()} == {"LH", "X"}
+
+
+@pytest.mark.parametrize("runs", [1, 3])
+def test_rows_of_a_split_are_not_shuffled(spark, runs):
+    rows = spark.range(500).select(F.col("id").cast("string").alias("rk"), (F.col("id") % 3).alias("y"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stratified_split(rows, ["y"], "rk", 0.2, 42, runs)
+        plan = plan_of(out)
+        sizes = {(r["run"], r["y"]): r["n"] for r in out.filter("is_test").groupBy("run", "y").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sizes == {(run, y): round(n * 0.2) for run in range(runs) for y, n in ((0, 167), (1, 167), (2, 166))}
