@@ -60,3 +60,13 @@ def test_rows_of_a_split_are_not_shuffled(spark, runs):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     assert sizes == {(run, y): round(n * 0.2) for run in range(runs) for y, n in ((0, 167), (1, 167), (2, 166))}
+
+
+def test_evidence_tables_read_the_rows_once(spark, sf, monkeypatch):
+    calls = []
+    kept = analytics.line_wide
+    monkeypatch.setattr(analytics, "line_wide", lambda *a: calls.append(a) or kept(*a))
+    got = {r["name"]: r["n"] for r in analytics.snk3(spark, sf).collect()}
+    assert len(calls) == 1
+    assert set(got) == {"full", "by_method", "certified", "auxiliary", "complexity", "win_loss", "pareto"}
+    assert got["full"] == got["certified"] + got["auxiliary"] and got["by_method"] == 2 * len(analytics.METHODS)
