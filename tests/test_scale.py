@@ -70,3 +70,13 @@ def test_evidence_tables_read_the_rows_once(spark, sf, monkeypatch):
     assert len(calls) == 1
     assert set(got) == {"full", "by_method", "certified", "auxiliary", "complexity", "win_loss", "pareto"}
     assert got["full"] == got["certified"] + got["auxiliary"] and got["by_method"] == 2 * len(analytics.METHODS)
+
+
+def test_a_learning_curve_draws_once_per_row(spark, monkeypatch):
+    calls = []
+    kept = grid.unit_hash
+    monkeypatch.setattr(grid, "unit_hash", lambda *a: calls.append(a) or kept(*a))
+    rows = spark.range(600).select(F.col("id").cast("string").alias("rk"), (F.col("id") % 10 >= 5).cast("int").alias("y"), (F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    got = grid.learning_curve(rows, "y", ["a", "b"], "rk", [0.5, 1.0], FitConfig(max_depth=2)).collect()
+    assert len(calls) == 2
+    assert got[1]["n_train"] == 480 and got[1]["test_accuracy"] == 1.0 and 0 < got[0]["n_train"] < 480
