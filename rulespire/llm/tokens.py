@@ -40,7 +40,7 @@ from rulespire.session import cut_lineage
 END = 0
 LENGTH = 2048
 #: Sequences in a record batch; texts encoded together, in characters; pieces kept.
-BATCH, CHUNK, PIECES = 256, 1 << 20, 1_000_000
+BATCH, CHUNK, PIECES = 256, 1 << 16, 1_000_000
 #: Characters that this tokenizer's pattern and the word split agree on: Latin letters, digits, common marks.
 OTHER = re.compile("[^\t\n\r\x20-\x7e¡§«»¿À-ɏ‐-―‘-‟…€]")
 RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", "<|endoftext|>")
